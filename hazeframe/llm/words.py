@@ -10,6 +10,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 M = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -55,7 +56,7 @@ class Words:
     def __init__(self, texts: pa.Array, table: np.ndarray | None = None, blank: np.ndarray = IS_BLANK):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
         n = len(texts)
         buffers = texts.buffers()
         offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + n + 1]
