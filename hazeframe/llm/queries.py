@@ -15,6 +15,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_difference_cover_dedup(spark, sf_dir):
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_rendezvous_shards(spark, sf_dir):
     from .sharding import shard_documents
 
@@ -27,6 +33,6 @@ def op7_forced_boundary_bpe(spark, sf_dir):
     return encode_decode(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_shards, op7_forced_boundary_bpe)}
+QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op7_forced_boundary_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
