@@ -27,12 +27,20 @@ def op2_rendezvous_shards(spark, sf_dir):
     return shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
 
+def op4_content_addressed_tokens(spark, sf_dir):
+    from .common import scratch
+    from .token_store import checked, write_store
+
+    write_store(_table(spark, sf_dir, "documents"), path := scratch(spark), _tokenizer(), end_id=2)
+    return checked(spark, path)
+
+
 def op7_forced_boundary_bpe(spark, sf_dir):
     from .bpe import encode_decode
 
     return encode_decode(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op7_forced_boundary_bpe)}
+QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op4_content_addressed_tokens, op7_forced_boundary_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
