@@ -27,6 +27,12 @@ def op2_rendezvous_shards(spark, sf_dir):
     return shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
 
+def op3_weak_supervision_pii(spark, sf_dir):
+    from .pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op4_content_addressed_tokens(spark, sf_dir):
     from .common import scratch
     from .token_store import checked, write_store
@@ -41,6 +47,12 @@ def op7_forced_boundary_bpe(spark, sf_dir):
     return encode_decode(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op4_content_addressed_tokens, op7_forced_boundary_bpe)}
+def op8_markov_secrets(spark, sf_dir):
+    from .secrets import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op7_forced_boundary_bpe, op8_markov_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
