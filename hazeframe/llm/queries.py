@@ -41,6 +41,12 @@ def op4_content_addressed_tokens(spark, sf_dir):
     return checked(spark, path)
 
 
+def op5_token_group_jaccard(spark, sf_dir):
+    from .jaccard_join import group_documents
+
+    return group_documents(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op7_forced_boundary_bpe(spark, sf_dir):
     from .bpe import encode_decode
 
@@ -53,6 +59,6 @@ def op8_markov_secrets(spark, sf_dir):
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op7_forced_boundary_bpe, op8_markov_secrets)}
+QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op5_token_group_jaccard, op7_forced_boundary_bpe, op8_markov_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}

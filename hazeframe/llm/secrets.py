@@ -50,7 +50,7 @@ def smallest(tokens: DataFrame, samples: int) -> DataFrame:
 
 
 def fit(found: DataFrame, samples: int) -> list[float]:
-    """Log-likelihood ratio of each transition, random against ordinary, with add-one counts."""
+    """Log-likelihood ratio of each transition, random against ordinary, transitions smoothed by the next character's own rate."""
     spark = found.sparkSession
     values = F.concat(F.transform("assign", lambda x: F.regexp_extract(x["v"], ASSIGN_VALUE, 1)), F.transform("access", lambda x: x["v"]), F.transform("hex", lambda x: x["v"]))
     made = spark.range(samples // 4).select(F.regexp_replace(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "=", "").alias("token"))
@@ -67,9 +67,13 @@ def fit(found: DataFrame, samples: int) -> list[float]:
     )
     n = {(r["y"], r["cell"]): r["n"] for r in rows}
     total: dict = {}
+    single: dict = {}
     for (y, cell), k in n.items():
         total[y, cell // SIDE] = total.get((y, cell // SIDE), 0) + k
-    rate = lambda y, c: (n.get((y, c), 0) + 0.5) / (total.get((y, c // SIDE), 0) + 0.5 * 66)
+        single[y, cell % SIDE] = single.get((y, cell % SIDE), 0) + k
+    every = [sum(k for (y, _), k in n.items() if y == c) for c in (0, 1)]
+    alone = lambda y, c: (single.get((y, c), 0) + 0.05) / (every[y] + 0.05 * SIDE)
+    rate = lambda y, c: (n.get((y, c), 0) + 5 * alone(y, c % SIDE)) / (total.get((y, c // SIDE), 0) + 5)
     return [math.log(rate(1, c) / rate(0, c)) for c in range(SIDE * SIDE)]
 
 
@@ -86,7 +90,7 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = F.array_sort(F.concat(*[named(F.col(k), k, i) for i, k in enumerate(KINDS)]))
     found = found.withColumn("_base", base).withColumn("_tokens", clear_of(F.col("_tokens"), F.col("_base")))
     table = F.lit(fit(found, samples))
-    hits = F.filter("_tokens", lambda x: (F.length(x["v"]) > 1) & (score(x["v"], table) > margin))
+    hits = F.filter("_tokens", lambda x: x["v"].rlike("[A-Za-z]") & (score(x["v"], table) > margin))
     every = F.array_sort(F.concat("_base", named(hits, "markov", len(KINDS))))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(id_col, *counts, F.sha2(rendered(F.col("_base")), 256).alias("base_sha256"), every.alias("_all")).select(
