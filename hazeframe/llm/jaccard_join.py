@@ -86,7 +86,7 @@ class LabelSender:
         h, part, label = h[keep], part[keep], label[keep]
         at = np.searchsorted(bucket_of(h, self.buckets), np.arange(self.buckets + 1))
         k4, p2 = h.astype("<u4"), part.astype("<u2" if self.buckets < 65536 else "<u4")
-        l4 = mix(label.astype(np.uint64), 8).astype("<u4")
+        l4 = mix(label.astype(np.uint64) ^ mix(h, 7), 8).astype("<u4")
         rows = [(b, k4[s:e].tobytes(), p2[s:e].tobytes(), l4[s:e].tobytes()) for b, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
         b, k, p, lab = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(p, pa.binary()), pa.array(lab, pa.binary())], names=["bucket", "keys", "parts", "labels"])
@@ -95,8 +95,9 @@ class LabelSender:
 def shared(sent: DataFrame, buckets: int) -> DataFrame:
     """part, bucket, keys: for each part its keys that bear two labels or more anywhere.
 
-    Keys are 32 bits inside a bucket and labels 32-bit hashes; a chance collision of keys only keeps a document
-    in for the exact steps, and of labels (2^-32 per token pair) is avoided by the margin of many tokens.
+    Keys are 32 bits inside a bucket and labels 32-bit hashes drawn anew for each key; a chance collision
+    of keys only keeps a document in for the exact steps, one of labels hides a single token, which the slack of one
+    token in survives() makes up for.
     """
     wide = "<u2" if buckets < 65536 else "<u4"
 
@@ -163,7 +164,7 @@ def survives(tokens: np.ndarray, first: np.ndarray, table: np.ndarray, buckets:
     lost[lost] = ~hits(tokens[lost], table, buckets)
     count = np.concatenate([[0], np.cumsum(lost)])
     n = np.diff(first)
-    return (n > 0) & (count[first[1:]] - count[first[:-1]] <= n - needed(n, percent))
+    return (n > 0) & (count[first[1:]] - count[first[:-1]] <= n - needed(n, percent) + 1)
 
 
 def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,6 +47,12 @@ def op5_token_group_jaccard(spark, sf_dir):
     return group_documents(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op6_simhash_decontamination(spark, sf_dir):
+    from .decontaminate import find_contamination
+
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_forced_boundary_bpe(spark, sf_dir):
     from .bpe import encode_decode
 
@@ -59,6 +65,6 @@ def op8_markov_secrets(spark, sf_dir):
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op5_token_group_jaccard, op7_forced_boundary_bpe, op8_markov_secrets)}
+QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op5_token_group_jaccard, op6_simhash_decontamination, op7_forced_boundary_bpe, op8_markov_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
