@@ -65,6 +65,13 @@ def op8_markov_secrets(spark, sf_dir):
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op5_token_group_jaccard, op6_simhash_decontamination, op7_forced_boundary_bpe, op8_markov_secrets)}
+def op9_crf_toxicity(spark, sf_dir):
+    from .toxicity import score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op5_token_group_jaccard, op6_simhash_decontamination, op7_forced_boundary_bpe, op8_markov_secrets, op9_crf_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
