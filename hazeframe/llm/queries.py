@@ -72,6 +72,12 @@ def op9_crf_toxicity(spark, sf_dir):
     return score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op5_token_group_jaccard, op6_simhash_decontamination, op7_forced_boundary_bpe, op8_markov_secrets, op9_crf_toxicity)}
+def op10_nn_descent_dedup(spark, sf_dir):
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op5_token_group_jaccard, op6_simhash_decontamination, op7_forced_boundary_bpe, op8_markov_secrets, op9_crf_toxicity, op10_nn_descent_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
