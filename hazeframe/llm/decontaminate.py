@@ -157,18 +157,23 @@ def scan(part, items: Items, threshold: float):
     return [(row, items.by_length[n]["ids"][item], -sim, start) for (row, n, item), (sim, start) in best.items()]
 
 
+def item_blocks(benchmark: DataFrame, width: int, block_items: int, block_bytes: int, item_col: str, item_text: str):
+    """Indexes over the item table, each of a bounded block."""
+    size = benchmark.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(item_text)).alias("b")).first()
+    blocks = max(1, -(-size["n"] // (block_items // 2)), -(-(size["b"] or 0) // (block_bytes // 2)))
+    for k in range(blocks):
+        own = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        rows = own.collect()  # half of block_items and block_bytes on average
+        yield Items([r["i"] for r in rows], [r["t"] for r in rows], width)
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_items: int = 4096, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, start_word: the best window for each document and item at or above the threshold."""
     if threshold <= 0:
         raise ValueError("threshold must be over 0")
     kind, item_kind = dict(documents.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    size = benchmark.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(item_text)).alias("b")).first()
-    blocks = max(1, -(-size["n"] // (block_items // 2)), -(-(size["b"] or 0) // (block_bytes // 2)))
     out = None
-    for k in range(blocks):
-        own = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        rows = own.collect()  # bounded: half of block_items and block_bytes on average
-        index = Items([r["i"] for r in rows], [r["t"] for r in rows], width)
+    for index in item_blocks(benchmark, width, block_items, block_bytes, item_col, item_text):
 
         def run(batches, index=index):
             for c in chunks(batches, 1):
@@ -180,3 +185,18 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
         part = documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{item_col}` {item_kind}, similarity double, start_word long")
         out = part if out is None else out.unionAll(part)
     return out
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_items: int = 4096, block_bytes: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Documents in which no item is found, all columns unchanged; one narrow pass per item block."""
+    at, out = documents.columns.index(text_col), documents
+    for index in item_blocks(benchmark, width, block_items, block_bytes, item_col, item_text):
+
+        def run(batches, index=index):
+            for c in chunks(batches, at):
+                keep = np.ones(c.num_rows, bool)
+                keep[[row for row, *_ in scan(c.column(at), index, threshold)]] = False
+                yield c.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, documents.schema)
+    return out

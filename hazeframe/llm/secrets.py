@@ -82,17 +82,52 @@ def score(token: Column, table: Column) -> Column:
     return F.aggregate(steps(token), F.lit(0.0), lambda acc, c: acc + F.get(table, c)) / (F.length(token) - 1)
 
 
-def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = 4000, margin: float = 0.5, output: bool = False) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; with output also findings (structs with values)."""
-    text = F.col("_text")
-    read = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+def scanned(read: DataFrame, text: Column, samples: int, margin: float) -> tuple[DataFrame, Column]:
+    """Rows with their base spans in _base, and the spans that the Markov models add."""
     found = with_matches(with_base(read, text), "_tokens", text, TOKEN)
     base = F.array_sort(F.concat(*[named(F.col(k), k, i) for i, k in enumerate(KINDS)]))
     found = found.withColumn("_base", base).withColumn("_tokens", clear_of(F.col("_tokens"), F.col("_base")))
     table = F.lit(fit(found, samples))
-    hits = F.filter("_tokens", lambda x: x["v"].rlike("[A-Za-z]") & (score(x["v"], table) > margin))
+    return found, F.filter("_tokens", lambda x: x["v"].rlike("[A-Za-z]") & (score(x["v"], table) > margin))
+
+
+def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = 4000, margin: float = 0.5, output: bool = False) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; with output also findings (structs with values)."""
+    text = F.col("_text")
+    read = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found, hits = scanned(read, text, samples, margin)
     every = F.array_sort(F.concat("_base", named(hits, "markov", len(KINDS))))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(id_col, *counts, F.sha2(rendered(F.col("_base")), 256).alias("base_sha256"), every.alias("_all")).select(
         id_col, *[f"n_{k}" for k in KINDS], "base_sha256", rendered(F.col("_all")).alias("spans"), *([F.col("_all").alias("findings")] if output else [])
     )
+
+
+def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", marker: str = "[SECRET]", samples: int = 4000, margin: float = 0.5) -> DataFrame:
+    """Documents with every secret replaced by the marker, one for each run of overlapping spans.
+
+    All columns stay; n_chars, where it exists, follows the text. Null texts stay null.
+    """
+    text = F.col("_text")
+    read = documents.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found, hits = scanned(read, text, samples, margin)
+    every = F.array_sort(F.concat("_base", named(hits, "markov", len(KINDS))))
+
+    def step(acc: Column, x: Column) -> Column:
+        piece = F.concat(acc["out"], F.substr(text, acc["pos"] + 1, x["s"] - acc["pos"]), F.lit(marker))
+        fresh = x["s"] >= acc["pos"]
+        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+
+    walked = F.aggregate("_every", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text))))
+    clean = F.when(F.size("_every") > 0, walked).otherwise(F.col("_row")[text_col])
+    done = found.select("_row", "_text", every.alias("_every")).select("_row", clean.alias("_clean"))
+    columns = []
+    for field in documents.schema.fields:
+        own = F.col("_row")[field.name]
+        if field.name == text_col:
+            own = F.col("_clean")
+        elif field.name == "n_chars":
+            own = F.when(F.col("_row")[text_col] == F.col("_clean"), own).otherwise(F.length("_clean").cast(field.dataType))
+            own = F.when(F.col("_clean").isNull(), F.col("_row")[field.name]).otherwise(own)
+        columns.append(own.alias(field.name))
+    return done.select(*columns)

@@ -249,3 +249,18 @@ def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([c.column(0), pa.array(held), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array([s for _, s in out])], names=[id_col, "held_out", "score", "predicted", "spans"])
 
     return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, spans string")
+
+
+def drop_toxic(documents: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Documents whose score is below the threshold, all columns unchanged; one narrow pass."""
+    if not model.trained:
+        return documents
+    at = documents.columns.index(text_col)
+
+    def run(batches):
+        model.prepare()
+        for c in chunks(batches, at):
+            keep = [model.score(t)[0] < threshold for t in c.column(at).to_pylist()]
+            yield c.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
