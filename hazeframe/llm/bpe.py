@@ -3,8 +3,8 @@
 A byte pair that occurs inside no vocabulary token can never be merged across, so a text may be cut between
 its two bytes, the fragments encoded one by one and the ids concatenated. `Codec` reads the pairs from the
 vocabulary, cuts where a solid byte meets a blank byte and that pair is forced, and keeps the ids of short
-fragments in a bounded two-generation cache. Cuts of this kind are also ends of the pre-tokenizer's pieces,
-so nothing depends on what stands on the other side.
+fragments in a bounded cache. Cuts of this kind are also ends of the pre-tokenizer's pieces, so nothing depends on
+what stands on the other side.
 
 Null texts count as empty: no ids, empty decoded text. Texts of any length are encoded whole.
 """
@@ -32,7 +32,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Codec:
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 400_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -55,7 +55,17 @@ class Codec:
             if (before := [a for a in range(256) if a not in BLANKS and (a, b) not in self.never])
         ]
         more = b"(?:(?:" + b"|".join(kept) + b")[%s]*[^%s]*)*" % (blanks, blanks) if kept else b""
-        self.fragments = re.compile(b"[%s]*[^%s]+%s|[%s]+" % (blanks, blanks, more, blanks)).findall
+        rest = b"[%s]*[^%s]+%s|[%s]+" % (blanks, blanks, more, blanks)
+        # A word may also be cut from the ASCII signs around it if no token holds such a pair; a run of Latin letters
+        # is a whole piece of the pre-tokenizer when no other non-ASCII character follows.
+        ascii_letters = [*range(65, 91), *range(97, 123)]
+        ends = [b for b in range(128) if b not in ascii_letters]
+        if all((a, b) in self.never for a in ascii_letters for b in ends) and all((10, b) in self.never for b in range(33, 127)):
+            loose = [a for a in range(128, 192) if any((a, b) not in self.never for b in ends)]
+            guard = b"(?<![" + b"".join(rb"\x%02x" % a for a in loose) + b"])" if loose else b""
+            word = rb" ?(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])" + guard
+            rest = word + rb"|\n(?=[!-\x7e])|[.,!?;:]++(?=[ \n]|\Z)|" + rest
+        self.fragments = re.compile(rest).findall
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         vocab = spec["model"]["vocab"]
         ids = [vocab[a + b] for a, b in merges]
@@ -63,8 +73,8 @@ class Codec:
         if ids == sorted(set(ids)):  # ids rise with merge ranks, so ranks give the same merges
             ranks = {to_bytes(t): i for t, i in vocab.items()}
             self.piece = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.simple = re.compile(r"( ?[^\W\d_]+)([.,;!?]*)\Z").match
-        self.size, self.new, self.old = cache, {}, {}
+        self.simple = re.compile(r" ?[^\W\d_]+\Z|[.,;!?]+\Z").match
+        self.size, self.known, self.missed = cache, {}, 0
 
     @staticmethod
     def forced_pairs(tokens) -> set[tuple[int, int]]:
@@ -72,25 +82,22 @@ class Codec:
         return {(a, b) for a in range(256) for b in range(256)} - inside
 
     def fragment(self, frag: bytes) -> bytes:
-        got = self.new.get(frag)
-        if got is None:
-            got = self.old.get(frag)
-            if got is None:
-                text = frag.decode()
-                if self.piece and (m := self.simple(text)) and m[1].strip(" ").isalpha():
-                    ids = self.piece(m[1].encode()) + (self.piece(m[2].encode()) if m[2] else [])
-                else:
-                    ids = self.library.encode(text, add_special_tokens=False).ids
-                got = np.array(ids, "<u4").tobytes()
-            if len(frag) <= 64:
-                if len(self.new) >= self.size:
-                    self.old, self.new = self.new, {}
-                self.new[frag] = got
+        text = frag.decode()
+        if self.piece and self.simple(text):  # one piece of the pre-tokenizer
+            got = np.array(self.piece(frag), "<u4").tobytes()
+        else:
+            got = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.missed += 1
+        if self.missed > 8 * self.size:  # the corpus may have changed: collect anew
+            self.known.clear()
+            self.missed = 0
+        if len(frag) <= 64 and len(self.known) < self.size:
+            self.known[frag] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        get, slow = self.new.get, self.fragment
+        get, slow = self.known.get, self.fragment
         return b"".join([get(f) or slow(f) for f in self.fragments((text or "").encode())]) if text else b""
 
     def decode(self, ids: bytes) -> str:
