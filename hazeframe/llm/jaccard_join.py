@@ -5,12 +5,14 @@ Documents are sets of hashed word n-grams. Equal sets form a class, joined throu
 1. Singles: all documents send the tokens of one fixed third of the hash space, packed, to hash buckets. A token
    that no other document has cannot be shared, and a document of n tokens that links with another misses at most
    n - ceil(t n) of its own tokens; with more unshared sampled tokens than that it links with nothing and is done.
-2. Groups: the remaining class representatives are partitioned into groups of similar documents: those that verify
-   against the representative of their min-hash bucket, in two rounds, joined transitively.
-3. Singles again, between groups: only documents with enough tokens that also occur in another group go on.
-4. Token-group matrix over these: (token, group) pairs are each group's token union. A query's n - ceil(t n) + 1
-   tokens that fewest groups hold propose groups; |query n union| bounds the overlap with any member; groups
-   with a bound of ceil(t n) or more are opened, and their members of fitting size verified exactly.
+2. Components so far: the remaining class representatives are verified against the representative of their min-hash
+   bucket, in two rounds, and joined transitively.
+3. Singles again, between components: only documents with enough tokens that also occur in another one go on.
+4. Token-group matrix over these. Similar documents (one min-hash bucket, at most about GROUP of it) form a group.
+   Tokens are ranked by the number of components that hold them, rarest first. A query's first n - ceil(t n) + SLACK
+   tokens are looked up in the groups' unions of such tokens; matches there plus the tokens after them bound the
+   query's overlap with any member. Groups whose bound reaches ceil(t n), and that are not all in the query's own
+   component, are opened whole, as one row, and their members verified exactly.
 
 No step forms all pairs of a group, and no cap or sample decides a link. Empty texts and null texts have no tokens
 and link with nothing. Rows that repeat a doc_id keep one row each. A null doc_id joins the class of its text but
@@ -21,14 +23,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, partitions, staged
+from .common import chunks, components, partitions, release, staged
 from .packed import bucket_of, member
 from .words import LOWER, Words, mix, span_hash
 
 SHARE = 3  # of the hash space, one in SHARE is sampled for singles
+GROUP = 32  # documents in a group, about
+SLACK = 4  # matches that a link must have in two prefixes of n - needed + SLACK tokens
 
 
 def shingles(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +97,7 @@ class LabelSender:
 
 
 def shared(sent: DataFrame, buckets: int) -> DataFrame:
-    """part, bucket, keys: for each part its keys that bear two labels or more anywhere.
+    """part, bucket, keys, counts: for each part its keys that bear two labels or more anywhere, and how many.
 
     Keys are 32 bits inside a bucket and labels 32-bit hashes drawn anew for each key; a chance collision
     of keys only keeps a document in for the exact steps, one of labels hides a single token, which the slack of one
@@ -109,31 +113,32 @@ def shared(sent: DataFrame, buckets: int) -> DataFrame:
         for b in sorted(by):
             k, p, lab = zip(*by.pop(b), strict=True)
             keys, parts, labels = np.frombuffer(b"".join(k), "<u4"), np.frombuffer(b"".join(p), wide), np.frombuffer(b"".join(lab), "<u4")
-            order = np.argsort(keys, kind="stable")
-            keys, parts, labels = keys[order], parts[order], labels[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            two = np.minimum.reduceat(labels, first) != np.maximum.reduceat(labels, first)
-            hit = np.repeat(two, np.diff([*first, len(keys)]))
-            pair = np.unique(parts[hit].astype(np.uint64) << np.uint64(32) | keys[hit])
-            to = (pair >> np.uint64(32)).astype(np.int64)
+            both = np.unique(keys.astype(np.uint64) << np.uint64(32) | labels)
+            known, count = np.unique(both >> np.uint64(32), return_counts=True)
+            known, count = known[count > 1], count[count > 1]
+            pair = np.unique(parts.astype(np.uint64) << np.uint64(32) | keys)
+            pair = pair[member(pair & np.uint64(0xFFFFFFFF), known)]
+            body = pair & np.uint64(0xFFFFFFFF)
+            many = np.minimum(count[np.searchsorted(known, body)], 65535).astype("<u2")
+            body, to = body.astype("<u4"), (pair >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
-            body = (pair & np.uint64(0xFFFFFFFF)).astype("<u4")
             if len(cut):
-                packed = [body[s:e].tobytes() for s, e in zip(cut, [*cut[1:], len(body)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int32()), pa.array([b] * len(cut), pa.int32()), pa.array(packed, pa.binary())], names=["part", "bucket", "keys"])
+                spans = list(zip(cut, [*cut[1:], len(body)], strict=True))
+                columns = [pa.array(to[cut], pa.int32()), pa.array([b] * len(cut), pa.int32()), *(pa.array([x[s:e].tobytes() for s, e in spans], pa.binary()) for x in (body, many))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "keys", "counts"])
 
-    return sent.repartitionById(buckets, "bucket").mapInArrow(run, "part int, bucket int, keys binary")
+    return sent.repartitionById(buckets, "bucket").mapInArrow(run, "part int, bucket int, keys binary, counts binary")
 
 
 def after_answers(rows: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """Each part's rows after the answers for it: kind 0, then kind 1."""
     both = found.withColumn("kind", F.lit(0)).unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    both = both.select("part", "kind", "bucket", "keys", *[c for c in rows.columns if c != "part"])
+    both = both.select("part", "kind", "bucket", "keys", "counts", *[c for c in rows.columns if c != "part"])
     return both.repartitionById(parts, "part").sortWithinPartitions("part", "kind")
 
 
 def with_tables(batches):
-    """Pairs of a part's sorted key table and batches of its rows."""
+    """Pairs of a part's table, sorted keys and their counts, and batches of its rows."""
     got, part, table = [], None, None
     for batch in batches:
         if not batch.num_rows:
@@ -145,28 +150,46 @@ def with_tables(batches):
             if b.column(0)[0].as_py() != part:
                 got, part, table = [], b.column(0)[0].as_py(), None
             if b.column(1)[0].as_py() == 0:
-                for bucket, keys in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    got.append(np.frombuffer(keys, "<u4").astype(np.uint64) | np.uint64(bucket << 32))
+                for bucket, keys, counts in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                    got.append((np.frombuffer(keys, "<u4").astype(np.uint64) | np.uint64(bucket << 32), np.frombuffer(counts, "<u2")))
             else:
                 if table is None:
-                    table = np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+                    keys, counts = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, "<u2"))
+                    order = np.argsort(keys)
+                    table, got = (keys[order], counts[order]), []
                 yield table, b
 
 
-def hits(tokens: np.ndarray, table: np.ndarray, buckets: int) -> np.ndarray:
+def holders(tokens: np.ndarray, table: tuple, buckets: int) -> np.ndarray:
+    """How many labels hold each token, 0 for one that no other label holds."""
+    keys, counts = table
+    if not len(keys):
+        return np.zeros(len(tokens), np.int64)
     h = spread(tokens)
-    return member(bucket_of(h, buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF), table)
+    key = bucket_of(h, buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, counts[at].astype(np.int64), 0)
 
 
-def survives(tokens: np.ndarray, first: np.ndarray, table: np.ndarray, buckets: int, percent: int) -> np.ndarray:
-    """Rows that may link: few enough of their sampled tokens are unshared."""
-    lost = sampled(tokens)
-    lost[lost] = ~hits(tokens[lost], table, buckets)
-    count = np.concatenate([[0], np.cumsum(lost)])
+def survives(unshared: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
+    """Rows that may link: few enough of the tokens looked up are unshared."""
+    count = np.concatenate([[0], np.cumsum(unshared)])
     n = np.diff(first)
     return (n > 0) & (count[first[1:]] - count[first[:-1]] <= n - needed(n, percent) + 1)
 
 
+def rare_prefixes(tokens: np.ndarray, first: np.ndarray, held: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of each row's first n - needed + SLACK tokens by (groups that hold it, token), shared ones only; row ends."""
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((tokens, held, row))
+    place = np.arange(len(tokens)) - first[:-1][row]
+    mask = np.zeros(len(tokens), bool)
+    mask[order] = place < (n - needed(n, percent) + SLACK)[row]
+    mask &= held > 0
+    return mask, np.concatenate([[0], np.cumsum(np.bincount(row[mask], minlength=len(n)))])
+
+
 def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: transitive closure of 100 |A n B| >= percent |A u B|."""
     parts = partitions(documents.sparkSession)
@@ -187,8 +210,8 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
 
     def describe(batches):
         for table, rows in with_tables(batches):
-            for c in chunks([rows], 5):
-                tokens, first = shingles(c.column(5), width)
+            for c in chunks([rows], 6):
+                tokens, first = shingles(c.column(6), width)
                 n = np.diff(first)
                 has = n > 0
 
@@ -198,27 +221,31 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
                         out[has] = f.reduceat(values, first[:-1][has])
                     return pa.array(out.astype(np.int64))
 
-                keep = survives(tokens, first, table, parts, percent)
+                lost = sampled(tokens)
+                lost[lost] = holders(tokens[lost], table, parts) == 0
+                keep = survives(lost, first, percent)
                 kept = np.where(keep, n, 0)
                 body = tokens[np.repeat(keep, n)].astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(body), mask=pa.array(~keep))
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(4), pa.array(n, pa.int64()), per(np.add, mix(tokens, 11)), per(np.add, mix(tokens, 12)), per(np.minimum, mix(tokens, 13)), per(np.minimum, mix(tokens, 14)), lists], names=[f for f, _ in fields]
+                    [c.column(5), pa.array(n, pa.int64()), per(np.add, mix(tokens, 11)), per(np.add, mix(tokens, 12)), per(np.minimum, mix(tokens, 13)), per(np.minimum, mix(tokens, 14)), lists], names=[f for f, _ in fields]
                 )
 
-    merged = after_answers(docs, found, parts).select("part", "kind", "bucket", "keys", "id", "text")
+    merged = after_answers(docs, found, parts).select("part", "kind", "bucket", "keys", "counts", "id", "text")
     known = staged(merged.mapInArrow(describe, "id long, n long, f1 long, f2 long, m0 long, m1 long, tokens array<long>"))
+    del found, merged
+    release(documents.sparkSession)
     meta = known.select("id", "n", "f1", "f2")
     classes = staged(meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
     alive = staged(known.where("tokens is not null and id is not null").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "m0", "m1", "tokens"))
 
     share = F.size(F.array_intersect("tokens", "other"))
     linked = share * 100 >= percent * (F.col("n") + F.col("n_other") - share)
-    others = alive.select(F.col("id").alias("pivot"), F.col("n").alias("n_other"), F.col("tokens").alias("other"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (id, pivot) that link."""
+        others = alive.select(F.col("id").alias("pivot"), F.col("n").alias("n_other"), F.col("tokens").alias("other"))
         return pairs.join(alive.select("id", "n", "tokens"), "id").join(others, "pivot").where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
 
     def labelled(edges: DataFrame) -> DataFrame:
@@ -230,12 +257,14 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
     pivots = alive.groupBy("m0").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m0", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
     edges = staged(verified(alive.select("id", "n", "m0").join(pivots, "m0").where(F.col("id") != F.col("pivot")).where(size_fits).select("id", "pivot")))
     comp = staged(labelled(edges))
+    release(documents.sparkSession)
     pivots = comp.groupBy("m1").agg(F.min(F.struct("comp", "id", "n")).alias("p"), F.max("comp").alias("top")).where("p.comp <> top").select("m1", F.col("p.comp").alias("c_p"), F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
     second = comp.join(pivots, "m1").where("comp <> c_p").where(size_fits).groupBy("comp", "c_p").agg(F.min(F.struct("id", "pivot")).alias("x")).select("x.id", "x.pivot")
     edges = edges.union(staged(verified(second)))
     comp = staged(labelled(edges))
+    release(documents.sparkSession)
 
-    placed = alive.select("id", "n", "tokens").join(comp.select("id", "comp"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    placed = alive.select("id", "n", "m0", "tokens").join(comp.select("id", "comp"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
 
     def lists(column):
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -247,41 +276,80 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
             if b.num_rows:
                 tokens, first = lists(b.column(1))
                 row = np.repeat(np.arange(b.num_rows), np.diff(first))
-                pick = sampled(tokens)
-                yield from out.add(spread(tokens[pick]), b.column(0).to_numpy()[row[pick]], b.column(2).to_numpy()[row[pick]])
+                yield from out.add(spread(tokens), b.column(0).to_numpy()[row], b.column(2).to_numpy()[row])
         yield from out.flush()
 
     def across(batches):
         for table, b in with_tables(batches):
-            tokens, first = lists(b.column(7))
-            keep = survives(tokens, first, table, parts, percent)
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in (b.column(4), b.column(5), b.column(6), b.column(7))], names=["id", "n", "comp", "tokens"])
+            tokens, first = lists(b.column(9))
+            held = holders(tokens, table, parts)
+            keep = survives(held == 0, first, percent)
+            mask, ends = rare_prefixes(tokens, first, held, percent)
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[mask].astype(np.int64)))
+            columns = [b.column(5), b.column(6), b.column(7), b.column(8), prefix, b.column(9)]
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in columns], names=["id", "n", "comp", "m0", "prefix", "tokens"])
 
     found = shared(placed.select("part", "tokens", "comp").mapInArrow(send_groups, "bucket int, keys binary, parts binary, labels binary"), parts)
-    merged = after_answers(placed, found, parts).select("part", "kind", "bucket", "keys", "id", "n", "comp", "tokens")
-    rest = staged(merged.mapInArrow(across, "id long, n long, comp long, tokens array<long>"))
-
-    cells = staged(rest.select("id", "n", "comp", F.explode("tokens").alias("token")))
-    matrix = cells.select("token", "comp").distinct()
-    width_of = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    merged = after_answers(placed, found, parts).select("part", "kind", "bucket", "keys", "counts", "id", "n", "comp", "m0", "tokens")
+    rest = staged(merged.mapInArrow(across, "id long, n long, comp long, m0 long, prefix array<long>, tokens array<long>"))
+    del found, merged
+    release(documents.sparkSession)
+
+    # groups of similar documents: one min-hash bucket each, large buckets dealt into parts of about GROUP documents
+    buckets = rest.groupBy("m0").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("k"))
+    dealt = rest.join(buckets, "m0").withColumn("group", F.xxhash64("m0", F.pmod(F.xxhash64("id"), F.col("k"))))
+    rest = staged(dealt.select("id", "n", "comp", "group", "prefix", "tokens"))
+    release(documents.sparkSession)
+    cells = staged(rest.select("id", "n", "comp", "group", F.explode("prefix").alias("token")))
+    matrix = cells.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    queries = cells.select("token", "id", "n", "comp")
+    fitting = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
+    open_yet = (F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))  # not all in the query's component already
+    met = queries.join(matrix, "token").where(fitting).where(open_yet).groupBy("id", "n", "group").agg(F.count(F.lit(1)).alias("met"))
+    # |query n union| <= matches in the prefix + tokens after it, which must reach needed(n)
     need = F.expr(f"(n * {percent} + 99) div 100")
-    common = cells.join(width_of, "token")
-    have = F.count(F.lit(1)).over(_by("id"))
-    place = F.row_number().over(_by("id").orderBy("groups", "token"))
-    prefix = common.withColumn("have", have).withColumn("place", place).where(F.col("place") <= F.col("have") - need + 1).select("token", "id", "n", "comp")
-    other = matrix.select("token", F.col("comp").alias("group"))
-    proposed = prefix.join(other, "token").where(F.col("group") != F.col("comp")).select("id", "group").distinct()
-    bounded = proposed.join(cells, "id").join(other, ["token", "group"]).groupBy("id", "n", "group").agg(F.count(F.lit(1)).alias("bound")).where(F.col("bound") >= need)
-    members = rest.select(F.col("comp").alias("group"), F.col("id").alias("pivot"), F.col("n").alias("n_p"))
-    opened = bounded.join(members, "group").where(size_fits).select(F.least("id", "pivot").alias("id"), F.greatest("id", "pivot").alias("pivot")).distinct()
-    comp = components(edges.union(staged(verified(opened)))).select(F.col("node").alias("rep"), "component")
+    bounded = met.where(F.col("met") + F.greatest(F.lit(0), need - SLACK) >= need).select("id", "group")
+    held = rest.groupBy("group").agg(F.collect_list(F.struct("id", "comp", "tokens")).alias("m"))  # about GROUP documents
+    opened = bounded.join(rest.select("id", "comp", "tokens"), "id").join(held.select("group", F.col("m.id").alias("ids"), F.col("m.comp").alias("comps"), F.col("m.tokens").alias("sets")), "group")
+
+    def verify(batches):
+        for b in batches:
+            out_a, out_b = [], []
+            for i in range(b.num_rows):
+                me, own = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                mine = np.sort(b.column(2)[i].values.to_numpy())
+                sets = b.column(5)[i].values
+                sizes = sets.value_lengths().to_numpy()
+                flat = sets.flatten().to_numpy()
+                common = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[member(flat, mine)], minlength=len(sizes))
+                ok = common * 100 >= percent * (len(mine) + sizes - common)
+                comps = b.column(4)[i].values.to_numpy()
+                ok &= comps != own
+                ids = b.column(3)[i].values.to_numpy()[ok]
+                first = np.unique(comps[ok], return_index=True)[1]  # one link joins two components
+                out_a += [me] * len(first)
+                out_b += ids[first].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    last = staged(opened.select("id", "comp", "tokens", "ids", "comps", "sets").mapInArrow(verify, "a long, b long"))
+    comp = components(edges.union(last)).select(F.col("node").alias("rep"), "component")
 
     named = classes.join(comp, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = meta.join(named, ["n", "f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out
 
 
-def _by(key: str):
-    from pyspark.sql import Window
 
-    return Window.partitionBy(key)
+def keep_one(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest doc_id of each group, all columns unchanged.
+
+    Rows that repeat both doc_id and text keep one. Documents without words form no group and stay, as do rows
+    with a null doc_id, which nothing can name.
+    """
+    groups = group_documents(documents, width, percent, id_col, text_col)
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    rows = documents.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    named = rows.where("_id is not null").join(kept, F.col("_id") == F.col("_kept"), "left_semi")
+    first = Window.partitionBy("_id", "_hash").orderBy("_hash")
+    one = named.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return one.select("_row.*").unionAll(documents.where(F.col(id_col).isNull()))

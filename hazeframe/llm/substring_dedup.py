@@ -44,7 +44,7 @@ def part_of(documents: DataFrame, id_col: str, parts: int) -> Column:
     counts = dict(documents.where(F.col(id_col).isNotNull()).groupBy(slot.alias("s")).count().collect())  # at most 65536 rows
     total = np.cumsum([0, *(counts.get(i, 0) for i in range(slices))])
     part = np.minimum(total[:-1] * parts // max(total[-1], 1), parts - 1)
-    return F.coalesce(F.element_at(F.lit([int(x) for x in part]), slot + 1), F.lit(0))
+    return F.when(F.col(id_col).isNull(), 0).otherwise(F.element_at(F.lit([int(x) for x in part]), F.coalesce(slot, F.lit(0)) + 1))
 
 
 class Scanned:

@@ -1,8 +1,8 @@
 """Content-addressed store of token ids.
 
-write_store() encodes documents, cuts every id stream where a rolling hash of its last 8 ids hits a mask (and
-after `longest` ids), stores each distinct chunk once under its BLAKE2b digest, and keeps one recipe per document:
-its chunk digests in order, its start in the corpus-wide stream and a Merkle root over the digests. Recipes lie
+write_store() encodes documents, cuts every id stream where a rolling sum over hashes of its last 8 ids falls
+below a bound (and after `longest` ids), stores each distinct chunk once under its BLAKE2b digest, and keeps one
+recipe per document: its chunk digests in order, its start in the corpus-wide stream and a Merkle root over the digests. Recipes lie
 sorted by doc_id in range-partitioned files. manifest.json-like facts (id width, end id) are columns of a one-row
 manifest table together with the Merkle root over all recipes' range roots.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bpe import codec
 from .common import chunks, partitions
 from .substring_dedup import part_of
-from .words import mix, span_hash
+from .words import mix
 
 DIGEST, ROLL = 16, 8
 
@@ -43,16 +43,22 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0] if leaves else digest(b"")
 
 
+@functools.lru_cache(1)
+def id_values() -> np.ndarray:
+    return mix(np.arange(1 << 16, dtype=np.uint64), 5).astype(np.uint32)
+
+
 def cuts(ids: np.ndarray, ends: np.ndarray, average: int, longest: int) -> np.ndarray:
     """Ends of chunks in ids, whose documents end at ends. Depends on a document's own ids only."""
     n = len(ids)
-    at = np.arange(ROLL - 1, n)
     cut = np.zeros(n + 1, bool)
-    if len(at):
-        h = mix(span_hash(mix(ids.astype(np.uint64), 5), at - ROLL + 1, at + 1, 0xB5297A4D3F84D5B5), 6)
+    if n >= ROLL:
+        total = np.zeros(n + 1, np.uint32)
+        np.cumsum(id_values()[ids & 0xFFFF] ^ (ids >> 16).astype(np.uint32), out=total[1:], dtype=np.uint32)
+        h = (total[ROLL:] - total[:-ROLL]) * np.uint32(0x9E3779B1)
+        hit = np.flatnonzero(h < np.uint32((1 << 32) // average)) + ROLL  # ends of windows
         starts = np.concatenate([[0], ends[:-1]])
-        own = at - starts[np.searchsorted(ends, at, side="right")] >= ROLL - 1
-        cut[at[own & (h % np.uint64(average) == 0)] + 1] = True
+        cut[hit[hit - starts[np.searchsorted(ends, hit, side="left")] >= ROLL]] = True
     cut[ends] = True
     cut[0] = False
     edge = np.flatnonzero(cut)
@@ -250,17 +256,16 @@ def checked(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame
     def combine(batches):
         for b in batches:
             out = []
-            for key, start, n_tokens, root, got in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got.sort(key=lambda x: x["seq"])
-                if [x["seq"] for x in got] != list(range(len(got))) or merkle([x["digest"] for x in got]) != root:
+            for key, start, n_tokens, root, seq, names, crcs, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if seq != list(range(len(seq))) or merkle(names) != root:
                     raise ValueError("a document does not match its recipe")
-                if sum(x["n"] for x in got) != n_tokens:
-                    raise ValueError("a document's chunks have other lengths")
-                out.append((key, start, n_tokens, joined_crc([x["crc"] for x in got], [x["n"] for x in got], longest)))
+                if None in sizes or sum(sizes) != n_tokens:
+                    raise ValueError("a document's chunks are missing or have other lengths")
+                out.append((key, start, n_tokens, joined_crc(crcs, sizes, longest)))
             if out:
                 cols = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [b.column(0).type, pa.int64(), pa.int64(), pa.int64()], strict=True)], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     facts_of = stored.mapInArrow(crc, "digest binary, crc long, n int")
-    got = _steps(recipes).join(facts_of, "digest", "left").groupBy("start").agg(F.collect_list(F.struct("seq", "digest", "crc", "n")).alias("got"))
-    return recipes.select("id", "start", "n_tokens", "root").join(got, "start", "left").select("id", "start", "n_tokens", "root", "got").mapInArrow(combine, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
+    got = _steps(recipes).join(facts_of, "digest", "left").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "crc", "n"))).alias("got"))
+    return recipes.select("id", "start", "n_tokens", "root").join(got, "start", "left").select("id", "start", "n_tokens", "root", "got.seq", "got.digest", "got.crc", "got.n").mapInArrow(combine, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
