@@ -11,7 +11,7 @@ Documents are sets of hashed word n-grams. Equal sets form a class, joined throu
 4. Token-group matrix over these. Similar documents (one min-hash bucket, at most about GROUP of it) form a group.
    Tokens are ranked by the number of components that hold them, rarest first. A query's first n - ceil(t n) + SLACK
    tokens are looked up in the groups' unions of such tokens; matches there plus the tokens after them bound the
-   query's overlap with any member. Groups whose bound reaches ceil(t n), and that are not all in the query's own
+   query's overlap with any member, and so do the tokens that query and members share with any other component. Groups whose bound reaches ceil(t n), and that are not all in the query's own
    component, are opened whole, as one row, and their members verified exactly.
 
 No step forms all pairs of a group, and no cap or sample decides a link. Empty texts and null texts have no tokens
@@ -286,26 +286,30 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
             keep = survives(held == 0, first, percent)
             mask, ends = rare_prefixes(tokens, first, held, percent)
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[mask].astype(np.int64)))
-            columns = [b.column(5), b.column(6), b.column(7), b.column(8), prefix, b.column(9)]
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in columns], names=["id", "n", "comp", "m0", "prefix", "tokens"])
+            seen = np.concatenate([[0], np.cumsum(held > 0)])
+            common = pa.array(seen[first[1:]] - seen[first[:-1]] + 1, pa.int64())  # one may be hidden, see shared()
+            columns = [b.column(5), b.column(6), b.column(7), b.column(8), common, prefix, b.column(9)]
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in columns], names=["id", "n", "comp", "m0", "common", "prefix", "tokens"])
 
     found = shared(placed.select("part", "tokens", "comp").mapInArrow(send_groups, "bucket int, keys binary, parts binary, labels binary"), parts)
     merged = after_answers(placed, found, parts).select("part", "kind", "bucket", "keys", "counts", "id", "n", "comp", "m0", "tokens")
-    rest = staged(merged.mapInArrow(across, "id long, n long, comp long, m0 long, prefix array<long>, tokens array<long>"))
+    rest = staged(merged.mapInArrow(across, "id long, n long, comp long, m0 long, common long, prefix array<long>, tokens array<long>"))
     del found, merged
     release(documents.sparkSession)
 
     # groups of similar documents: one min-hash bucket each, large buckets dealt into parts of about GROUP documents
     buckets = rest.groupBy("m0").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("k"))
     dealt = rest.join(buckets, "m0").withColumn("group", F.xxhash64("m0", F.pmod(F.xxhash64("id"), F.col("k"))))
-    rest = staged(dealt.select("id", "n", "comp", "group", "prefix", "tokens"))
+    rest = staged(dealt.select("id", "n", "comp", "group", "common", "prefix", "tokens"))
     release(documents.sparkSession)
-    cells = staged(rest.select("id", "n", "comp", "group", F.explode("prefix").alias("token")))
-    matrix = cells.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    queries = cells.select("token", "id", "n", "comp")
+    cells = staged(rest.select("id", "n", "comp", "group", "common", F.explode("prefix").alias("token")))
+    matrix = cells.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("common").alias("most"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    queries = cells.select("token", "id", "n", "comp", "common")
     fitting = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
+    # an overlap holds only tokens that both sides have in common with other components
+    able = F.least("common", "most") * (100 + percent) >= (F.col("n") + F.col("low")) * percent
     open_yet = (F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))  # not all in the query's component already
-    met = queries.join(matrix, "token").where(fitting).where(open_yet).groupBy("id", "n", "group").agg(F.count(F.lit(1)).alias("met"))
+    met = queries.join(matrix, "token").where(fitting & able & open_yet).groupBy("id", "n", "group").agg(F.count(F.lit(1)).alias("met"))
     # |query n union| <= matches in the prefix + tokens after it, which must reach needed(n)
     need = F.expr(f"(n * {percent} + 99) div 100")
     bounded = met.where(F.col("met") + F.greatest(F.lit(0), need - SLACK) >= need).select("id", "group")
