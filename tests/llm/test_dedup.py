@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazeframe.llm import decontaminate, embedding_dedup, jaccard_join, sharding, substring_dedup
+from hazeframe.llm import common, decontaminate, embedding_dedup, jaccard_join, sharding, substring_dedup
 
 
 def sha(words):
@@ -116,6 +116,17 @@ def test_groups_match_brute_force(spark, documents, odd, width, percent):
         assert got == sorted(plain_groups(rows, width, percent), key=str)
 
 
+def test_components_of_long_paths(spark):
+    n = 1000
+    bad = [0, *range(n - 1, 0, -1)]
+    mixed = list(range(n, 2 * n))
+    random.Random(8).shuffle(mixed)
+    edges = [*zip(bad, bad[1:]), *zip(mixed, mixed[1:]), *((2 * n, 2 * n + i) for i in range(2, 40)), *((3 * n, 2 * n + 50 + i) for i in range(40)), (5000, 5000), (6001, 6000), (6000, 6001)]
+    got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    want = {x: 0 for x in bad} | {x: n for x in mixed} | {x: 2 * n for x in (2 * n, *range(2 * n + 2, 2 * n + 40))}
+    assert got == want | {x: 2 * n + 50 for x in (3 * n, *range(2 * n + 50, 2 * n + 90))} | {6000: 6000, 6001: 6000}
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "other words stand here now"), (2, "other words stand here now"), (4, None), (None, "a b c d e f g")]
     got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
