@@ -5,14 +5,20 @@ Vectors are compared inside one label and one dimension by cosine in double prec
 1. Start: a few times, nodes are sorted by label, sign code and value of random projections and compared with the
    nodes beside them, in overlapping blocks; each node keeps its `k` best neighbours.
 2. Descent: in each round a node's bag (its neighbours and those that list it) is compared within itself, which joins
-   neighbours of neighbours; new best neighbours replace old ones. Rounds end when few lists change.
+   neighbours of neighbours; new best neighbours replace old ones. Rounds go on until few lists change.
 3. Links at or above the threshold give groups. Lists that are full of links are saturated: such nodes may have more
    links than places, so their group is opened as the enlarged list. From the group's mean direction, angles a and b
    with a + b below the threshold's angle prove a link without comparing the pair; the pairs left over (outer nodes
    against the group, in blocks) are compared exactly. Links are counted, not listed, so a group of m near copies
    costs m rows and not m * m.
-4. Audit: group means descend once more among themselves, so groups that the graph left apart are found, opened
-   against each other and joined. recall() compares a stated query set with all rows by brute force.
+4. Audit: group means and the vectors without a link descend once more among themselves, from other projections, so
+   those that the graph left apart are found, opened against each other and joined. Where a list is full and its last
+   neighbour still lies inside the angle bound, the list is replaced by all others of the label in bound, in blocks.
+5. Some PROBES vectors are compared with all rows. While the mean share of their links that was found is below the
+   target, 1 to 4 run again with twice the places and projections; in the last run, past BLOCK places, every list is
+   replaced as in 4, which is exact and grows with the square of a label.
+
+recall() compares a stated query set with all rows by brute force.
 
 Null labels, null vectors, zero vectors and vectors with null or non-finite components link with nothing and are
 their own component. Rows that repeat a vec_id count as other rows with the same vector do. An empty table gives no
@@ -34,6 +40,7 @@ from .common import components, partitions, staged
 
 EDGE = "u long, v long, s double"
 NODE = "id long, grp long, vec array<double>"
+BLOCK, PROBES = 192, 1000
 
 
 def matrix(column) -> np.ndarray:
@@ -59,7 +66,7 @@ def best_edges(ids: np.ndarray, grp: np.ndarray, x: np.ndarray, k: int) -> tuple
     return np.repeat(ids, k)[good.ravel()], ids[top].ravel()[good.ravel()], s[good]
 
 
-def start(nodes: DataFrame, k: int, tables: int, bits: int = 6, block: int = 192) -> DataFrame:
+def start(nodes: DataFrame, k: int, tables: int, seed: int = 0, bits: int = 6, block: int = BLOCK) -> DataFrame:
     """Edges between nodes that random projections sort side by side."""
     parts = partitions(nodes.sparkSession)
 
@@ -92,7 +99,7 @@ def start(nodes: DataFrame, k: int, tables: int, bits: int = 6, block: int = 192
             yield edges_batch(*best_edges(ids, grp, x, k))
 
     out = None
-    for t in range(tables):
+    for t in range(seed, seed + tables):
         coded = nodes.mapInArrow(code_of(t), NODE + ", code int, place double")
         order = ["grp", "code", "place", "id"]
         found = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "grp", "vec").mapInArrow(compare, EDGE)
@@ -148,18 +155,92 @@ def descend(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return staged(top(edges.unionAll(found), "u", "v", k))
 
 
-def graph(nodes: DataFrame, k: int, tables: int, rounds: int, settle: float = 0.01) -> DataFrame:
-    edges = staged(top(start(nodes, k, tables), "u", "v", k))
+def graph(nodes: DataFrame, k: int, tables: int, rounds: int | None = None, seed: int = 0, known: DataFrame | None = None, settle: float = 0.01) -> DataFrame:
+    """The k best edges found of each node, from the start and from known edges; rounds None: until settled."""
+    first = start(nodes, k, tables, seed)
+    edges = staged(top(first if known is None else first.unionByName(known), "u", "v", k))
     n = edges.count()
-    for _ in range(rounds):
+    while rounds is None or rounds > 0:
         new = descend(nodes, edges, k)
         fresh = new.join(edges.select("u", "v"), ["u", "v"], "left_anti").count()
         edges = new
         if fresh <= settle * n:
             break
+        rounds = None if rounds is None else rounds - 1
     return edges
 
 
+def in_bound(full: DataFrame, centres: DataFrame, angle: float, block: int = 256) -> DataFrame:
+    """(u, v) of each full(u) with all other centres(id, grp, vec, radius) of its grp in the angle bound, in blocks."""
+    sizes = centres.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = centres.join(sizes, "grp").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = dealt.join(full.select(F.col("u").alias("id")), "id", "left_semi")
+    asked = left.select("grp", F.col("blk").alias("a")).distinct()
+    left = left.select("grp", F.col("blk").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("side"), "id", "vec", "radius")
+    right = dealt.join(asked, "grp").select("grp", "a", F.col("blk").alias("b"), F.lit(1).alias("side"), "id", "vec", "radius")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "v": []})
+        apart = np.arccos(np.clip(np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T, -1, 1))
+        i, j = np.nonzero(apart <= angle + a["radius"].to_numpy()[:, None] + b["radius"].to_numpy()[None, :] + 1e-9)
+        u, v = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
+        return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
+
+    return left.unionByName(right).groupBy("grp", "a", "b").applyInPandas(compare, "u long, v long")
+
+
+def brute(nodes: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """u, want: links of the queries(id, grp, vec), a bounded number, with all nodes(id, grp, vec, k)."""
+    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    rows = queries.select("id", "grp", "vec").collect()
+    for key in {(r["grp"], len(r["vec"])) for r in rows}:
+        own = [r for r in rows if (r["grp"], len(r["vec"])) == key]
+        held[key] = np.array([r["id"] for r in own]), np.array([r["vec"] for r in own])
+
+    def count(batches):
+        n: dict[int, int] = {}
+        for b in batches:
+            for part in by_width(b, 2):
+                i, g, x, k = part.column(0).to_numpy(), part.column(1).to_numpy(), matrix(part.column(2)), part.column(3).to_numpy()
+                for grp in np.unique(g).tolist():
+                    if (grp, x.shape[1]) in held:
+                        ids, q = held[grp, x.shape[1]]
+                        of = g == grp
+                        hit = (q @ x[of].T >= threshold) & (ids[:, None] != i[of][None, :])
+                        for u, more in zip(ids.tolist(), (hit @ k[of]).tolist(), strict=True):
+                            n[u] = n.get(u, 0) + more
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["u", "n"])
+
+    return nodes.select("id", "grp", "vec", "k").mapInArrow(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("want"))
+
+
+def share_found(true: DataFrame, found: DataFrame) -> float:
+    """Mean share of true(u, want) links in found(u, n), over the queries that have one; 1 without any."""
+    both = true.where("want > 0").join(found, "u", "left")
+    share = both.agg(F.avg(F.coalesce("n", F.lit(0)) / F.col("want"))).first()[0]
+    return 1.0 if share is None else share
+
+
+def recall(embeddings: DataFrame, found: DataFrame, threshold: float = 0.93, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> float:
+    """Mean share of links in found, the result of near_duplicates, for distinct vectors with vec_id % every = 0.
+
+    Each is compared with all rows, PROBES at a time, so the work grows with the square of the table.
+    """
+    nodes = prepared(embeddings, id_col, vec_col, label_col)[-1]
+    asked = nodes.where(F.pmod("id", F.lit(every)) == 0)
+    passes = -(-asked.count() // PROBES)
+    true = None
+    for p in range(passes):
+        some = brute(nodes, asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p), threshold)
+        true = some if true is None else true.unionAll(some)
+    if true is None:
+        return 1.0
+    n = found.groupBy(F.col(id_col).alias("u")).agg(F.first("n_links").alias("n")).join(nodes.select(F.col("id").alias("u"), "k"), "u")
+    return share_found(true, n.select("u", (F.col("n") - F.col("k") + 1).alias("n")))
+
+
 def means(members: DataFrame, key: str) -> DataFrame:
     """key, grp, vec: mean directions, summed first inside tasks."""
 
@@ -207,10 +288,8 @@ def count_links(members: DataFrame, pairs: DataFrame, threshold: float, block: i
     return left.unionByName(right).groupBy("comp", "other", "blk", "blk2").applyInPandas(compare, "u long, v long, n long")
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, k: int = 10, tables: int = 6, rounds: int = 4, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept."""
-    if not 0 < threshold < 1:
-        raise ValueError("threshold must lie between 0 and 1")
+def prepared(embeddings: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, ...]:
+    """Marked rows, the usable ones, their classes of equal vectors, and the classes as nodes(id, grp, vec, k)."""
     raw = embeddings.select(F.col(id_col).cast("long").alias("vid"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     top_abs = F.aggregate("x", F.lit(0.0), lambda acc, v: F.greatest(acc, F.abs(v)))
@@ -228,28 +307,52 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, k: int = 10,
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float64())), part.column(3)], names=["id", "grp", "vec", "k"])
 
     nodes = staged(same.select("id", F.xxhash64("label", F.size("x")).alias("grp"), "x", "k").mapInArrow(unit, NODE + ", k long"))
+    return marked, good, same, nodes
+
+
+def linked(nodes: DataFrame, known: DataFrame | None, threshold: float, k: int, tables: int, rounds: int | None, exact: bool) -> tuple[DataFrame, ...]:
+    """Steps 1 to 4: n_links(u, n), comp(node, component) and the linking edges(a, b), known ones among them."""
     plain = nodes.select("id", "grp", "vec")
-    edges = graph(plain, k, tables, rounds).where(F.col("s") >= threshold)
-    links = staged(edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    near = graph(plain, k, tables, rounds)
+    links = near.where(F.col("s") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    links = staged((links if known is None else links.unionByName(known)).distinct())
     comp = components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
     members = staged(nodes.join(comp, "id").select("id", "grp", "vec", "k", "comp"))  # nodes with a link
-
-    # audit: groups that the graph left apart, through their mean directions
-    centres = staged(means(members, "comp"))
-    far = staged(members.join(centres.select(F.col("id").alias("comp"), F.col("vec").alias("mid")), "comp").select("id", "grp", "vec", "k", "comp", F.least(F.lit(1.0), F.aggregate(F.zip_with("vec", "mid", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)).alias("cosine")))
-    reach = far.groupBy("comp").agg(F.max(F.acos("cosine")).alias("radius"))
+    alone = staged(nodes.join(comp, "id", "left_anti").select("id", "grp", "vec", "k", F.col("id").alias("comp")))
+
+    # audit: groups and single vectors that the graph left apart, groups through their mean directions
+    mid = staged(means(members, "comp"))
+    centres = staged(mid.unionByName(alone.select("id", "grp", "vec")))
+    inside = members.join(mid.select(F.col("id").alias("comp"), F.col("vec").alias("mid")), "comp").select("id", "grp", "vec", "k", "comp", F.least(F.lit(1.0), F.aggregate(F.zip_with("vec", "mid", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)).alias("cosine"))
+    far = staged(inside.unionByName(alone.withColumn("cosine", F.lit(1.0))))
+    reach = staged(far.groupBy("comp").agg(F.max(F.acos("cosine")).alias("radius")))
     angle = math.acos(threshold)
-    beside = staged(graph(centres, k, tables, 2))
-    pairs = (
+    single = [alone.select(F.col("id").alias(c)) for c in ("u", "v")]
+    beside = near.join(single[0], "u", "left_semi").join(single[1], "v", "left_semi").select("u", "v", "s")
+    beside = staged(graph(centres, k, tables, rounds, tables, beside))
+    placed = staged(centres.join(reach.withColumnRenamed("comp", "id"), "id").select("id", "grp", "vec", "radius"))
+    widest = placed.groupBy("grp").agg(F.max("radius").alias("most"))
+    full = placed.join(widest, "grp").select(F.col("id").alias("u"), (angle + F.col("radius") + F.col("most")).alias("bound"))
+    if not exact:
+        last = beside.groupBy("u").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        full = last.join(full, "u").where(F.acos(F.greatest(F.lit(-1.0), F.least(F.col("s"), F.lit(1.0)))) <= F.col("bound"))
+    full = staged(full.select("u"))
+    met = (
         beside.join(reach.select(F.col("comp").alias("u"), F.col("radius").alias("ru")), "u")
         .join(reach.select(F.col("comp").alias("v"), F.col("radius").alias("rv")), "v")
         .where(F.acos(F.least(F.col("s"), F.lit(1.0))) <= angle + F.col("ru") + F.col("rv"))
-        .select(F.explode(F.array(F.struct(F.col("u").alias("comp"), F.col("v").alias("other")), F.struct(F.col("v").alias("comp"), F.col("u").alias("other")))).alias("p"))
+        .select("u", "v")
+    )
+    if full.limit(1).count():
+        met = met.unionByName(in_bound(full, placed, angle))
+    pairs = (
+        met.select(F.explode(F.array(F.struct(F.col("u").alias("comp"), F.col("v").alias("other")), F.struct(F.col("v").alias("comp"), F.col("u").alias("other")))).alias("p"))
         .select("p.comp", "p.other")
         .distinct()
     )
     between = staged(count_links(far.withColumn("is_query", F.lit(True)), staged(pairs), threshold))
-    comp = components(links.unionAll(between.where("v >= 0").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))))
+    links = staged(links.unionAll(between.where("v >= 0").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct())
+    comp = components(links)
 
     # links inside a group: proved by angles for inner nodes, compared for outer ones
     angles = far.join(reach, "comp").withColumn("theta", F.acos("cosine"))
@@ -258,11 +361,27 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, k: int = 10,
     sure = angles.where(inner).join(total, "comp").select(F.col("id").alias("u"), (F.col("all") - F.col("k")).alias("n"))
     query = angles.select("id", "grp", "vec", "k", "comp", (~inner).alias("is_query"))
     open_comps = query.where("is_query").select("comp", F.col("comp").alias("other")).distinct()
-    exact = count_links(query.join(open_comps.select("comp"), "comp", "left_semi"), staged(open_comps), threshold)
-    n_links = sure.unionAll(exact.select("u", "n")).unionAll(between.select("u", "n")).groupBy("u").agg(F.sum("n").alias("n"))
+    outer = count_links(query.join(open_comps.select("comp"), "comp", "left_semi"), staged(open_comps), threshold)
+    n_links = staged(sure.unionAll(outer.select("u", "n")).unionAll(between.select("u", "n")).groupBy("u").agg(F.sum("n").alias("n")))
+    return n_links, comp, links
+
+
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, k: int = 10, tables: int = 6, rounds: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", target: float = 0.99) -> DataFrame:
+    """vec_id, n_links, component_id, kept. k and tables are those of the first run; target is the probes' recall."""
+    if not 0 < threshold < 1:
+        raise ValueError("threshold must lie between 0 and 1")
+    marked, good, same, nodes = prepared(embeddings, id_col, vec_col, label_col)
+    every = max(1, nodes.count() // PROBES)
+    probes = staged(brute(nodes, nodes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), threshold))
+    links = None
+    while True:
+        n_links, comp, links = linked(nodes, links, threshold, k, tables, rounds, exact=k > BLOCK)
+        if k > BLOCK or share_found(probes, n_links) >= target:
+            break
+        k, tables = 2 * k, 2 * tables
 
     classes = same.select(F.col("id"), "k", "label", "x").join(n_links.withColumnRenamed("u", "id"), "id", "left").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     named = classes.select("label", "x", (F.col("k") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = good.join(named, ["label", "x"]).select("vid", "n_links", "component_id")
+    joined = good.join(named, ["label", "x"]).select("vid", "n_links", "component_id")
     alone = marked.where("not ok").select("vid", F.lit(0).cast("long").alias("n_links"), F.col("vid").alias("component_id"))
-    return linked.unionAll(alone).select(F.col("vid").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vid") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return joined.unionAll(alone).select(F.col("vid").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vid") == F.col("component_id"), F.lit(True)).alias("kept"))

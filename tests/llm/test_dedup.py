@@ -259,6 +259,17 @@ def test_embeddings_match_brute_force(spark):
     assert sum(got[k][1] == v[1] for k, v in want.items()) >= 0.95 * len(want)
 
 
+def test_vectors_that_the_graph_missed_are_found(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((350, 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, x + rng.standard_normal(x.shape) * 0.25]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = embedding_dedup.near_duplicates(df, k=128, tables=1, rounds=0, target=1.0).localCheckpoint()
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == plain_links(rows)
+    assert embedding_dedup.recall(df, found) == 1.0
+    assert embedding_dedup.recall(df, found.withColumn("n_links", F.lit(0)), every=1) == 0.0
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.remove_repeats(docs).collect() == []
