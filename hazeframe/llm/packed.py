@@ -80,9 +80,9 @@ def answers(sent: DataFrame, buckets: int, width: str, earlier: bool) -> DataFra
             order = np.argsort(parts, kind="stable")
             keys, parts = keys[order], parts[order]
             cut = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, int)
-            to = [int(parts[i]) for i in cut]
-            packed = [keys[s:e].tobytes() for s, e in zip(cut, [*cut[1:], len(keys)], strict=True)]
-            if to:
+            if len(cut):
+                to = [int(parts[i]) for i in cut]
+                packed = [keys[s:e].tobytes() for s, e in zip(cut, [*cut[1:], len(keys)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([b] * len(to), pa.int32()), pa.array(packed, pa.binary())], names=["part", "bucket", "keys"])
 
     assert size in (4, 8)

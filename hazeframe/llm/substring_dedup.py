@@ -18,11 +18,13 @@ The result has one row per input row, and other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, partitions, staged
@@ -33,18 +35,19 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 LOWEST = -(1 << 63)
 
 
-def part_of(documents: DataFrame, id_col: str, parts: int) -> Column:
-    """Range of doc_id, balanced by row counts over at most 65536 equal slices of the ids' span."""
-    slices = min(65536, 64 * parts)
-    low, high = documents.agg(F.min(id_col), F.max(id_col)).first()
-    if low is None or high == low:
-        return F.lit(0)
-    width = (high - low) // slices + 1
-    slot = F.floor((F.col(id_col).cast("long") - F.lit(low)) / F.lit(width)).cast("int")
-    counts = dict(documents.where(F.col(id_col).isNotNull()).groupBy(slot.alias("s")).count().collect())  # at most 65536 rows
-    total = np.cumsum([0, *(counts.get(i, 0) for i in range(slices))])
-    part = np.minimum(total[:-1] * parts // max(total[-1], 1), parts - 1)
-    return F.when(F.col(id_col).isNull(), 0).otherwise(F.element_at(F.lit([int(x) for x in part]), F.coalesce(slot, F.lit(0)) + 1))
+def with_part(rows: DataFrame, id_col: str, parts: int) -> DataFrame:
+    """rows with a column part: ranges of the id by approximate quantiles, so outliers and uneven ids cost no balance.
+
+    At most `parts` edges reach the driver. Null ids are part 0. A part grows beyond its share only where one id, or
+    neighbours above 2^53 that a double cannot tell apart, hold that many rows.
+    """
+    place = rows.select(F.col(id_col).cast("double").alias("place"))
+    edges = sorted(set(place.stat.approxQuantile("place", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    if not edges:
+        return rows.withColumn("part", F.lit(0))
+    cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_place", outputCol="_part", handleInvalid="keep")
+    placed = cut.transform(rows.withColumn("_place", F.col(id_col).cast("double")))
+    return placed.withColumn("part", F.when(F.col("_place").isNull(), 0).otherwise(F.col("_part").cast("int"))).drop("_place", "_part")
 
 
 class Scanned:
@@ -87,7 +90,7 @@ def remove_repeats(documents: DataFrame, length: int = 20, id_col: str = "doc_id
     spark = documents.sparkSession
     parts = partitions(spark)
     kind = dict(documents.dtypes)[id_col]
-    docs = documents.select(part_of(documents, id_col, parts).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = with_part(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", parts).select("part", "id", "text")
 
     def send_anchors(batches):
         out = Sender(parts, "<u4")

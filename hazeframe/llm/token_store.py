@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bpe import codec
 from .common import chunks, partitions
-from .substring_dedup import part_of
+from .substring_dedup import with_part
 from .words import mix
 
 DIGEST, ROLL = 16, 8
@@ -192,7 +192,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2
             root = [merkle([x[i : i + DIGEST] for i in range(0, len(x), DIGEST)]) for x in d]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(root, pa.binary()), b.column(1), b.column(2)], names=["id", "n_tokens", "root", "digests", "lengths"])
 
-    recipes = plain.mapInArrow(rooted, f"id {kind}, n_tokens long, root binary, digests binary, lengths binary").withColumn("part", part_of(plain, "id", buckets))
+    recipes = with_part(plain.mapInArrow(rooted, f"id {kind}, n_tokens long, root binary, digests binary, lengths binary"), "id", buckets)
     sums = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

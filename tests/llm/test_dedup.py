@@ -277,3 +277,12 @@ def test_empty(spark):
     assert decontaminate.find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
     assert sharding.shard_documents(docs, [1.0] * 3).collect() == []
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_removal_without_repeats_and_with_outlier_ids(spark):
+    rows = [(i if i else 1 << 60, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_removal(df)
+    check_removal(df.unionAll(df.where("doc_id < 5").selectExpr("doc_id + 1000", "text")))
+    sizes = [r["count"] for r in substring_dedup.with_part(df, "doc_id", 4).groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 15
