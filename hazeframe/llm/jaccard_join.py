@@ -8,13 +8,15 @@ Documents are sets of hashed word n-grams. Equal sets form a class, joined throu
 2. Components so far: the remaining class representatives are verified against the representative of their min-hash
    bucket, in two rounds, and joined transitively.
 3. Singles again, between components: only documents with enough tokens that also occur in another one go on.
-4. Token-group matrix over these. Similar documents (one min-hash bucket, at most about GROUP of it) form a group.
-   Tokens are ranked by the number of components that hold them, rarest first. A query's first n - ceil(t n) + SLACK
-   tokens are looked up in the groups' unions of such tokens; matches there plus the tokens after them bound the
-   query's overlap with any member, and so do the tokens that query and members share with any other component. Groups whose bound reaches ceil(t n), and that are not all in the query's own
-   component, are opened whole, as one row, and their members verified exactly.
-
-No step forms all pairs of a group, and no cap or sample decides a link. Empty texts and null texts have no tokens
+4. Token-group matrix over these. Similar documents (one min-hash bucket, nearly one size and one share of tokens in
+   common with other components, at most about GROUP of them) form a group. Tokens are ranked by the number of
+   components that hold them, rarest first. A query's first n - ceil(t n) + SLACK tokens are looked up in the groups'
+   unions of such tokens; matches there plus the tokens after them bound the query's overlap with any member, and so do
+   the tokens that query and members share with any other component. Groups whose bound reaches ceil(t n), and that
+   hold a smaller component than the query's, are opened whole, as one row, and their members verified exactly.
+
+No cap or sample decides a link. Copies that link cost rows in proportion to their number; of documents that share
+nearly all tokens and yet stay below the threshold, those that no bound tells apart are compared group by group. Empty texts and null texts have no tokens
 and link with nothing. Rows that repeat a doc_id keep one row each. A null doc_id joins the class of its text but
 never names a component unless it is alone. Other columns of the input are ignored.
 """
@@ -31,7 +33,7 @@ from .packed import bucket_of, member
 from .words import LOWER, Words, mix, span_hash
 
 SHARE = 3  # of the hash space, one in SHARE is sampled for singles
-GROUP = 32  # documents in a group, about
+GROUP, WEIGHT = 32, 100_000  # documents and tokens in a group, about
 SLACK = 4  # matches that a link must have in two prefixes of n - needed + SLACK tokens
 
 
@@ -297,18 +299,21 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
     del found, merged
     release(documents.sparkSession)
 
-    # groups of similar documents: one min-hash bucket each, large buckets dealt into parts of about GROUP documents
-    buckets = rest.groupBy("m0").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("k"))
-    dealt = rest.join(buckets, "m0").withColumn("group", F.xxhash64("m0", F.pmod(F.xxhash64("id"), F.col("k"))))
+    # Groups of similar documents: one min-hash bucket, size class and share of tokens in common with others, so that
+    # the bounds below hold for all members alike; large ones are dealt into parts of about GROUP documents or WEIGHT tokens.
+    missing = F.floor((F.col("n") - F.col("common")) * 100 / F.col("n"))
+    kin = rest.withColumn("kin", F.xxhash64("m0", missing, F.floor(F.log2("n") * 8)))
+    buckets = kin.groupBy("kin").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / WEIGHT)).alias("k"))
+    dealt = kin.join(buckets, "kin").withColumn("group", F.xxhash64("kin", F.pmod(F.xxhash64("id"), F.col("k"))))
     rest = staged(dealt.select("id", "n", "comp", "group", "common", "prefix", "tokens"))
     release(documents.sparkSession)
     cells = staged(rest.select("id", "n", "comp", "group", "common", F.explode("prefix").alias("token")))
-    matrix = cells.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("common").alias("most"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    matrix = cells.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("common").alias("most"), F.min("comp").alias("c0"))
     queries = cells.select("token", "id", "n", "comp", "common")
     fitting = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
     # an overlap holds only tokens that both sides have in common with other components
     able = F.least("common", "most") * (100 + percent) >= (F.col("n") + F.col("low")) * percent
-    open_yet = (F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))  # not all in the query's component already
+    open_yet = F.col("c0") < F.col("comp")  # of two components the one with the larger id asks
     met = queries.join(matrix, "token").where(fitting & able & open_yet).groupBy("id", "n", "group").agg(F.count(F.lit(1)).alias("met"))
     # |query n union| <= matches in the prefix + tokens after it, which must reach needed(n)
     need = F.expr(f"(n * {percent} + 99) div 100")
@@ -328,7 +333,7 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
                 common = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[member(flat, mine)], minlength=len(sizes))
                 ok = common * 100 >= percent * (len(mine) + sizes - common)
                 comps = b.column(4)[i].values.to_numpy()
-                ok &= comps != own
+                ok &= comps < own
                 ids = b.column(3)[i].values.to_numpy()[ok]
                 first = np.unique(comps[ok], return_index=True)[1]  # one link joins two components
                 out_a += [me] * len(first)
