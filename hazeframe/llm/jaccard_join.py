@@ -180,16 +180,15 @@ def survives(unshared: np.ndarray, first: np.ndarray, percent: int) -> np.ndarra
     return (n > 0) & (count[first[1:]] - count[first[:-1]] <= n - needed(n, percent) + 1)
 
 
-def rare_prefixes(tokens: np.ndarray, first: np.ndarray, held: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of each row's first n - needed + SLACK tokens by (groups that hold it, token), shared ones only; row ends."""
+def rare_prefixes(tokens: np.ndarray, first: np.ndarray, held: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's tokens by (labels that hold it, token): mask of its first n - needed + SLACK ones, without those
+    that no other label holds; row ends of the masked ones; the place of every token in that order."""
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((tokens, held, row))
-    place = np.arange(len(tokens)) - first[:-1][row]
-    mask = np.zeros(len(tokens), bool)
-    mask[order] = place < (n - needed(n, percent) + SLACK)[row]
-    mask &= held > 0
-    return mask, np.concatenate([[0], np.cumsum(np.bincount(row[mask], minlength=len(n)))])
+    place = np.zeros(len(tokens), np.int64)
+    place[np.lexsort((tokens, held, row))] = np.arange(len(tokens)) - first[:-1][row]
+    mask = (place < (n - needed(n, percent) + SLACK)[row]) & (held > 0)
+    return mask, np.concatenate([[0], np.cumsum(np.bincount(row[mask], minlength=len(n)))]), place
 
 
 def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +207,7 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
         yield from out.flush()
 
     found = shared(docs.select("part", "text").mapInArrow(send, "bucket int, keys binary, parts binary, labels binary"), parts)
-    fields = [("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("m0", pa.int64()), ("m1", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+    fields = [("id", pa.int64()), ("n", pa.int64()), ("lost", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("m0", pa.int64()), ("m1", pa.int64()), ("tokens", pa.list_(pa.int64()))]
 
     def describe(batches):
         for table, rows in with_tables(batches):
@@ -226,21 +225,23 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
                 lost = sampled(tokens)
                 lost[lost] = holders(tokens[lost], table, parts) == 0
                 keep = survives(lost, first, percent)
+                gone = np.concatenate([[0], np.cumsum(lost)])
+                gone = gone[first[1:]] - gone[first[:-1]]
                 kept = np.where(keep, n, 0)
                 body = tokens[np.repeat(keep, n)].astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(body), mask=pa.array(~keep))
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(5), pa.array(n, pa.int64()), per(np.add, mix(tokens, 11)), per(np.add, mix(tokens, 12)), per(np.minimum, mix(tokens, 13)), per(np.minimum, mix(tokens, 14)), lists], names=[f for f, _ in fields]
+                    [c.column(5), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), per(np.add, mix(tokens, 11)), per(np.add, mix(tokens, 12)), per(np.minimum, mix(tokens, 13)), per(np.minimum, mix(tokens, 14)), lists], names=[f for f, _ in fields]
                 )
 
     merged = after_answers(docs, found, parts).select("part", "kind", "bucket", "keys", "counts", "id", "text")
-    known = staged(merged.mapInArrow(describe, "id long, n long, f1 long, f2 long, m0 long, m1 long, tokens array<long>"))
+    known = staged(merged.mapInArrow(describe, "id long, n long, lost long, f1 long, f2 long, m0 long, m1 long, tokens array<long>"))
     del found, merged
     release(documents.sparkSession)
     meta = known.select("id", "n", "f1", "f2")
     classes = staged(meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
-    alive = staged(known.where("tokens is not null and id is not null").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "m0", "m1", "tokens"))
+    alive = staged(known.where("tokens is not null and id is not null").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", (F.col("lost") / F.col("n")).alias("odd"), "m0", "m1", "tokens"))
 
     share = F.size(F.array_intersect("tokens", "other"))
     linked = share * 100 >= percent * (F.col("n") + F.col("n_other") - share)
@@ -252,19 +253,22 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
 
     def labelled(edges: DataFrame) -> DataFrame:
         comp = components(edges)
-        ids = alive.select("id", "n", "m1")
-        return ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "m1", F.coalesce("component", "id").alias("comp"))
+        ids = alive.select("id", "n", "odd", "m0", "m1")
+        return ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "odd", "m0", "m1", F.coalesce("component", "id").alias("comp"))
 
+    # a pivot has the fewest odd tokens of its bucket: of copies of one text it is the one most like all others
     size_fits = (F.col("n") * 100 >= F.col("n_p") * percent) & (F.col("n_p") * 100 >= F.col("n") * percent)
-    pivots = alive.groupBy("m0").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m0", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
-    edges = staged(verified(alive.select("id", "n", "m0").join(pivots, "m0").where(F.col("id") != F.col("pivot")).where(size_fits).select("id", "pivot")))
-    comp = staged(labelled(edges))
-    release(documents.sparkSession)
-    pivots = comp.groupBy("m1").agg(F.min(F.struct("comp", "id", "n")).alias("p"), F.max("comp").alias("top")).where("p.comp <> top").select("m1", F.col("p.comp").alias("c_p"), F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
-    second = comp.join(pivots, "m1").where("comp <> c_p").where(size_fits).groupBy("comp", "c_p").agg(F.min(F.struct("id", "pivot")).alias("x")).select("x.id", "x.pivot")
-    edges = edges.union(staged(verified(second)))
+    classed = alive.select("id", "n", "odd", "m0", F.floor(F.log2("n") * 4).alias("wide"))
+    pivots = classed.groupBy("m0", "wide").agg(F.min(F.struct("odd", "id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m0", "wide", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
+    edges = staged(verified(classed.join(pivots, ["m0", "wide"]).where(F.col("id") != F.col("pivot")).where(size_fits).select("id", "pivot")))
     comp = staged(labelled(edges))
     release(documents.sparkSession)
+    for by in ("m1", "m0"):
+        pivots = comp.groupBy(by).agg(F.min(F.struct("odd", "id", "n", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select(by, F.col("p.comp").alias("c_p"), F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
+        second = comp.join(pivots, by).where("comp <> c_p").where(size_fits).groupBy("comp", "c_p").agg(F.min(F.struct("odd", "id", "pivot")).alias("x")).select("x.id", "x.pivot")
+        edges = edges.union(staged(verified(second)))
+        comp = staged(labelled(edges))
+        release(documents.sparkSession)
 
     placed = alive.select("id", "n", "m0", "tokens").join(comp.select("id", "comp"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
 
@@ -286,38 +290,41 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
             tokens, first = lists(b.column(9))
             held = holders(tokens, table, parts)
             keep = survives(held == 0, first, percent)
-            mask, ends = rare_prefixes(tokens, first, held, percent)
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[mask].astype(np.int64)))
+            mask, ends, place = rare_prefixes(tokens, first, held, percent)
+            prefix = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[mask].astype(np.int64))) for x in (tokens, place)]
             seen = np.concatenate([[0], np.cumsum(held > 0)])
             common = pa.array(seen[first[1:]] - seen[first[:-1]] + 1, pa.int64())  # one may be hidden, see shared()
-            columns = [b.column(5), b.column(6), b.column(7), b.column(8), common, prefix, b.column(9)]
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in columns], names=["id", "n", "comp", "m0", "common", "prefix", "tokens"])
+            columns = [b.column(5), b.column(6), b.column(7), b.column(8), common, *prefix, b.column(9)]
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in columns], names=["id", "n", "comp", "m0", "common", "prefix", "places", "tokens"])
 
     found = shared(placed.select("part", "tokens", "comp").mapInArrow(send_groups, "bucket int, keys binary, parts binary, labels binary"), parts)
     merged = after_answers(placed, found, parts).select("part", "kind", "bucket", "keys", "counts", "id", "n", "comp", "m0", "tokens")
-    rest = staged(merged.mapInArrow(across, "id long, n long, comp long, m0 long, common long, prefix array<long>, tokens array<long>"))
+    rest = staged(merged.mapInArrow(across, "id long, n long, comp long, m0 long, common long, prefix array<long>, places array<long>, tokens array<long>"))
     del found, merged
     release(documents.sparkSession)
 
-    # Groups of similar documents: one min-hash bucket, size class and share of tokens in common with others, so that
+    # Groups of similar documents: one component or min-hash bucket, size class and share of tokens in common with others, so that
     # the bounds below hold for all members alike; large ones are dealt into parts of about GROUP documents or WEIGHT tokens.
     missing = F.floor((F.col("n") - F.col("common")) * 100 / F.col("n"))
-    kin = rest.withColumn("kin", F.xxhash64("m0", missing, F.floor(F.log2("n") * 8)))
+    alone = rest.groupBy("comp").agg(F.count(F.lit(1)).alias("held_by")).where("held_by = 1").select("comp", F.lit(True).alias("alone"))
+    kin = rest.join(alone, "comp", "left").withColumn("kin", F.xxhash64(F.when(F.col("alone"), F.col("m0")).otherwise(F.col("comp")), missing, F.floor(F.log2("n") * 8)))
     buckets = kin.groupBy("kin").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / WEIGHT)).alias("k"))
     dealt = kin.join(buckets, "kin").withColumn("group", F.xxhash64("kin", F.pmod(F.xxhash64("id"), F.col("k"))))
-    rest = staged(dealt.select("id", "n", "comp", "group", "common", "prefix", "tokens"))
+    rest = staged(dealt.select("id", "n", "comp", "group", "common", "prefix", "places", "tokens"))
     release(documents.sparkSession)
-    cells = staged(rest.select("id", "n", "comp", "group", "common", F.explode("prefix").alias("token")))
-    matrix = cells.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("common").alias("most"), F.min("comp").alias("c0"))
-    queries = cells.select("token", "id", "n", "comp", "common")
+    cells = rest.select("id", "n", "comp", "group", "common", F.explode(F.arrays_zip("prefix", "places")).alias("x"))
+    cells = staged(cells.select("id", "n", "comp", "group", "common", F.col("x.prefix").alias("token"), F.col("x.places").alias("place")))
+    matrix = cells.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("common").alias("most"), F.min("comp").alias("c0"), F.min("place").alias("soonest"))
+    queries = cells.select("token", "id", "n", "comp", "common", "place")
     fitting = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
     # an overlap holds only tokens that both sides have in common with other components
     able = F.least("common", "most") * (100 + percent) >= (F.col("n") + F.col("low")) * percent
     open_yet = F.col("c0") < F.col("comp")  # of two components the one with the larger id asks
-    met = queries.join(matrix, "token").where(fitting & able & open_yet).groupBy("id", "n", "group").agg(F.count(F.lit(1)).alias("met"))
-    # |query n union| <= matches in the prefix + tokens after it, which must reach needed(n)
-    need = F.expr(f"(n * {percent} + 99) div 100")
-    bounded = met.where(F.col("met") + F.greatest(F.lit(0), need - SLACK) >= need).select("id", "group")
+    # A link shares `need` tokens at least, so SLACK of them stand before place n - need + SLACK on either side.
+    need = F.ceil((F.col("n") + F.col("low")) * percent / (100 + percent) - 1e-6)
+    early = (F.col("place") < F.col("n") - need + SLACK) & (F.col("soonest") < F.col("high") - need + SLACK)
+    met = queries.join(matrix, "token").where(fitting & able & open_yet & early).groupBy("id", "n", "group").agg(F.count(F.lit(1)).alias("met"), F.min(need).alias("need"))
+    bounded = met.where(F.col("met") >= F.least(F.lit(SLACK), F.col("need"))).select("id", "group")
     held = rest.groupBy("group").agg(F.collect_list(F.struct("id", "comp", "tokens")).alias("m"))  # about GROUP documents
     opened = bounded.join(rest.select("id", "comp", "tokens"), "id").join(held.select("group", F.col("m.id").alias("ids"), F.col("m.comp").alias("comps"), F.col("m.tokens").alias("sets")), "group")
 
