@@ -2,12 +2,12 @@
 
 write_store() encodes documents, cuts every id stream where a rolling sum over hashes of its last 8 ids falls
 below a bound (and after `longest` ids), stores each distinct chunk once under its BLAKE2b digest, and keeps one
-recipe per document: its chunk digests in order, its start in the corpus-wide stream and a Merkle root over the digests. Recipes lie
-sorted by doc_id in range-partitioned files. manifest.json-like facts (id width, end id) are columns of a one-row
-manifest table together with the Merkle root over all recipes' range roots.
+recipe per document: its chunk digests in order, its start in the corpus-wide stream and a Merkle root over the
+digests. Recipes lie sorted by doc_id in range-partitioned files. The manifest, a one-row JSON table, holds the Merkle
+root over all recipes, their number, the ids' width and the end id.
 
 read_store() rebuilds ids from the files; checked() re-reads every chunk, recomputes its digest and CRC, and
-combines the CRCs by recipe without moving ids.
+combines the CRCs by recipe without moving ids, after it has checked the recipes against the manifest.
 
 A null text is empty and has only the end id. Null doc_ids come first. Rows that repeat a doc_id are ordered by
 their root and each has a start of its own. An empty table gives empty files.
@@ -105,7 +105,6 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2
 
     def encode(batches):
         c = codec(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         held: dict[bytes, bytes] = {}
         size = 0
 
@@ -124,9 +123,8 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(rows, pa.binary()), pa.nulls(n, id_type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["bucket", "pack", "id", "digests", "lengths"])
 
         for part in chunks(batches, 1):
-            streams = [c.encode(t) + end for t in part.column(1).to_pylist()]
-            ids = np.frombuffer(b"".join(streams), "<u4")
-            ends = np.cumsum([len(s) // 4 for s in streams])
+            ids, ends = c.encode_all(part.column(1))
+            ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
             edge = cuts(ids, ends, average, longest)
             raw, item = ids.astype(width).tobytes(), np.dtype(width).itemsize
             digests, before = [], 0
@@ -190,9 +188,9 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2
             d, s = b.column(1).to_pylist(), b.column(2).to_pylist()
             n = [int(np.frombuffer(x, "<u4").sum()) for x in s]
             root = [merkle([x[i : i + DIGEST] for i in range(0, len(x), DIGEST)]) for x in d]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(root, pa.binary()), b.column(1), b.column(2)], names=["id", "n_tokens", "root", "digests", "lengths"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(root, pa.binary()), b.column(1), b.column(2), b.column(3)], names=["id", "n_tokens", "root", "digests", "lengths", "part"])
 
-    recipes = with_part(plain.mapInArrow(rooted, f"id {kind}, n_tokens long, root binary, digests binary, lengths binary"), "id", buckets)
+    recipes = with_part(plain, "id", buckets).mapInArrow(rooted, f"id {kind}, n_tokens long, root binary, digests binary, lengths binary, part int")
     sums = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -205,16 +203,29 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2
         .sortWithinPartitions("part", F.asc_nulls_first("id"), "root")
     )
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    ranges = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"])), ""), 256).alias("root"))
-    facts = ranges.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "root"))), lambda x: x["root"]), ""), 256).alias("root"))
-    facts.select("root", F.lit(width).alias("width"), F.lit(end_id).alias("end_id"), F.lit(longest).alias("longest")).write.json(f"{path}/manifest")
+    facts = range_root(spark.read.parquet(f"{path}/recipes"))
+    facts.select("root", "documents", F.lit(width).alias("width"), F.lit(end_id).alias("end_id"), F.lit(longest).alias("longest")).write.json(f"{path}/manifest")
+
+
+def range_root(recipes: DataFrame) -> DataFrame:
+    """root, documents: Merkle root over id, start, length and root of all recipes, in the order of their starts.
+
+    Each level joins what starts in one range of 2^16, 2^32, 2^48 and 2^64 ids, so no node has over 65,536 children.
+    """
+    leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "start", "n_tokens", F.hex("root")), 256)
+    level = recipes.select(F.col("start").alias("key"), leaf.alias("hash"), F.lit(1).cast("long").alias("documents"))
+    for _ in range(4):
+        children = F.array_sort(F.collect_list(F.struct("key", "hash")))
+        joined = F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["key"], c["hash"])), ","), 256)
+        level = level.groupBy(F.shiftright("key", 16).alias("up")).agg(joined.alias("hash"), F.sum("documents").alias("documents")).withColumnRenamed("up", "key")
+    return level.agg(F.coalesce(F.max("hash"), F.lit("")).alias("root"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"))
 
 
 def _opened(spark: SparkSession, path: str):
     recipes = spark.read.parquet(f"{path}/recipes")
     kind = dict(recipes.dtypes)["id"]
     objects = spark.read.schema(f"digest binary, ids binary, id {kind}, digests binary, lengths binary, kind string").parquet(f"{path}/objects")
-    facts = spark.read.schema("root string, width string, end_id int, longest int").json(f"{path}/manifest").first()
+    facts = spark.read.schema("root string, documents long, width string, end_id int, longest int").json(f"{path}/manifest").first()
     return recipes, objects.where("kind = 'chunk'").select("digest", "ids"), facts
 
 
@@ -239,9 +250,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checked(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, from the files; fails on a chunk that doesn't match its digest, a
-    recipe that doesn't match its root and a chunk that is missing or stored twice."""
+    """doc_id, start, n_tokens, ids_crc32, from the files; fails on recipes that don't match the manifest's root and
+    count, a chunk that doesn't match its digest, a recipe that doesn't match its root and a chunk that is missing or
+    stored twice."""
     recipes, stored, facts = _opened(spark, path)
+    found = range_root(recipes).first()
+    if (found["root"], found["documents"]) != (facts["root"], facts["documents"]):
+        raise ValueError("the recipes do not match the manifest")
     width, longest = facts["width"], facts["longest"]
     kind = dict(recipes.dtypes)["id"]
 

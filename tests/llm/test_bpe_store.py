@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,27 @@ def test_fragments_encode_like_the_whole(codec):
         assert codec.decode(got) == codec.library.decode(want, skip_special_tokens=False)
 
 
+def test_batches_encode_like_the_library(codec):
+    rng = random.Random(8)
+    parts = ["a", "The", " ", "  ", "\n", "\n\n", "é", "\xa0", ".", ",", "'s", "1", "²", "×", "\t", "\r\n", "日", "か", "한", "я", "<|endoftext|>", "😀", "\u2003", "\u3000", "\x85", "\x0b", "\u0301"]
+    for _ in range(60):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(100)]
+        want = [codec.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        ids, ends = codec.encode_all(pa.array(texts, pa.string()))
+        assert [ids[s:e].tolist() for s, e in zip([0, *ends[:-1]], ends, strict=True)] == want
+        assert [b.decode() for b in codec.decode_all(ids, ends)] == [codec.library.decode(w, skip_special_tokens=False) for w in want]
+
+
+def test_full_table_starts_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "SLOTS", 64)
+    codec = bpe.Codec(PATH)
+    for i in range(300):
+        text = " ".join(f"w{i}x{j} {'long' * 20}{i}" for j in range(9))
+        ids, ends = codec.encode_all(pa.array([text]))
+        assert ids.tolist() == codec.library.encode(text, add_special_tokens=False).ids
+    assert codec.strange < 8 * 64 + 20
+
+
 def test_encode_decode_frame(spark, codec, documents, odd):
     for df in (documents, odd):
         texts = {r[0]: r[1] or "" for r in df.select("doc_id", "text").collect()}
@@ -76,6 +98,20 @@ def test_store_detects_damage(spark, documents, tmp_path):
         token_store.checked(spark, path).collect()
 
 
+def test_store_detects_a_lost_recipe_and_a_shifted_start(spark, documents, tmp_path):
+    path = f"file://{tmp_path}/lost"
+    token_store.write_store(documents.limit(50), path, PATH)
+    whole = spark.read.parquet(f"{path}/recipes")
+    others = (whole.where("start > 0"), whole.withColumn("start", F.col("start") + 1))
+    for n, other in enumerate(others):
+        other.write.parquet(f"{path}/recipes{n}")
+    for n in range(len(others)):
+        (tmp_path / "lost/recipes").rename(tmp_path / f"lost/old{n}")
+        (tmp_path / f"lost/recipes{n}").rename(tmp_path / "lost/recipes")
+        with pytest.raises(ValueError, match="do not match the manifest"):
+            token_store.checked(spark, path)
+
+
 def test_crc_of_joined_chunks():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 50000, n).astype("<u4") for n in (1, 7, 1024, 3, 500)]
