@@ -17,8 +17,8 @@ def usable(v: Column) -> Column:
 
 
 def tenths(v: Column) -> Column:
-    """Truncated tenths as an integer; the rounding only removes binary noise before truncation."""
-    return F.floor(F.round(v * 10, 6)).cast("int")
+    """Tenths truncated towards zero as an integer; the rounding only removes binary noise before truncation."""
+    return F.round(v * 10, 6).cast("int")
 
 
 def nowcast(slots: Column) -> Column:
@@ -29,7 +29,7 @@ def nowcast(slots: Column) -> Column:
     known = F.filter(slots, lambda v: v.isNotNull())
     recent = F.size(F.filter(F.slice(slots, 1, 3), lambda v: v.isNotNull()))
     high, low = F.array_max(known), F.array_min(known)
-    weight = F.when(high == 0, 1.0).otherwise(F.greatest(F.lit(0.5), F.try_divide(low, high)))
+    weight = F.when(high == 0, F.when(low == 0, 1.0).otherwise(0.5)).otherwise(F.greatest(F.lit(0.5), F.try_divide(low, high)))
     pairs = F.transform(slots, lambda v, i: F.struct(v.alias("v"), F.when(v.isNotNull(), F.pow(weight, i)).otherwise(0.0).alias("w")))
     total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + F.coalesce(x["v"] * x["w"], F.lit(0.0)))
     weights = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"])

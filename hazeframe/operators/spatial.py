@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeframe.functions import geo, text
+from hazeframe.operators.graph import components
+from hazeframe.operators.staging import staged
 
 EARTH_KM = 6371.0
 
@@ -34,36 +36,95 @@ def within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     return pairs.where(F.col("km") <= km).drop("_cell")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, km: float, key: str, *ties: Column) -> DataFrame:
-    """The nearest right row of each left row within km; ties by the given order."""
-    w = Window.partitionBy(key).orderBy("km", *ties)
-    return within(left, right, km).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def nearest_within(left: DataFrame, right: DataFrame, km: float, key: str, *ties: Column, first: Column | None = None, where: Column | None = None) -> DataFrame:
+    """The nearest right row of each left row within km; `first` ranks before distance, ties after it."""
+    w = Window.partitionBy(key).orderBy(*([] if first is None else [first]), "km", *ties)
+    pairs = within(left, right, km)
+    pairs = pairs if where is None else pairs.where(where)
+    return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def nearest_of_few(left: DataFrame, few: DataFrame, key: str, id_col: str, limit: int = 10_000) -> DataFrame:
-    """Nearest of a small table at any distance; the table's size is checked before it is broadcast."""
-    if few.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows; use nearest_within")
-    pairs = left.crossJoin(F.broadcast(few)).withColumn("km", geo.kilometres(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat")))
-    best = F.min(F.struct(F.col("km"), F.col(id_col)))
-    return pairs.groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{id_col}").alias(id_col), F.col("b.km").alias("km"))
+def nearest(left: DataFrame, right: DataFrame, key: str, id_col: str) -> DataFrame:
+    """key, id_col, km: the nearest right row of each left row at any distance, ties to the smaller id; exact.
 
-
-def same_station_pairs(df: DataFrame, metres: float = 150.0) -> DataFrame:
-    """Pairs of rows that describe one station: other source, same index system, near, names that share tokens."""
+    Rings: the cell join of within() at about the mean spacing of right, then at four times the radius for the left rows
+    that found nothing, and so on to half the globe. Rings are staged; only row counts reach the driver. Left rows far
+    from all others are few and meet all of right in the last ring. An empty right gives no rows.
+    """
+    n = right.count()
+    km = EARTH_KM * math.sqrt(4 * math.pi / max(n, 1))
+    rest, out = left.where(geo.finite(F.col("lon")) & geo.finite(F.col("lat"))), None
+    while n and rest.limit(1).count():
+        best = F.min(F.struct(F.col("km"), F.col(id_col)))
+        found = staged(within(rest, right, km).groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{id_col}").alias(id_col), F.col("b.km").alias("km")))
+        out = found if out is None else out.unionByName(found)
+        if km > math.pi * EARTH_KM:
+            break
+        rest, km = rest.join(found.select(key), key, "left_anti"), 4 * km
+    empty = left.select(key).limit(0).join(right.select(id_col), F.lit(False)).withColumn("km", F.lit(0.0))
+    return empty if out is None else out
+
+
+def same_station_pairs(df: DataFrame, metres: float = 150.0, by: str = "id") -> DataFrame:
+    """Pairs of rows, the smaller `by` first, that describe one station.
+
+    They come from other sources, have one index system, lie near and bear names that share tokens.
+    """
     tokens = df.withColumn("tokens", text.name_tokens(F.col("name")))
     other = tokens.select(*[F.col(c).alias(f"r_{c}") for c in tokens.columns])
     pairs = within(tokens, other, metres / 1000)
-    return pairs.where((F.col("id") < F.col("r_id")) & (F.col("source") != F.col("r_source")) & (F.col("system") == F.col("r_system")) & text.shares_tokens(F.col("tokens"), F.col("r_tokens")))
+    return pairs.where((F.col(by) < F.col(f"r_{by}")) & (F.col("source") != F.col("r_source")) & (F.col("system") == F.col("r_system")) & text.shares_tokens(F.col("tokens"), F.col("r_tokens")))
+
+
+def supersedes(age: float, local: bool, new_age: float, new_local: bool, fresh: float = 120.0) -> bool:
+    """Whether a newly read station replaces the one it matches: fresh before stale, local before others, then newer."""
+    was, now = 0 <= age <= fresh, 0 <= new_age <= fresh
+    if was != now:
+        return now
+    return new_local if new_local and not local else new_age < age
 
 
-def merge_stations(df: DataFrame, prefer: list[Column], metres: float = 150.0) -> DataFrame:
-    """One row per station. The preferred row of each linked pair survives; a row that loses to any partner goes."""
-    pairs = same_station_pairs(df, metres).select("id", "r_id")
-    ranked = df.select("id", F.struct(*prefer).alias("rank"))
-    a, b = ranked.select("id", F.col("rank").alias("ra")), ranked.select(F.col("id").alias("r_id"), F.col("rank").alias("rb"))
-    loser = pairs.join(a, "id").join(b, "r_id").select(F.when(F.col("ra") <= F.col("rb"), F.col("r_id")).otherwise(F.col("id")).alias("id"))
-    return df.join(loser.distinct(), "id", "left_anti")
+def merge_stations(df: DataFrame, metres: float = 150.0) -> DataFrame:
+    """One row per station. df: id, name, lon, lat, system, source, age_min, local, ord (unique, the order of reading).
+
+    Rows are read in order; each meets the first kept row with its id, or that describes the same station, and one of
+    the two stays in that place. Only linked rows can meet, so each connected group of links is a task's work on its own;
+    groups are rows within a few hundred metres or with one id.
+    """
+    near = same_station_pairs(df.select("id", "name", "lon", "lat", "system", "source", "ord"), metres, by="ord").select(F.col("ord").alias("a"), F.col("r_ord").alias("b"))
+    first = df.groupBy("id").agg(F.min("ord").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = df.join(first.select("id", "a"), "id").where("ord <> a").select("a", F.col("ord").alias("b"))  # keeps groups whole
+    links = staged(near)
+    comp = components(links.unionByName(same))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partners = both.groupBy(F.col("a").alias("ord")).agg(F.collect_set("b").alias("partners"))
+    rows = df.select("ord", "id", "age_min", "local").join(comp.select(F.col("node").alias("ord"), "component"), "ord").join(partners, "ord", "left")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list = []
+        at: dict[int, int] = {}  # place of each kept row by ord
+        by_id: dict = {}  # places that hold each id
+        for row in pdf.sort_values("ord").itertuples():
+            places = [at[p] for p in (row.partners if row.partners is not None else ()) if p in at]
+            places += by_id.get(row.id, ())
+            if places:
+                place = min(places)
+                old = kept[place]
+                if not supersedes(old.age_min, old.local, row.age_min, row.local):
+                    continue
+                del at[old.ord]
+                by_id[old.id].discard(place)
+                kept[place] = row
+            else:
+                place = len(kept)
+                kept.append(row)
+            at[row.ord] = place
+            by_id.setdefault(row.id, set()).add(place)
+        return pd.DataFrame({"ord": [r.ord for r in kept]})
+
+    survivors = rows.groupBy("component").applyInPandas(walk, "ord long")
+    lost = comp.select(F.col("node").alias("ord")).join(survivors, "ord", "left_anti")
+    return df.join(lost, "ord", "left_anti")
 
 
 def greedy_clusters(df: DataFrame, group: str, spacing: float) -> DataFrame:

@@ -15,14 +15,17 @@ def _right(df):
 
 
 def _matches(t):
-    near = _right(stations(t.supplier, t.customer).where("system = 'us-epa-aqi' AND age_min <= 120").select("id", "aqi", "age_min", "lon", "lat"))
-    return spatial.nearest_within(cities(t.customer, t.nation), near, 50.0, "city_id", F.asc("age_min"), F.asc("id"))
+    """Nearest fresh station within 50 km of each city: of the comparable system, else, in Canada, of the health index."""
+    fresh = _right(stations(t.supplier, t.customer).where("age_min BETWEEN 0 AND 120").select("id", "aqi", "age_min", "system", "lon", "lat"))
+    towns = cities(t.customer, t.nation)
+    allowed = (F.col("system") == "us-epa-aqi") | ((F.col("system") == "ca-aqhi") & (F.col("region") == "CANADA"))
+    return spatial.nearest_within(towns, fresh, 50.0, "city_id", F.asc("age_min"), F.asc("id"), first=F.col("system") != "us-epa-aqi", where=allowed)
 
 
 MATCH_SQL = f"""
 WITH {STATIONS_SQL}, {CITIES_SQL},
-pairs AS (SELECT a.city_id, a.name, a.region, a.priority, b.id, b.aqi, b.age_min, {KM_SQL} AS km FROM cities a JOIN stations b ON b.system = 'us-epa-aqi' AND b.age_min <= 120),
-best AS (SELECT * FROM pairs WHERE km <= 50 QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY km, age_min, id) = 1)"""
+pairs AS (SELECT a.city_id, a.name, a.region, a.priority, b.id, b.aqi, b.age_min, b.system, {KM_SQL} AS km FROM cities a JOIN stations b ON b.age_min BETWEEN 0 AND 120 AND (b.system = 'us-epa-aqi' OR a.region = 'CANADA')),
+best AS (SELECT * FROM pairs WHERE km <= 50 QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY system <> 'us-epa-aqi', km, age_min, id) = 1)"""
 
 
 @query("J05_nearest_station", MATCH_SQL + " SELECT city_id, id, aqi, round(km, 6) AS km FROM best")
@@ -51,7 +54,7 @@ p AS (SELECT a.city_id, b.id, {KM_SQL} AS km FROM cities a, s b)
 SELECT city_id, min_by(id, (km, id)) AS id, round(min(km), 6) AS km FROM p GROUP BY city_id""")
 def nearest_few(t):
     few = _right(stations(t.supplier, t.customer).where("source = 'supplier'").select("id", "lon", "lat"))
-    return spatial.nearest_of_few(cities(t.customer, t.nation), few, "city_id", "id").select("city_id", "id", F.round("km", 6).alias("km"))
+    return spatial.nearest(cities(t.customer, t.nation), few, "city_id", "id").select("city_id", "id", F.round("km", 6).alias("km"))
 
 
 @query("J06_same_station_pairs", f"""
@@ -64,17 +67,15 @@ def same_station(t):
     return spatial.same_station_pairs(rounded).select("id", "r_id")
 
 
-@query("J06_merged_stations", f"""
-WITH {STATIONS_SQL}, n AS (SELECT id, floor(lon * 20) / 20 AS lon, floor(lat * 20) / 20 AS lat, system, source, age_min FROM stations),
-p AS (SELECT a.id, b.id AS r_id, {KM_SQL} AS km, (a.age_min > 120, a.age_min, a.id) <= (b.age_min > 120, b.age_min, b.id) AS keep FROM n a JOIN n b ON a.id < b.id AND a.source <> b.source AND a.system = b.system AND floor(a.lon * 10) BETWEEN floor(b.lon * 10) - 1 AND floor(b.lon * 10) + 1)
-SELECT id FROM stations WHERE id NOT IN (SELECT CASE WHEN keep THEN r_id ELSE id END FROM p WHERE km <= 0.15)""")
+@query("J06_merged_stations")
 def merged(t):
-    rows = stations(t.supplier, t.customer).select("id", F.lit("Central plant").alias("name"), (F.floor(F.col("lon") * 20) / 20).alias("lon"), (F.floor(F.col("lat") * 20) / 20).alias("lat"), "system", "source", "age_min")
-    return spatial.merge_stations(rows, [F.col("age_min") > 120, F.col("age_min"), F.col("id")]).select("id")
+    """Stations of two sources as one list; order decides, so SQL cannot express it."""
+    rows = stations(t.supplier, t.customer).select("id", F.lit("Central plant").alias("name"), (F.floor(F.col("lon") * 20) / 20).alias("lon"), (F.floor(F.col("lat") * 20) / 20).alias("lat"), "system", "source", "age_min", (F.col("source") == "customer").alias("local"), F.col("id").alias("ord"))
+    return spatial.merge_stations(rows).select("id")
 
 
 @query("J09_time_bracket", f"""
-WITH {HOURLY_SQL}, tl AS (SELECT station AS s, hour * 60 AS m FROM hourly WHERE hour % 2 = 0), q AS (SELECT event_id, (user_id % 4)::INT AS station, date_diff('minute', TIMESTAMP '1970-01-01', ts)::INT AS minute FROM events),
+WITH {HOURLY_SQL}, tl AS (SELECT station AS s, hour * 60 AS m FROM hourly WHERE hour % 2 = 0), q AS (SELECT event_id, user_id::INT AS station, date_diff('minute', TIMESTAMP '1970-01-01', ts)::INT AS minute FROM events),
 b AS (SELECT event_id, minute, (SELECT max(m) FROM tl WHERE s = station AND m <= minute) AS lo, (SELECT min(m) FROM tl WHERE s = station AND m >= minute) AS hi FROM q),
 c AS (SELECT event_id, minute, coalesce(lo, hi) AS lo, coalesce(hi, lo) AS hi FROM b WHERE coalesce(lo, hi) IS NOT NULL),
 d AS (SELECT event_id, minute, CASE WHEN hi - lo > 150 THEN CASE WHEN minute - lo > hi - minute THEN hi ELSE lo END ELSE lo END AS before, CASE WHEN hi - lo > 150 THEN CASE WHEN minute - lo > hi - minute THEN hi ELSE lo END ELSE hi END AS after FROM c)
@@ -97,23 +98,24 @@ def resident(t):
 
 
 @query("J02_full_outer_hours", f"""
-WITH {HOURLY_SQL}, a AS (SELECT hour, value AS first FROM hourly WHERE station = 0), b AS (SELECT hour, value AS second FROM hourly WHERE station = 1),
-s AS (SELECT unnest(generate_series(min(hour), max(hour)))::INT AS hour FROM hourly)
+WITH r AS (SELECT {HOUR_SQL} AS hour, event_type, value FROM events), a AS (SELECT hour, max(value) AS first FROM r WHERE event_type = 'click' GROUP BY hour), b AS (SELECT hour, max(value) AS second FROM r WHERE event_type <> 'click' GROUP BY hour),
+s AS (SELECT unnest(generate_series(min(hour), max(hour)))::INT AS hour FROM r)
 SELECT hour, first, second FROM s LEFT JOIN a USING (hour) LEFT JOIN b USING (hour) WHERE first IS NOT NULL OR second IS NOT NULL""")
 def full_outer(t):
-    h = hourly(t.events)
+    h = readings(t.events)
     spine = h.agg(F.explode(F.sequence(F.min("hour"), F.max("hour"))).alias("hour"))
-    return temporal.paired(spine, h.where("station = 0").select("hour", F.col("value").alias("first")), h.where("station = 1").select("hour", F.col("value").alias("second")), "hour")
+    side = lambda which, name: h.where(which).groupBy("hour").agg(F.max("value").alias(name))
+    return temporal.paired(spine, side("kind = 'click'", "first"), side("kind <> 'click'", "second"), "hour")
 
 
 @query("J04_stitched_runs", f"""
-WITH {HOURLY_SQL}, a AS (SELECT hour, value FROM hourly WHERE station = 0 AND hour % 50 < 30 AND hour < (SELECT max(hour) - 100 FROM hourly)), b AS (SELECT hour, value FROM hourly WHERE station = 1)
+WITH r AS (SELECT {HOUR_SQL} AS hour, event_type, value FROM events), a AS (SELECT hour, max(value) AS value FROM r WHERE event_type = 'click' AND hour < (SELECT max(hour) - 100 FROM r) GROUP BY hour), b AS (SELECT hour, max(value) AS value FROM r WHERE event_type <> 'click' GROUP BY hour)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE hour > (SELECT max(hour) FROM a)""")
 def stitched(t):
-    h = hourly(t.events)
+    h = readings(t.events)
     top = h.agg((F.max("hour") - 100).alias("cut"))  # one row
-    first = h.where("station = 0 AND hour % 50 < 30").crossJoin(F.broadcast(top)).where("hour < cut").select("hour", "value")
-    return temporal.stitched(first, h.where("station = 1").select("hour", "value"), "hour")
+    first = h.where("kind = 'click'").crossJoin(F.broadcast(top)).where("hour < cut").groupBy("hour").agg(F.max("value").alias("value"))
+    return temporal.stitched(first, h.where("kind <> 'click'").groupBy("hour").agg(F.max("value").alias("value")), "hour")
 
 
 @query("P16_visible_run", f"""

@@ -25,11 +25,11 @@ WITH {SPINE_SQL},
 stats AS (
   SELECT c.station, c.hour, max(v.value) AS hi, min(v.value) AS lo, count(CASE WHEN c.hour - v.hour < 3 THEN v.value END) AS recent
   FROM dense c JOIN dense v ON v.station = c.station AND v.hour BETWEEN c.hour - 11 AND c.hour GROUP BY ALL),
-weight AS (SELECT *, CASE WHEN hi = 0 THEN 1.0 ELSE greatest(0.5, lo / hi) END AS w FROM stats WHERE recent >= 2),
+weight AS (SELECT *, CASE WHEN hi = 0 AND lo = 0 THEN 1.0 WHEN hi = 0 THEN 0.5 ELSE greatest(0.5, lo / hi) END AS w FROM stats WHERE recent >= 2),
 sums AS (
   SELECT c.station, c.hour, sum(v.value * pow(c.w, c.hour - v.hour)) / sum(CASE WHEN v.value IS NOT NULL THEN pow(c.w, c.hour - v.hour) END) AS x
   FROM weight c JOIN dense v ON v.station = c.station AND v.hour BETWEEN c.hour - 11 AND c.hour GROUP BY ALL),
-cut AS (SELECT station, hour, floor(round(x * 10, 6))::INT AS t FROM sums),
+cut AS (SELECT station, hour, trunc(round(x * 10, 6))::INT AS t FROM sums),
 scored AS (SELECT station, hour, t / 10.0::DOUBLE AS nowcast, ({INDEX_SQL})::INT AS aqi FROM cut)
 SELECT station, hour, nowcast, aqi, {CATEGORY_SQL} AS category FROM scored"""
 
@@ -45,12 +45,12 @@ def last_write(t):
     return hourly(t.events)
 
 
-@query("A01_newest_first_wins", f"SELECT station, hour, event_id FROM (SELECT (user_id % 4)::INT AS station, {HOUR_SQL} AS hour, event_id FROM events) QUALIFY row_number() OVER (PARTITION BY station ORDER BY hour DESC, event_id) = 1")
+@query("A01_newest_first_wins", f"SELECT station, hour, event_id FROM (SELECT user_id::INT AS station, {HOUR_SQL} AS hour, event_id FROM events) QUALIFY row_number() OVER (PARTITION BY station ORDER BY hour DESC, event_id) = 1")
 def newest_first(t):
     return series.newest(readings(t.events).select("station", "hour", "event_id"), "station", "hour", F.asc("event_id"))
 
 
-@query("A02_amendment_wins", f"SELECT station, hour, kind, event_id FROM (SELECT (user_id % 4)::INT AS station, {HOUR_SQL} AS hour, event_type AS kind, event_id FROM events) QUALIFY row_number() OVER (PARTITION BY station ORDER BY hour DESC, kind = 'purchase' DESC, event_id) = 1")
+@query("A02_amendment_wins", f"SELECT station, hour, kind, event_id FROM (SELECT user_id::INT AS station, {HOUR_SQL} AS hour, event_type AS kind, event_id FROM events) QUALIFY row_number() OVER (PARTITION BY station ORDER BY hour DESC, kind = 'purchase' DESC, event_id) = 1")
 def amendment(t):
     return series.newest(readings(t.events).select("station", "hour", "kind", "event_id"), "station", "hour", F.desc(F.col("kind") == "purchase"), F.asc("event_id"))
 
@@ -85,7 +85,7 @@ def stale_rate(t):
 
 
 @query("A12_preferred_state", """
-WITH s AS (SELECT (user_id % 4)::INT AS station, event_type AS kind, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS rank, min(event_id) AS ord FROM events GROUP BY ALL)
+WITH s AS (SELECT user_id::INT AS station, event_type AS kind, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS rank, min(event_id) AS ord FROM events GROUP BY ALL)
 SELECT station, min_by(kind, (rank, ord)) AS kind, bool_and(rank > 1) AS unavailable FROM s GROUP BY station""")
 def preferred_state(t):
     rank = F.when(F.col("kind") == "click", 0).when(F.col("kind") == "view", 1).otherwise(2)
@@ -123,13 +123,13 @@ def missing(t):
     return series.missing_hours(hourly(t.events), "station", "hour")
 
 
-@query("A18_category_counts", "SELECT (user_id % 4)::INT AS station, count_if(event_type = 'click')::BIGINT AS click, count_if(event_type = 'view')::BIGINT AS view, count_if(event_type = 'purchase')::BIGINT AS purchase FROM events GROUP BY 1")
+@query("A18_category_counts", "SELECT user_id::INT AS station, count_if(event_type = 'click')::BIGINT AS click, count_if(event_type = 'view')::BIGINT AS view, count_if(event_type = 'purchase')::BIGINT AS purchase FROM events GROUP BY 1")
 def category_counts(t):
     got = readings(t.events).groupBy("station").pivot("kind", ["click", "view", "purchase"]).count()
     return got.na.fill(0, ["click", "view", "purchase"])
 
 
-@query("M02_pm25_index", f"WITH c AS (SELECT event_id, floor(round(value * 10, 6))::INT AS t FROM events), s AS (SELECT event_id, t, ({INDEX_SQL})::INT AS aqi FROM c) SELECT event_id, t AS tenth, aqi, {CATEGORY_SQL} AS category FROM s")
+@query("M02_pm25_index", f"WITH c AS (SELECT event_id, trunc(round(value * 10, 6))::INT AS t FROM events), s AS (SELECT event_id, t, ({INDEX_SQL})::INT AS aqi FROM c) SELECT event_id, t AS tenth, aqi, {CATEGORY_SQL} AS category FROM s")
 def pm25(t):
     cut = t.events.select("event_id", air.tenths(F.col("value")).alias("tenth")).withColumn("aqi", air.pm25_index(F.col("tenth")))
     return cut.withColumn("category", air.index_category(F.col("aqi")))
@@ -145,7 +145,7 @@ def health_index(t):
 
 
 @query("M21_risk_and_severity", """
-WITH c AS (SELECT event_id, floor(round(value * 10, 6))::INT AS t FROM events), s AS (SELECT event_id, (%s)::INT AS aqi FROM c),
+WITH c AS (SELECT event_id, trunc(round(value * 10, 6))::INT AS t FROM events), s AS (SELECT event_id, (%s)::INT AS aqi FROM c),
 k AS (SELECT event_id, aqi, %s AS category FROM s)
 SELECT event_id, CASE WHEN category IN ('Unhealthy', 'Very Unhealthy', 'Hazardous', 'Beyond the AQI') THEN 3 WHEN category = 'Unhealthy for Sensitive Groups' THEN 2 WHEN category = 'Moderate' THEN 1 ELSE 0 END AS risk,
   round(least(1.0, aqi / 500.0), 6)::DOUBLE AS severity, CASE WHEN aqi <= 50 THEN '#00e400' WHEN aqi <= 100 THEN '#ffff00' WHEN aqi <= 150 THEN '#ff7e00' WHEN aqi <= 200 THEN '#ff0000' WHEN aqi <= 300 THEN '#8f3f97' ELSE '#7e0023' END AS colour, 'AQI ' || aqi AS label FROM k""" % (INDEX_SQL, CATEGORY_SQL))

@@ -53,12 +53,12 @@ def violations(t):
 
 
 @query("A20_completeness", f"""
-WITH h AS (SELECT DISTINCT {HOUR_SQL} AS hour FROM events WHERE user_id % 40 = 0), s AS (SELECT unnest(generate_series((SELECT min({HOUR_SQL}) FROM events), (SELECT max({HOUR_SQL}) FROM events)))::INT AS hour)
+WITH h AS (SELECT DISTINCT {HOUR_SQL} AS hour FROM events WHERE event_type = 'purchase'), s AS (SELECT unnest(generate_series((SELECT min({HOUR_SQL}) FROM events), (SELECT max({HOUR_SQL}) FROM events)))::INT AS hour)
 SELECT count(*) AS expected, count(h.hour) AS actual, array_to_string(list_sort(list(s.hour) FILTER (WHERE h.hour IS NULL)), ',') AS missing FROM s LEFT JOIN h USING (hour)""")
 def completeness(t):
-    hours = t.events.select("user_id", series.hour_index(F.col("ts")).alias("hour"))
+    hours = t.events.select("event_type", series.hour_index(F.col("ts")).alias("hour"))
     required = hours.agg(F.explode(F.sequence(F.min("hour"), F.max("hour"))).alias("hour"))
-    got = quality.complete(hours.where("user_id % 40 = 0"), required, "hour")
+    got = quality.complete(hours.where("event_type = 'purchase'"), required, "hour")
     return got.select("expected", "actual", F.array_join("missing", ",").alias("missing"))
 
 

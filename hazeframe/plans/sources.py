@@ -64,13 +64,13 @@ def dimension(t):
 
 
 @query("S25_newest_cycle", f"""
-WITH f AS (SELECT ({HOUR_SQL} // 24) AS cycle, ({HOUR_SQL} % 24) AS hour FROM events WHERE user_id % 4 = 0)
+WITH f AS (SELECT ({HOUR_SQL} // 24) AS cycle, ({HOUR_SQL} % 24) AS hour FROM events)
 SELECT max(cycle) AS cycle FROM (SELECT cycle FROM f GROUP BY cycle HAVING list_has_all(list(hour), [0, 12, 23]))""")
 def cycle(t):
     from hazeframe.operators.series import hour_index
 
     h = hour_index(F.col("ts"))
-    files = t.events.where("user_id % 4 = 0").select(F.floor(h / 24).cast("int").alias("cycle"), (h % 24).cast("int").alias("hour"))
+    files = t.events.select(F.floor(h / 24).cast("int").alias("cycle"), (h % 24).cast("int").alias("hour"))
     return payloads.newest_cycle(files, "cycle", "hour", [0, 12, 23])
 
 
@@ -88,7 +88,7 @@ def local_times(t):
 def _streamed(t):
     """The events file as a stream; time becomes a timestamp, which watermarks need."""
     schema = t.events.schema
-    return t.spark.readStream.schema(schema).parquet(f"{t.dir}/events.parque[t]").withColumn("at", F.col("ts").cast("timestamp")).withColumn("station", (F.col("user_id") % 4).cast("int"))
+    return t.spark.readStream.schema(schema).parquet(f"{t.dir}/events.parque[t]").withColumn("at", F.col("ts").cast("timestamp")).withColumn("station", F.col("user_id").cast("int"))
 
 
 def _folder(t):
@@ -97,7 +97,7 @@ def _folder(t):
 
 
 @query("T06_streamed_hours", f"""
-SELECT (user_id % 4)::INT AS station, {HOUR_SQL} AS hour, max_by(value, (ts, event_id)) AS value FROM events GROUP BY ALL""")
+SELECT user_id::INT AS station, {HOUR_SQL} AS hour, max_by(value, (ts, event_id)) AS value FROM events GROUP BY ALL""")
 def streamed_hours(t):
     """A stream drained into hourly last writes, in complete mode over the state store."""
     where = _folder(t)
@@ -110,12 +110,12 @@ def streamed_hours(t):
 
 
 @query("T03_streamed_last_good", """
-SELECT (user_id % 4)::VARCHAR AS source, event_id AS run, CASE WHEN event_id % 3 <> 0 THEN 'ok' WHEN last(CASE WHEN event_id % 3 <> 0 THEN event_type END IGNORE NULLS) OVER w IS NULL THEN 'unavailable' ELSE 'stale' END AS status,
-  last(CASE WHEN event_id % 3 <> 0 THEN event_type END IGNORE NULLS) OVER w AS payload FROM events WINDOW w AS (PARTITION BY user_id % 4 ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+SELECT user_id::VARCHAR AS source, event_id AS run, CASE WHEN event_id % 3 <> 0 THEN 'ok' WHEN last(CASE WHEN event_id % 3 <> 0 THEN event_type END IGNORE NULLS) OVER w IS NULL THEN 'unavailable' ELSE 'stale' END AS status,
+  last(CASE WHEN event_id % 3 <> 0 THEN event_type END IGNORE NULLS) OVER w AS payload FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def streamed_last_good(t):
     """Custom state: a failed outcome repeats its source's last good payload."""
     where = _folder(t)
-    outcomes = _streamed(t).select((F.col("user_id") % 4).cast("string").alias("source"), F.col("event_id").alias("run"), (F.col("event_id") % 3 != 0).alias("ok"), F.col("event_type").alias("payload"))
+    outcomes = _streamed(t).select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("run"), (F.col("event_id") % 3 != 0).alias("ok"), F.col("event_type").alias("payload"))
     stream = hourly.last_good_stream(outcomes)
     hourly.drained(stream, f"{where}/sink", f"{where}/checkpoint")
     return t.spark.read.schema(stream.schema).parquet(f"{where}/sink")

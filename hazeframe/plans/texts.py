@@ -13,9 +13,9 @@ def clean(t):
     return t.documents.select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
-@query("F03_search_key", f"SELECT doc_id, trim(regexp_replace(translate(lower(left(text, 300)), '{text.ACCENTS}', '{text.PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
+@query("F03_search_key", f"SELECT doc_id, trim(regexp_replace(translate(lower(text), '{text.ACCENTS}', '{text.PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def search_key(t):
-    return t.documents.select("doc_id", text.search_key(F.substring("text", 1, 300)).alias("key"))
+    return t.documents.select("doc_id", text.search_key(F.col("text")).alias("key"))
 
 
 @query("F06_name_tokens", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) >= 4))), ' ') AS tokens FROM part")
