@@ -39,8 +39,9 @@ def nowcast(slots: Column) -> Column:
 
 
 def pm25_index(tenth: Column) -> Column:
-    """Piecewise linear index of truncated tenths, half up; the last slope continues."""
+    """Piecewise linear index of truncated tenths, half up; the last slope continues, below 0 counts as 0."""
     out = F.lit(None).cast("int")
+    tenth = F.when(tenth.isNotNull(), F.greatest(F.lit(0), tenth))
     for n, (klo, khi, ilo, ihi) in reversed(list(enumerate(BREAKPOINTS))):
         line = (F.floor(((ihi - ilo) * (tenth - klo) * 2 + (khi - klo)) / F.lit(2 * (khi - klo))) + ilo).cast("int")
         out = F.when(tenth >= klo if n == len(BREAKPOINTS) - 1 else tenth <= khi, line).otherwise(out)
@@ -110,3 +111,10 @@ def blend(low: Column, high: Column, t: Column, low_covered: Column, high_covere
 
 def faint_alpha(v: Column) -> Column:
     return F.lit(40 / 255) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+
+
+def surface_blend(low: Column, high: Column, t: Column) -> Column:
+    """Blend of two samples (value, covered, coverage): one covered side stands alone, none gives null."""
+    mix = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    both = F.struct(*[(F.lit(True) if c == "covered" else low[c] + (high[c] - low[c]) * mix).alias(c) for c in ("value", "covered", "coverage")])
+    return F.when(low["covered"] & high["covered"], both).when(high["covered"], high).when(low["covered"], low)

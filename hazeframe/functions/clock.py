@@ -49,3 +49,47 @@ def advanced(position: Column, elapsed: Column, span: Column, speed: float = 1.0
     """Playback position after a tick of at most 250 ms at 3600 times real time."""
     tick = F.least(F.lit(250), F.greatest(F.lit(0), elapsed))
     return F.when(span <= 0, 0).when(position >= span, span).otherwise(F.least(span, F.greatest(F.lit(0), position) + tick * 3600 * speed))
+
+
+def newest_time(*times: Column) -> Column:
+    """The latest of several optional instants."""
+    return F.greatest(*times)
+
+
+def observation_age(minutes: Column) -> Column:
+    m = F.greatest(F.lit(0), minutes)
+    return F.when(m < 60, F.concat(m.cast("string"), F.lit(" min old"))).otherwise(F.concat(F.floor(m / 60).cast("string"), F.lit(" hr "), (m % 60).cast("string"), F.lit(" min old")))
+
+
+def cycle_file(run: Column, hour: Column) -> Column:
+    """Folder and file name of one forecast hour of a model cycle."""
+    return F.concat(F.date_format(run, "'/hrrr.'yyyyMMdd'/conus/hrrr.t'HH"), F.lit("z.wrfsfcf"), F.lpad(hour.cast("string"), 2, "0"), F.lit(".grib2"))
+
+
+def timeline_span(times: Column) -> Column:
+    """Last minus first of a sorted array of instants; 0 for fewer than two."""
+    return F.when(F.size(times) < 2, 0).otherwise(F.greatest(F.lit(0), F.element_at(times, -1) - F.element_at(times, 1)))
+
+
+def position_of(times: Column, at: Column) -> Column:
+    """Distance of an instant from the timeline's start, kept on the timeline; 0 on an empty one."""
+    return F.when(F.size(times) == 0, 0).otherwise(F.least(timeline_span(times), F.greatest(F.lit(0), at - F.element_at(times, 1))))
+
+
+def live_position(times: Column, at: Column) -> Column:
+    """position, available: available where the timeline holds that very instant."""
+    return F.struct(position_of(times, at).alias("position"), F.array_contains(times, at).alias("available"))
+
+
+def stepped_position(times: Column, position: Column, delta: Column) -> Column:
+    """Position of the next (delta 1) or previous (-1) instant of the timeline, kept on it."""
+    at = F.element_at(times, 1) + position
+    after, before = F.filter(times, lambda t: t > at), F.filter(times, lambda t: t < at)
+    target = F.when(delta > 0, F.coalesce(F.get(after, F.lit(0)), F.element_at(times, -1))).otherwise(F.coalesce(F.try_element_at(before, F.lit(-1)), F.element_at(times, 1)))
+    return F.when(F.size(times) == 0, 0).otherwise(target - F.element_at(times, 1))
+
+
+def refreshed_position(old: Column, new: Column, position: Column, now: Column, live: Column, same: Column) -> Column:
+    """Where playback stands after a new timeline replaced the old one: live, unmoved, or at the same instant."""
+    kept = F.when(same, position).otherwise(position_of(new, F.element_at(old, 1) + position))
+    return F.when(F.size(new) == 0, 0).when(live, position_of(new, now)).when(F.coalesce(F.size(old), F.lit(0)) <= 0, 0).otherwise(kept)

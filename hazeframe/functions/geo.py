@@ -105,3 +105,37 @@ def tile(x: Column, y: Column) -> Column:
 def sphere(lon: Column, lat: Column) -> Column:
     a, p = F.radians(lon), F.radians(lat)
     return F.struct((F.cos(p) * F.sin(a)).alias("x"), F.sin(p).alias("y"), (F.cos(p) * F.cos(a)).alias("z"))
+
+
+def from_sphere(v: Column) -> tuple[Column, Column]:
+    """lon, lat of a point of the unit sphere."""
+    return F.degrees(F.atan2(v["x"], v["z"])), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v["y"]))))
+
+
+def tile_bounds(column: Column, row: Column, box=FORECAST_BOX) -> Column:
+    """west, east, south, north of a detail tile; neighbours share their border pixels."""
+    west, east, south, north = box
+    width, height = TILES * STRIDE_X + 1, TILES * STRIDE_Y + 1
+    lon = lambda x: west + x * (east - west) / (width - 1)
+    lat = lambda y: north - y * (north - south) / (height - 1)
+    x, y = column * STRIDE_X, row * STRIDE_Y
+    return F.struct(lon(x).alias("west"), lon(x + TILE_W - 1).alias("east"), lat(y + TILE_H - 1).alias("south"), lat(y).alias("north"))
+
+
+def grid_place(lon: Column, lat: Column, lon0: Column, lat0: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
+    """Fractional column and row on a geographic grid whose first row is the northern one."""
+    return (lon - lon0) / dx, (lat0 - lat) / dy
+
+
+def lambert_grid_ok(nx: Column, ny: Column, lat1: Column, lon1: Column) -> Column:
+    """At least 100 x 100, near the known grid's shape, with a finite origin."""
+    return (nx >= 100) & (ny >= 100) & finite(lat1) & finite(lon1) & (F.abs(nx - NX) <= 400) & (F.abs(ny - NY) <= 400)
+
+
+def geographic_grid_ok(lon0: Column, lat0: Column, dx: Column, dy: Column, width: Column, height: Column, box=FORECAST_BOX) -> Column:
+    """Positive steps of at most 5 degrees, on the globe, and touching the forecast box."""
+    west, east, south, north = box
+    right, low = lon0 + (width - 1) * dx, lat0 - (height - 1) * dy
+    steps = (dx > 0) & (dy > 0) & (dx <= 5) & (dy <= 5)
+    globe = lon0.between(-180.5, 180.5) & right.between(-180.5, 180.5) & lat0.between(-90.5, 90.5) & low.between(-90.5, 90.5)
+    return finite(lon0) & finite(lat0) & finite(dx) & finite(dy) & steps & globe & (right >= west) & (lon0 <= east) & (lat0 >= south) & (low <= north)

@@ -85,3 +85,23 @@ def asset_path(url: Column) -> Column:
     """Path of a content-addressed asset in a URL, without query and fragment; else null."""
     path = F.regexp_extract(url, r"(context/assets/[^?#]*)", 1)
     return F.when(path.rlike(r"^context/assets/[A-Za-z0-9._/-]+$"), path)
+
+
+def list_signature(entries: Column) -> Column:
+    """SHA-256 of an array of (id, name) structs in its order."""
+    return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat_ws("\t", e["id"], e["name"])), "\n"), 256)
+
+
+def url_leaves(json: Column) -> Column:
+    """Values of all keys of a JSON document, at any depth, that are `url` or end with `Url`."""
+    return F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]*Url|url)"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+
+
+def safe_path(path: Column) -> Column:
+    """A relative path of plain characters without empty, `.` or `..` parts."""
+    plain = path.rlike(r"^[A-Za-z0-9._/-]+$") & ~path.startswith("/") & ~path.contains("//")
+    return plain & ~F.exists(F.split(path, "/"), lambda p: p.isin(".", ".."))
+
+
+def station_number(value: Column) -> Column:
+    return value.rlike(r"^[0-9]{1,6}$")

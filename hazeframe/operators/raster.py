@@ -92,6 +92,64 @@ def lookup_table(spark: SparkSession) -> DataFrame:
     return none.unionAll(rows)
 
 
+def coloured(cells: DataFrame, value: Column) -> DataFrame:
+    """Adds red, green, blue, alpha of each value; the palette has at most 256 rows, so it is broadcast."""
+    table = lookup_table(cells.sparkSession).select(F.col("index").alias("_i"), "red", "green", "blue", "alpha")
+    return cells.withColumn("_i", palette_index(value)).join(F.broadcast(table), "_i").drop("_i")
+
+
+# Colours of the source mask by code, and how far (L1) a texture and a mask colour may be off.
+MASK = {0: (0, 0, 0, 0), 1: (32, 96, 176, 255), 2: (208, 88, 48, 255), 3: (71, 166, 139, 255)}
+TEXTURE_OFF, MASK_OFF = 12, 1
+
+
+def mask_code(red: Column, green: Column, blue: Column, alpha: Column) -> Column:
+    """Source code of a mask colour; null for colours that are none's."""
+    off = [F.struct(sum((F.abs(c - v) for c, v in zip((red, green, blue, alpha), rgba, strict=True)), F.lit(0)).alias("off"), F.lit(code).alias("code")) for code, rgba in MASK.items()]
+    best = F.array_min(F.array(*off))
+    return F.when(best["off"] <= MASK_OFF, best["code"])
+
+
+def decoded(pixels: DataFrame, key: str) -> DataFrame:
+    """key, index, code, valid of pixels (red, green, blue, alpha and mask_red, ...); an unknown colour fails the read."""
+    near = nearest_colour(pixels, key, TEXTURE_OFF)
+    code = mask_code(*[F.col(f"mask_{c}") for c in ("red", "green", "blue", "alpha")])
+    out = pixels.select(key, code.alias("code")).join(near.select(key, "index"), key, "left")
+    known = F.col("index").isNotNull() & F.col("code").isNotNull()
+    return out.select(key, F.when(known, F.col("index")).otherwise(F.raise_error(F.lit("unknown colour")).cast("int")).alias("index"), "code", (F.col("code") != 0).alias("valid"))
+
+
+def halved(cells: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Every second column and row, renumbered: the overview of a detail grid."""
+    return cells.where((F.col(x) % 2 == 0) & (F.col(y) % 2 == 0)).withColumn(x, (F.col(x) / 2).cast("int")).withColumn(y, (F.col(y) / 2).cast("int"))
+
+
+def quarters(cells: DataFrame, width: int, height: int, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows of the 2 x 2 tiles of a (2 width - 1) x (2 height - 1) grid; the middle column and row are in both."""
+    sides = lambda v, n: F.filter(F.array(F.when(v < n, 0), F.when(v >= n - 1, 1)), lambda k: k.isNotNull())
+    rows = cells.withColumn("tile_row", F.explode(sides(F.col(y), height))).withColumn("tile_column", F.explode(sides(F.col(x), width)))
+    return rows.withColumn("px", F.col(x) - F.col("tile_column") * (width - 1)).withColumn("py", F.col(y) - F.col("tile_row") * (height - 1))
+
+
+def valid_counts(cells: DataFrame, by: str, value: str) -> DataFrame:
+    """by, n, valid: how many of the cells hold a finite value."""
+    good = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return cells.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("valid"))
+
+
+def composed(first: DataFrame, second: DataFrame, weight: Column, covered: Column) -> DataFrame:
+    """A frame of two reprojected fields (x, y, value) by feathered(), in tiles with checked seams left to seam_faults()."""
+    both = first.select("x", "y", F.col("value").alias("first")).join(second.select("x", "y", F.col("value").alias("second")), ["x", "y"], "full_outer")
+    return tiled(feathered(both, F.col("first"), F.col("second"), weight, covered))
+
+
+def reprojected(targets: DataFrame, cells: DataFrame, key: str, grid: dict | None = None) -> DataFrame:
+    """sampled() at targets (lon, lat): on a geographic grid (lon0, lat0, dx, dy), else on the Lambert grid."""
+    lon, lat = F.col("lon"), F.col("lat")
+    x, y = geo.to_grid(lon, lat) if grid is None else geo.grid_place(lon, lat, *[F.lit(float(grid[k])) for k in ("lon0", "lat0", "dx", "dy")])
+    return sampled(targets.withColumn("x", x).withColumn("y", y), cells, key)
+
+
 def nearest_colour(colours: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """key, index, apart: the palette entry nearest by L1 (ties to the smaller index), within most if given.
 

@@ -34,9 +34,11 @@ class SnapshotStore:
         out = self.fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(target, False)
-        if not self.fs.rename(temp, target):
-            raise OSError(f"cannot publish {name}")
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        replace = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        replace[0] = getattr(fs, "Options$Rename").OVERWRITE
+        context = fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(temp, target, replace)  # readers see the old file or the new one
 
     def _read(self, name: str) -> str | None:
         target = self.path(f"{self.root}/{name}")

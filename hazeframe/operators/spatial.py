@@ -189,3 +189,33 @@ def clipped_segment(x0: Column, y0: Column, x1: Column, y1: Column, box=geo.FORE
         low = F.when(p < 0, F.greatest(low, r)).otherwise(low)
         high = F.when(p > 0, F.least(high, r)).otherwise(high)
     return F.when(ok & (low <= high), F.struct(low.alias("t0"), high.alias("t1")))
+
+
+def clipped_lines(points: DataFrame, line: str, order: str, box=geo.FORECAST_BOX) -> DataFrame:
+    """line, piece, seq, x, y: polylines (x, y by order) cut to a box; a line that leaves and returns gives pieces.
+
+    Each stretch between two points is clipped alone; a piece begins where the stretch before is outside or ends short.
+    """
+    w = Window.partitionBy(line).orderBy(order)
+    steps = points.select(line, order, F.lag("x").over(w).alias("x0"), F.lag("y").over(w).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1")).where("x0 IS NOT NULL")
+    cut = clipped_segment(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), box)
+    on = lambda t, c: F.col(f"{c}0") + F.col(f"_c.{t}") * (F.col(f"{c}1") - F.col(f"{c}0"))
+    inside = steps.withColumn("_c", cut)
+    ends = F.coalesce(F.lag("_c.t1").over(w) == 1.0, F.lit(False))
+    new = (~ends | (F.col("_c.t0") > 0)).cast("int")
+    kept = inside.withColumn("_new", new).where("_c IS NOT NULL").withColumn("piece", F.sum("_new").over(w))
+    head = F.struct(F.lit(0).alias("_e"), on("t0", "x").alias("x"), on("t0", "y").alias("y"))
+    tail = F.struct(F.lit(1).alias("_e"), on("t1", "x").alias("x"), on("t1", "y").alias("y"))
+    rows = kept.select(line, "piece", order, F.explode(F.when(F.col("_new") == 1, F.array(head, tail)).otherwise(F.array(tail))).alias("p"))
+    within_piece = Window.partitionBy(line, "piece").orderBy(order, "p._e")
+    return rows.select(line, F.col("piece").cast("int").alias("piece"), F.row_number().over(within_piece).alias("seq"), "p.x", "p.y")
+
+
+def cluster_identity(members: DataFrame, group: str) -> DataFrame:
+    """group, identity, mixed: clusters and their members (cluster, rank, id, system) as one text, and mixed ones counted.
+
+    A group is a screen, so its list is short.
+    """
+    own = members.groupBy(group, "cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("m"), (F.min("system") != F.max("system")).alias("mixed"))
+    texts = own.select(group, "mixed", F.struct(F.get("m.rank", F.lit(0)).alias("first"), F.array_join("m.id", ",").alias("ids")).alias("c"))
+    return texts.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["ids"]), "|").alias("identity"), F.count_if("mixed").alias("mixed"))

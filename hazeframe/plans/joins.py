@@ -240,6 +240,6 @@ def bounds(t):
 
 @query("R28_greedy_clusters")
 def clusters(t):
-    """Screen clusters per nation; order decides, so SQL cannot express it."""
-    rows = t.customer.select(F.col("c_nationkey").alias("screen"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7919 % 1000).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 600).cast("double").alias("y"), F.col("c_custkey").alias("ord"))
+    """Clusters of screens, of some 200 points each; order decides, so SQL cannot express it."""
+    rows = t.customer.select((F.col("c_nationkey") + 25 * F.floor(F.col("c_custkey") / 5000)).cast("long").alias("screen"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7919 % 1000).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 600).cast("double").alias("y"), F.col("c_custkey").alias("ord"))
     return spatial.greedy_clusters(rows, "screen", 40.0)

@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from hazeframe.plans import joins, rasters, readings, snapshots, sources, texts  # noqa: E402,F401
+from hazeframe.plans import contracts, feeds, joins, rasters, readings, snapshots, sources, texts  # noqa: E402,F401

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from hazeframe.functions import clock
+from hazeframe.operators.staging import scratch
 from hazeframe.plans.domain import HOUR_SQL
 from hazeframe.plans.registry import query
-from hazeframe.sources import payloads
+from hazeframe.sources import files, payloads
 from hazeframe.streaming import hourly
 
 
@@ -91,21 +89,16 @@ def _streamed(t):
     return t.spark.readStream.schema(schema).parquet(f"{t.dir}/events.parque[t]").withColumn("at", F.col("ts").cast("timestamp")).withColumn("station", F.col("user_id").cast("int"))
 
 
-def _folder(t):
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or os.path.join(t.spark.conf.get("spark.sql.warehouse.dir"), "_streams")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("T06_streamed_hours", f"""
 SELECT user_id::INT AS station, {HOUR_SQL} AS hour, max_by(value, (ts, event_id)) AS value FROM events GROUP BY ALL""")
 def streamed_hours(t):
     """A stream drained into hourly last writes, in complete mode over the state store."""
-    where = _folder(t)
+    where = scratch(t.spark)
     stream = hourly.hourly_last(hourly.on_time(_streamed(t), "at", "40 days"), "station", "at", "value", "at", "event_id")
     hourly.drained(stream, f"{where}/sink", f"{where}/checkpoint", "complete")
     from hazeframe.operators.series import hour_index
 
-    out = t.spark.read.schema(stream.schema).parquet(f"{where}/sink")
+    out = t.spark.read.schema(stream.schema).parquet(f"{where}/sink/*")
     return out.select("station", hour_index(F.col("hour")).alias("hour"), "value")
 
 
@@ -114,8 +107,51 @@ SELECT user_id::VARCHAR AS source, event_id AS run, CASE WHEN event_id % 3 <> 0
   last(CASE WHEN event_id % 3 <> 0 THEN event_type END IGNORE NULLS) OVER w AS payload FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def streamed_last_good(t):
     """Custom state: a failed outcome repeats its source's last good payload."""
-    where = _folder(t)
+    where = scratch(t.spark)
     outcomes = _streamed(t).select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("run"), (F.col("event_id") % 3 != 0).alias("ok"), F.col("event_type").alias("payload"))
     stream = hourly.last_good_stream(outcomes)
     hourly.drained(stream, f"{where}/sink", f"{where}/checkpoint")
-    return t.spark.read.schema(stream.schema).parquet(f"{where}/sink")
+    return t.spark.read.schema(stream.schema).parquet(f"{where}/sink/*")
+
+
+@query("S04_health_index", "SELECT 'L' || c_custkey AS id, (1 + c_custkey % 9)::DOUBLE AS value, c_custkey % 5 = 0 AS amended FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0")
+def health_index(t):
+    """Feature collections built from customers: old, misplaced and superseded rows go."""
+    k = F.col("c_custkey")
+    at = F.when(k % 3 == 0, "2024-01-01T00:00:00Z").otherwise("2024-01-02T00:00:00Z")
+    props = F.struct(F.concat(F.lit("L"), k).alias("location_id"), F.col("c_name").alias("location_name_en"), at.alias("observation_datetime"), F.when(k % 5 == 0, "amendment").otherwise("observation").alias("observation_type"), (1 + k % 9).cast("double").alias("aqhi"), (k % 7 != 0).alias("latest"))
+    feature = F.struct(F.struct(F.lit("Point").alias("type"), F.array(F.lit(-110.0), F.lit(50.0)).alias("coordinates")).alias("geometry"), props.alias("properties"))
+    raw = t.customer.select(F.to_json(F.struct(F.lit(1).alias("numberMatched"), F.lit(1).alias("numberReturned"), F.array(feature).alias("features"))).alias("body"))
+    return payloads.health_index(raw, "body", F.lit("2024-01-02T01:00:00Z").cast("timestamp")).select("id", "value", "amended")
+
+
+@query("S07_csv_monitors", """
+WITH p AS (SELECT max(o_orderkey) AS top FROM orders),
+h AS (SELECT c_custkey AS id, unnest(generate_series(0, 11)) AS age FROM customer WHERE c_custkey % 4 <> 0)
+SELECT 'E' || id AS id, 473376 AS hour, (id % 30 + 5)::DOUBLE AS nowcast FROM h GROUP BY id""")
+def csv_monitors(t):
+    """The provincial pair of CSV files, written from customers: 12 equal hours each, one station in four of another pollutant."""
+    root = scratch(t.spark)
+    k = F.col("c_custkey")
+    hours = t.customer.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("age"))
+    local = F.timestamp_seconds(F.lit(473376 * 3600) - F.col("age") * 3600 - 8 * 3600)
+    rows = hours.select(F.date_format(local, "yyyy-MM-dd HH:mm").alias("DATE_PST"), F.concat(F.lit("E"), k).alias("EMS_ID"), F.lit("n").alias("STATION_NAME"), F.when(k % 4 == 0, "O3").otherwise("PM25").alias("PARAMETER"), (k % 30 + 5).cast("string").alias("RAW_VALUE"), F.lit("ug/m3").alias("UNITS"), F.lit("50.0").alias("LATITUDE"), F.lit("-120.0").alias("LONGITUDE"))
+    rows.write.csv(f"{root}/hourly", header=True)
+    t.customer.select(F.concat(F.lit("E"), k).alias("EMS_ID"), F.lit("n").alias("STATION_NAME"), F.lit("o").alias("STATION_OWNER"), F.when(k % 2 == 0, "49.0").otherwise("0").alias("LATITUDE"), F.when(k % 2 == 0, "-121.0").otherwise("0").alias("LONGITUDE")).write.csv(f"{root}/stations", header=True)
+    got = files.csv_monitors(t.spark, f"{root}/hourly", f"{root}/stations", 473376)
+    return got.select("id", F.col("hour").cast("int").alias("hour"), "nowcast")
+
+
+@query("J01_located", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 THEN -121.0 ELSE -120.0 END::DOUBLE AS lon FROM customer")
+def located(t):
+    k = F.col("c_custkey")
+    facts = t.customer.select(k.alias("id"), F.lit(-120.0).alias("lon"), F.lit(50.0).alias("lat"))
+    dim = t.customer.where("c_custkey % 3 <> 0").select(k.alias("id"), F.when(k % 5 == 0, 0.0).otherwise(-121.0).alias("lon"), F.when(k % 5 == 0, 0.0).otherwise(49.0).alias("lat"))
+    return files.located(facts, dim).select("id", "lon")
+
+
+@query("S24_index_field", "SELECT count(*) > 0 AS found FROM part WHERE p_partkey = 7")
+def index_field(t):
+    k = F.col("p_partkey")
+    lines = t.part.select(F.concat(k, F.lit(":0:d=2024010100:"), F.when(k == 7, "MASSDEN:8 m above ground").otherwise("TMP:2 m above ground"), F.lit(":1 hour fcst:")).alias("value"))
+    return payloads.has_field(lines)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeframe.functions import air, clock, geo
-from hazeframe.operators import series
+from hazeframe.operators import contract, series
 
 HOURLY = "DATE_PST string, EMS_ID string, STATION_NAME string, PARAMETER string, RAW_VALUE string, UNITS string, LATITUDE string, LONGITUDE string"
 STATIONS = "EMS_ID string, STATION_NAME string, STATION_OWNER string, LATITUDE string, LONGITUDE string"
@@ -49,3 +49,38 @@ def csv_monitors(spark: SparkSession, hourly: str, stations: str, now_hour: int)
     latest = monitors.groupBy("id").agg(F.max_by(F.struct("hour", "nowcast", "aqi", "category"), "hour").alias("m")).select("id", "m.*")
     where = facts.groupBy("id").agg(F.max_by(F.struct("lon", "lat"), "hour").alias("p")).select("id", "p.*")
     return located(latest.join(where, "id"), csv_stations(spark, stations))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def monitor_assets(spark: SparkSession, assets: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Rows of all monitor assets (source, path) that can be read, and (source, ok) outcomes in the given order.
+
+    A missing asset is a partial failure; if every one is missing, the load fails. An asset is a folder or file of JSON
+    lines, each one monitor; rows that break the contract go, legacy rows are normalised, `precedence` keeps the order.
+    """
+    rows, outcomes = None, []
+    for place, (source, path) in enumerate(assets):
+        outcomes.append((source, exists(spark, path)))
+        if outcomes[-1][1]:
+            own = spark.read.schema(contract.MONITOR).json(path).where(contract.valid_monitor()).withColumn("precedence", F.lit(place))
+            rows = own if rows is None else rows.unionByName(own)
+    if rows is None:
+        raise ValueError("no monitor asset could be read")
+    return contract.normalised(rows), spark.createDataFrame(outcomes, "source string, ok boolean")
+
+
+def incident_assets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Incidents of all assets that can be read; of an id the last one wins, by asset and, within one, by place."""
+    there = [(n, p) for n, p in enumerate(paths) if exists(spark, p)]
+    if paths and not there:
+        raise ValueError("no incident asset could be read")
+    rows = None
+    for n, path in there:
+        own = spark.read.schema(contract.INCIDENT + ", place long").json(path).where(contract.valid_incident()).withColumn("precedence", F.lit(n))
+        rows = own if rows is None else rows.unionByName(own)
+    value = [c for c in rows.columns if c not in ("id", "place", "precedence")]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*value), F.struct("precedence", "place")).alias("r")).select("id", "r.*")

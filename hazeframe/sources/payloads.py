@@ -52,6 +52,71 @@ def fires(raw: DataFrame, body: str) -> DataFrame:
     return out.groupBy("id").agg(F.max_by(F.struct(*[c for c in out.columns if c != "id"]), "ord").alias("r")).select("id", "r.*")
 
 
+CANADIAN_FEATURES = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<national_fire_id:string,agency_fire_id:string,firename:string,fireid:string,id:string,fire_was_prescribed:int,fire_size:double,hectares:double,area:double,sizeha:double,status_date:string,record_start:string,lastrepdate:string,updated:string,date:string,stage_of_control_status:string,stage_of_control:string,stageofcontrol:string,status:string>>>"
+
+
+def rings_of(kind: Column, coordinates: Column) -> Column:
+    """Rings, as arrays of (x, y) pairs, of a Polygon's or MultiPolygon's coordinates in JSON; no rings for others."""
+    none = F.array().cast("array<array<array<double>>>")
+    many = F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>"))
+    rings = F.when(kind == "Polygon", F.from_json(coordinates, "array<array<array<double>>>")).when(kind == "MultiPolygon", many)
+    return F.coalesce(F.transform(rings, lambda ring: F.filter(ring, lambda p: F.coalesce(geo.finite(F.get(p, F.lit(0))) & geo.finite(F.get(p, F.lit(1))), F.lit(False)))), none)
+
+
+def canadian_fires(raw: DataFrame, body: str) -> DataFrame:
+    """Incidents: no prescribed burns; the first row of an id in a body counts, and goes if it has no place in the
+    display box or no time; area in hectares; point, or the mean of all vertices."""
+    rows = raw.select(F.from_json(body, CANADIAN_FEATURES).alias("d")).select(F.posexplode("d.features").alias("ord", "f")).select("ord", "f.properties.*", "f.geometry")
+    ident = text.first_identifier(F.col("national_fire_id"), F.col("agency_fire_id"), F.col("firename"), F.col("fireid"), F.col("id"))
+    point = F.from_json("geometry.coordinates", "array<double>")
+    vertices = F.flatten(rings_of(F.col("geometry.type"), F.col("geometry.coordinates")))
+    mean = lambda k: F.aggregate(vertices, F.lit(0.0), lambda a, p: a + p[k]) / F.size(vertices)
+    at = lambda k: F.when(F.col("geometry.type") == "Point", F.get(point, F.lit(k))).when(F.size(vertices) > 0, mean(k))
+    area = F.coalesce(*[air.usable(F.col(c)) for c in ("fire_size", "hectares", "area", "sizeha")])
+    status = F.coalesce("stage_of_control_status", "stage_of_control", "stageofcontrol", "status", F.lit("Reported wildfire"))
+    updated = clock.first_time(*[F.col(c) for c in ("status_date", "record_start", "lastrepdate", "updated", "date")])
+    out = rows.where(F.coalesce("fire_was_prescribed", F.lit(0)) != 1).select("ord", ident.alias("ident"), F.coalesce("agency_fire_id", "firename", "fireid", F.lit("Reported wildfire")).alias("name"), at(0).alias("lon"), at(1).alias("lat"), status.alias("status"), area.alias("hectares"), updated.alias("updated"))
+    first = out.where("ident IS NOT NULL").groupBy("ident").agg(F.min_by(F.struct("name", "lon", "lat", "status", "hectares", "updated"), "ord").alias("r"))
+    kept = first.select(F.concat(F.lit("CA:"), "ident").alias("id"), "r.*")
+    return kept.where(geo.in_display(F.col("lon"), F.col("lat")) & F.col("updated").isNotNull())
+
+
+def with_legacy(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """Columns that changed their names: the first of the given ones that the table has, else null."""
+    have = [F.coalesce(*[F.col(c) for c in own if c in rows.columns], F.lit(None)).alias(name) for name, own in names.items()]
+    return rows.select(*[c for c in rows.columns if c not in {x for own in names.values() for x in own}], *have)
+
+
+def first_named(entries: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """key, name: the first entry of each key, replaced by the first one with a name if it has none."""
+    return entries.groupBy(key).agg(F.min_by(name, F.struct((F.coalesce(name, F.lit("")) == "").alias("empty"), order)).alias(name))
+
+
+PARAMETERS, STATION = "array<struct<id:string,nombre:string>>", "array<struct<lat:string,Latitud:string,long:string,lon:string,Longitud:string,edo:string,estado:string,munc:string,municipio:string,redNom:string,nombre:string>>"
+
+
+def station_metadata(rows: DataFrame) -> DataFrame:
+    """id, name, agency, lon, lat, state, municipality of stations (id, fallback, parameters, meta: JSON arrays) that
+    measure PM2.5, have a numeric id and lie in bounds."""
+    measured = F.exists(F.from_json("parameters", PARAMETERS), lambda p: F.upper(F.coalesce(F.nullif(p["id"], F.lit("")), p["nombre"])).rlike(r"2\.5|^PM\s*25$"))
+    body = F.when(F.btrim("meta").startswith("["), F.col("meta")).otherwise(F.concat(F.lit("["), "meta", F.lit("]")))
+    m = rows.where(text.station_number(F.col("id")) & measured).withColumn("m", F.get(F.from_json(body, STATION), F.lit(0)))
+    number = lambda *names: F.coalesce(*[F.expr(f"try_cast(nullif(m.{n}, '') as double)") for n in names])
+    out = m.select("id", text.clean(F.coalesce("m.nombre", F.nullif("fallback", F.lit("")), "id")).alias("name"), text.clean(F.coalesce("m.redNom", F.lit("INECC/SINAICA"))).alias("agency"), number("long", "lon", "Longitud").alias("lon"), number("lat", "Latitud").alias("lat"), F.coalesce("m.edo", "m.estado").alias("state"), F.coalesce("m.munc", "m.municipio").alias("municipality"))
+    return out.where(geo.in_monitor_regions(F.col("lon"), F.col("lat")))
+
+
+def capabilities(raw: DataFrame, key: str, body: str, layer: str) -> DataFrame:
+    """key, run, times: newest reference time and sorted distinct valid times of one layer of an XML description."""
+    own = f"//*[local-name()='Layer'][*[local-name()='Name']='{layer}']/*[local-name()='Dimension' or local-name()='Extent']"
+    lower = "translate(@name,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+    of = lambda *names: F.xpath(F.col(body), F.lit(f"{own}[{' or '.join(f'{lower}={n!r}' for n in names)}]/text()"))
+    found = raw.select(key, F.btrim(F.get(of("time"), F.lit(0))).alias("time"), F.btrim(F.get(of("reference_time", "reference-time"), F.lit(0))).alias("reference"))
+    times = found.select(key, dimension_values(F.col("time")).alias("times"), dimension_values(F.coalesce("reference", F.lit(""))).alias("runs"))
+    run = F.coalesce(F.array_max("runs"), F.get("times", F.lit(0)))
+    return times.where(F.size("times") > 0).select(key, run.alias("run"), F.array_sort(F.array_distinct("times")).alias("times"))
+
+
 def options(html: Column, select_id: str) -> Column:
     """(value, label) structs of the options inside one select element."""
     inner = F.regexp_extract(html, rf"(?is)<select[^>]*\bid=[\"']{select_id}[\"'][^>]*>(.*?)</select>", 1)

@@ -30,7 +30,8 @@ def sliding_mean(events: DataFrame, key: str, time: str, value: str, span: str =
 def last_good_stream(outcomes: DataFrame, key: str = "source") -> DataFrame:
     """source, run, status, payload for outcomes (source, run, ok, payload): a failed run repeats the last good payload.
 
-    State is one payload per source; sources are few, and a source's rows of a batch arrive in pieces.
+    State is one payload per source. A source's rows of one batch are sorted in one task, so bound a batch by the
+    stream's own limits (maxFilesPerTrigger) where a source is busy.
     """
 
     def step(k: tuple, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -49,10 +50,11 @@ def last_good_stream(outcomes: DataFrame, key: str = "source") -> DataFrame:
 
 
 def drained(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run over all that is there and stop; complete results replace the sink."""
+    """Run over all that is there and stop. A batch has a folder of its own below the sink, so one that is tried again
+    replaces itself; complete results replace the one folder they have. Read the sink by its folders: `sink/*`."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(sink)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/{f'{number:08d}' if mode == 'append' else 'whole'}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()

@@ -61,8 +61,10 @@ def slots(*values):
 @pytest.mark.parametrize(
     ("values", "nowcast", "index"),
     [
-        ((21, None, 35, 49.2, 48.6, 53.7, 66.2, 69.2, 64.9, 50, 43, 34.9), 28.4, 87),
-        ((10, None, 30), 14.0, 60),
+        ((40, None, 20), 36.0, 102),  # weight 0.5: (40 + 20 / 4) / (1 + 1 / 4)
+        ((30, None, 30), 30.0, 90),
+        ((-2, 0, 0), 0.0, 0),
+        ((-20, 0, 0, *(-20,) * 9), -12.4, 0),  # weight 0.5 at a maximum of 0 below which there is more; cut towards 0
         ((10,), None, None),
         ((0,) * 12, 0.0, 0),
         ((100, *(0,) * 11), 50.0, 137),
@@ -164,7 +166,7 @@ def test_snapshots_appear_only_when_published(spark, tmp_path):
     assert store.current()["t"].count() == 5
 
 
-def test_station_records_filter_and_keep_the_newest(spark):
+def test_station_records_keep_good_rows(spark):
     body = """[
       {"Parameter":"PM2.5","Latitude":40.0,"Longitude":-100.0,"AQI":50,"Value":9.0,"Unit":"UG/M3","UTC":"2024-07-15T18:00","FullAQSCode":"840010010001","SiteName":"A","AgencyName":"X"},
       {"Parameter":"OZONE","Latitude":40.0,"Longitude":-100.0,"AQI":99,"Value":9.0,"Unit":"PPB","UTC":"2024-07-15T19:00","FullAQSCode":"840010010001","SiteName":"A","AgencyName":"X"},
@@ -180,3 +182,162 @@ def test_core_does_not_import_the_corpus_operators():
     for path in pathlib.Path(registry.__file__).parents[1].rglob("*.py"):
         if path.parent.name != "llm":
             assert "hazeframe.llm" not in path.read_text()
+
+
+def test_stations_merge_in_reading_order(spark):
+    """Chains and equal ids, against a plain walk over a list."""
+    import random
+
+    rng = random.Random(4)
+    step = 0.00125  # degrees of latitude: about 139 metres, so only neighbours in a chain are near
+    rows = [(f"s{rng.randint(0, 45)}", f"Plant {'north' if rng.random() < 0.9 else 'south'}", -100.0, 40 + step * rng.randint(0, 40), rng.choice(["airnow", "bcair"]), "epa", float(rng.choice([-10, 5, 30, 60, 119, 150, 200])), n) for n in range(120)]
+    rows = [(i, name, x, y, source, system, age, source != "airnow", n) for i, name, x, y, source, system, age, n in rows]
+    df = spark.createDataFrame(rows, "id string, name string, lon double, lat double, source string, system string, age_min double, local boolean, ord long")
+
+    def same(a, b):
+        near = math.radians(abs(a[3] - b[3])) * 6371000 <= 150
+        return a[0] == b[0] or (a[4] != b[4] and near and a[1] == b[1])
+
+    kept = []
+    for row in rows:
+        place = next((n for n, other in enumerate(kept) if same(other, row)), None)
+        if place is None:
+            kept.append(row)
+            continue
+        old = kept[place]
+        was, now = 0 <= old[6] <= 120, 0 <= row[6] <= 120
+        if now and not was or was == now and (row[7] and not old[7] or row[7] == old[7] and row[6] < old[6] or old[7] and not row[7] and row[6] < old[6]):
+            kept[place] = row
+    assert 20 < len(kept) < 110
+    assert sorted(r["ord"] for r in spatial.merge_stations(df).collect()) == sorted(r[8] for r in kept)
+
+
+def test_nearest_matches_brute_force_and_has_no_limit(spark):
+    left = spark.createDataFrame([(i, -140 + i * 37 % 280 * 1.0, -70 + i * 53 % 140 * 1.0) for i in range(80)], "a int, lon double, lat double")
+    right = spark.createDataFrame([(i, -130 + i * 3.0, 40 + i % 5 * 1.0) for i in range(25)], "b int, r_lon double, r_lat double")
+    pairs = left.crossJoin(right).withColumn("km", spatial.geo.kilometres(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))).collect()
+    want = {}
+    for r in pairs:
+        want[r["a"]] = min(want.get(r["a"], (math.inf, 0)), (r["km"], r["b"]))
+    assert {r["a"]: (r["km"], r["b"]) for r in spatial.nearest(left, right, "a", "b").collect()} == want
+    assert spatial.nearest(left, right.limit(0), "a", "b").collect() == []
+
+
+def test_clipped_lines_match_a_walk(spark):
+    rows = registry.QUERIES["R25_clipped_lines"](spark, SF).collect()
+    points = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id").orderBy("event_id").collect():
+        points.setdefault(r[0], []).append((r[1] * 7919 % 16000 / 100 - 170, r[1] * 104729 % 8500 / 100))
+    want = []
+    for user, line in points.items():
+        pieces, end = [], None
+        for (x0, y0), (x1, y1) in zip(line, line[1:]):
+            low, high = 0.0, 1.0
+            for p, q in ((x0 - x1, x0 + 145), (x1 - x0, -45 - x0), (y0 - y1, y0 - 10), (y1 - y0, 72 - y0)):
+                if p == 0:
+                    high = -1.0 if q < 0 else high
+                elif p < 0:
+                    low = max(low, q / p)
+                else:
+                    high = min(high, q / p)
+            if low > high:
+                end = None
+                continue
+            a, b = (x0 + low * (x1 - x0), y0 + low * (y1 - y0)), (x0 + high * (x1 - x0), y0 + high * (y1 - y0))
+            if end is None or low > 0:
+                pieces.append([a])
+            pieces[-1].append(b)
+            end = b if high == 1.0 else None
+        want += [(user, n + 1, k + 1, x, y) for n, piece in enumerate(pieces) for k, (x, y) in enumerate(piece)]
+    got = sorted((r["user_id"], r["piece"], r["seq"], r["x"], r["y"]) for r in rows)
+    assert len(got) == len(want) > 500
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-5)
+
+
+def test_rings_match_a_plain_clip(spark):
+    got = {r["c_custkey"]: (r["corners"], r["area"]) for r in registry.QUERIES["R21_clipped_rings"](spark, SF).collect()}
+    for k, (corners, area) in got.items():
+        ring = [(-150.0 + k * 7 % 110 + dx, k * 3 % 75 + dy + 0.0) for dx, dy in ((0, 0), (12, 0), (6, 9))]
+        for axis, edge, sign in ((0, -145, 1), (0, -45, -1), (1, 10, 1), (1, 72, -1)):
+            out = []
+            for n, p in enumerate(ring):
+                q = ring[n - 1]
+                if ((p[axis] - edge) * sign >= 0) != ((q[axis] - edge) * sign >= 0):
+                    t = (edge - q[axis]) / (p[axis] - q[axis])
+                    out.append(tuple(q[i] + (p[i] - q[i]) * t for i in (0, 1)))
+                if (p[axis] - edge) * sign >= 0:
+                    out.append(p)
+            ring = out
+        assert corners == len(ring)
+        assert area == pytest.approx(abs(sum(ring[n - 1][0] * p[1] - p[0] * ring[n - 1][1] for n, p in enumerate(ring))) / 2, abs=1e-5)
+
+
+def test_placed_labels_match_a_walk(spark):
+    from hazeframe.plans import feeds
+
+    tables = registry.Tables(spark, SF)
+    want = []
+    by = {}
+    for r in feeds.label_rows(tables).collect():
+        by.setdefault(r["screen"], []).append(r)
+    for screen, rows in by.items():
+        taken, counted = [], 0
+        for r in sorted(rows, key=lambda r: (*r["priority"], not r["retained"], r["id"])):
+            if r["counts"] and counted >= 12:
+                continue
+            if all(abs(r["x"] - o["x"]) >= 64 or abs(r["y"] - o["y"]) >= 20 for o in taken):
+                taken.append(r)
+                counted += r["counts"]
+        want += [(screen, r["id"]) for r in taken]
+    assert sorted((r["screen"], r["id"]) for r in registry.QUERIES["W15_placed_labels"](spark, SF).collect()) == sorted(want)
+
+
+def test_bounded_sources_match_a_walk(spark):
+    from hazeframe.plans import feeds
+
+    by, want = {}, []
+    for r in feeds.source_rows(registry.Tables(spark, SF)).orderBy("ord").collect():
+        by.setdefault(r["client"], []).append(r)
+    for client, rows in by.items():
+        seen, frames, groups = set(), {}, {}
+        for r in rows:
+            if r["key"] in seen:
+                continue
+            seen.add(r["key"])
+            own = frames.setdefault(r["surface"], [])
+            if r["frame"] not in own:
+                own.append(r["frame"])
+            if own.index(r["frame"]) < 3:
+                groups.setdefault((r["grp"] or r["key"]) if r["optional"] else r["key"], []).append(r)
+        used = 0
+        for group in sorted(groups.values(), key=lambda g: (min(r["rank"] for r in g), g[0]["ord"])):
+            size = sum(r["bytes"] for r in group)
+            if any(not r["optional"] for r in group) or used + size <= 9000:
+                used += size
+                want += [(client, r["key"]) for r in group]
+    assert sorted((r["client"], r["key"]) for r in registry.QUERIES["R32_bounded_sources"](spark, SF).collect()) == sorted(want)
+
+
+def test_missing_assets_are_a_partial_failure(spark, tmp_path):
+    from hazeframe.sources import files
+
+    (tmp_path / "a").write_text('{"id": "a", "name": "n", "agency": "g", "lon": -100.0, "lat": 40.0, "observedAt": "2024-01-01T00:00:00Z", "category": "Good", "aqi": 12, "concentration": 3, "unit": "ug/m3"}\n{"id": ""}\n')
+    rows, outcomes = files.monitor_assets(spark, [("airnow", f"file://{tmp_path}/a"), ("bcair", f"file://{tmp_path}/b")])
+    assert [(r["indexSystem"], r["indexValue"]) for r in rows.collect()] == [("us-epa-pm25-aqi", 12.0)]
+    assert [r["ok"] for r in outcomes.collect()] == [True, False]
+    with pytest.raises(ValueError, match="no monitor asset"):
+        files.monitor_assets(spark, [("bcair", f"file://{tmp_path}/b")])
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    from hazeframe.streaming import hourly
+
+    for n, hours in enumerate(((0, 30), (29,), (1, 31), (60,))):  # hour 1 comes two batches after hour 30 was seen
+        df = spark.createDataFrame([("s", h, float(h)) for h in hours], "station string, h int, value double")
+        df.select("station", F.timestamp_seconds(F.col("h") * 3600).alias("at"), "value").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    schema = "station string, at timestamp, value double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    hours = hourly.hourly_last(hourly.on_time(stream, "at", "12 hours"), "station", "at", "value", "at")
+    hourly.drained(hours, f"{tmp_path}/sink", f"{tmp_path}/checkpoint")
+    assert sorted(r["value"] for r in spark.read.parquet(f"{tmp_path}/sink/*").collect()) == [0.0, 29.0, 30.0, 31.0]
