@@ -1,30 +1,16 @@
-"""Shared pieces: shared scratch folder, staged tables, batching of Arrow text, connected components."""
+"""Shared pieces: staged tables and components of the core, batching of Arrow text."""
 
 from __future__ import annotations
 
 import gc
-import os
-import uuid
 
-import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from hazeframe.operators.graph import components
+from hazeframe.operators.staging import clear, scratch, staged
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset (tests) below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
-        spark.conf.get("spark.sql.warehouse.dir"), "_scratch"
-    )
-    return f"{base.rstrip('/')}/hazeframe-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["chunks", "clear", "components", "partitions", "release", "scratch", "staged"]
 
 
 def release(spark: SparkSession) -> None:
@@ -52,39 +38,3 @@ def chunks(batches, text: int, max_bytes: int = 2 << 20):
                 start, total = i, 0
             total += int(n)
         yield batch.slice(start)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges(a, b), as (node, component): the smallest node reachable.
-
-    Each round hooks every component to its smallest neighbour, jumps to the roots and contracts the edges, over staged
-    tables. Such hooks close no cycle but those of two components, of which the smaller becomes the root, so every
-    component that still has an edge merges and their number halves at least: log2(nodes) rounds on any graph, each with
-    log2(depth) jumps. Nodes without an edge are absent. Only whether rows changed or are left reaches the driver.
-    """
-    both = staged(
-        edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
-    )
-    label = None
-    while True:
-        near = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")))
-        back = near.select(F.col("node").alias("up"), F.col("up").alias("back"))
-        own = (F.col("back") == F.col("node")) & (F.col("node") < F.col("up"))
-        tree = staged(near.join(back, "up").select("node", F.when(own, F.col("node")).otherwise(F.col("up")).alias("root")))
-        changed = True
-        while changed:
-            jump = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            new = staged(tree.join(jump, "root").select("node", F.col("root").alias("old"), F.col("next").alias("root")))
-            changed = new.where("old <> root").limit(1).count()
-            tree = new.select("node", "root")
-        if label is None:
-            label = tree
-        else:
-            jump = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            label = staged(label.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-        ends = [tree.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")) for c in ("a", "b")]
-        both = staged(both.join(ends[0], "a").join(ends[1], "b").where("r_a <> r_b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct())
-        if not both.limit(1).count():
-            break
-    low = label.groupBy("root").agg(F.min("node").alias("component"))
-    return staged(label.join(low, "root").select("node", "component"))
