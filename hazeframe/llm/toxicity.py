@@ -5,7 +5,7 @@ Training reads a bounded sample of labelled rows: at most `train_rows` rows whos
 1. features: words and word beginnings (3 to 8 letters) whose document counts tell labels 0 and 1 apart,
 2. token labels: tokens of label-1 rows that hold a telling feature are toxic, all other tokens are not,
 3. a two-state CRF (state weights per feature, bias, transitions), fitted by gradient ascent on the likelihood of
-   blocks of 64 tokens, and
+   blocks of 64 tokens (at most 2 * most_blocks, evenly spaced; at most most_features features), and
 4. a logistic layer from sums of forward-backward marginals to the row's label.
 
 Scoring is one narrow pass over whole texts. Tokens without a known feature share one potential, so forward-backward
@@ -59,6 +59,14 @@ class Model:
         self.trans = tuple(map(float, t.ravel()))
         self.cache: dict[str, float] = {}
 
+    def gap(self, n: int) -> tuple:
+        """The steps over n tokens without a feature, as one matrix up to a factor."""
+        if n <= POWERS:
+            return self.powers[n]
+        a, b = (np.array(self.gap(k)).reshape(2, 2) for k in (n // 2, n - n // 2))
+        m = a @ b
+        return tuple(map(float, (m / m.max()).ravel()))
+
     def weight(self, token: str) -> float:
         got = self.cache.get(token)
         if got is None:
@@ -75,7 +83,7 @@ class Model:
         a, b, last = 1.0, e0, 0  # state weights at token 0 before its own extra potential
         p = self.powers
         for place, extra in zip(at, w, strict=True):
-            m = p[min(place - last, POWERS)]
+            m = p[place - last] if place - last <= POWERS else self.gap(place - last)
             a, b = a * m[0] + b * m[2], a * m[1] + b * m[3]
             b *= np.exp(extra)
             s = a + b
@@ -84,7 +92,7 @@ class Model:
             last = place
         c, d, last = 1.0, 1.0, n - 1
         for (a, b), place, extra in zip(reversed(forward), reversed(at), reversed(w), strict=True):
-            m = p[min(last - place, POWERS)]
+            m = p[last - place] if last - place <= POWERS else self.gap(last - place)
             c, d = m[0] * c + m[1] * d, m[2] * c + m[3] * d
             s = c + d
             c, d = c / s, d / s
@@ -120,95 +128,115 @@ class Model:
 
 
 def telling(texts: list[str], labels: np.ndarray, most: int = 3000) -> dict[str, float]:
-    """Features and the share of label 1 among the rows that hold them, for those far above the base rate."""
-    ones, every = Counter(), Counter()
-    for text, y in zip(texts, labels, strict=True):
-        own = {f for t in set(TOKEN.findall(text.lower())) for f in features(t)}
-        every.update(own)
-        if y:
-            ones.update(own)
+    """At most `most` features, by share and count, and their share of label 1 among the rows that hold them: those far
+    above the base rate."""
+    ids: dict[str, int] = {}
+    own = [np.unique([ids.setdefault(t, len(ids)) for t in TOKEN.findall(text.lower())]).astype(np.int64) for text in texts]
+    names: dict[str, int] = {}
+    lists = [[names.setdefault(f, len(names)) for f in features(t)] for t in ids]
+    size = np.array([len(x) for x in lists], np.int64)
+    flat = np.array([f for x in lists for f in x], np.int64)
+    first = np.cumsum(size) - size
+    row, token = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.zeros(0, np.int64), *own])
+    many = size[token]
+    after = np.cumsum(many)
+    held = flat[np.repeat(first[token] - (after - many), many) + np.arange(int(many.sum()))]
+    both = np.unique(np.repeat(row, many) * max(1, len(names)) + held)
+    row, held = both // max(1, len(names)), both % max(1, len(names))
+    every = np.bincount(held, minlength=len(names))
+    ones = np.bincount(held, weights=labels[row], minlength=len(names))
     base = labels.mean()
-    score = {}
-    for f, k in ones.items():
-        n = every[f]
-        share = (k + base) / (n + 1)
-        z = (k - n * base) / np.sqrt(n * base * (1 - base) + 1e-9)
-        if k >= 4 and share > 0.5 and z > 5:
-            score[f] = share
-    return dict(sorted(score.items(), key=lambda x: (-x[1] * min(every[x[0]], 30), x[0]))[:most])
-
-
-def fit_chain(blocks: list[list[list[int]]], tags: list[np.ndarray], n_features: int, rounds: int = 150, rate: float = 0.5) -> tuple[np.ndarray, float, np.ndarray]:
-    """Feature weights, bias and transitions that maximise the blocks' conditional likelihood (Adam, L2)."""
-    size = max(map(len, blocks))
-    mask = np.zeros((len(blocks), size), bool)
-    gold = np.zeros((len(blocks), size), np.int64)
-    rows, cols, feats = [], [], []
-    for i, b in enumerate(blocks):
-        mask[i, : len(b)] = True
-        gold[i, : len(b)] = tags[i]
-        for j, fs in enumerate(b):
-            rows += [i] * len(fs)
-            cols += [j] * len(fs)
-            feats += fs
-    rows, cols, feats = map(np.array, (rows, cols, feats))
+    share = (ones + base) / (every + 1)
+    z = (ones - every * base) / np.sqrt(every * base * (1 - base) + 1e-9)
+    good = (ones >= 4) & (share > 0.5) & (z > 5)
+    found = [(-share[i] * min(every[i], 30), f, float(share[i])) for f, i in names.items() if good[i]]
+    return {f: x for _, f, x in sorted(found)[:most]}
+
+
+def fit_chain(blocks: list[list[list[int]]], tags: list[np.ndarray], n_features: int, times: list[int] | None = None, rounds: int = 150, rate: float = 0.5) -> tuple[np.ndarray, float, np.ndarray]:
+    """Feature weights, bias and transitions that maximise the conditional likelihood of the blocks, each counted
+    `times` times (Adam, L2)."""
+    size, n = max(map(len, blocks)), len(blocks)
+    times = np.ones(n) if times is None else np.array(times, float)
+    mask = np.arange(size)[:, None] < np.array([len(b) for b in blocks])[None, :]  # [place][block]
+    gold = np.zeros((size, n), np.int64)
+    cell, feats = [], []
+    for i, (block, tag) in enumerate(zip(blocks, tags, strict=True)):
+        gold[: len(block), i] = tag
+        for j, own in enumerate(block):
+            cell += [j * n + i] * len(own)
+            feats += own
+    cell, feats = np.array(cell, np.int64), np.array(feats, np.int64)
     theta = np.zeros(n_features + 5)
     theta[n_features] = -3.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    both = mask[:, 1:] & mask[:, :-1]
-    pair = np.zeros(4)
-    np.add.at(pair, (gold[:, :-1] * 2 + gold[:, 1:])[both], 1)
+    both = np.where(mask[1:], times, 0.0)  # weight of each pair of neighbours
+    pair = np.bincount((gold[:-1] * 2 + gold[1:]).ravel(), both.ravel(), 4)
+    a0, a1, b0, b1 = (np.ones((size, n)) for _ in range(4))
     for k in range(1, rounds + 1):
-        unary = np.zeros((len(blocks), size))
+        unary = np.full((size, n), theta[n_features])
         if len(feats):
-            np.add.at(unary, (rows, cols), theta[feats])
-        unary += theta[n_features]
-        t = np.exp(theta[n_features + 1 :]).reshape(2, 2)
-        e = np.stack([np.ones_like(unary), np.exp(np.clip(unary, -30, 30))], -1)
-        alpha, beta = np.zeros((*mask.shape, 2)), np.ones((*mask.shape, 2))
-        alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
+            unary += np.bincount(cell, theta[feats], size * n).reshape(unary.shape)
+        e = np.exp(np.clip(unary, -30, 30))
+        t00, t01, t10, t11 = np.exp(theta[n_features + 1 :])
+        a0[0], a1[0] = 1 / (1 + e[0]), e[0] / (1 + e[0])
         for j in range(1, size):
-            a = (alpha[:, j - 1] @ t) * e[:, j]
-            alpha[:, j] = np.where(mask[:, j, None], a / a.sum(1, keepdims=True), alpha[:, j - 1])
+            x0, x1 = a0[j - 1] * t00 + a1[j - 1] * t10, (a0[j - 1] * t01 + a1[j - 1] * t11) * e[j]
+            total = x0 + x1
+            a0[j], a1[j] = x0 / total, x1 / total
+        b0[-1] = b1[-1] = 1.0
         for j in range(size - 2, -1, -1):
-            b = (beta[:, j + 1] * e[:, j + 1]) @ t.T
-            beta[:, j] = np.where(mask[:, j + 1, None], b / b.sum(1, keepdims=True), 1.0)
-        post = alpha * beta
-        post /= post.sum(2, keepdims=True)
-        joint = alpha[:, :-1, :, None] * t * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-        joint /= joint.sum((2, 3), keepdims=True)
-        gap = np.where(mask, gold - post[:, :, 1], 0.0)
+            y1 = e[j + 1] * b1[j + 1]
+            x0, x1 = t00 * b0[j + 1] + t01 * y1, t10 * b0[j + 1] + t11 * y1
+            total = x0 + x1
+            b0[j], b1[j] = np.where(mask[j + 1], x0 / total, 1.0), np.where(mask[j + 1], x1 / total, 1.0)
+        gap = np.where(mask, gold - a1 * b1 / (a0 * b0 + a1 * b1), 0.0) * times
+        y1 = e[1:] * b1[1:]
+        joint = np.stack([a0[:-1] * t00 * b0[1:], a0[:-1] * t01 * y1, a1[:-1] * t10 * b0[1:], a1[:-1] * t11 * y1])
+        joint *= both / joint.sum(0)
         grad = np.zeros_like(theta)
         if len(feats):
-            np.add.at(grad, feats, gap[rows, cols])
+            grad[:n_features] = np.bincount(feats, gap.ravel()[cell], n_features)
         grad[n_features] = gap.sum()
-        grad[n_features + 1 :] = pair - joint[both].sum(0).ravel()
-        grad = grad / len(blocks) - 1e-3 * theta
+        grad[n_features + 1 :] = pair - joint.sum((1, 2))
+        grad = grad / times.sum() - 1e-3 * theta
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta + rate * 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
     return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :]
 
 
-def fit(rows: list[tuple[str, int]], most_blocks: int = 4000) -> Model:
+def spaced(blocks: list, most: int) -> list:
+    """At most `most` of the blocks, evenly spaced over all."""
+    return blocks if len(blocks) <= most else [blocks[i] for i in np.linspace(0, len(blocks) - 1, most).astype(int)]
+
+
+def fit(rows: list[tuple[str, int]], most_features: int = 3000, most_blocks: int = 4000) -> Model:
+    """The model of all rows. The chain is fitted on at most most_blocks blocks with a telling feature and as many
+    without one, evenly spaced over the rows; features are at most most_features."""
     labels = np.array([y for _, y in rows])
     if not len(rows) or labels.min() == labels.max():
         return Model(prior=float(labels.mean()) if len(rows) else 0.0)
     texts = [t for t, _ in rows]
-    share = telling(texts, labels)
+    share = telling(texts, labels, most_features)
     index = {f: i for i, f in enumerate(share)}
-    blocks, tags, plain, plain_tags = [], [], [], []
+    blocks, plain = [], []
+    held: dict[str, list[int]] = {}
     for text, y in zip(texts, labels, strict=True):
-        tokens = TOKEN.findall(text.lower())
-        known = [[index[f] for f in features(t) if f in index] for t in tokens]
-        for lo in range(0, len(tokens), BLOCK):
+        known = []
+        for t in TOKEN.findall(text.lower()):
+            if (own := held.get(t)) is None:
+                own = held[t] = [index[f] for f in features(t) if f in index]
+            known.append(own)
+        for lo in range(0, len(known), BLOCK):
             part = known[lo : lo + BLOCK]
-            into, into_tags = (blocks, tags) if any(part) else (plain, plain_tags)
-            if len(into) < most_blocks:
-                into.append(part)
-                into_tags.append(np.array([int(bool(y and f)) for f in part]))
+            (blocks if any(part) else plain).append((part, y))
     model = Model(trained=True, prior=float(labels.mean()))
     if blocks:
-        w, bias, transitions = fit_chain(blocks + plain[: len(blocks)], tags + plain_tags[: len(blocks)], len(index))
+        blocks = spaced(blocks, most_blocks)
+        used = blocks + spaced(plain, len(blocks))
+        times = Counter((tuple(map(tuple, part)), bool(y)) for part, y in used)  # copies count as often as they occur
+        tags = [np.array([int(bool(y and f)) for f in part]) for part, y in times]
+        w, bias, transitions = fit_chain([part for part, _ in times], tags, len(index), list(times.values()))
         model.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
         model.bias, model.transitions = bias, tuple(map(float, transitions))
     model.prepare()
@@ -226,13 +254,13 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, train_rows: int = 6000, train_chars: int = 20000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample: train_rows rows of at most train_chars characters."""
+def train(documents: DataFrame, labels: DataFrame, train_rows: int = 6000, train_chars: int = 20000, most_features: int = 3000, most_blocks: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on a bounded sample: train_rows rows of at most train_chars characters; see fit() for the other bounds."""
     agreed = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_z")).where("_y = _z")
     sample = agreed.orderBy(F.xxhash64(id_col), id_col).limit(train_rows).select(id_col, "_y")
     rows = documents.select(id_col, F.col(text_col).alias("_t")).where(F.length("_t") <= train_chars).join(F.broadcast(sample), id_col)  # at most train_rows rows
     got = rows.orderBy(F.xxhash64(id_col), id_col, "_t").limit(train_rows).collect()
-    return fit([(r["_t"], int(r["_y"])) for r in got])
+    return fit([(r["_t"], int(r["_y"])) for r in got], most_features, most_blocks)
 
 
 def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,9 @@
 """Toxicity: held-out ranking on labelled rows, defined scores for odd rows."""
 
+import numpy as np
+import pytest
+
+from hazeframe.llm import toxicity
 from hazeframe.llm.toxicity import drop_toxic, score_documents, train
 
 SF = "/root/testdata/sf0.01"
@@ -21,3 +25,44 @@ def test_held_out_rows_are_ranked(spark, odd):
 def test_without_labels(spark, odd):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in score_documents(odd, train(odd, empty)).collect()} == {0.0}
+
+
+def test_marginals_match_plain_forward_backward():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(bias=-1.5, transitions=(0.4, -0.3, -0.2, 0.9), trained=True)
+    model.prepare()
+    for n, places in ((1, [0]), (5, [0, 1, 4]), (40, [3, 4, 5, 30]), (900, [0, 10, 700, 899])):
+        extra = rng.normal(0, 2, len(places))
+        t = np.exp(np.array(model.transitions).reshape(2, 2))
+        e = np.ones((n, 2))
+        e[:, 1] = np.exp(model.bias)
+        e[places, 1] *= np.exp(extra)
+        forward, backward = np.zeros((n, 2)), np.ones((n, 2))
+        forward[0] = e[0] / e[0].sum()
+        for i in range(1, n):
+            x = (forward[i - 1] @ t) * e[i]
+            forward[i] = x / x.sum()
+        for i in range(n - 2, -1, -1):
+            x = t @ (e[i + 1] * backward[i + 1])
+            backward[i] = x / x.sum()
+        both = forward * backward
+        want = (both / both.sum(1, keepdims=True))[places, 1]
+        assert model.marginals(places, extra.tolist(), n) == pytest.approx(want, rel=1e-9)
+
+
+def test_chain_gradient_fits_separable_tags():
+    blocks = [[[0], [], [1], []], [[], [0], []], [[1], [1]]]
+    tags = [np.array([1, 0, 0, 0]), np.array([0, 1, 0]), np.array([0, 0])]
+    once = toxicity.fit_chain(blocks * 3, tags * 3, 2)
+    counted = toxicity.fit_chain(blocks, tags, 2, [3, 3, 3])
+    assert np.allclose(once[0], counted[0]) and once[0][0] > 1 > -0.1 > once[0][1]
+
+
+def test_bounds_keep_all_rows_in_view():
+    assert toxicity.spaced(list(range(100)), 5) == [0, 24, 49, 74, 99] and toxicity.spaced([1, 2], 5) == [1, 2]
+
+
+def test_odd_rows_train_and_score(spark, documents, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    rows = toxicity.score_documents(odd, toxicity.train(odd, labels)).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
