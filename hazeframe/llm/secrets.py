@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import clear_of, named, rendered, with_matches
+from .spans import clear_of, named, rendered, running, with_matches
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9+/_.=-]++"
@@ -113,12 +113,12 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found, hits = scanned(read, text, samples, margin)
     every = F.array_sort(F.concat("_base", named(hits, "markov", len(KINDS))))
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.substr(text, acc["pos"] + 1, x["s"] - acc["pos"]), F.lit(marker))
-        fresh = x["s"] >= acc["pos"]
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+    def step(state: Column, x: Column) -> Column:
+        return F.struct(state["upto"].alias("before"), x["s"].alias("s"), F.greatest(state["upto"], x["e"]).alias("upto"))
 
-    walked = F.aggregate("_every", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text))))
+    states = running(F.col("_every"), F.struct(F.lit(0).alias("before"), F.lit(0).alias("s"), F.lit(0).alias("upto")), step)
+    piece = lambda t: F.when(t["s"] >= t["before"], F.concat(F.substr(text, t["before"] + 1, t["s"] - t["before"]), F.lit(marker))).otherwise("")
+    walked = F.concat(F.array_join(F.transform(states, piece), ""), F.substr(text, F.array_max(F.transform("_every", lambda x: x["e"])) + 1, F.length(text)))
     clean = F.when(F.size("_every") > 0, walked).otherwise(F.col("_row")[text_col])
     done = found.select("_row", "_text", every.alias("_every")).select("_row", clean.alias("_clean"))
     columns = []

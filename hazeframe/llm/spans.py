@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
+def running(items: Column, first: Column, step) -> Column:
+    """The states after each item: step(state, item) from first on.
+
+    Folded in pieces of about sqrt(n) items, since a fold copies what it has gathered at every step.
+    """
+    n = F.size(items)
+    length = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / length).cast("int")), lambda i: F.slice(items, i * length + 1, length))
+    last = lambda a: F.element_at(a, -1)
+    one = lambda piece, state: F.aggregate(piece, F.array(state), lambda acc, x: F.array_append(acc, step(last(acc), x)))
+    walked = F.aggregate(pieces, F.array(F.array(first)), lambda acc, piece: F.array_append(acc, one(piece, last(last(acc)))))
+    return F.flatten(F.transform(walked, lambda states: F.slice(states, 2, F.size(states) - 1)))
+
+
 def with_matches(df: DataFrame, name: str, text: Column, regex: str, guard: Column | None = None) -> DataFrame:
     """Adds name: leftmost non-overlapping matches as (s, e, v), in code points, end exclusive.
 
@@ -19,12 +33,11 @@ def with_matches(df: DataFrame, name: str, text: Column, regex: str, guard: Colu
     pieces = F.slice(F.split(text, regex, -1), F.lit(1), F.size("_found"))
     pairs = F.zip_with(pieces, F.col("_found"), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["pos"] + F.length(x["p"])).cast("int")
-        end = (start + F.length(x["m"])).cast("int")
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], F.struct(start.alias("s"), end.alias("e"), x["m"].alias("v"))).alias("out"))
+    def step(span: Column, x: Column) -> Column:
+        start = (span["e"] + F.length(x["p"])).cast("int")
+        return F.struct(start.alias("s"), (start + F.length(x["m"])).cast("int").alias("e"), x["m"].alias("v"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    walked = running(pairs, F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("v")), step)
     return df.withColumn(name, F.when(F.size("_found") > 0, walked).otherwise(none)).drop("_found")
 
 
