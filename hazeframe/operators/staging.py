@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_A_FILE = 100_000
 _made: list[str] = []
 
 
@@ -17,15 +18,16 @@ def scratch(spark: SparkSession) -> str:
     return _made[-1]
 
 
-def written(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
-    """df written and read back, and its folder; survives lost executors."""
+def written(df: DataFrame, *partition_by: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """df written and read back, and its folder; survives lost executors. rows, at least as many as df has, spares
+    small tables a file for each shuffle partition."""
     path = scratch(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def staged(df: DataFrame, *partition_by: str) -> DataFrame:
-    return written(df, *partition_by)[0]
+def staged(df: DataFrame, *partition_by: str, rows: int | None = None) -> DataFrame:
+    return written(df, *partition_by, rows=rows)[0]
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
