@@ -21,8 +21,9 @@ Vectors are compared inside one label and one dimension by cosine in double prec
 recall() compares a stated query set with all rows by brute force.
 
 Null labels, null vectors, zero vectors and vectors with null or non-finite components link with nothing and are
-their own component. Rows that repeat a vec_id count as other rows with the same vector do. An empty table gives no
-rows; other columns are ignored.
+their own component. Rows that repeat a vec_id count as other rows with the same vector do. Vectors without a vec_id
+link and count like others but name no component, unless all of it lack one: then component_id is null. Ids lie below
+2^62. kept is true where component_id is null. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from .common import components, partitions, staged
 EDGE = "u long, v long, s double"
 NODE = "id long, grp long, vec array<double>"
 BLOCK, PROBES = 192, 1000
+SURE = 1e-7  # angles of nearly equal vectors are known to about 2e-8
+UNNAMED = 1 << 62  # ids from here on stand for vectors without one
 
 
 def matrix(column) -> np.ndarray:
@@ -118,21 +121,19 @@ def by_width(batch, column: int):
 
 
 def top(edges: DataFrame, key: str, other: str, k: int) -> DataFrame:
-    """The k best distinct edges of each key; ranked first in 16 salted parts, so a hub's rows are split."""
-    flat = edges.groupBy(key, other).agg(F.max("s").alias("s")).withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(16)))
-    first = Window.partitionBy(key, "_salt").orderBy(F.desc("s"), other)
-    last = Window.partitionBy(key).orderBy(F.desc("s"), other)
-    flat = flat.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
-    return flat.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= k).select(key, other, "s")
+    """The k best distinct edges of each key. Tasks keep k edges of a key before they send any, so hubs stay small."""
+    flat = edges.groupBy(key, other).agg(F.max("s").alias("s"), F.max("old").alias("old"))
+    best = Window.partitionBy(key).orderBy(F.desc("s"), other)
+    return flat.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select(key, other, "s", "old")
 
 
-def descend(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """One round: compare each node's bag within itself, return the improved lists."""
+def descend(nodes: DataFrame, edges: DataFrame, k: int, rows: int) -> DataFrame:
+    """One round: compare each node's bag within itself, return the improved lists; old marks edges known before."""
     parts = partitions(nodes.sparkSession)
-    forward = edges.select(F.col("u").alias("m"), F.col("v").alias("id"), "s")
-    reverse = top(edges.select(F.col("v").alias("m"), F.col("u").alias("id"), "s"), "m", "id", k)
-    bags = forward.unionAll(reverse).select("m", "id").distinct()
-    rows = bags.join(nodes, "id").select("m", "id", "grp", "vec").repartition(parts, "m").sortWithinPartitions("m")
+    forward = edges.select(F.col("u").alias("m"), F.col("v").alias("id"))
+    reverse = top(edges.select(F.col("v").alias("m"), F.col("u").alias("id"), "s", "old"), "m", "id", k)
+    bags = forward.unionAll(reverse.select("m", "id"))
+    found_in = bags.join(nodes, "id").select("m", "id", "grp", "vec").repartition(parts, "m").sortWithinPartitions("m", "id")
 
     def compare(batches):
         held = None
@@ -143,6 +144,9 @@ def descend(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
                     m, i, g, x = (np.concatenate([a, c]) for a, c in zip(held, (m, i, g, x), strict=True))
                 elif held is not None:
                     yield edges_batch(*best_edges(*held[1:], 3))
+                once = np.ones(len(m), bool)  # a neighbour may stand in both lists
+                once[1:] = (m[1:] != m[:-1]) | (i[1:] != i[:-1])
+                m, i, g, x = m[once], i[once], g[once], x[once]
                 cut = [0, *(np.flatnonzero(m[1:] != m[:-1]) + 1).tolist()]
                 out = [best_edges(i[s:e], g[s:e], x[s:e], 3) for s, e in zip(cut[:-1], cut[1:], strict=True)]
                 if out:
@@ -151,20 +155,20 @@ def descend(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
         if held is not None:
             yield edges_batch(*best_edges(*held[1:], 3))
 
-    found = rows.mapInArrow(compare, EDGE)
-    return staged(top(edges.unionAll(found), "u", "v", k))
+    found = found_in.mapInArrow(compare, EDGE).withColumn("old", F.lit(0))
+    return staged(top(edges.withColumn("old", F.lit(1)).unionAll(found), "u", "v", k), rows=rows)
 
 
 def graph(nodes: DataFrame, k: int, tables: int, rounds: int | None = None, seed: int = 0, known: DataFrame | None = None, settle: float = 0.01) -> DataFrame:
     """The k best edges found of each node, from the start and from known edges; rounds None: until settled."""
+    rows = k * nodes.count()
     first = start(nodes, k, tables, seed)
-    edges = staged(top(first if known is None else first.unionByName(known), "u", "v", k))
+    first = first if known is None else first.unionByName(known.select("u", "v", "s"))
+    edges = staged(top(first.withColumn("old", F.lit(0)), "u", "v", k), rows=rows)
     n = edges.count()
     while rounds is None or rounds > 0:
-        new = descend(nodes, edges, k)
-        fresh = new.join(edges.select("u", "v"), ["u", "v"], "left_anti").count()
-        edges = new
-        if fresh <= settle * n:
+        edges = descend(nodes, edges, k, rows)
+        if edges.where("old = 0").count() <= settle * n:
             break
         rounds = None if rounds is None else rounds - 1
     return edges
@@ -184,7 +188,7 @@ def in_bound(full: DataFrame, centres: DataFrame, angle: float, block: int = 256
         if not len(a) or not len(b):
             return pd.DataFrame({"u": [], "v": []})
         apart = np.arccos(np.clip(np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T, -1, 1))
-        i, j = np.nonzero(apart <= angle + a["radius"].to_numpy()[:, None] + b["radius"].to_numpy()[None, :] + 1e-9)
+        i, j = np.nonzero(apart <= angle + a["radius"].to_numpy()[:, None] + b["radius"].to_numpy()[None, :] + SURE)
         u, v = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
         return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
@@ -293,10 +297,11 @@ def prepared(embeddings: DataFrame, id_col: str, vec_col: str, label_col: str) -
     raw = embeddings.select(F.col(id_col).cast("long").alias("vid"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     top_abs = F.aggregate("x", F.lit(0.0), lambda acc, v: F.greatest(acc, F.abs(v)))
-    usable = F.col("label").isNotNull() & F.col("x").isNotNull() & F.coalesce(finite, F.lit(False)) & (top_abs > 0) & F.col("vid").isNotNull()
+    usable = F.col("label").isNotNull() & F.col("x").isNotNull() & F.coalesce(finite, F.lit(False)) & (top_abs > 0)
     marked = staged(raw.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("x", F.when(F.col("ok"), F.col("x"))))
     good = marked.where("ok")
-    same = good.groupBy("label", "x").agg(F.min("vid").alias("id"), F.count(F.lit(1)).alias("k"))
+    unnamed = F.lit(UNNAMED) + F.xxhash64("label", "x").bitwiseAND(F.lit(UNNAMED - 1))
+    same = good.groupBy("label", "x").agg(F.min("vid").alias("id"), F.count(F.lit(1)).alias("k")).withColumn("id", F.coalesce("id", unnamed))
 
     def unit(batches):
         for b in batches:
@@ -332,7 +337,7 @@ def linked(nodes: DataFrame, known: DataFrame | None, threshold: float, k: int,
     beside = staged(graph(centres, k, tables, rounds, tables, beside))
     placed = staged(centres.join(reach.withColumnRenamed("comp", "id"), "id").select("id", "grp", "vec", "radius"))
     widest = placed.groupBy("grp").agg(F.max("radius").alias("most"))
-    full = placed.join(widest, "grp").select(F.col("id").alias("u"), (angle + F.col("radius") + F.col("most")).alias("bound"))
+    full = placed.join(widest, "grp").select(F.col("id").alias("u"), (angle + F.col("radius") + F.col("most") + SURE).alias("bound"))
     if not exact:
         last = beside.groupBy("u").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
         full = last.join(full, "u").where(F.acos(F.greatest(F.lit(-1.0), F.least(F.col("s"), F.lit(1.0)))) <= F.col("bound"))
@@ -340,7 +345,7 @@ def linked(nodes: DataFrame, known: DataFrame | None, threshold: float, k: int,
     met = (
         beside.join(reach.select(F.col("comp").alias("u"), F.col("radius").alias("ru")), "u")
         .join(reach.select(F.col("comp").alias("v"), F.col("radius").alias("rv")), "v")
-        .where(F.acos(F.least(F.col("s"), F.lit(1.0))) <= angle + F.col("ru") + F.col("rv"))
+        .where(F.acos(F.least(F.col("s"), F.lit(1.0))) <= angle + F.col("ru") + F.col("rv") + SURE)
         .select("u", "v")
     )
     if full.limit(1).count():
@@ -356,7 +361,7 @@ def linked(nodes: DataFrame, known: DataFrame | None, threshold: float, k: int,
 
     # links inside a group: proved by angles for inner nodes, compared for outer ones
     angles = far.join(reach, "comp").withColumn("theta", F.acos("cosine"))
-    inner = F.col("theta") + F.col("radius") <= angle - 1e-9
+    inner = F.col("theta") + F.col("radius") <= angle - SURE
     total = far.groupBy("comp").agg(F.sum("k").alias("all"))
     sure = angles.where(inner).join(total, "comp").select(F.col("id").alias("u"), (F.col("all") - F.col("k")).alias("n"))
     query = angles.select("id", "grp", "vec", "k", "comp", (~inner).alias("is_query"))
@@ -381,7 +386,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, k: int = 10,
         k, tables = 2 * k, 2 * tables
 
     classes = same.select(F.col("id"), "k", "label", "x").join(n_links.withColumnRenamed("u", "id"), "id", "left").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
-    named = classes.select("label", "x", (F.col("k") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    named = classes.select("label", "x", (F.col("k") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")).withColumn("component_id", F.when(F.col("component_id") < UNNAMED, F.col("component_id")))
     joined = good.join(named, ["label", "x"]).select("vid", "n_links", "component_id")
     alone = marked.where("not ok").select("vid", F.lit(0).cast("long").alias("n_links"), F.col("vid").alias("component_id"))
-    return joined.unionAll(alone).select(F.col("vid").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vid") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return joined.unionAll(alone).select(F.col("vid").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vid") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

@@ -259,12 +259,19 @@ def test_embeddings_match_brute_force(spark):
     assert sum(got[k][1] == v[1] for k, v in want.items()) >= 0.95 * len(want)
 
 
+def test_vectors_without_an_id_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 0, 7), (None, [1.0, 0.01], 0, 7), (3, [1.0, 0.02], 0, 7), (None, [0.0, 1.0], 0, 7), (None, [0.01, 1.0], 0, 7), (3, [1.0, 0.02], 0, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, component_id long").withColumn("id", F.lit("x")).withColumn("k", F.lit(1)).withColumn("grp", F.lit(None).cast("string"))
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (None, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (None, 1, None, True), (None, 1, None, True)], key=str)
+
+
 def test_vectors_that_the_graph_missed_are_found(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((350, 16))
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, x + rng.standard_normal(x.shape) * 0.25]))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    found = embedding_dedup.near_duplicates(df, k=128, tables=1, rounds=0, target=1.0).localCheckpoint()
+    found = common.staged(embedding_dedup.near_duplicates(df, k=128, tables=1, rounds=0, target=1.0))
     assert {r[0]: tuple(r[1:]) for r in found.collect()} == plain_links(rows)
     assert embedding_dedup.recall(df, found) == 1.0
     assert embedding_dedup.recall(df, found.withColumn("n_links", F.lit(0)), every=1) == 0.0
