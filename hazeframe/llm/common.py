@@ -8,9 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from hazeframe.operators.graph import components
-from hazeframe.operators.staging import clear, scratch, staged
+from hazeframe.operators.staging import clear, remove, scratch, staged, written
 
-__all__ = ["chunks", "clear", "components", "partitions", "release", "scratch", "staged"]
+__all__ = ["chunks", "clear", "components", "partitions", "release", "remove", "scratch", "staged", "written"]
 
 
 def release(spark: SparkSession) -> None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, partitions, release, staged
+from .common import chunks, components, partitions, release, remove, staged, written
 from .packed import bucket_of, member
 from .words import LOWER, Words, mix, span_hash
 
@@ -241,7 +241,14 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
     release(documents.sparkSession)
     meta = known.select("id", "n", "f1", "f2")
     classes = staged(meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
-    alive = staged(known.where("tokens is not null and id is not null").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", (F.col("lost") / F.col("n")).alias("odd"), "m0", "m1", "tokens"))
+    paths: list[str] = []
+
+    def temporary(df: DataFrame) -> DataFrame:
+        table, path = written(df)
+        paths.append(path)
+        return table
+
+    alive = temporary(known.where("tokens is not null and id is not null").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", (F.col("lost") / F.col("n")).alias("odd"), "m0", "m1", "tokens"))
 
     share = F.size(F.array_intersect("tokens", "other"))
     linked = share * 100 >= percent * (F.col("n") + F.col("n_other") - share)
@@ -260,14 +267,14 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
     size_fits = (F.col("n") * 100 >= F.col("n_p") * percent) & (F.col("n_p") * 100 >= F.col("n") * percent)
     classed = alive.select("id", "n", "odd", "m0", F.floor(F.log2("n") * 4).alias("wide"))
     pivots = classed.groupBy("m0", "wide").agg(F.min(F.struct("odd", "id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m0", "wide", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
-    edges = staged(verified(classed.join(pivots, ["m0", "wide"]).where(F.col("id") != F.col("pivot")).where(size_fits).select("id", "pivot")))
-    comp = staged(labelled(edges))
+    edges = temporary(verified(classed.join(pivots, ["m0", "wide"]).where(F.col("id") != F.col("pivot")).where(size_fits).select("id", "pivot")))
+    comp = temporary(labelled(edges))
     release(documents.sparkSession)
     for by in ("m1", "m0"):
         pivots = comp.groupBy(by).agg(F.min(F.struct("odd", "id", "n", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select(by, F.col("p.comp").alias("c_p"), F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
         second = comp.join(pivots, by).where("comp <> c_p").where(size_fits).groupBy("comp", "c_p").agg(F.min(F.struct("odd", "id", "pivot")).alias("x")).select("x.id", "x.pivot")
-        edges = edges.union(staged(verified(second)))
-        comp = staged(labelled(edges))
+        edges = edges.union(temporary(verified(second)))
+        comp = temporary(labelled(edges))
         release(documents.sparkSession)
 
     placed = alive.select("id", "n", "m0", "tokens").join(comp.select("id", "comp"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
@@ -299,7 +306,7 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
 
     found = shared(placed.select("part", "tokens", "comp").mapInArrow(send_groups, "bucket int, keys binary, parts binary, labels binary"), parts)
     merged = after_answers(placed, found, parts).select("part", "kind", "bucket", "keys", "counts", "id", "n", "comp", "m0", "tokens")
-    rest = staged(merged.mapInArrow(across, "id long, n long, comp long, m0 long, common long, prefix array<long>, places array<long>, tokens array<long>"))
+    rest = temporary(merged.mapInArrow(across, "id long, n long, comp long, m0 long, common long, prefix array<long>, places array<long>, tokens array<long>"))
     del found, merged
     release(documents.sparkSession)
 
@@ -310,10 +317,10 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
     kin = rest.join(alone, "comp", "left").withColumn("kin", F.xxhash64(F.when(F.col("alone"), F.col("m0")).otherwise(F.col("comp")), missing, F.floor(F.log2("n") * 8)))
     buckets = kin.groupBy("kin").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / WEIGHT)).alias("k"))
     dealt = kin.join(buckets, "kin").withColumn("group", F.xxhash64("kin", F.pmod(F.xxhash64("id"), F.col("k"))))
-    rest = staged(dealt.select("id", "n", "comp", "group", "common", "prefix", "places", "tokens"))
+    rest = temporary(dealt.select("id", "n", "comp", "group", "common", "prefix", "places", "tokens"))
     release(documents.sparkSession)
     cells = rest.select("id", "n", "comp", "group", "common", F.explode(F.arrays_zip("prefix", "places")).alias("x"))
-    cells = staged(cells.select("id", "n", "comp", "group", "common", F.col("x.prefix").alias("token"), F.col("x.places").alias("place")))
+    cells = temporary(cells.select("id", "n", "comp", "group", "common", F.col("x.prefix").alias("token"), F.col("x.places").alias("place")))
     matrix = cells.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("common").alias("most"), F.min("comp").alias("c0"), F.min("place").alias("soonest"))
     queries = cells.select("token", "id", "n", "comp", "common", "place")
     fitting = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
@@ -347,15 +354,16 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
                 out_b += ids[first].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    last = staged(opened.select("id", "comp", "tokens", "ids", "comps", "sets").mapInArrow(verify, "a long, b long"))
+    last = temporary(opened.select("id", "comp", "tokens", "ids", "comps", "sets").mapInArrow(verify, "a long, b long"))
     comp = components(edges.union(last)).select(F.col("node").alias("rep"), "component")
 
+    remove(documents.sparkSession, *paths)  # the result reads known, classes and comp only
+
     named = classes.join(comp, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = meta.join(named, ["n", "f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out
 
 
-
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest doc_id of each group, all columns unchanged.
 
