@@ -42,7 +42,7 @@ def with_part(rows: DataFrame, id_col: str, parts: int) -> DataFrame:
     neighbours above 2^53 that a double cannot tell apart, hold that many rows.
     """
     place = rows.select(F.col(id_col).cast("double").alias("place"))
-    edges = sorted(set(place.stat.approxQuantile("place", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    edges = sorted(set(place.stat.approxQuantile("place", [i / parts for i in range(1, parts)], 1 / (16 * parts)))) if parts > 1 else []
     if not edges:
         return rows.withColumn("part", F.lit(0))
     cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_place", outputCol="_part", handleInvalid="keep")
