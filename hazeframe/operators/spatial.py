@@ -219,3 +219,29 @@ def cluster_identity(members: DataFrame, group: str) -> DataFrame:
     own = members.groupBy(group, "cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("m"), (F.min("system") != F.max("system")).alias("mixed"))
     texts = own.select(group, "mixed", F.struct(F.get("m.rank", F.lit(0)).alias("first"), F.array_join("m.id", ",").alias("ids")).alias("c"))
     return texts.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["ids"]), "|").alias("identity"), F.count_if("mixed").alias("mixed"))
+
+
+def inside(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a ring of (x, y) structs, by the parity of the edges to its right."""
+    n = F.size(ring)
+
+    def crosses(p: Column, i: Column) -> Column:
+        q = F.element_at(ring, F.when(i == 0, n).otherwise(i))
+        right = x < F.try_divide((q["x"] - p["x"]) * (y - p["y"]), q["y"] - p["y"]) + p["x"]
+        return F.when(((p["y"] > y) != (q["y"] > y)) & right, 1).otherwise(0)
+
+    return F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, v: a + v) % 2 == 1
+
+
+def filled(polygons: DataFrame, key: str, ring: str) -> DataFrame:
+    """key, cx, cy: unit cells whose centre lies inside each polygon. Cells come from the polygon's own box, so a
+    polygon costs the rows of its box."""
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    span = lambda v: F.sequence(F.floor(F.array_min(v)).cast("int"), F.ceil(F.array_max(v)).cast("int"))
+    rows = polygons.select(key, ring, F.explode(span(ys)).alias("cy"), span(xs).alias("_xs")).select(key, ring, "cy", F.explode("_xs").alias("cx"))
+    return rows.where(inside(F.col(ring), F.col("cx") + 0.5, F.col("cy") + 0.5)).select(key, "cx", "cy")
+
+
+def coastal(sea: DataFrame, land: DataFrame, key: str, km: float = 200.0) -> DataFrame:
+    """key, km of sea points (lon, lat) with land (r_lon, r_lat) within km: distance to the nearest."""
+    return within(sea, land, km).groupBy(key).agg(F.min("km").alias("km"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeframe.functions import air, clock, geo, text
-from hazeframe.operators import quality, ranking, raster
+from hazeframe.operators import contract, quality, ranking, raster, spatial
 from hazeframe.operators.staging import scratch
-from hazeframe.plans.domain import CELLS_SQL, HOUR_SQL, LAT_SQL, LON_SQL, at, cells, readings
+from hazeframe.plans.domain import CELLS_SQL, HOUR_SQL, KM_SQL, LAT_SQL, LON_SQL, at, cells, readings
 from hazeframe.plans.registry import query
 from hazeframe.sources import files
 
@@ -145,3 +145,48 @@ def mask_codes(t):
 def unwrapped_bounds(t):
     lon = (F.col("c_custkey") % 360 - 180).cast("double")
     return t.customer.select("c_custkey", (lon > 90).alias("east"), geo.in_display(lon, F.lit(50.0)).alias("shown"))
+
+
+@query("R26_filled_polygons", """
+WITH t AS (SELECT c_custkey, -150 + c_custkey * 7 % 110 AS x, c_custkey * 3 % 75 AS y FROM customer WHERE c_custkey > 0),
+e AS (SELECT c_custkey, unnest([x, x + 12, x + 6])::DOUBLE AS px, unnest([y, y, y + 9])::DOUBLE AS py, unnest([x + 6, x, x + 12])::DOUBLE AS qx, unnest([y + 9, y, y])::DOUBLE AS qy FROM t),
+c AS (SELECT c_custkey, x + i AS cx, y + j AS cy FROM t, generate_series(0, 12) a(i), generate_series(0, 9) b(j)),
+n AS (SELECT c.c_custkey, cx, cy, count(*) AS crossed FROM c JOIN e ON e.c_custkey = c.c_custkey AND (py > cy + 0.5) <> (qy > cy + 0.5) AND cx + 0.5 < (qx - px) * (cy + 0.5 - py) / (qy - py) + px GROUP BY ALL)
+SELECT c_custkey, cx::INT AS cx, cy::INT AS cy FROM n WHERE crossed % 2 = 1""")
+def filled_polygons(t):
+    k = F.col("c_custkey")
+    corner = lambda dx, dy: F.struct((-150 + k * 7 % 110 + dx).cast("double").alias("x"), (k * 3 % 75 + dy).cast("double").alias("y"))
+    rows = t.customer.where("c_custkey > 0").select("c_custkey", F.array(corner(0, 0), corner(12, 0), corner(6, 9)).alias("ring"))
+    return spatial.filled(rows, "c_custkey", "ring")
+
+
+@query("R27_coastal_cells", f"""
+WITH a AS (SELECT c_custkey, {LON_SQL.format(k='(c_custkey + 3)')} AS lon, {LAT_SQL.format(k='(c_custkey + 3)')} AS lat FROM customer),
+b AS (SELECT {LON_SQL.format(k='s_suppkey')} AS lon, {LAT_SQL.format(k='s_suppkey')} AS lat FROM supplier), d AS (SELECT a.c_custkey, {KM_SQL} AS km FROM a, b)
+SELECT c_custkey, round(min(km), 5) AS km FROM d WHERE km <= 200 GROUP BY c_custkey""")
+def coastal_cells(t):
+    """Points within 200 km of land and their distance to it."""
+    land = t.supplier.select(*at("s_suppkey", 0)).toDF("r_lon", "r_lat")
+    return spatial.coastal(t.customer.select("c_custkey", *at("c_custkey", 3)), land, "c_custkey").select("c_custkey", F.round("km", 5).alias("km"))
+
+
+@query("W14_incident_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY 'i' || o_orderkey)::INT AS rank FROM orders")
+def incident_order(t):
+    rows = t.orders.select("o_orderkey", "o_custkey", F.concat(F.lit("i"), "o_orderkey").alias("id"))
+    return ranking.numbered(rows, "o_custkey", F.asc("id")).select("o_orderkey", "rank")
+
+
+@query("S29_demo_manifest", "SELECT 37 AS frames, 8 AS sources, 0 AS broken")
+def demo_manifest(t):
+    """A synthetic snapshot that keeps every rule, made from a range of hours."""
+    hours = t.spark.range(contract.HORIZON + 1).select((F.lit(1704067200) + F.col("id") * 3600).alias("s"))
+    tile = F.transform(F.sequence(F.lit(0), F.lit(contract.TILES - 1)), lambda i: F.struct((i % 4).cast("int").alias("column"), F.floor(i / 4).cast("int").alias("row"), F.lit("/d").alias("textureUrl"), F.lit("/m").alias("sourceMaskUrl")))
+    frame = F.struct(F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("validTime"), F.lit("/t").alias("textureUrl"), F.lit("/m").alias("sourceMaskUrl"), tile.alias("detailTiles"))
+    best = F.struct(F.array_sort(F.collect_list(frame)).alias("frames"), F.lit("fresh").alias("integratedStatus"), F.lit(contract.HORIZON).alias("horizonHours"), F.lit("2024-01-01T00:00:00Z").alias("modelRun"), F.lit("/l").alias("legendUrl"), *[F.lit(v).alias(n) for n, v in contract.POLICY.items()], F.lit(200).alias("featherDistanceKm"))
+    state = F.struct(F.lit("stale").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("checkedAt"), F.lit("https://x").alias("provenance"))
+    bare = F.from_json(F.lit('{"frames":[]}'), contract.RUN)
+    box = F.struct(*[F.lit(v).alias(n) for n, v in zip(("west", "east", "south", "north"), geo.FORECAST_BOX, strict=True)])
+    made = hours.agg(best.alias("best")).select(F.to_json(F.struct(F.lit(8).alias("version"), F.lit("demo").alias("mode"), F.lit("2024-01-01T00:00:00Z").alias("generatedAt"), box.alias("bounds"), F.map_from_arrays(F.array(*map(F.lit, contract.SOURCES)), F.array(*[state] * len(contract.SOURCES))).alias("sources"), F.struct(F.lit("2024-01-01T00:00:00Z").alias("observedAt")).alias("air"), F.col("best").alias("forecast"), F.struct("best", bare.alias("hrrr"), bare.alias("firework")).alias("forecasts"))).alias("body"))
+    whole = made.select(F.from_json("body", contract.MANIFEST).alias("m")).select("m.*")
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in contract.manifest_rules().items()]))
+    return whole.select(F.size("forecast.frames").alias("frames"), F.size("sources").alias("sources"), F.size(broken).alias("broken"))
