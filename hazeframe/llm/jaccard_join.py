@@ -34,6 +34,7 @@ from .words import LOWER, Words, mix, span_hash
 
 SHARE = 3  # of the hash space, one in SHARE is sampled for singles
 GROUP, WEIGHT = 32, 100_000  # documents and tokens in a group, about
+HOT = 100_000  # rows of a min-hash bucket above which it counts as hot
 SLACK = 4  # matches that a link must have in two prefixes of n - needed + SLACK tokens
 
 
@@ -191,6 +192,14 @@ def rare_prefixes(tokens: np.ndarray, first: np.ndarray, held: np.ndarray, perce
     return mask, np.concatenate([[0], np.cumsum(np.bincount(row[mask], minlength=len(n)))]), place
 
 
+def with_pivot(rows: DataFrame, pivots: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the pivot of their bucket; k is a bucket's size. Buckets of more than HOT rows are joined by broadcast:
+    there are at most one for HOT rows of the table, and none of their rows then meet in one task."""
+    hot, cold = pivots.where(F.col("k") > HOT), pivots.where(F.col("k") <= HOT)
+    rest = rows.join(F.broadcast(hot.select(*by)), by, "left_anti")
+    return rows.join(F.broadcast(hot), by).unionByName(rest.join(cold, by))
+
+
 def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: transitive closure of 100 |A n B| >= percent |A u B|."""
     parts = partitions(documents.sparkSession)
@@ -266,13 +275,13 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
     # a pivot has the fewest odd tokens of its bucket: of copies of one text it is the one most like all others
     size_fits = (F.col("n") * 100 >= F.col("n_p") * percent) & (F.col("n_p") * 100 >= F.col("n") * percent)
     classed = alive.select("id", "n", "odd", "m0", F.floor(F.log2("n") * 4).alias("wide"))
-    pivots = classed.groupBy("m0", "wide").agg(F.min(F.struct("odd", "id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m0", "wide", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
-    edges = temporary(verified(classed.join(pivots, ["m0", "wide"]).where(F.col("id") != F.col("pivot")).where(size_fits).select("id", "pivot")))
+    pivots = temporary(classed.groupBy("m0", "wide").agg(F.min(F.struct("odd", "id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m0", "wide", "k", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p")))
+    edges = temporary(verified(with_pivot(classed, pivots, ["m0", "wide"]).where(F.col("id") != F.col("pivot")).where(size_fits).select("id", "pivot")))
     comp = temporary(labelled(edges))
     release(documents.sparkSession)
     for by in ("m1", "m0"):
-        pivots = comp.groupBy(by).agg(F.min(F.struct("odd", "id", "n", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select(by, F.col("p.comp").alias("c_p"), F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
-        second = comp.join(pivots, by).where("comp <> c_p").where(size_fits).groupBy("comp", "c_p").agg(F.min(F.struct("odd", "id", "pivot")).alias("x")).select("x.id", "x.pivot")
+        pivots = comp.groupBy(by).agg(F.min(F.struct("odd", "id", "n", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top"), F.count(F.lit(1)).alias("k")).where("low <> top").select(by, "k", F.col("p.comp").alias("c_p"), F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
+        second = with_pivot(comp, temporary(pivots), [by]).where("comp <> c_p").where(size_fits).groupBy("comp", "c_p").agg(F.min(F.struct("odd", "id", "pivot")).alias("x")).select("x.id", "x.pivot")
         edges = edges.union(temporary(verified(second)))
         comp = temporary(labelled(edges))
         release(documents.sparkSession)
@@ -313,9 +322,10 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
     # Groups of similar documents: one component or min-hash bucket, size class and share of tokens in common with others, so that
     # the bounds below hold for all members alike; large ones are dealt into parts of about GROUP documents or WEIGHT tokens.
     missing = F.floor((F.col("n") - F.col("common")) * 100 / F.col("n"))
-    alone = rest.groupBy("comp").agg(F.count(F.lit(1)).alias("held_by")).where("held_by = 1").select("comp", F.lit(True).alias("alone"))
+    # staged, so that Spark can split the rows of a large component or class between tasks when it joins them
+    alone = temporary(rest.groupBy("comp").agg(F.count(F.lit(1)).alias("held_by")).where("held_by = 1").select("comp", F.lit(True).alias("alone")))
     kin = rest.join(alone, "comp", "left").withColumn("kin", F.xxhash64(F.when(F.col("alone"), F.col("m0")).otherwise(F.col("comp")), missing, F.floor(F.log2("n") * 8)))
-    buckets = kin.groupBy("kin").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / WEIGHT)).alias("k"))
+    buckets = temporary(kin.groupBy("kin").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / WEIGHT)).alias("k")))
     dealt = kin.join(buckets, "kin").withColumn("group", F.xxhash64("kin", F.pmod(F.xxhash64("id"), F.col("k"))))
     rest = temporary(dealt.select("id", "n", "comp", "group", "common", "prefix", "places", "tokens"))
     release(documents.sparkSession)

@@ -116,6 +116,14 @@ def test_groups_match_brute_force(spark, documents, odd, width, percent):
         assert got == sorted(plain_groups(rows, width, percent), key=str)
 
 
+def test_hot_buckets_meet_their_pivot_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    rows = near_copies(random.Random(11), 12, 20) + [(90_000 + i, " ".join(f"h{j}" for j in range(60)) + f" end{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.group_documents(df, 4, 85).collect()), key=str)
+    assert got == sorted(plain_groups(rows, 4, 85), key=str)
+
+
 def test_components_of_long_paths(spark):
     n = 1000
     bad = [0, *range(n - 1, 0, -1)]
