@@ -11,7 +11,8 @@ SPAN = "array<struct<s:int,e:int,v:string>>"
 def running(items: Column, first: Column, step) -> Column:
     """The states after each item: step(state, item) from first on.
 
-    Folded in pieces of about sqrt(n) items, since a fold copies what it has gathered at every step.
+    Folded in pieces of about sqrt(n) items, since a fold copies what it has gathered at every step. items is read more
+    than once, so it should be a column, not an expression.
     """
     n = F.size(items)
     length = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
@@ -31,14 +32,14 @@ def with_matches(df: DataFrame, name: str, text: Column, regex: str, guard: Colu
     df = df.withColumn("_found", found if guard is None else F.when(guard, found).otherwise(F.array().cast("array<string>")))
     none = F.array().cast(SPAN)
     pieces = F.slice(F.split(text, regex, -1), F.lit(1), F.size("_found"))
-    pairs = F.zip_with(pieces, F.col("_found"), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    df = df.withColumn("_pairs", F.zip_with(pieces, F.col("_found"), lambda p, m: F.struct(p.alias("p"), m.alias("m"))))
 
     def step(span: Column, x: Column) -> Column:
         start = (span["e"] + F.length(x["p"])).cast("int")
         return F.struct(start.alias("s"), (start + F.length(x["m"])).cast("int").alias("e"), x["m"].alias("v"))
 
-    walked = running(pairs, F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("v")), step)
-    return df.withColumn(name, F.when(F.size("_found") > 0, walked).otherwise(none)).drop("_found")
+    walked = running(F.col("_pairs"), F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("v")), step)
+    return df.withColumn(name, F.when(F.size("_found") > 0, walked).otherwise(none)).drop("_found", "_pairs")
 
 
 def rendered(spans: Column) -> Column:
