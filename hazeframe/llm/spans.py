@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FEW = 200
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -38,7 +39,14 @@ def with_matches(df: DataFrame, name: str, text: Column, regex: str, guard: Colu
         start = (span["e"] + F.length(x["p"])).cast("int")
         return F.struct(start.alias("s"), (start + F.length(x["m"])).cast("int").alias("e"), x["m"].alias("v"))
 
-    walked = running(F.col("_pairs"), F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("v")), step)
+    def gather(acc: Column, x: Column) -> Column:
+        span = step(acc, x)
+        return F.struct(span["e"].alias("e"), F.array_append(acc["out"], span).alias("out"))
+
+    # one plain fold is quicker while what it copies is small; both give the same spans
+    few = F.aggregate("_pairs", F.struct(F.lit(0).alias("e"), none.alias("out")), gather, lambda acc: acc["out"])
+    many = running(F.col("_pairs"), F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("v")), step)
+    walked = F.when(F.size("_pairs") <= FEW, few).otherwise(many)
     return df.withColumn(name, F.when(F.size("_found") > 0, walked).otherwise(none)).drop("_found", "_pairs")
 
 
