@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,6 +80,24 @@ def op10_nn_descent_dedup(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op5_token_group_jaccard, op6_simhash_decontamination, op7_forced_boundary_bpe, op8_markov_secrets, op9_crf_toxicity, op10_nn_descent_dedup)}
+def op11_trie_importance(spark, sf_dir):
+    from .importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_harmonic_runs(spark, sf_dir):
+    from .periodic_runs import find_runs
+
+    return find_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_line_dedup(spark, sf_dir):
+    from .line_dedup import drop_common_lines
+
+    return drop_common_lines(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_difference_cover_dedup, op2_rendezvous_shards, op3_weak_supervision_pii, op4_content_addressed_tokens, op5_token_group_jaccard, op6_simhash_decontamination, op7_forced_boundary_bpe, op8_markov_secrets, op9_crf_toxicity, op10_nn_descent_dedup, op11_trie_importance, op12_harmonic_runs, op13_line_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_line_dedup": line_dedup.ORACLE_SQL}
