@@ -32,20 +32,26 @@ from .common import chunks, partitions, staged
 from .words import LOWER, Words
 
 HELD = 4 << 20
+WORD = 64
 NO_WORD = np.ones(256, bool)  # bytes outside digits, letters and everything beyond ASCII
 NO_WORD[48:58] = NO_WORD[97:123] = NO_WORD[128:] = False
 ROW = 33  # bits that a row number takes in monotonically_increasing_id
 
 
 @functools.lru_cache(1)
-def zero_steps() -> np.ndarray:
-    """[b][k][v]: the CRC-32 register with value v in byte k, after 2^b zero bytes."""
+def byte_steps() -> np.ndarray:
+    """What CRC-32 mixes into the register for each value of its lowest byte."""
     one = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         one = (one >> np.uint32(1)) ^ np.where(one & 1, np.uint32(0xEDB88320), np.uint32(0))
+    return one
+
+
+@functools.lru_cache(1)
+def zero_steps() -> np.ndarray:
+    """[b][k][v]: the CRC-32 register with value v in byte k, after 2^b zero bytes."""
     now = np.arange(256, dtype=np.uint32)[None, :] << (np.arange(4, dtype=np.uint32) * 8)[:, None]
-    now = (now >> np.uint32(8)) ^ one[now & np.uint32(255)]
-    out = [now]
+    out = [(now >> np.uint32(8)) ^ byte_steps()[now & np.uint32(255)]]
     for _ in range(31):
         out.append(through(out[-1], out[-1]))
     return np.stack(out)
@@ -64,6 +70,22 @@ def advanced(crc: np.ndarray, size: np.ndarray) -> np.ndarray:
     return crc
 
 
+def crcs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: bytes = b"") -> np.ndarray:
+    """CRC-32 of `before` and data[start : start + size] for each pair, byte by byte over all that have one more."""
+    state = np.full(len(starts), ~zlib.crc32(before) & 0xFFFFFFFF, np.uint32)
+    open_ = np.flatnonzero(sizes > 0)
+    for k in range(WORD):
+        if not len(open_):
+            break
+        now = state[open_]
+        state[open_] = (now >> np.uint32(8)) ^ byte_steps()[(now ^ data[starts[open_] + k]) & np.uint32(255)]
+        open_ = open_[sizes[open_] > k + 1]
+    out = ~state
+    for i in open_.tolist():  # the few words of more than WORD bytes
+        out[i] = zlib.crc32(data[starts[i] + WORD : starts[i] + sizes[i]].tobytes(), int(out[i]))
+    return out
+
+
 class Trie:
     """Runs of 1 to `longest` words of some texts. levels[k] has the CRC state and count of its nodes, the places in
     the texts where a run of k + 1 words begins, and each place's node."""
@@ -77,10 +99,10 @@ class Trie:
         body = np.ascontiguousarray(w.data[~NO_WORD[w.data]])
         ends = np.concatenate([[0], np.cumsum(w.ends - w.starts)]).astype(np.int64)
         column = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
-        names, child = column.dictionary.to_pylist(), column.indices.to_numpy().astype(np.int64)
-        state = np.array([zlib.crc32(x) for x in names], np.uint32)
-        suffix = np.array([zlib.crc32(b" " + x) for x in names], np.uint32)
-        grown = np.array([len(x) + 1 for x in names], np.int64)
+        child, names = column.indices.to_numpy().astype(np.int64), column.dictionary
+        edges = np.frombuffer(names.buffers()[1], np.int64)[: len(names) + 1]
+        spelled, size = np.frombuffer(names.buffers()[2], np.uint8), np.diff(edges)
+        state, suffix, grown = crcs(spelled, edges[:-1], size), crcs(spelled, edges[:-1], size, b" "), size + 1
         at, node = np.arange(n), child
         self.levels.append((state, np.bincount(child, minlength=len(names)), at, node))
         for k in range(1, longest):

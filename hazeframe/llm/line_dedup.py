@@ -1,7 +1,7 @@
 """Line dedup; DataFrame functions only.
 
 Every text is split at newlines and each line is normalised to its key: blanks stripped at both ends, A-Z lowered.
-Keys of at least `min_chars` characters are hashed to 128 bits and dealt by (hash, salt of the document), so that a line
+Keys of at least `min_chars` characters are hashed to 128 bits, written once without the text, and dealt by (hash, salt of the document), so that a line
 that a third of all documents hold is counted in many tasks; counts of distinct documents and the largest doc_id of
 each salt are summed over the salts, of which a key has at most as many as there are shuffle partitions. Keys of at
 least `min_docs` documents lose their lines everywhere but in the largest doc_id. The places of lost lines go back to
@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, staged
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -43,7 +43,7 @@ def lost_lines(lines: DataFrame, min_docs: int, salts: int) -> DataFrame:
     """id, hash, places: the places of lines that go, in order."""
     salt = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("hash")).otherwise(F.xxhash64("id")), F.lit(salts)).cast("int")
     key = ["h1", "h2", "salt"]
-    dealt = lines.withColumn("salt", salt).repartition(*key)
+    dealt = lines.withColumn("salt", salt)
     held = dealt.groupBy(*key, "id").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("id").alias("docs"), F.max("id").alias("newest"))
     over = Window.partitionBy("h1", "h2")
     common = held.select(*key, F.sum("docs").over(over).alias("docs"), F.max("newest").over(over).alias("newest")).where(F.col("docs") >= min_docs)
@@ -68,7 +68,7 @@ def drop_common_lines(documents: DataFrame, min_chars: int = 40, min_docs: int =
     """doc_id, n_lines, n_dropped, kept_sha256; with output also kept_text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.xxhash64("text").alias("hash"), "text")
-    lost = lost_lines(line_keys(rows, min_chars), min_docs, partitions(documents.sparkSession))
+    lost = lost_lines(staged(line_keys(rows, min_chars)), min_docs, partitions(documents.sparkSession))
     both = rows.alias("r").join(lost.alias("l"), F.col("r.id").eqNullSafe(F.col("l.id")) & (F.col("r.hash") == F.col("l.hash")), "left").select("r.id", "r.text", "l.places")
     kept = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(between(F.split("text", "\n"), F.col("places")), "\n"))
     breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
