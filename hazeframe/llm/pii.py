@@ -18,7 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import clear_of, named, rendered, with_matches
+from .common import staged
+from .spans import between, clear_of, in_pieces, named, once, rendered, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
 # Equal to the stated patterns; possessive quantifiers and the left edges only spare useless attempts.
@@ -33,6 +34,7 @@ CANDIDATES = {
 }
 DOMAINS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz"]
 TRIGGERS = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|account|iban|ssn|social security|passport|id number|address|name is)\b[^A-Za-z0-9]*\z"
+CANDIDATE = "array<struct<s:int,e:int,v:string,kind:string,cell:string>>"
 LABELERS = ("strict", "shape", "list", "context", "repeat", "embedded")
 
 
@@ -66,9 +68,9 @@ def good_phone(v: Column) -> Column:
 def with_base(df: DataFrame, text: Column) -> DataFrame:
     """Adds email, ip, card, phone: the stated patterns' spans."""
     df = with_matches(df, "email", text, EMAIL, text.contains("@"))
-    df = with_matches(df, "ip", text, IP)
+    df = with_matches(df, "ip", text, IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"))
     df = df.withColumn("ip", F.filter("ip", lambda x: good_ip(x["v"])))
-    df = with_matches(df, "card", text, CARD)
+    df = with_matches(df, "card", text, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"))
     df = df.withColumn("card", F.filter("card", lambda x: good_card(x["v"])))
     df = with_matches(df, "phone", text, PHONE, text.contains("+"))
     return df.withColumn("phone", F.filter("phone", lambda x: good_phone(x["v"])))
@@ -104,13 +106,13 @@ def votes(kind: str, v: Column, before: Column) -> list[Column]:
     return [strict, shape, known, context, repeat, embedded]
 
 
-def proposed(kind: str, text: Column):
-    def one(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
-        cell = F.concat(F.lit(kind[0]), *[c.cast("string") for c in votes(kind, x["v"], before)])
-        return F.struct(x["s"], x["e"], x["v"], F.lit(kind).alias("kind"), cell.alias("cell"))
+def proposed(kind: str, spans: Column, text: Column) -> Column:
+    """The spans as candidates, each with its vote pattern."""
 
-    return one
+    def one(pieces: Column, x: Column) -> Column:
+        return once(between(pieces, F.greatest(x["s"] - 24, F.lit(0)), x["s"]), lambda before: F.struct(x["s"], x["e"], x["v"], F.lit(kind).alias("kind"), F.concat(F.lit(kind[0]), *[c.cast("string") for c in votes(kind, x["v"], before)]).alias("cell")))
+
+    return once(F.struct(in_pieces(text).alias("pieces"), spans.alias("spans")), lambda b: F.transform(b["spans"], lambda x: one(b["pieces"], x)))
 
 
 def of_kind(spans: Column, kind: str) -> Column:
@@ -119,14 +121,14 @@ def of_kind(spans: Column, kind: str) -> Column:
 
 def candidates(df: DataFrame, text: Column) -> DataFrame:
     """Adds cand: candidate spans with their kind and vote pattern, clear of base spans."""
-    taken = F.concat(*[F.col(k) for k in KINDS])
+    df = df.withColumn("_taken", F.concat(*[F.col(k) for k in KINDS]))
     out = []
     for kind, regex in CANDIDATES.items():
         guard = text.contains("@") | text.contains("at)") | text.contains("at]") if kind == "address" else None
         df = with_matches(df, f"_{kind}", text, regex, guard)
-        free = clear_of(F.col(f"_{kind}"), taken)
-        out.append(F.transform(free, proposed(kind, text)))
-    return df.withColumn("cand", F.concat(*out)).drop(*(f"_{k}" for k in CANDIDATES))
+        df = df.withColumn(f"_{kind}", clear_of(F.col(f"_{kind}"), F.col("_taken")))
+        out.append(F.when(F.size(f"_{kind}") > 0, proposed(kind, F.col(f"_{kind}"), text)).otherwise(F.array().cast(CANDIDATE)))
+    return df.withColumn("cand", F.concat(*out)).drop("_taken", *(f"_{k}" for k in CANDIDATES))
 
 
 def fit(cells: dict[str, int], rounds: int = 40) -> tuple[dict[str, float], dict]:
@@ -166,8 +168,8 @@ def fit(cells: dict[str, int], rounds: int = 40) -> tuple[dict[str, float], dict
 def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, output: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; with output also entities (structs with values)."""
     text = F.col("_text")
-    read = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    found = candidates(with_base(read, text), text)
+    read = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = staged(candidates(with_base(read, text), text).drop("_text"))  # spans only; the texts are read once
     cells = {r["cell"]: r["n"] for r in found.select(F.explode("cand.cell").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     probability, _ = fit(cells)
     chosen = sorted(c for c, p in probability.items() if p >= threshold)
@@ -176,6 +178,6 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = F.concat(*[named(of_kind(extra, k), k, len(KINDS) + i) for i, k in enumerate(CANDIDATES)])
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return (
-        found.select(id_col, *counts, base.alias("_base"), more.alias("_more"))
+        found.select(F.col("_id").alias(id_col), *counts, base.alias("_base"), more.alias("_more"))
         .select(id_col, *[f"n_{k}" for k in KINDS], F.sha2(rendered(F.col("_base")), 256).alias("base_sha256"), rendered(F.concat("_base", "_more")).alias("spans"), *([F.concat("_base", "_more").alias("entities")] if output else []))
     )

@@ -7,7 +7,8 @@ a token whose log-likelihood ratio per character exceeds `margin` is reported as
 The labelled samples: random = values the fixed patterns found plus Base64 of hashes; ordinary = words of letters
 with single joins (snake, kebab or camel case) that no pattern touched. At most `samples` distinct tokens a class
 are used, those with the smallest hashes; the transition counts, at most 2 * 96 * 96 rows, go to the driver and
-return as an array constant. Null texts are empty; repeated rows get equal results; an empty table gives no rows.
+return as an array constant. The corpus is read once: spans and tokens are written, without texts, and read again to
+fit and to score (redact() reads the texts a second time instead). Null texts are empty; repeated rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import clear_of, named, rendered, running, with_matches
+from .common import staged
+from .spans import between, clear_of, in_pieces, named, once, rendered, running, with_matches
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9+/_.=-]++"
@@ -36,17 +38,14 @@ def with_base(df: DataFrame, text: Column) -> DataFrame:
     return with_matches(df, "hex", text, HEX, text.rlike("[0-9a-f]{32}"))
 
 
-def code(token: Column, i: Column) -> Column:
-    return F.ascii(F.substr(token, i, F.lit(1))) - 32
-
-
 def steps(token: Column) -> Column:
     """Cells prev * SIDE + next of a token's transitions."""
-    return F.transform(F.sequence(F.lit(2), F.length(token)), lambda i: code(token, i - 1) * SIDE + code(token, i))
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) - 32)
+    return once(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: a * SIDE + b))
 
 
 def smallest(tokens: DataFrame, samples: int) -> DataFrame:
-    return tokens.groupBy("token").agg(F.first(F.xxhash64("token")).alias("h")).orderBy("h", "token").limit(samples).select("token")
+    return tokens.orderBy(F.xxhash64("token"), "token").limit(samples).select("token")
 
 
 def fit(found: DataFrame, samples: int) -> list[float]:
@@ -54,9 +53,11 @@ def fit(found: DataFrame, samples: int) -> list[float]:
     spark = found.sparkSession
     values = F.concat(F.transform("assign", lambda x: F.regexp_extract(x["v"], ASSIGN_VALUE, 1)), F.transform("access", lambda x: x["v"]), F.transform("hex", lambda x: x["v"]))
     made = spark.range(samples // 4).select(F.regexp_replace(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "=", "").alias("token"))
-    random = smallest(found.select(F.explode(values).alias("token")).where(F.col("token").rlike(r"\A[\x20-\x7e]{2,}\z")), samples).unionAll(made)
-    plain = found.select(F.explode("_tokens.v").alias("token")).where(F.col("token").rlike(r"\A[A-Za-z][a-z]*(?:[_-]?[A-Z]?[a-z]+)*+\z|\A[A-Z]+\z"))
-    ordinary = smallest(plain, samples)
+    words = F.filter(F.transform("_tokens", lambda x: x["v"]), lambda v: v.rlike(r"\A[A-Za-z][a-z]*(?:[_-]?[A-Z]?[a-z]+)*+\z|\A[A-Z]+\z"))
+    both = F.concat(F.transform(values, lambda v: F.struct(F.lit(1).alias("y"), v.alias("token"))), F.transform(words, lambda v: F.struct(F.lit(0).alias("y"), v.alias("token"))))
+    known = staged(found.select(F.explode(both).alias("x")).select("x.*").where(F.col("token").rlike(r"\A[\x20-\x7e]{2,}\z")).distinct())
+    random, ordinary = (smallest(known.where(F.col("y") == y), samples) for y in (1, 0))
+    random = random.unionAll(made)
     rows = (
         random.select(F.lit(1).alias("y"), "token")
         .unionAll(ordinary.select(F.lit(0).alias("y"), "token"))
@@ -82,23 +83,26 @@ def score(token: Column, table: Column) -> Column:
     return F.aggregate(steps(token), F.lit(0.0), lambda acc, c: acc + F.get(table, c)) / (F.length(token) - 1)
 
 
-def scanned(read: DataFrame, text: Column, samples: int, margin: float) -> tuple[DataFrame, Column]:
-    """Rows with their base spans in _base, and the spans that the Markov models add."""
+def with_spans(read: DataFrame, text: Column) -> DataFrame:
+    """Rows with their matches by kind, all of them in _base, and in _tokens what the Markov models are asked about."""
     found = with_matches(with_base(read, text), "_tokens", text, TOKEN)
-    base = F.array_sort(F.concat(*[named(F.col(k), k, i) for i, k in enumerate(KINDS)]))
-    found = found.withColumn("_base", base).withColumn("_tokens", clear_of(F.col("_tokens"), F.col("_base")))
-    table = F.lit(fit(found, samples))
-    return found, F.filter("_tokens", lambda x: x["v"].rlike("[A-Za-z]") & (score(x["v"], table) > margin))
+    found = found.withColumn("_base", F.array_sort(F.concat(*[named(F.col(k), k, i) for i, k in enumerate(KINDS)])))
+    return found.withColumn("_tokens", clear_of(F.col("_tokens"), F.col("_base")))
+
+
+def all_spans(table: Column, margin: float) -> Column:
+    """Base spans and those that the Markov models add, in order."""
+    hits = F.filter("_tokens", lambda x: x["v"].rlike("[A-Za-z]") & (score(x["v"], table) > margin))
+    return F.array_sort(F.concat("_base", named(hits, "markov", len(KINDS))))
 
 
 def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = 4000, margin: float = 0.5, output: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans; with output also findings (structs with values)."""
-    text = F.col("_text")
-    read = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    found, hits = scanned(read, text, samples, margin)
-    every = F.array_sort(F.concat("_base", named(hits, "markov", len(KINDS))))
+    read = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = staged(with_spans(read, F.col("_text")).drop("_text"))
+    every = all_spans(F.lit(fit(found, samples)), margin)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(rendered(F.col("_base")), 256).alias("base_sha256"), every.alias("_all")).select(
+    return found.select(F.col("_id").alias(id_col), *counts, F.sha2(rendered(F.col("_base")), 256).alias("base_sha256"), every.alias("_all")).select(
         id_col, *[f"n_{k}" for k in KINDS], "base_sha256", rendered(F.col("_all")).alias("spans"), *([F.col("_all").alias("findings")] if output else [])
     )
 
@@ -108,19 +112,20 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns stay; n_chars, where it exists, follows the text. Null texts stay null.
     """
-    text = F.col("_text")
     read = documents.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    found, hits = scanned(read, text, samples, margin)
-    every = F.array_sort(F.concat("_base", named(hits, "markov", len(KINDS))))
+    found = with_spans(read, F.col("_text"))
+    every = all_spans(F.lit(fit(found, samples)), margin)
 
     def step(state: Column, x: Column) -> Column:
         return F.struct(state["upto"].alias("before"), x["s"].alias("s"), F.greatest(state["upto"], x["e"]).alias("upto"))
 
+    def cleaned(x: Column) -> Column:
+        piece = lambda t: F.when(t["s"] >= t["before"], F.concat(between(x["pieces"], t["before"], t["s"]), F.lit(marker))).otherwise("")
+        return F.concat(F.array_join(F.transform(x["states"], piece), ""), between(x["pieces"], F.element_at(x["states"], -1)["upto"], F.lit(2**31 - 1)))
+
     states = running(F.col("_every"), F.struct(F.lit(0).alias("before"), F.lit(0).alias("s"), F.lit(0).alias("upto")), step)
-    piece = lambda t: F.when(t["s"] >= t["before"], F.concat(F.substr(text, t["before"] + 1, t["s"] - t["before"]), F.lit(marker))).otherwise("")
-    walked = F.concat(F.array_join(F.transform(states, piece), ""), F.substr(text, F.array_max(F.transform("_every", lambda x: x["e"])) + 1, F.length(text)))
-    clean = F.when(F.size("_every") > 0, walked).otherwise(F.col("_row")[text_col])
-    done = found.select("_row", "_text", every.alias("_every")).select("_row", clean.alias("_clean"))
+    walked = once(F.struct(in_pieces(F.col("_text")).alias("pieces"), states.alias("states")), cleaned)
+    done = found.select("_row", "_text", every.alias("_every")).select("_row", F.when(F.size("_every") > 0, walked).otherwise(F.col("_row")[text_col]).alias("_clean"))
     columns = []
     for field in documents.schema.fields:
         own = F.col("_row")[field.name]

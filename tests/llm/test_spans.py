@@ -92,3 +92,51 @@ def test_secrets_markov_separates(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(empty).collect() == [] and secrets.find_secrets(empty).collect() == []
+
+
+def test_texts_with_thousands_of_matches(spark):
+    """Time must not grow with the square of the matches of one text; all places stay right."""
+    import time
+
+    rng = __import__("random").Random(4)
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    dense = " é ".join(rng.choice([hexes(32), hexes(40), f"token={hexes(9)}", "AKIA" + "Z" * 14, "Zx9Qw3Rt7Yp1Lk5Mn8Bv2Cc4" + hexes(4).upper(), "plain words here 😀"]) for _ in range(5000))
+    mails = " ü ".join(rng.choice([f"a{k}@b.co", f"10.0.{k % 300}.1", "+49 30 1234567", "4111 1111 1111 1111", f"jane{k} (at) corp (dot) com", "Dr. Jane Doe", "phone 030 123 4567 89"]) for k in range(5000))
+    rows = [(1, dense), (2, mails), (3, "nothing"), (4, "1" * 30000 + " " + "ab" * 30000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.find_secrets(df).collect()}
+    for i, text in rows:
+        want = plain_secrets(text)
+        assert got[i]["base_sha256"] == sha(",".join(f"{k}:{s}:{e}" for s, _, e, k in want))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, margin=1e9).collect()}
+    for i, text in rows:
+        out, at = [], 0
+        for s, _, e, _ in plain_secrets(text):
+            if s >= at:
+                out += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert clean[i] == "".join([*out, text[at:]])
+    found = {r["doc_id"]: r for r in pii.find_pii(df).collect()}
+    for i, text in rows:
+        assert found[i]["base_sha256"] == sha(",".join(f"{k}:{s}:{e}" for k, v in plain_pii(text).items() for s, e in v))
+    assert time.time() - began < 120
+
+
+def test_candidates_clear_of_base(spark):
+    rng = __import__("random").Random(9)
+    from hazeframe.llm import spans
+
+    def some():
+        at, out = 0, []
+        for _ in range(rng.randint(0, 40)):
+            at += rng.randint(0, 4)
+            out.append((at, at + rng.randint(1, 5), "v"))
+            at = out[-1][1]
+        return out
+
+    cases = [(i, some(), some() + some()) for i in range(150)]
+    df = spark.createDataFrame(cases, f"i int, a {spans.SPAN}, b {spans.SPAN}")
+    for i, got in df.select("i", spans.clear_of(df["a"], df["b"])).collect():
+        _, a, b = cases[i]
+        assert [tuple(x) for x in got] == [x for x in a if not any(t[0] < x[1] and x[0] < t[1] for t in b)]
