@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
-Documents are sets of hashed word n-grams. Equal sets form a class, joined through its smallest doc_id.
+Documents are sets of hashed word n-grams. Equal sets form a class, and classes are what is linked: a class has a key of
+its own, not that of a document, so rows that share a doc_id but not the text stay apart.
 
 1. Singles: all documents send the tokens of one fixed third of the hash space, packed, to hash buckets. A token
    that no other document has cannot be shared, and a document of n tokens that links with another misses at most
@@ -17,7 +18,7 @@ Documents are sets of hashed word n-grams. Equal sets form a class, joined throu
 
 No cap or sample decides a link. Copies that link cost rows in proportion to their number; of documents that share
 nearly all tokens and yet stay below the threshold, those that no bound tells apart are compared group by group. Empty texts and null texts have no tokens
-and link with nothing. Rows that repeat a doc_id keep one row each. A null doc_id joins the class of its text but
+and link with nothing. Rows that repeat a doc_id have one row each, with the component of their own text. A null doc_id joins the class of its text but
 never names a component unless it is alone. Other columns of the input are ignored.
 """
 
@@ -200,10 +201,10 @@ def with_pivot(rows: DataFrame, pivots: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(F.broadcast(hot), by).unionByName(rest.join(cold, by))
 
 
-def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: transitive closure of 100 |A n B| >= percent |A u B|."""
+def grouped(documents: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, hash (of the text), n, family, component_id for each row; family names the component by a key of its own."""
     parts = partitions(documents.sparkSession)
-    docs = documents.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
 
     def send(batches):
         out = LabelSender(parts)
@@ -216,7 +217,7 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
         yield from out.flush()
 
     found = shared(docs.select("part", "text").mapInArrow(send, "bucket int, keys binary, parts binary, labels binary"), parts)
-    fields = [("id", pa.int64()), ("n", pa.int64()), ("lost", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("m0", pa.int64()), ("m1", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+    fields = [("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("lost", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("m0", pa.int64()), ("m1", pa.int64()), ("tokens", pa.list_(pa.int64()))]
 
     def describe(batches):
         for table, rows in with_tables(batches):
@@ -241,15 +242,16 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
                 offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(body), mask=pa.array(~keep))
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(5), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), per(np.add, mix(tokens, 11)), per(np.add, mix(tokens, 12)), per(np.minimum, mix(tokens, 13)), per(np.minimum, mix(tokens, 14)), lists], names=[f for f, _ in fields]
+                    [c.column(5), c.column(7), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), per(np.add, mix(tokens, 11)), per(np.add, mix(tokens, 12)), per(np.minimum, mix(tokens, 13)), per(np.minimum, mix(tokens, 14)), lists], names=[f for f, _ in fields]
                 )
 
-    merged = after_answers(docs, found, parts).select("part", "kind", "bucket", "keys", "counts", "id", "text")
-    known = staged(merged.mapInArrow(describe, "id long, n long, lost long, f1 long, f2 long, m0 long, m1 long, tokens array<long>"))
+    merged = after_answers(docs, found, parts).select("part", "kind", "bucket", "keys", "counts", "id", "text", "hash")
+    # written numbers name a row for good
+    known = staged(merged.mapInArrow(describe, "id long, hash long, n long, lost long, f1 long, f2 long, m0 long, m1 long, tokens array<long>").withColumn("row", F.monotonically_increasing_id()))
     del found, merged
     release(documents.sparkSession)
-    meta = known.select("id", "n", "f1", "f2")
-    classes = staged(meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
+    meta = known.select("id", "hash", "n", "f1", "f2")
+    classes = staged(known.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("low"), F.min("row").alias("row")).withColumn("class", F.xxhash64("n", "f1", "f2")))
     paths: list[str] = []
 
     def temporary(df: DataFrame) -> DataFrame:
@@ -257,7 +259,7 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
         paths.append(path)
         return table
 
-    alive = temporary(known.where("tokens is not null and id is not null").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", (F.col("lost") / F.col("n")).alias("odd"), "m0", "m1", "tokens"))
+    alive = temporary(known.where("tokens is not null").join(classes.select("row", "class"), "row").select(F.col("class").alias("id"), "n", (F.col("lost") / F.col("n")).alias("odd"), "m0", "m1", "tokens"))
 
     share = F.size(F.array_intersect("tokens", "other"))
     linked = share * 100 >= percent * (F.col("n") + F.col("n_other") - share)
@@ -365,25 +367,31 @@ def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     last = temporary(opened.select("id", "comp", "tokens", "ids", "comps", "sets").mapInArrow(verify, "a long, b long"))
-    comp = components(edges.union(last)).select(F.col("node").alias("rep"), "component")
+    comp = components(edges.union(last)).select(F.col("node").alias("class"), F.col("component").alias("family"))
 
     remove(documents.sparkSession, *paths)  # the result reads known, classes and comp only
 
-    named = classes.join(comp, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = meta.join(named, ["n", "f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return out
+    named = classes.join(comp, "class", "left").select("n", "f1", "f2", "low", F.coalesce("family", "class").alias("family"))
+    lowest = named.groupBy("family").agg(F.min("low").alias("component_id"))
+    return meta.join(named.drop("low").join(lowest, "family"), ["n", "f1", "f2"], "left").select("id", "hash", "n", "family", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def group_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: transitive closure of 100 |A n B| >= percent |A u B|."""
+    return grouped(documents, width, percent, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest doc_id of each group, all columns unchanged.
+    """The document with the smallest doc_id of each group (of several with that id, the smallest hash), all columns
+    unchanged.
 
     Rows that repeat both doc_id and text keep one. Documents without words form no group and stay, as do rows
     with a null doc_id, which nothing can name.
     """
-    groups = group_documents(documents, width, percent, id_col, text_col)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    rows = documents.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
-    named = rows.where("_id is not null").join(kept, F.col("_id") == F.col("_kept"), "left_semi")
-    first = Window.partitionBy("_id", "_hash").orderBy("_hash")
+    rows = grouped(documents, width, percent, id_col, text_col).where("id is not null")
+    first = rows.where("n > 0").groupBy("family").agg(F.min(F.struct("id", "hash")).alias("k")).select("k.id", "k.hash")
+    kept = first.unionAll(rows.where("n = 0").select("id", "hash")).distinct()
+    named = documents.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash")).join(kept, ["id", "hash"], "left_semi")
+    first = Window.partitionBy("id", "hash").orderBy("hash")
     one = named.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return one.select("_row.*").unionAll(documents.where(F.col(id_col).isNull()))

@@ -141,6 +141,17 @@ def test_keep_one(spark):
     assert sorted(got.collect(), key=str) == sorted([(1, "a b c d e f g"), (2, "other words stand here now"), (4, None), (None, "a b c d e f g")], key=str)
 
 
+def test_repeated_ids_with_other_texts(spark):
+    rows = [(3, "a b c d e f g"), (5, "a b c d e f g"), (5, "other words here now ok fine then"), (6, "Other words here now ok fine then"), (None, "only the null id has these words"), (None, "a b c d e f g"), (7, None), (7, "seven words stand in this one row"), (7, "seven words stand in this one row"), (5, "")]
+    rng = random.Random(21)
+    made = [(i // 3, t) for i, (_, t) in enumerate(near_copies(rng, 25, 30))]
+    own = rows + made
+    got = sorted(map(tuple, jaccard_join.group_documents(spark.createDataFrame(own, "doc_id long, text string"), 4, 85).collect()), key=str)
+    assert got == sorted(plain_groups(own, 4, 85), key=str)
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(got.collect(), key=str) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6], rows[7], rows[9]], key=str)
+
+
 def plain_words(t):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or ""))
     return re.findall(r"[a-z0-9\x80-\U0010ffff]+", low)
