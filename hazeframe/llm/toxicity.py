@@ -9,7 +9,8 @@ Training reads a bounded sample of labelled rows: at most `train_rows` rows whos
 4. a logistic layer from sums of forward-backward marginals to the row's label.
 
 Scoring is one narrow pass over whole texts. Tokens without a known feature share one potential, so forward-backward
-steps over a run of them by a precomputed matrix power; marginals at all other tokens are exact. Offsets of tokens
+steps over a run of them by a precomputed matrix power; marginals at all other tokens are exact. Tokens are those of the
+text as it stands, each lowered by itself, so a letter whose lower case is longer moves no offset. Offsets of tokens
 with a marginal of 0.5 or more are returned as spans (code points, end exclusive).
 
 Scores use the text only. Null and empty texts get the logistic layer's score of no evidence. With no labelled rows,
@@ -73,7 +74,7 @@ class Model:
             if len(self.cache) > 300_000:
                 self.cache.clear()
             get = self.weights.get
-            got = self.cache[token] = sum(get(f, 0.0) for f in features(token))
+            got = self.cache[token] = sum(get(f, 0.0) for f in features(token.lower()))
         return got
 
     def marginals(self, at: list[int], w: list[float], n: int) -> list[float]:
@@ -102,7 +103,7 @@ class Model:
         return out[::-1]
 
     def evidence(self, text: str) -> tuple[np.ndarray, list[int], list[float]]:
-        tokens = TOKEN.findall(text.lower())
+        tokens = TOKEN.findall(text)
         get, slow = self.cache.get, self.weight
         w = [get(t) if t in self.cache else slow(t) for t in tokens]
         at = [i for i, x in enumerate(w) if x]
@@ -120,10 +121,7 @@ class Model:
         spans = ""
         if any(v >= 0.5 for v in p):
             tagged = {i for i, v in zip(at, p, strict=True) if v >= 0.5}
-            low = text.lower()
-            source = low if len(low) == len(text) else text
-            places = [m.span() for m in TOKEN.finditer(source)]
-            spans = ",".join(f"{places[i][0]}:{places[i][1]}" for i in sorted(tagged) if i < len(places))
+            spans = ",".join(f"{m.start()}:{m.end()}" for i, m in enumerate(TOKEN.finditer(text)) if i in tagged)
         return value, spans
 
 
@@ -131,7 +129,7 @@ def telling(texts: list[str], labels: np.ndarray, most: int = 3000) -> dict[str,
     """At most `most` features, by share and count, and their share of label 1 among the rows that hold them: those far
     above the base rate."""
     ids: dict[str, int] = {}
-    own = [np.unique([ids.setdefault(t, len(ids)) for t in TOKEN.findall(text.lower())]).astype(np.int64) for text in texts]
+    own = [np.unique([ids.setdefault(t.lower(), len(ids)) for t in TOKEN.findall(text)]).astype(np.int64) for text in texts]
     names: dict[str, int] = {}
     lists = [[names.setdefault(f, len(names)) for f in features(t)] for t in ids]
     size = np.array([len(x) for x in lists], np.int64)
@@ -223,9 +221,9 @@ def fit(rows: list[tuple[str, int]], most_features: int = 3000, most_blocks: int
     held: dict[str, list[int]] = {}
     for text, y in zip(texts, labels, strict=True):
         known = []
-        for t in TOKEN.findall(text.lower()):
+        for t in TOKEN.findall(text):
             if (own := held.get(t)) is None:
-                own = held[t] = [index[f] for f in features(t) if f in index]
+                own = held[t] = [index[f] for f in features(t.lower()) if f in index]
             known.append(own)
         for lo in range(0, len(known), BLOCK):
             part = known[lo : lo + BLOCK]
@@ -280,13 +278,13 @@ def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
 
 
 def drop_toxic(documents: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Documents whose score is below the threshold, all columns unchanged; one narrow pass."""
-    if not model.trained:
-        return documents
+    """Documents whose score is below the threshold, all columns unchanged; one narrow pass. A model that saw one label
+    only, or none, gives all documents the same score, so then all go or all stay."""
     at = documents.columns.index(text_col)
 
     def run(batches):
-        model.prepare()
+        if model.trained:
+            model.prepare()
         for c in chunks(batches, at):
             keep = [model.score(t)[0] < threshold for t in c.column(at).to_pylist()]
             yield c.filter(pa.array(keep, pa.bool_()))

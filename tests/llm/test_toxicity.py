@@ -66,3 +66,23 @@ def test_odd_rows_train_and_score(spark, documents, odd):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     rows = toxicity.score_documents(odd, toxicity.train(odd, labels)).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_offsets_where_lower_case_is_longer(spark):
+    rows = [(i, f"İstanbul is bad text {i}" if i % 2 else f"Some good text {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = train(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    got = score_documents(docs, model).where("doc_id % 2 = 1").collect()
+    for r in got:
+        text = rows[r["doc_id"]][1]
+        words = {text[int(a) : int(b)] for a, b in (x.split(":") for x in r["spans"].split(","))}
+        assert "bad" in words and "text" not in words
+
+
+def test_one_label_only(spark, odd):
+    for label in (0, 1):
+        labels = spark.createDataFrame([(i, label) for i in range(12)], "doc_id long, toxic int")
+        model = train(odd, labels)
+        scores = score_documents(odd, model).collect()
+        assert {(r["score"], r["predicted"]) for r in scores} == {(float(label), label)}
+        assert drop_toxic(odd, model).count() == (0 if label else odd.count())
