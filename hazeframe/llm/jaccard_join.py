@@ -259,7 +259,7 @@ def grouped(documents: DataFrame, width: int, percent: int, id_col: str, text_co
         paths.append(path)
         return table
 
-    alive = temporary(known.where("tokens is not null").join(classes.select("row", "class"), "row").select(F.col("class").alias("id"), "n", (F.col("lost") / F.col("n")).alias("odd"), "m0", "m1", "tokens"))
+    alive = temporary(known.where("tokens is not null").join(classes.select("row", "class", F.coalesce("low", F.lit((1 << 63) - 1)).alias("age")), "row").select(F.col("class").alias("id"), "age", "n", (F.col("lost") / F.col("n")).alias("odd"), "m0", "m1", "tokens"))
 
     share = F.size(F.array_intersect("tokens", "other"))
     linked = share * 100 >= percent * (F.col("n") + F.col("n_other") - share)
@@ -271,19 +271,20 @@ def grouped(documents: DataFrame, width: int, percent: int, id_col: str, text_co
 
     def labelled(edges: DataFrame) -> DataFrame:
         comp = components(edges)
-        ids = alive.select("id", "n", "odd", "m0", "m1")
-        return ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "odd", "m0", "m1", F.coalesce("component", "id").alias("comp"))
+        ids = alive.select("id", "age", "n", "odd", "m0", "m1")
+        return ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "age", "n", "odd", "m0", "m1", F.coalesce("component", "id").alias("comp"))
 
-    # a pivot has the fewest odd tokens of its bucket: of copies of one text it is the one most like all others
+    # a pivot has the fewest odd tokens of its bucket: of copies of one text it is the one most like all others; of several
+    # the one with the smallest doc_id, the age of its class, since what was copied tends to come first
     size_fits = (F.col("n") * 100 >= F.col("n_p") * percent) & (F.col("n_p") * 100 >= F.col("n") * percent)
-    classed = alive.select("id", "n", "odd", "m0", F.floor(F.log2("n") * 4).alias("wide"))
-    pivots = temporary(classed.groupBy("m0", "wide").agg(F.min(F.struct("odd", "id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m0", "wide", "k", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p")))
+    classed = alive.select("id", "age", "n", "odd", "m0", F.floor(F.log2("n") * 4).alias("wide"))
+    pivots = temporary(classed.groupBy("m0", "wide").agg(F.min(F.struct("odd", "age", "id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m0", "wide", "k", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p")))
     edges = temporary(verified(with_pivot(classed, pivots, ["m0", "wide"]).where(F.col("id") != F.col("pivot")).where(size_fits).select("id", "pivot")))
     comp = temporary(labelled(edges))
     release(documents.sparkSession)
     for by in ("m1", "m0"):
-        pivots = comp.groupBy(by).agg(F.min(F.struct("odd", "id", "n", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top"), F.count(F.lit(1)).alias("k")).where("low <> top").select(by, "k", F.col("p.comp").alias("c_p"), F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
-        second = with_pivot(comp, temporary(pivots), [by]).where("comp <> c_p").where(size_fits).groupBy("comp", "c_p").agg(F.min(F.struct("odd", "id", "pivot")).alias("x")).select("x.id", "x.pivot")
+        pivots = comp.groupBy(by).agg(F.min(F.struct("odd", "age", "id", "n", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top"), F.count(F.lit(1)).alias("k")).where("low <> top").select(by, "k", F.col("p.comp").alias("c_p"), F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"))
+        second = with_pivot(comp, temporary(pivots), [by]).where("comp <> c_p").where(size_fits).groupBy("comp", "c_p").agg(F.min(F.struct("odd", "age", "id", "pivot")).alias("x")).select("x.id", "x.pivot")
         edges = edges.union(temporary(verified(second)))
         comp = temporary(labelled(edges))
         release(documents.sparkSession)
