@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 TOKEN = re.compile(r"[^\W\d_]+")
-SPAN, BLOCK, POWERS = range(3, 9), 64, 256
+SPAN, BLOCK, POWERS, PART = range(3, 9), 64, 256, 256
 
 
 def features(token: str) -> list[str]:
@@ -130,19 +130,31 @@ def telling(texts: list[str], labels: np.ndarray, most: int = 3000) -> dict[str,
     above the base rate."""
     ids: dict[str, int] = {}
     own = [np.unique([ids.setdefault(t.lower(), len(ids)) for t in TOKEN.findall(text)]).astype(np.int64) for text in texts]
+    # a feature must occur in rows of label 1, so only their tokens name any; the others' are looked up
+    marked = np.zeros(len(ids), bool)
+    for x, y in zip(own, labels, strict=True):
+        marked[x] |= bool(y)
     names: dict[str, int] = {}
-    lists = [[names.setdefault(f, len(names)) for f in features(t)] for t in ids]
+    for t, m in zip(ids, marked.tolist(), strict=True):
+        if m:
+            for f in features(t):
+                names.setdefault(f, len(names))
+    lists = [[names[f] for f in features(t) if f in names] or () for t in ids]
     size = np.array([len(x) for x in lists], np.int64)
     flat = np.array([f for x in lists for f in x], np.int64)
     first = np.cumsum(size) - size
-    row, token = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.zeros(0, np.int64), *own])
-    many = size[token]
-    after = np.cumsum(many)
-    held = flat[np.repeat(first[token] - (after - many), many) + np.arange(int(many.sum()))]
-    both = np.unique(np.repeat(row, many) * max(1, len(names)) + held)
-    row, held = both // max(1, len(names)), both % max(1, len(names))
-    every = np.bincount(held, minlength=len(names))
-    ones = np.bincount(held, weights=labels[row], minlength=len(names))
+    width = max(1, len(names))
+    every, ones = np.zeros(len(names), np.int64), np.zeros(len(names))
+    for lo in range(0, len(own), PART):  # a part of the rows at a time bounds the arrays
+        some = own[lo : lo + PART]
+        row, token = np.repeat(np.arange(lo, lo + len(some)), [len(x) for x in some]), np.concatenate([np.zeros(0, np.int64), *some])
+        many = size[token]
+        after = np.cumsum(many)
+        held = flat[np.repeat(first[token] - (after - many), many) + np.arange(int(many.sum()))]
+        both = np.unique(np.repeat(row, many) * width + held)
+        row, held = both // width, both % width
+        every += np.bincount(held, minlength=len(names))
+        ones += np.bincount(held, weights=labels[row], minlength=len(names))
     base = labels.mean()
     share = (ones + base) / (every + 1)
     z = (ones - every * base) / np.sqrt(every * base * (1 - base) + 1e-9)
@@ -219,15 +231,17 @@ def fit(rows: list[tuple[str, int]], most_features: int = 3000, most_blocks: int
     index = {f: i for i, f in enumerate(share)}
     blocks, plain = [], []
     held: dict[str, list[int]] = {}
+    none: list[int] = []  # shared by the many tokens without a feature
     for text, y in zip(texts, labels, strict=True):
         known = []
         for t in TOKEN.findall(text):
             if (own := held.get(t)) is None:
-                own = held[t] = [index[f] for f in features(t.lower()) if f in index]
+                own = held[t] = [index[f] for f in features(t.lower()) if f in index] or none
             known.append(own)
         for lo in range(0, len(known), BLOCK):
             part = known[lo : lo + BLOCK]
             (blocks if any(part) else plain).append((part, y))
+    held.clear()
     model = Model(trained=True, prior=float(labels.mean()))
     if blocks:
         blocks = spaced(blocks, most_blocks)
@@ -245,6 +259,7 @@ def fit(rows: list[tuple[str, int]], most_features: int = 3000, most_blocks: int
         hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(beta))
         beta += np.linalg.solve(hess, x.T @ (labels - p) - 0.1 * beta)
     model.layer = tuple(map(float, beta))
+    model.cache = {}  # tasks fill their own
     return model
 
 
