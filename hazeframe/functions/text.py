@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCENTS, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc"
+MARKS = "[\u0300-\u036f]"  # combining marks that fall away
+
+
+def _decomposed() -> dict[str, str]:
+    """Every other character whose full canonical decomposition is an ASCII letter or digit and marks, and that in lower
+    case. What decomposes to anything else is no part of a search key."""
+    out = {}
+    for code in range(128, sys.maxunicode + 1):
+        if not unicodedata.decomposition(chr(code)):
+            continue
+        bare = re.sub(MARKS, "", unicodedata.normalize("NFD", chr(code)))
+        if len(bare) == 1 and bare.isascii() and bare.isalnum():
+            out[chr(code)] = bare.lower()
+    return out
+
+
+_FOLDED = _decomposed()
+ACCENTS, PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
 
 
 def clean(text: Column, longest: int = 120) -> Column:
@@ -13,8 +34,9 @@ def clean(text: Column, longest: int = 120) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTS, PLAIN)
+    """Lower case, decomposed, without combining marks; characters beyond ASCII cost a look-up only where there are any."""
+    bare = F.regexp_replace(F.translate(text, ACCENTS, PLAIN), MARKS, "")
+    return F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(bare))
 
 
 def search_key(text: Column) -> Column:

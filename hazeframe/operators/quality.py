@@ -51,6 +51,35 @@ def health(heartbeat_min: Column, forecast_min: Column, coverage_hours: Column,
     return issues, verdict
 
 
+def health_report(now: Column, every_minutes: int, status: Column, manifest: Column, sources: list[str], expected_version: Column | None = None) -> Column:
+    """(issues, verdict) of a run status and the manifest it published, either of them null if it cannot be read.
+
+    status: lastAttemptAt, lastCompleteForecastAt, forecastLastValidTime, outcome. manifest: version, integratedStatus,
+    lastValidTime, and states, a map of source to status. A heartbeat or forecast older than twice the interval (30
+    minutes at least), under six hours of forecast ahead, a version other than the one expected, and an unavailable
+    forecast are fatal: unhealthy. Sources that are not ok, a run that was not fresh and a retained forecast degrade.
+    The sources' issues follow the fatal ones.
+    """
+    fresh = max(30, 2 * every_minutes)
+    late = lambda at: (F.unix_timestamp(now) - F.unix_timestamp(at)) > fresh * 60
+    until = F.coalesce(manifest["lastValidTime"], status["forecastLastValidTime"])
+    fatal = {
+        "invalid-status": status.isNull(),
+        "invalid-manifest": manifest.isNull(),
+        "unexpected-version": manifest["version"] != expected_version if expected_version is not None else F.lit(False),
+        "stale-heartbeat": late(status["lastAttemptAt"]),
+        "stale-forecast": status["lastCompleteForecastAt"].isNull() | late(status["lastCompleteForecastAt"]),
+        "insufficient-forecast-coverage": until.isNull() | (F.unix_timestamp(until) - F.unix_timestamp(now) < 6 * 3600),
+        "forecast-unavailable": manifest["integratedStatus"] == "unavailable",
+    }
+    first = F.array_compact(F.array(*[F.when(F.coalesce(off, F.lit(False)), name) for name, off in fatal.items()]))
+    state = lambda s: F.coalesce(F.get(F.filter(F.map_entries(manifest["states"]), lambda e: e["key"] == s), F.lit(0))["value"], F.lit("missing"))
+    later = F.array_compact(F.array(*[F.when(manifest.isNotNull() & (state(s) != "ok"), F.concat(F.lit(f"source-{s}-"), state(s))) for s in sources]))
+    poor = (F.size(later) > 0) | F.coalesce(status["outcome"] != "fresh", F.lit(True)) | F.coalesce(manifest["integratedStatus"] == "retained", F.lit(False))
+    verdict = F.when(F.size(first) > 0, "unhealthy").when(poor, "degraded").otherwise("healthy")
+    return F.struct(F.concat(first, later).alias("issues"), verdict.alias("verdict"))
+
+
 def complete(df: DataFrame, required: DataFrame, key: str) -> DataFrame:
     """expected, actual, missing (sorted list): required keys against those present; one row."""
     have = df.select(key).distinct().withColumn("_have", F.lit(True))

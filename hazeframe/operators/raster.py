@@ -110,6 +110,40 @@ def mask_code(red: Column, green: Column, blue: Column, alpha: Column) -> Column
     return F.when(best["off"] <= MASK_OFF, best["code"])
 
 
+# How far (L1 over red, green, blue) a colour may be off its source's, and the least alpha that shows.
+LABEL_OFF, LEAST_ALPHA = 36, 8
+
+
+def mask_label(red: Column, green: Column, blue: Column, alpha: Column) -> Column:
+    """Code of the source whose colour is nearest and less than LABEL_OFF away, the smaller code on ties; 0 (none) if no
+    source is near or the pixel hardly shows."""
+    off = [F.struct(sum((F.abs(c - v) for c, v in zip((red, green, blue), rgba, strict=False)), F.lit(0)).alias("off"), F.lit(code).alias("code")) for code, rgba in MASK.items() if code]
+    best = F.array_min(F.array(*off))
+    return F.when((alpha >= LEAST_ALPHA) & (best["off"] < LABEL_OFF), best["code"]).otherwise(0)
+
+
+def palette() -> list[tuple[int, int, int, int, int, float]]:
+    """(index, red, green, blue, alpha, value) of all entries, as lookup_table() has them."""
+    out = [(0, 0, 0, 0, 0, 0.0)]
+    for n in range(1, len(STOPS)):
+        low, high = STOPS[n], STOPS[min(n + 1, len(STOPS) - 1)]
+        for k in range(1 if n == len(STOPS) - 1 else STEPS):
+            lo, r, g, b, a = (x + (y - x) * (k / (STEPS - 1)) for x, y in zip(low, high, strict=True))
+            out.append((1 + (n - 1) * STEPS + k, round(r), round(g), round(b), round(a), float(lo)))
+    return out
+
+
+def colour_value(red: Column, green: Column, blue: Column, alpha: Column) -> Column:
+    """(index, value) of the palette entry nearest by L1, the smaller index on ties; null where the pixel hardly shows.
+
+    The palette is a constant of the expression: no join, no shuffle, one row in and one row out.
+    """
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "r", "g", "b", "a", "v"), row, strict=True)]) for row in palette()])
+    apart = lambda p: F.abs(red - p["r"]) + F.abs(green - p["g"]) + F.abs(blue - p["b"]) + F.abs(alpha - p["a"])
+    best = F.array_min(F.transform(table, lambda p: F.struct(apart(p).alias("apart"), p["i"].alias("index"), p["v"].alias("value"))))
+    return F.when(alpha >= LEAST_ALPHA, F.struct(best["index"].alias("index"), best["value"].alias("value")))
+
+
 def decoded(pixels: DataFrame, key: str) -> DataFrame:
     """key, index, code, valid of pixels (red, green, blue, alpha and mask_red, ...); an unknown colour fails the read."""
     near = nearest_colour(pixels, key, TEXTURE_OFF)

@@ -1,10 +1,12 @@
-"""Snapshot store: content-addressed payloads, manifests, an atomic pointer, incremental reuse and sweeping."""
+"""Snapshot store: content-addressed payloads, manifests, numbered commits, incremental reuse and sweeping."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,53 +22,106 @@ def addressed(df: DataFrame, payload: Column) -> DataFrame:
     return rows.groupBy(F.sha2("payload", 256).alias("_h")).agg(F.first("payload").alias("payload")).select(F.concat(F.lit("assets/"), F.substring("_h", 1, 20), F.lit(".json")).alias("path"), F.octet_length("payload").alias("bytes"), "payload")
 
 
-class SnapshotStore:
-    """Tables published under one root. Readers see a snapshot only after its pointer, which is written last."""
+class Conflict(RuntimeError):
+    """Another writer published the snapshot first."""
+
+
+class Folder:
+    """Small files below a root: replaced atomically, claimed by one writer only, listed."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _write(self, name: str, text: str) -> None:
-        target, temp = self.path(f"{self.root}/{name}"), self.path(f"{self.root}/.{name}.tmp")
+    def _move(self, name: str, text: str, *options) -> None:
+        target, temp = self.path(f"{self.root}/{name}"), self.path(f"{self.root}/.{name.replace('/', '-')}.{uuid.uuid4().hex}")
         out = self.fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
+        self.fs.mkdirs(target.getParent())
         fs = self.spark._jvm.org.apache.hadoop.fs
-        replace = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
-        replace[0] = getattr(fs, "Options$Rename").OVERWRITE
-        context = fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(temp, target, replace)  # readers see the old file or the new one
-
-    def _read(self, name: str) -> str | None:
+        how = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), len(options))
+        for i, option in enumerate(options):
+            how[i] = option
+        try:
+            fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(temp, target, how)
+        finally:
+            self.fs.delete(temp, False)  # nothing is there after a rename
+
+    def replace(self, name: str, text: str) -> None:
+        """Readers see the old file or the new one."""
+        self._move(name, text, getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE)
+
+    def claim(self, name: str, text: str) -> bool:
+        """Whether the file was made by this call. Atomic where the file system's rename is (HDFS), so of several
+        writers one succeeds; the local file system checks first."""
+        try:
+            self._move(name, text)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            return False
+        return True
+
+    def text(self, name: str) -> str | None:
         target = self.path(f"{self.root}/{name}")
         if not self.fs.exists(target):
             return None
         rows = self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()
         return rows[0][0] if rows else None
 
-    def publish(self, tables: dict[str, DataFrame]) -> str:
-        """Write all tables, then the manifest, then the pointer; returns the version."""
-        parts = {}
-        base = self._read("pointer.json")
-        n = json.loads(base)["n"] + 1 if base else 1
+    def names(self, folder: str) -> list[str]:
+        """Names of the files of a folder, hidden ones left out, in order."""
+        where = self.path(f"{self.root}/{folder}")
+        found = [f.getPath().getName() for f in self.fs.listStatus(where)] if self.fs.exists(where) else []
+        return sorted(n for n in found if not n.startswith("."))
+
+
+class SnapshotStore(Folder):
+    """Tables published under one root. A snapshot is there once its commit is: commits are numbered files that only one
+    writer can make, so two writers that saw the same snapshot cannot both follow it. The pointer is a copy for readers
+    outside."""
+
+    def latest(self) -> int:
+        """Number of the newest snapshot, 0 before the first."""
+        names = self.names("commits")
+        return int(names[-1].split(".")[0]) if names else 0
+
+    def publish(self, tables: dict[str, DataFrame], number: int | None = None, token: str | None = None) -> str:
+        """Write all tables, then the manifest, then the commit, then the pointer; returns the version.
+
+        number, as from a batch id, is the snapshot to make, else the next one. token names the attempt: a repeated
+        attempt that was published already returns its version and writes nothing; one that is beaten to its number, or
+        comes for a number already passed, raises Conflict. Tables lie in a folder of the token, so writers never mix.
+        """
+        token = token or uuid.uuid4().hex
+        newest = self.latest()
+        n = newest + 1 if number is None else number
+        if (done := self.text(f"commits/{n:08d}.json")) is not None:
+            if json.loads(done)["token"] != token:
+                raise Conflict(f"snapshot {n} was published by another writer")
+            return json.loads(done)["version"]
+        if n <= newest:
+            raise Conflict(f"snapshot {n} is older than snapshot {newest}")
+        own = hashlib.sha256(token.encode()).hexdigest()[:12]
+        parts = {name: f"data/{n:08d}-{own}/{name}" for name in tables}
         for name, df in tables.items():
-            parts[name] = f"data/{n:08d}/{name}"
             df.write.mode("overwrite").parquet(f"{self.root}/{parts[name]}")
         body = json.dumps({"n": n, "tables": parts}, sort_keys=True)
         version = hashlib.sha256(body.encode()).hexdigest()[:20]
-        self._write(f"manifest-{version}.json", body)
-        self._write("pointer.json", json.dumps({"n": n, "version": version}))
+        self.replace(f"manifest-{version}.json", body)
+        if not self.claim(f"commits/{n:08d}.json", json.dumps({"version": version, "token": token})):
+            raise Conflict(f"snapshot {n} was published by another writer")
+        self.replace("pointer.json", json.dumps({"n": n, "version": version}))
         return version
 
     def current(self) -> dict[str, DataFrame]:
         """Tables of the published snapshot; empty before the first."""
-        pointer = self._read("pointer.json")
-        if pointer is None:
+        n = self.latest()
+        if not n:
             return {}
-        manifest = json.loads(self._read(f"manifest-{json.loads(pointer)['version']}.json"))
+        manifest = json.loads(self.text(f"manifest-{json.loads(self.text(f'commits/{n:08d}.json'))['version']}.json"))
         return {name: self.spark.read.parquet(f"{self.root}/{p}") for name, p in manifest["tables"].items()}
 
 

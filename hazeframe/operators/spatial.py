@@ -173,9 +173,9 @@ def clipped_ring(df: DataFrame, ring: str, box=geo.FORECAST_BOX) -> DataFrame:
 
             return F.flatten(F.transform(points, visit))
 
-        df = df.withColumn("_points", out).withColumn("_points", cut(F.col("_points")))
-        out = F.col("_points")
-    return df.withColumn("clipped", F.col("_points")).drop("_points")
+        bound = (lambda cut: lambda points: cut(points))(cut)
+        out = F.element_at(F.transform(F.array(out), bound), 1)  # the side before is worked out once, not for each use
+    return df.withColumn("clipped", out)
 
 
 def clipped_segment(x0: Column, y0: Column, x1: Column, y1: Column, box=geo.FORECAST_BOX) -> Column:

@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from hazeframe.plans import coasts, contracts, feeds, frames, joins, rasters, readings, scalars, snapshots, sources, texts  # noqa: E402,F401
+from hazeframe.plans import coasts, contracts, feeds, frames, joins, published, rasters, readings, scalars, snapshots, sources, texts  # noqa: E402,F401

@@ -13,7 +13,7 @@ def clean(t):
     return t.documents.select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
-@query("F03_search_key", f"SELECT doc_id, trim(regexp_replace(translate(lower(text), '{text.ACCENTS}', '{text.PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
+@query("F03_search_key", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def search_key(t):
     return t.documents.select("doc_id", text.search_key(F.col("text")).alias("key"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeframe.functions import air, clock, geo
@@ -17,10 +17,18 @@ def bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
+def read_order() -> Column:
+    """Place of a row of a file source: by file, then by place in the file, however the files were split and packed.
+
+    A split of one file is read in order by one task, where the numbers rise.
+    """
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+
+
 def csv_stations(spark: SparkSession, path: str) -> DataFrame:
-    """id, name, lon, lat: stations in bounds; the last row of an id wins."""
+    """id, name, lon, lat: stations in bounds; the last row of an id wins, by file and place in it."""
     rows = spark.read.csv(path, header=True, schema=STATIONS)
-    out = rows.select(F.col("EMS_ID").alias("id"), F.col("STATION_NAME").alias("name"), F.expr("try_cast(LONGITUDE as double)").alias("lon"), F.expr("try_cast(LATITUDE as double)").alias("lat"), F.monotonically_increasing_id().alias("ord"))
+    out = rows.select(F.col("EMS_ID").alias("id"), F.col("STATION_NAME").alias("name"), F.expr("try_cast(LONGITUDE as double)").alias("lon"), F.expr("try_cast(LATITUDE as double)").alias("lat"), read_order().alias("ord"))
     return series.last_write(out.where(geo.in_monitor_regions(F.col("lon"), F.col("lat"))).withColumn("r", F.struct("name", "lon", "lat")), ["id"], "r", "ord").select("id", "r.*")
 
 
@@ -29,7 +37,7 @@ def csv_hourly(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, header=True, schema=HOURLY)
     value = air.usable(F.expr("try_cast(RAW_VALUE as double)"))
     at = clock.pacific_standard(F.col("DATE_PST"))
-    out = rows.where((F.upper("PARAMETER") == "PM25") & air.is_mass_unit(F.col("UNITS"))).select(F.col("EMS_ID").alias("id"), F.floor(F.unix_timestamp(at) / 3600).cast("int").alias("hour"), value.alias("value"), F.expr("try_cast(LONGITUDE as double)").alias("lon"), F.expr("try_cast(LATITUDE as double)").alias("lat"), F.monotonically_increasing_id().alias("ord"))
+    out = rows.where((F.upper("PARAMETER") == "PM25") & air.is_mass_unit(F.col("UNITS"))).select(F.col("EMS_ID").alias("id"), F.floor(F.unix_timestamp(at) / 3600).cast("int").alias("hour"), value.alias("value"), F.expr("try_cast(LONGITUDE as double)").alias("lon"), F.expr("try_cast(LATITUDE as double)").alias("lat"), read_order().alias("ord"))
     kept = out.where("value IS NOT NULL AND hour IS NOT NULL").withColumn("r", F.struct("value", "lon", "lat"))
     return series.last_write(kept, ["id", "hour"], "r", "ord").select("id", "hour", "r.*")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeframe.functions import air, clock, geo, text
+from hazeframe.operators.spatial import clipped_ring
 
 STATION_RECORD = "Parameter:string,Latitude:double,Longitude:double,AQI:int,Value:double,Concentration:double,Unit:string,UTC:string,DateObserved:string,FullAQSCode:string,SiteCode:string,SiteName:string,AgencyName:string,CountryCode:string,StateCode:string"
 HEALTH_FEATURES = "numberMatched int, numberReturned int, links array<struct<rel:string,href:string>>, features array<struct<geometry:struct<type:string,coordinates:array<double>>,properties:struct<location_id:string,location_name_en:string,observation_datetime:string,observation_type:string,aqhi:double,latest:boolean>>>"
@@ -52,6 +53,38 @@ def fires(raw: DataFrame, body: str) -> DataFrame:
     return out.groupBy("id").agg(F.max_by(F.struct(*[c for c in out.columns if c != "id"]), "ord").alias("r")).select("id", "r.*")
 
 
+PERIMETERS = "error string, exceededTransferLimit boolean, features array<struct<attributes:struct<attr_IncidentTypeCategory:string,poly_IncidentTypeCategory:string,IncidentTypeCategory:string>,geometry:struct<rings:array<array<array<double>>>>>>"
+
+
+def fire_parts(incidents: DataFrame, perimeters: DataFrame | None, body: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Incidents, rings (feature, ring, points) and outcomes (part, ok, message) of the two halves of a fire feed.
+
+    A fault in the incidents fails the read, as in fires(). The perimeters may be absent (None), no JSON, an error of the
+    provider, or cut short: then there are no rings at all, the outcome says why, and the incidents stand. Prescribed burns
+    have no rings; points that are not finite go; rings are cut to the display box and need three corners.
+    """
+    spark = incidents.sparkSession
+    known = fires(incidents, body)
+    fine = spark.createDataFrame([("incidents", True, None)], "part string, ok boolean, message string")
+    if perimeters is None:
+        lost = spark.createDataFrame([("perimeters", False, "not loaded")], fine.schema)
+        return known, spark.createDataFrame([], "feature long, ring int, points array<struct<x:double,y:double>>"), fine.unionAll(lost)
+    doc = perimeters.select(body, F.from_json(body, PERIMETERS).alias("d"), F.try_parse_json(body).isNotNull().alias("json"))
+    fault = F.when(~F.col("json"), "no JSON").when(F.col("d.error").isNotNull(), F.concat(F.lit("provider error: "), text.redacted(F.col("d.error")))).when(F.col("d.exceededTransferLimit"), "cut short").when(F.col("d.features").isNull(), "no features")
+    doc = doc.select("d", fault.alias("fault"))
+    verdict = doc.agg(F.min("fault").alias("fault"))  # one row
+    kinds = [F.col(f"f.attributes.{c}") for c in ("attr_IncidentTypeCategory", "poly_IncidentTypeCategory", "IncidentTypeCategory")]
+    kind = F.upper(F.coalesce(*[F.nullif(k, F.lit("")) for k in kinds], F.lit("WF")))
+    features = doc.select(F.monotonically_increasing_id().alias("_doc"), F.posexplode("d.features").alias("_f", "f")).where(~(kind.contains("RX") | kind.contains("PRESCRIB")))
+    rings = features.select(F.xxhash64("_doc", "_f").alias("feature"), F.posexplode("f.geometry.rings").alias("ring", "raw"))
+    finite = F.filter("raw", lambda p: F.coalesce(geo.finite(F.get(p, F.lit(0))) & geo.finite(F.get(p, F.lit(1))), F.lit(False)))
+    points = rings.select("feature", "ring", F.transform(finite, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("points"))
+    cut = clipped_ring(points.where(F.size("points") > 0), "points", geo.DISPLAY_BOX).where(F.size("clipped") >= 3).select("feature", "ring", F.col("clipped").alias("points"))
+    kept = cut.join(verdict.where("fault IS NULL").select(F.lit(True).alias("_ok")), how="cross").drop("_ok")  # one row or none
+    second = verdict.select(F.lit("perimeters").alias("part"), F.col("fault").isNull().alias("ok"), F.col("fault").alias("message"))
+    return known, kept, fine.unionAll(second)
+
+
 CANADIAN_FEATURES = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<national_fire_id:string,agency_fire_id:string,firename:string,fireid:string,id:string,fire_was_prescribed:int,fire_size:double,hectares:double,area:double,sizeha:double,status_date:string,record_start:string,lastrepdate:string,updated:string,date:string,stage_of_control_status:string,stage_of_control:string,stageofcontrol:string,status:string>>>"
 
 

@@ -61,6 +61,12 @@ def drained(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append")
     return query
 
 
-def published(stream: DataFrame, store: SnapshotStore, name: str, checkpoint: str, interval: str = "900 seconds") -> StreamingQuery:
-    """Publish each micro-batch as a snapshot: payload first, pointer last."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(lambda batch, _: store.publish({name: batch})).start()
+def published(stream: DataFrame, store: SnapshotStore, name: str, checkpoint: str, interval: str | None = "900 seconds") -> StreamingQuery:
+    """Publish each micro-batch as the snapshot that its id says; without an interval, all that is there and stop.
+
+    A batch that is tried again after it was published changes nothing. A stream with another checkpoint that publishes
+    into the same store fails with Conflict at the first number that is taken.
+    """
+    writer = stream.writeStream.option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
+    return writer.foreachBatch(lambda batch, number: store.publish({name: batch}, number + 1, f"{checkpoint}:{number}") and None).start()
