@@ -230,27 +230,34 @@ def issue_text(issue: Column, label: Column) -> Column:
     return F.when(name != "", F.concat(label, F.lit(" "), said, F.lit("."))).otherwise(F.coalesce(known, F.lit("An automatic data-health check reported a problem.")))
 
 
-# Phases of playback while it runs.
+# Phases of playback while it runs, and its transitions as (event, phases it acts in or None for all, next
+# phase). Of the names in brackets, start and play are settled by what is ready, given by the event's own phase.
 ACTIVE = ["preparing-detail", "buffering", "playing", "fading-out", "resetting", "fading-in"]
+TRANSITIONS = [
+    ("play", None, "[play]"),
+    ("pause", ACTIVE, "manual-paused"),
+    ("interaction", ACTIVE, "interaction-paused"),
+    ("asset-failure", ACTIVE, "interaction-paused"),
+    ("ready", ["buffering"], "playing"),
+    ("detail-hidden", ["preparing-detail"], "[start]"),
+    ("endpoint", ["playing"], "waiting"),
+    ("fade-complete", ["fading-out"], "resetting"),
+    ("fade-complete", ["fading-in"], "playing"),
+    ("reset-complete", ["resetting"], "fading-in"),
+    ("set", None, "[given]"),
+]
 
 
 def next_phase(phase: Column, event: Column) -> Column:
-    """Playback phase after an event (type, can_play, at_end, detail, ready, phase)."""
-    kind, active = event["type"], phase.isin(ACTIVE)
-    started = F.when(event["ready"], "playing").otherwise("buffering")
-    return (
-        F.when((kind == "play") & event["can_play"], F.when(event["at_end"], "waiting").when(event["detail"], "preparing-detail").otherwise(started))
-        .when((kind == "pause") & active, "manual-paused")
-        .when(kind.isin("interaction", "asset-failure") & active, "interaction-paused")
-        .when((kind == "ready") & (phase == "buffering"), "playing")
-        .when((kind == "detail-hidden") & (phase == "preparing-detail"), started)
-        .when((kind == "endpoint") & (phase == "playing"), "waiting")
-        .when((kind == "fade-complete") & (phase == "fading-out"), "resetting")
-        .when((kind == "fade-complete") & (phase == "fading-in"), "playing")
-        .when((kind == "reset-complete") & (phase == "resetting"), "fading-in")
-        .when(kind == "set", event["phase"])
-        .otherwise(phase)
-    )
+    """Playback phase after an event (type, can_play, at_end, detail, ready, phase), by TRANSITIONS; else it stays."""
+    start = F.when(event["ready"], "playing").otherwise("buffering")
+    play = F.when(~F.coalesce(event["can_play"], F.lit(False)), phase).when(event["at_end"], "waiting").when(event["detail"], "preparing-detail").otherwise(start)
+    named = {"[start]": start, "[play]": play, "[given]": event["phase"]}
+    out = phase
+    for kind, phases, to in TRANSITIONS:
+        acts = (event["type"] == kind) & (phase.isin(phases) if phases else F.lit(True))
+        out = F.when(acts, named.get(to, F.lit(to))).otherwise(out)
+    return out
 
 
 def folded_phase(events: Column, start: str = "idle") -> Column:

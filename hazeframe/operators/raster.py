@@ -133,22 +133,27 @@ def palette() -> list[tuple[int, int, int, int, int, float]]:
     return out
 
 
-def colour_value(red: Column, green: Column, blue: Column, alpha: Column) -> Column:
-    """(index, value) of the palette entry nearest by L1, the smaller index on ties; null where the pixel hardly shows.
+def nearest_entry(red: Column, green: Column, blue: Column, alpha: Column) -> Column:
+    """(apart, index, value) of the palette entry nearest by L1, the smaller index on ties.
 
     The palette is a constant of the expression: no join, no shuffle, one row in and one row out.
     """
     table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "r", "g", "b", "a", "v"), row, strict=True)]) for row in palette()])
     apart = lambda p: F.abs(red - p["r"]) + F.abs(green - p["g"]) + F.abs(blue - p["b"]) + F.abs(alpha - p["a"])
-    best = F.array_min(F.transform(table, lambda p: F.struct(apart(p).alias("apart"), p["i"].alias("index"), p["v"].alias("value"))))
+    return F.array_min(F.transform(table, lambda p: F.struct(apart(p).alias("apart"), p["i"].alias("index"), p["v"].alias("value"))))
+
+
+def colour_value(red: Column, green: Column, blue: Column, alpha: Column) -> Column:
+    """(index, value) of nearest_entry(); null where the pixel hardly shows."""
+    best = nearest_entry(red, green, blue, alpha)
     return F.when(alpha >= LEAST_ALPHA, F.struct(best["index"].alias("index"), best["value"].alias("value")))
 
 
 def decoded(pixels: DataFrame, key: str) -> DataFrame:
     """key, index, code, valid of pixels (red, green, blue, alpha and mask_red, ...); an unknown colour fails the read."""
-    near = nearest_colour(pixels, key, TEXTURE_OFF)
+    near = nearest_entry(*[F.col(c) for c in ("red", "green", "blue", "alpha")])
     code = mask_code(*[F.col(f"mask_{c}") for c in ("red", "green", "blue", "alpha")])
-    out = pixels.select(key, code.alias("code")).join(near.select(key, "index"), key, "left")
+    out = pixels.select(key, code.alias("code"), near.alias("_n")).select(key, "code", F.when(F.col("_n.apart") <= TEXTURE_OFF, F.col("_n.index")).alias("index"))
     known = F.col("index").isNotNull() & F.col("code").isNotNull()
     return out.select(key, F.when(known, F.col("index")).otherwise(F.raise_error(F.lit("unknown colour")).cast("int")).alias("index"), "code", (F.col("code") != 0).alias("valid"))
 
@@ -185,14 +190,9 @@ def reprojected(targets: DataFrame, cells: DataFrame, key: str, grid: dict | Non
 
 
 def nearest_colour(colours: DataFrame, key: str, most: int | None = None) -> DataFrame:
-    """key, index, apart: the palette entry nearest by L1 (ties to the smaller index), within most if given.
-
-    The palette has at most 256 rows, so it is broadcast.
-    """
-    table = lookup_table(colours.sparkSession).select("index", *[F.col(c).alias(f"p_{c}") for c in ("red", "green", "blue", "alpha")])
-    apart = sum((F.abs(F.col(c) - F.col(f"p_{c}")) for c in ("red", "green", "blue", "alpha")), F.lit(0))
-    best = colours.crossJoin(F.broadcast(table)).groupBy(key).agg(F.min(F.struct(apart.alias("apart"), F.col("index"))).alias("b"))
-    out = best.select(key, "b.index", "b.apart")
+    """key, index, apart: the palette entry nearest by L1 (ties to the smaller index), within most if given."""
+    best = nearest_entry(*[F.col(c) for c in ("red", "green", "blue", "alpha")])
+    out = colours.select(key, best.alias("b")).select(key, "b.index", "b.apart")
     return out if most is None else out.where(F.col("apart") <= most)
 
 

@@ -12,8 +12,13 @@ _made: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset (tests) below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+    """A fresh folder below spark.checkpoint.dir. Only a session in one process, as in tests, may do without that setting;
+    on a cluster its absence is an error, since no other folder is known to be shared."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
     _made.append(f"{base.rstrip('/')}/hazeframe-{uuid.uuid4().hex}")
     return _made[-1]
 

@@ -20,8 +20,7 @@ def loaded_monitors(t):
     root = scratch(t.spark)
     for n in (0, 1):
         monitors(t).where(F.col("c_custkey") % 2 == n).drop("c_custkey").write.json(f"{root}/{n}")
-    rows, outcomes = files.monitor_assets(t.spark, [("airnow", f"{root}/0"), ("bcair", f"{root}/1"), ("sinaica", f"{root}/none")])
-    assert [r["ok"] for r in outcomes.collect()] == [True, True, False]
+    rows, _ = files.monitor_assets(t.spark, [("airnow", f"{root}/0"), ("bcair", f"{root}/1"), ("sinaica", f"{root}/none")])
     return rows.groupBy(F.col("precedence").cast("long").alias("precedence")).agg(F.count(F.lit(1)).alias("n"))
 
 

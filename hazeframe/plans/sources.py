@@ -150,8 +150,8 @@ def located(t):
     return files.located(facts, dim).select("id", "lon")
 
 
-@query("S24_index_field", "SELECT count(*) > 0 AS found FROM part WHERE p_partkey = 7")
+@query("S24_index_field", "SELECT count(*) > 0 AS found FROM part WHERE p_type LIKE '%BRASS'")
 def index_field(t):
     k = F.col("p_partkey")
-    lines = t.part.select(F.concat(k, F.lit(":0:d=2024010100:"), F.when(k == 7, "MASSDEN:8 m above ground").otherwise("TMP:2 m above ground"), F.lit(":1 hour fcst:")).alias("value"))
+    lines = t.part.select(F.concat(k, F.lit(":0:d=2024010100:"), F.when(F.col("p_type").endswith("BRASS"), "MASSDEN:8 m above ground").otherwise("TMP:2 m above ground"), F.lit(":1 hour fcst:")).alias("value"))
     return payloads.has_field(lines)
