@@ -217,6 +217,22 @@ def cached(df: DataFrame, parser: str, signature: Column, now_hour: Column, hour
     return df.where((F.col("parser") == parser) & (F.col("signature") == signature) & (now_hour - F.col("hour") <= hours))
 
 
+def cached_set(df: DataFrame, parser: str, signature: Column, now_hour: Column, least: int, hours: int = 12) -> DataFrame:
+    """cached(), or no rows at all where fewer than `least` of them are good: a set that collapsed is fetched anew."""
+    good = cached(df, parser, signature, now_hour, hours)
+    enough = good.agg((F.count(F.lit(1)) >= least).alias("_ok")).where("_ok")  # one row or none
+    return good.join(enough, how="cross").drop("_ok")
+
+
+def reusable(previous: Column, required: dict[str, Column | None]) -> Column:
+    """Whether a previous result may stand: it is there, whole, and bears every required value; None means it must have
+    none, as for the version of a source that is off."""
+    same = F.lit(True)
+    for name, value in required.items():
+        same = same & previous[name].eqNullSafe(F.lit(None) if value is None else value)
+    return previous.isNotNull() & same & ~F.coalesce(previous["incomplete"], F.lit(False))
+
+
 # Texts of health issues.
 ISSUES = {"stale-heartbeat": "The scheduled data update is late.", "stale-forecast": "The latest complete forecast is stale.", "insufficient-forecast-coverage": "Forecast coverage is shorter than six hours.", "forecast-unavailable": "The integrated smoke forecast is unavailable.", "unexpected-version": "The published data version does not match this app."}
 

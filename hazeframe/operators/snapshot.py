@@ -22,6 +22,20 @@ def addressed(df: DataFrame, payload: Column) -> DataFrame:
     return rows.groupBy(F.sha2("payload", 256).alias("_h")).agg(F.first("payload").alias("payload")).select(F.concat(F.lit("assets/"), F.substring("_h", 1, 20), F.lit(".json")).alias("path"), F.octet_length("payload").alias("bytes"), "payload")
 
 
+def envelopes(rows: DataFrame, group: str, item: str, order: str, items: str, budget: int) -> DataFrame:
+    """group, path, bytes, payload: the JSON items of each group as one addressed document {count, <items>, sourceCount}.
+
+    A document is one file, so groups must be small; one over the budget fails the write instead of being cut.
+    """
+    n = F.count(F.lit(1)).cast("string")
+    listed = F.array_join(F.array_sort(F.collect_list(F.struct(order, item)))[item], ",")
+    made = rows.groupBy(group).agg(F.concat(F.lit('{"count":'), n, F.lit(f',"{items}":['), listed, F.lit('],"sourceCount":'), n, F.lit("}")).alias("payload"))
+    size = F.octet_length("payload")
+    checked = F.when(size <= budget, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("a document is over its budget: "), size)))
+    named = made.select(group, checked.alias("payload")).withColumn("path", F.concat(F.lit("assets/"), F.substring(F.sha2("payload", 256), 1, 20), F.lit(f"/{items}.json")))
+    return named.select(group, "path", F.octet_length("payload").alias("bytes"), "payload")
+
+
 class Conflict(RuntimeError):
     """Another writer published the snapshot first."""
 
@@ -78,6 +92,17 @@ class Folder:
         return sorted(n for n in found if not n.startswith("."))
 
 
+def write_status(folder: Folder, status: DataFrame, name: str = "status.json") -> bool:
+    """Replace the status document by the one row of status; whether it could be written. A run's result stands without
+    its status, so a failure of the store is told and not raised."""
+    body = status.select(canonical(*status.columns).alias("body")).first()["body"]
+    try:
+        folder.replace(name, body)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 class SnapshotStore(Folder):
     """Tables published under one root. A snapshot is there once its commit is: commits are numbered files that only one
     writer can make, so two writers that saw the same snapshot cannot both follow it. The pointer is a copy for readers

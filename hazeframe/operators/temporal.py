@@ -45,6 +45,21 @@ def paired(spine: DataFrame, left: DataFrame, right: DataFrame, key: str) -> Dat
     return spine.join(left, key, "left").join(right, key, "left").where(F.col(a).isNotNull() | F.col(b).isNotNull())
 
 
+def paired_fields(hours: DataFrame, first: DataFrame, second: DataFrame, first_run: str | None) -> DataFrame:
+    """valid, first, second, second_run of hours (valid, second_run): the stored fields (run, valid, field) of the run of
+    each model, the second one's where the hour names a run.
+
+    A model that is off (first_run None, second_run null) gives null; a field that is due and not stored fails the read,
+    so no frame is composed of half its sources.
+    """
+    a = first.where(F.col("run") == first_run).select("valid", F.col("field").alias("first")) if first_run is not None else first.where(F.lit(False)).select("valid", F.col("field").alias("first"))
+    b = second.select(F.col("run").alias("second_run"), "valid", F.col("field").alias("second"))
+    both = hours.select("valid", "second_run").join(a, "valid", "left").join(b, ["valid", "second_run"], "left")
+    lost = (F.lit(first_run is not None) & F.col("first").isNull()) | (F.col("second_run").isNotNull() & F.col("second").isNull())
+    fault = F.raise_error(F.concat(F.lit("a stored field disappeared: "), F.col("valid").cast("string")))
+    return both.select("valid", F.when(lost, fault.cast(dict(first.dtypes)["field"])).otherwise(F.col("first")).alias("first"), "second", "second_run")
+
+
 def visible(frames: DataFrame, by: str, time: str, clock: Column, horizon: int) -> DataFrame:
     """Frames from the last one at or before the clock (else the first) to the horizon after it."""
     start = frames.groupBy(by).agg(F.coalesce(F.max(F.when(F.col(time) <= clock, F.col(time))), F.min(time)).alias("_start"))

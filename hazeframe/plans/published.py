@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazeframe.operators import quality, raster, reconcile, series, snapshot
+from hazeframe.operators import contract, quality, raster, reconcile, series, snapshot, temporal
 from hazeframe.operators.staging import scratch
 from hazeframe.plans.contracts import VALID_SQL, monitors
 from hazeframe.plans.domain import HOUR_SQL, readings
 from hazeframe.plans.rasters import LUT_SQL
 from hazeframe.plans.registry import query
 from hazeframe.plans.sources import _streamed
-from hazeframe.sources import assets, payloads
+from hazeframe.sources import assets, payloads, stations
 from hazeframe.streaming import hourly, keyed
 
 SIZE = 200  # items of an envelope
@@ -191,3 +191,71 @@ def reconciled(t):
         out = store.run(left, known.where(F.col("event_id") % 3 == run % 3), 3600.0 * (run + 1))
         gone = out.deleted.select("path") if gone is None else gone.unionByName(out.deleted.select("path"))
     return store.state(3600.0 * 5)[0].select("path", F.col("seen").cast("long").alias("seen"))
+
+
+@query("S11_station_series", """
+WITH s AS (SELECT c_custkey AS id, ['America/Tijuana', 'America/Hermosillo', 'America/Mexico_City'][c_custkey % 3 + 1] AS zone, [-8, -7, -6][c_custkey % 3 + 1] AS shift FROM customer),
+h AS (SELECT id, unnest(generate_series(0, 13)) AS age FROM s WHERE id % 11 <> 0), k AS (SELECT id, age FROM h WHERE (id + age) % 9 <> 0 AND NOT (id % 7 = 0 AND age < 4)),
+l AS (SELECT id, min(age) AS newest FROM k GROUP BY id)
+SELECT s.id, CASE WHEN newest IS NULL THEN 'failed' WHEN newest > 2 THEN 'stale' WHEN (SELECT count(*) FROM k WHERE k.id = s.id AND age < 3) < 2 THEN 'sparse' ELSE 'ok' END AS outcome FROM s LEFT JOIN l USING (id)""")
+def station_series(t):
+    """Two days of hours of each station as the provider writes them, to monitors and outcomes."""
+    k = F.col("c_custkey")
+    now = F.lit("2024-01-15 18:00:00").cast("timestamp")
+    zone = F.element_at(F.array(*map(F.lit, ("America/Tijuana", "America/Hermosillo", "America/Mexico_City"))), (k % 3 + 1).cast("int"))
+    own = t.customer.select(k.alias("id"), zone.alias("zone"), F.col("c_name").alias("name"), F.lit("a").alias("agency"), F.lit(-100.0).alias("lon"), F.lit(20.0).alias("lat"))
+    hours = own.where("id % 11 <> 0").select("id", "zone", F.explode(F.sequence(F.lit(0), F.lit(13))).alias("age")).where("(id + age) % 9 <> 0 AND NOT (id % 7 = 0 AND age < 4)")
+    local = F.from_utc_timestamp(F.timestamp_seconds(F.unix_timestamp(now) - F.col("age") * 3600), F.col("zone"))
+    row = F.struct((5 + F.col("id") % 40).cast("string").alias("valor"), F.date_format(local, "yyyy-MM-dd").alias("fecha"), F.hour(local).cast("string").alias("hora"))
+    bodies = hours.groupBy("id").agg(F.concat(F.lit("var dat = "), F.to_json(F.collect_list(row)), F.lit(";")).alias("body"))
+    _, outcomes = stations.monitors(bodies, own, now)
+    return outcomes
+
+
+@query("K02_monitor_envelopes", """
+WITH i AS (SELECT c_custkey // 200 AS part, c_custkey AS k, '{"id":' || c_custkey || ',"name":"' || c_name || '"}' AS item FROM customer),
+p AS (SELECT part, '{"count":' || count(*) || ',"monitors":[' || string_agg(item, ',' ORDER BY k) || '],"sourceCount":' || count(*) || '}' AS payload FROM i GROUP BY part)
+SELECT part, 'assets/' || left(sha256(payload), 20) || '/monitors.json' AS path, strlen(payload) AS bytes FROM p""")
+def monitor_documents(t):
+    """Monitors as published documents with their counts, addressed by content."""
+    rows = t.customer.select(F.floor(F.col("c_custkey") / 200).alias("part"), F.col("c_custkey").alias("k"), F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("item"))
+    return snapshot.envelopes(rows, "part", "item", "k", "monitors", 1_000_000).select("part", "path", F.col("bytes").cast("long").alias("bytes"))
+
+
+@query("K10_status_document", "SELECT (SELECT count(*) FROM events) AS rows, (SELECT max(event_id) FROM events) AS newest, 'fresh' AS outcome, TRUE AS told")
+def status_document(t):
+    """The status of a run, replaced in place and read back."""
+    root = scratch(t.spark)
+    folder = snapshot.Folder(t.spark, root)
+    snapshot.write_status(folder, t.spark.createDataFrame([("old", 1)], "outcome string, rows long"))
+    told = snapshot.write_status(folder, t.events.agg(F.lit("fresh").alias("outcome"), F.count(F.lit(1)).alias("rows"), F.max("event_id").alias("newest")))
+    return t.spark.read.schema("rows long, newest long, outcome string").json(f"{root}/status.json").withColumn("told", F.lit(told))
+
+
+@query("J03_stored_fields", f"""
+WITH h AS (SELECT {HOUR_SQL} AS valid, max(event_id) AS a, min(event_id) AS b FROM events GROUP BY 1)
+SELECT valid, 'f' || a AS first, CASE WHEN valid % 3 <> 0 THEN 's' || b END AS second, CASE WHEN valid % 3 <> 0 THEN (valid // 6)::INT END AS second_run FROM h""")
+def stored_fields(t):
+    """The fields of both models for every hour; the second one only where a run covers it."""
+    per = readings(t.events).groupBy(F.col("hour").alias("valid")).agg(F.max("event_id").alias("a"), F.min("event_id").alias("b"))
+    run = F.floor(F.col("valid") / 6).cast("int")
+    hours = per.select("valid", F.when(F.col("valid") % 3 != 0, run).alias("second_run"))
+    first = per.select(F.explode(F.array(F.lit("r1"), F.lit("r0"))).alias("run"), "valid", "a").select("run", "valid", F.concat(F.when(F.col("run") == "r1", "f").otherwise("old"), "a").alias("field"))
+    second = per.select(F.explode(F.array(run, run - 1)).alias("run"), "valid", run.alias("own"), "b").select("run", "valid", F.concat(F.when(F.col("run") == F.col("own"), "s").otherwise("old"), "b").alias("field"))
+    return temporal.paired_fields(hours, first, second, "r1")
+
+
+@query("V07_reusable_results", """
+SELECT l_orderkey, l_linenumber, l_linenumber % 7 <> 0 AND l_returnflag = 'N' AND l_linestatus = 'O' AND (l_orderkey % 4 = 0) AND l_linenumber % 5 <> 0 AS reusable FROM lineitem""")
+def reusable_results(t):
+    """Previous results that may stand: whole, of the same versions, and without a version for the source that is off."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    before = F.when(n % 7 != 0, F.struct(F.col("l_returnflag").alias("palette"), F.col("l_linestatus").alias("policy"), F.when(k % 4 != 0, "v1").alias("off"), F.when(n % 5 == 0, F.lit(True)).alias("incomplete")))
+    return t.lineitem.select("l_orderkey", "l_linenumber", contract.reusable(before, {"palette": F.lit("N"), "policy": F.lit("O"), "off": None}).alias("reusable"))
+
+
+@query("S41_least_stations", "WITH g AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 20 <= 12), n AS (SELECT count(*) AS n FROM supplier) SELECT s_suppkey FROM g, n WHERE (SELECT count(*) FROM g) >= n.n // 4")
+def least_stations(t):
+    """Cached stations, if a quarter of all at least are still good."""
+    rows = t.supplier.select("s_suppkey", F.lit("p1").alias("parser"), F.when(F.col("s_suppkey") % 3 != 0, "sig").otherwise("old").alias("signature"), (100 - F.col("s_suppkey") % 20).alias("hour"))
+    return contract.cached_set(rows, "p1", F.lit("sig"), F.lit(100), t.supplier.count() // 4).select("s_suppkey")
