@@ -169,3 +169,25 @@ def written_frames(frames: DataFrame, hours: DataFrame, covered: DataFrame, tili
     good.select("hour", "tile", "px", "py", "index", "code").repartition("hour", "tile").sortWithinPartitions("hour", "tile", "py", "px").write.partitionBy("hour").mode("overwrite").parquet(f"{path}/tiles")
     small = base(good).withColumn("index", raster.palette_index(F.col("value")))
     small.select("hour", "x", "y", "index", "code").repartition("hour").write.partitionBy("hour").mode("overwrite").parquet(f"{path}/base")
+
+
+def published(tiles: DataFrame, previous: DataFrame, reuse: DataFrame, columns: int) -> DataFrame:
+    """hour, reused, tiles (array of column, row, path) for every hour of tiles (hour, tile, py, px, index, code) and of
+    those that are reused (hour), which take their tiles over from previous (hour, tiles).
+
+    A tile is one asset, addressed by its pixels in order, so equal tiles of different hours share one path; it is put
+    together in one task, as its image is. An hour must have its tiles in a full grid of 2 x 2 or 4 x 4, else it fails.
+    """
+    kept = previous.join(reuse.select("hour").distinct(), "hour", "left_semi").select("hour", F.lit(True).alias("reused"), "tiles")
+    own = tiles.join(reuse.select("hour").distinct(), "hour", "left_anti")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("py", "px", "index", "code"))), lambda p: F.concat_ws(":", p["index"], p["code"])), ",")
+    assets = own.groupBy("hour", "tile").agg(F.substring(F.sha2(body, 256), 1, 20).alias("h"))
+    column, row = (F.col("tile") % columns).cast("int"), F.floor(F.col("tile") / columns).cast("int")
+    named = assets.select("hour", F.struct(row.alias("row"), column.alias("column"), F.concat(F.lit("assets/"), "h", F.lit("/best-"), column, F.lit("-"), row).alias("path")).alias("t"))
+    listed = named.groupBy("hour").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    due = F.transform(F.sequence(F.lit(0), F.lit(columns * columns - 1)), lambda i: F.struct(F.floor(i / columns).cast("int").alias("row"), (i % columns).cast("int").alias("column")))
+    whole = F.lit(columns in (2, 4)) & (F.transform("t", lambda x: F.struct(x["row"].alias("row"), x["column"].alias("column"))) == due)
+    out = F.transform("t", lambda x: F.struct(x["column"].alias("column"), x["row"].alias("row"), x["path"].alias("path")))
+    kind = "array<struct<column:int,row:int,path:string>>"
+    fresh = listed.select("hour", F.lit(False).alias("reused"), F.when(whole, out).otherwise(F.raise_error(F.concat(F.lit("tiles form no full grid in hour "), F.col("hour").cast("string"))).cast(kind)).alias("tiles"))
+    return fresh.unionByName(kept.select("hour", "reused", F.col("tiles").cast(kind).alias("tiles")))

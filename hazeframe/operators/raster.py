@@ -204,3 +204,10 @@ def plumes(spark: SparkSession, width: int, height: int, hours: int) -> DataFram
     first = bump(width * 0.3 + drift, F.lit(height * 0.4), width * 0.08, 180.0) + bump(width * 0.7 - drift, F.lit(height * 0.6), width * 0.05, 90.0)
     second = bump(width * 0.32 + drift, F.lit(height * 0.42), width * 0.07, 220.0) + bump(width * 0.68 - drift, F.lit(height * 0.58), width * 0.06, 70.0)
     return grid.withColumn("first", first).withColumn("second", second)
+
+
+def detail_frame(cells: DataFrame, first: Column, second: Column, weight: Column, covered: Column, width: int, height: int) -> tuple[DataFrame, DataFrame]:
+    """Base raster and tiles of a (2 width - 1) x (2 height - 1) detail grid (x, y): merged once, of which the base
+    takes every second column and row and the four tiles, which share the middle ones, take all."""
+    merged = feathered(cells, first, second, weight, covered).select("x", "y", F.col("merged").alias("value"), "code")
+    return halved(merged), quarters(merged, width, height)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazeframe.operators import contract, quality, raster, reconcile, series, snapshot, temporal
+from hazeframe.operators import catalog, contract, frames, quality, raster, reconcile, series, snapshot, temporal
 from hazeframe.operators.staging import scratch
 from hazeframe.plans.contracts import VALID_SQL, monitors
-from hazeframe.plans.domain import HOUR_SQL, readings
+from hazeframe.plans.domain import CELLS_SQL, HOUR_SQL, cells, readings
 from hazeframe.plans.rasters import LUT_SQL
 from hazeframe.plans.registry import query
 from hazeframe.plans.sources import _streamed
@@ -259,3 +259,66 @@ def least_stations(t):
     """Cached stations, if a quarter of all at least are still good."""
     rows = t.supplier.select("s_suppkey", F.lit("p1").alias("parser"), F.when(F.col("s_suppkey") % 3 != 0, "sig").otherwise("old").alias("signature"), (100 - F.col("s_suppkey") % 20).alias("hour"))
     return contract.cached_set(rows, "p1", F.lit("sig"), F.lit(100), t.supplier.count() // 4).select("s_suppkey")
+
+
+@query("S33_landmark_faults", """
+WITH l AS (SELECT CASE WHEN p_partkey % 97 = 0 THEN 'X' ELSE 'Q' END || (p_partkey - CASE WHEN p_partkey % 89 = 0 THEN 1 ELSE 0 END) AS qid, ['CAN', 'USA', 'MEX', 'FRA'][CASE WHEN p_partkey % 83 = 0 THEN 4 ELSE p_partkey % 3 + 1 END] AS country,
+  ['natural', 'park', 'cultural'][p_partkey // 3 % 3 + 1] AS category, (p_partkey // 3 % 21)::INT AS rank, CASE WHEN p_partkey % 79 = 0 THEN 10.0 ELSE -100.0 END AS lon FROM part),
+k AS (SELECT *, country <> 'FRA' AS known, rank BETWEEN 1 AND 20 AS ranked FROM l), c AS (SELECT unnest(['CAN', 'USA', 'MEX']) AS country),
+g AS (SELECT country, rank, count(*) AS n FROM k WHERE known AND ranked GROUP BY ALL)
+SELECT qid AS subject, unnest(list_filter([CASE WHEN qid LIKE 'X%' THEN 'id' END, CASE WHEN NOT known THEN 'classification' END, CASE WHEN NOT ranked THEN 'rank' END, CASE WHEN lon > 0 THEN 'place' END], lambda x: x IS NOT NULL)) AS rule FROM k
+UNION ALL SELECT qid, 'repeated id' FROM k GROUP BY qid HAVING count(*) > 1
+UNION ALL SELECT country || ':' || rank, 'repeated rank' FROM g WHERE n > 1
+UNION ALL SELECT c.country || ':' || r, 'missing rank' FROM c, generate_series(1, 20) s(r) WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.country = c.country AND g.rank = r)
+UNION ALL SELECT c.country || ':' || category, 'category count' FROM c, (VALUES ('natural', 7), ('park', 7), ('cultural', 6)) v(category, due) WHERE due <> (SELECT count(*) FROM k WHERE k.country = c.country AND k.category = v.category AND known)""")
+def landmark_faults(t):
+    """A list far too long with all sorts of faults."""
+    k = F.col("p_partkey")
+    third = F.floor(k / 3)
+    one = lambda names, i: F.element_at(F.array(*map(F.lit, names)), i.cast("int"))
+    rows = t.part.select(F.concat(F.when(k % 97 == 0, "X").otherwise("Q"), k - F.when(k % 89 == 0, 1).otherwise(0)).alias("qid"), one(("CAN", "USA", "MEX", "FRA"), F.when(k % 83 == 0, 4).otherwise(k % 3 + 1)).alias("country"), one(("natural", "park", "cultural"), third % 3 + 1).alias("category"), (third % 21).cast("int").alias("rank"), F.when(k % 79 == 0, 10.0).otherwise(-100.0).alias("lon"), F.lit(45.0).alias("lat"))
+    return catalog.landmark_faults(rows, ["CAN", "USA", "MEX"])
+
+
+@query("S40_checked_hours", """
+WITH q AS (SELECT o_orderkey, (o_orderkey % 60 - 5)::INT AS hour FROM orders),
+c AS (SELECT l_orderkey, count_if(l_linenumber % 3 <> 0) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey, hour, CASE WHEN hour NOT BETWEEN 0 AND 48 THEN 'hour' WHEN o_orderkey % 17 = 0 THEN 'missing' WHEN o_orderkey % 7 * 20 > 60 THEN 'valid-time' WHEN coalesce(n, 0) = 0 THEN 'cells' END AS fault FROM q LEFT JOIN c ON l_orderkey = o_orderkey""")
+def checked_hours(t):
+    """Every order as a forecast hour with its line items as cells."""
+    k = F.col("o_orderkey")
+    run = F.timestamp_seconds(F.lit(1704067200) + k * 86400)  # a run of its own for each order
+    asked = t.orders.select(run.alias("run"), F.timestamp_seconds(F.unix_timestamp(run) + (k % 60 - 5) * 3600).alias("valid"), "o_orderkey")
+    fields = asked.where("o_orderkey % 17 <> 0").select("run", "valid", F.timestamp_seconds(F.unix_timestamp("valid") + F.col("o_orderkey") % 7 * 20).alias("stated"))
+    values = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).otherwise(float("nan")).alias("value"))
+    got = catalog.native_hours(asked.select("run", "valid"), fields, asked.join(values, "o_orderkey").select("run", "valid", "value"))
+    return got.select(((F.unix_timestamp("run") - 1704067200) / 86400).cast("long").alias("o_orderkey"), "hour", "fault")
+
+
+@query("K04_published_frames", """
+WITH p AS (SELECT DISTINCT l_linenumber::INT AS hour, (l_partkey % 16)::INT AS tile, (l_suppkey % 9)::INT AS py, (l_partkey // 16 % 9)::INT AS px FROM lineitem),
+b AS (SELECT hour, tile, left(sha256(string_agg(((hour + px * py) % 5) || ':' || (px % 4), ',' ORDER BY py, px)), 20) AS h FROM p WHERE hour > 2 GROUP BY ALL)
+SELECT hour, FALSE AS reused, string_agg('assets/' || h || '/best-' || (tile % 4) || '-' || (tile // 4), ' ' ORDER BY tile) AS paths FROM b GROUP BY hour UNION ALL SELECT hour, TRUE, 'old' FROM (SELECT DISTINCT l_linenumber::INT AS hour FROM lineitem WHERE l_linenumber <= 2)""")
+def published_frames(t):
+    """Tiles of every hour as addressed assets; the frames of two hours are reused."""
+    rows = t.lineitem.select(F.col("l_linenumber").cast("int").alias("hour"), (F.col("l_partkey") % 16).cast("int").alias("tile"), (F.col("l_suppkey") % 9).cast("int").alias("py"), (F.floor(F.col("l_partkey") / 16) % 9).cast("int").alias("px")).distinct()
+    tiles = rows.select("hour", "tile", "py", "px", ((F.col("hour") + F.col("px") * F.col("py")) % 5).alias("index"), (F.col("px") % 4).alias("code"))
+    old = rows.select("hour").distinct().select("hour", F.array(F.struct(F.lit(0).alias("column"), F.lit(0).alias("row"), F.lit("old").alias("path"))).alias("tiles"))
+    got = frames.published(tiles, old, old.where("hour <= 2").select("hour"), 4)
+    return got.select("hour", "reused", F.array_join("tiles.path", " ").alias("paths"))
+
+
+@query("R09_detail_frames", f"""
+WITH {CELLS_SQL}, w AS (SELECT cx AS x, cy AS y, first, second, (cx % 5) / 4.0 AS weight, (cx + cy) % 9 <> 0 AS covered FROM cells WHERE cx < 63 AND cy < 39),
+m AS (SELECT x, y, CASE WHEN covered THEN CASE WHEN first IS NOT NULL AND second IS NOT NULL THEN first + weight * greatest(second - first, 0) WHEN first IS NOT NULL THEN first ELSE second END END AS v,
+  CASE WHEN NOT covered THEN 0 WHEN first IS NOT NULL AND second > first AND weight > 0 THEN 3 WHEN first IS NOT NULL THEN 1 WHEN second IS NOT NULL THEN 2 ELSE 0 END AS code FROM w),
+s AS (SELECT *, unnest(list_filter([CASE WHEN y < 20 THEN 0 END, CASE WHEN y >= 19 THEN 1 END], lambda k: k IS NOT NULL)) AS r FROM m), q AS (SELECT *, unnest(list_filter([CASE WHEN x < 32 THEN 0 END, CASE WHEN x >= 31 THEN 1 END], lambda k: k IS NOT NULL)) AS c FROM s)
+SELECT 'base' AS part, (x // 2)::INT AS px, (y // 2)::INT AS py, floor(v * 1000 + 0.3217::DOUBLE)::BIGINT AS value_milli, code FROM m WHERE x % 2 = 0 AND y % 2 = 0
+UNION ALL SELECT r || '-' || c, (x - c * 31)::INT, (y - r * 19)::INT, floor(v * 1000 + 0.3217::DOUBLE)::BIGINT, code FROM q""")
+def detail_frames(t):
+    """Base raster and four tiles of one merged detail grid."""
+    grid = cells(t.lineitem).where("cx < 63 AND cy < 39").withColumnsRenamed({"cx": "x", "cy": "y"})
+    base, tiles = raster.detail_frame(grid, F.col("first"), F.col("second"), (F.col("x") % 5) / 4.0, (F.col("x") + F.col("y")) % 9 != 0, 32, 20)
+    milli = F.floor(F.col("value") * 1000 + 0.3217).alias("value_milli")
+    rows = tiles.select(F.concat_ws("-", "tile_row", "tile_column").alias("part"), "px", "py", milli, "code")
+    return base.select(F.lit("base").alias("part"), F.col("x").alias("px"), F.col("y").alias("py"), milli, "code").unionByName(rows)
