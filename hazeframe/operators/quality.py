@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeframe.operators.staging import staged
+
 # Hours after which a source is stale; least previous count for the collapse guard.
 STALE_HOURS = {"airnow": 2, "bcair": 2, "sinaica": 2, "aqhi": 2, "wfigs": 6, "cwfis": 6, "firework": 18, "hrrr": 6}
 GUARD_MINIMUM = {"airnow": 20, "bcair": 8, "sinaica": 10, "aqhi": 25}
@@ -33,6 +35,22 @@ def last_good(now: DataFrame, previous: DataFrame, key: str, payload: str) -> Da
     return joined.select(key, status.alias("status"), F.when(F.col("ok"), F.col(payload)).otherwise(F.col("_old")).alias(payload))
 
 
+def carried(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Adds carried: the newest non-null value of the key up to each row, by order.
+
+    Rows are dealt by ranges of (key, order), so a key with a third of all rows is spread over many tasks; each range
+    hands its last value on through a table of one row for each key and range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(df.repartitionByRange(parts, key, order).withColumn("_part", F.spark_partition_id()))  # written numbers hold
+    up = Window.partitionBy("_part", key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = dealt.groupBy(key, "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most `parts` rows a key
+    handed = ends.select(key, "_part", F.last("_end", ignorenulls=True).over(before).alias("_handed"))
+    near = dealt.withColumn("_near", F.last(value, ignorenulls=True).over(up))
+    return near.join(handed, [key, "_part"], "left").withColumn("carried", F.coalesce("_near", "_handed")).drop("_near", "_handed", "_part")
+
+
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """key, rule: one row for each broken rule; a null condition counts as broken."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))

@@ -36,11 +36,23 @@ def hour_spine(df: DataFrame, key: str, hour: str) -> DataFrame:
     return ends.select(key, F.explode(F.sequence("_lo", "_hi")).alias(hour))
 
 
+def dense(df: DataFrame, key: str, hour: str, *values: str) -> DataFrame:
+    """key, hour and values for every hour between each key's first and last; null values in the gaps.
+
+    df has one row per key and hour. Each row fills the hours up to its successor, so there is one shuffle by key, which
+    windows by key that follow use too, and no join with a spine.
+    """
+    w = Window.partitionBy(key).orderBy(hour)
+    upto = F.coalesce(F.lead(hour).over(w) - 1, F.col(hour))
+    rows = df.select(key, F.col(hour).alias("_at"), *values, upto.alias("_upto"))
+    filled = rows.select(key, "_at", *values, F.explode(F.sequence("_at", "_upto")).alias(hour))
+    return filled.select(key, hour, *[F.when(F.col(hour) == F.col("_at"), F.col(v)).alias(v) for v in values])
+
+
 def trailing_slots(df: DataFrame, key: str, hour: str, value: str, n: int = 12) -> DataFrame:
     """Adds slots: the n values up to each hour of a dense spine, newest first, null for a gap."""
-    dense = hour_spine(df, key, hour).join(df, [key, hour], "left")
     frame = Window.partitionBy(key).orderBy(hour).rowsBetween(1 - n, 0)
-    return dense.withColumn("slots", F.reverse(F.transform(F.collect_list(F.struct(F.col(value).alias("v"))).over(frame), lambda x: x["v"])))
+    return dense(df, key, hour, value).withColumn("slots", F.reverse(F.transform(F.collect_list(F.struct(F.col(value).alias("v"))).over(frame), lambda x: x["v"])))
 
 
 def nowcast_series(df: DataFrame, key: str, hour: str, value: str) -> DataFrame:
@@ -51,8 +63,10 @@ def nowcast_series(df: DataFrame, key: str, hour: str, value: str) -> DataFrame:
 
 
 def missing_hours(df: DataFrame, key: str, hour: str) -> DataFrame:
-    """Hours of the spine without a row."""
-    return hour_spine(df, key, hour).join(df, [key, hour], "left_anti")
+    """Hours between a key's first and last without a row: what lies between a row and its successor."""
+    after = F.lead(hour).over(Window.partitionBy(key).orderBy(hour))
+    gaps = df.select(key, F.col(hour).alias("_at"), after.alias("_next")).where("_next > _at + 1")
+    return gaps.select(key, F.explode(F.sequence(F.col("_at") + 1, F.col("_next") - 1)).alias(hour))
 
 
 def run_lengths(df: DataFrame, key: str, order: str, good: Column) -> DataFrame:

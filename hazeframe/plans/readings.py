@@ -159,7 +159,7 @@ def risk(t):
 WITH {SPINE_SQL} SELECT station, hour, count(value) OVER w AS known, count(value) OVER (PARTITION BY station ORDER BY hour ROWS 2 PRECEDING) AS recent, max(value) OVER w AS high, min(value) OVER w AS low
 FROM dense WINDOW w AS (PARTITION BY station ORDER BY hour ROWS 11 PRECEDING)""")
 def trailing(t):
-    dense = series.hour_spine(hourly(t.events), "station", "hour").join(hourly(t.events), ["station", "hour"], "left")
+    dense = series.dense(hourly(t.events), "station", "hour", "value")
     w = Window.partitionBy("station").orderBy("hour")
     return dense.select("station", "hour", F.count("value").over(w.rowsBetween(-11, 0)).alias("known"), F.count("value").over(w.rowsBetween(-2, 0)).alias("recent"), F.max("value").over(w.rowsBetween(-11, 0)).alias("high"), F.min("value").over(w.rowsBetween(-11, 0)).alias("low"))
 

@@ -9,7 +9,7 @@ from hazeframe.operators.staging import scratch
 from hazeframe.plans.domain import HOUR_SQL
 from hazeframe.plans.registry import query
 from hazeframe.sources import files, payloads
-from hazeframe.streaming import hourly
+from hazeframe.streaming import hourly, keyed
 
 
 @query("S03_json_properties", """SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events""")
@@ -109,9 +109,9 @@ def streamed_last_good(t):
     """Custom state: a failed outcome repeats its source's last good payload."""
     where = scratch(t.spark)
     outcomes = _streamed(t).select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("run"), (F.col("event_id") % 3 != 0).alias("ok"), F.col("event_type").alias("payload"))
-    stream = hourly.last_good_stream(outcomes)
-    hourly.drained(stream, f"{where}/sink", f"{where}/checkpoint")
-    return t.spark.read.schema(stream.schema).parquet(f"{where}/sink/*")
+    table = keyed.KeyedTable(t.spark, f"{where}/state", "source", "source string, run long, payload string")
+    keyed.last_good(outcomes, table, f"{where}/sink", f"{where}/checkpoint")
+    return t.spark.read.schema("source string, run long, status string, payload string").parquet(f"{where}/sink/*")
 
 
 @query("S04_health_index", "SELECT 'L' || c_custkey AS id, (1 + c_custkey % 9)::DOUBLE AS value, c_custkey % 5 = 0 AS amended FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,28 +24,6 @@ def sliding_mean(events: DataFrame, key: str, time: str, value: str, span: str =
     return events.groupBy(key, F.window(time, span, step).alias("w")).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).select(key, F.col("w.end").alias("until"), "mean", "n")
 
 
-def last_good_stream(outcomes: DataFrame, key: str = "source") -> DataFrame:
-    """source, run, status, payload for outcomes (source, run, ok, payload): a failed run repeats the last good payload.
-
-    State is one payload per source. A source's rows of one batch are sorted in one task, so bound a batch by the
-    stream's own limits (maxFilesPerTrigger) where a source is busy.
-    """
-
-    def step(k: tuple, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = state.get[0] if state.exists else None
-        rows = pd.concat(list(pieces)).sort_values("run")
-        out = []
-        for r in rows.itertuples():
-            if r.ok:
-                old = r.payload
-            out.append((k[0], r.run, "ok" if r.ok else "unavailable" if old is None else "stale", old))
-        if old is not None:
-            state.update((old,))
-        yield pd.DataFrame(out, columns=["source", "run", "status", "payload"])
-
-    return outcomes.groupBy(key).applyInPandasWithState(step, "source string, run long, status string, payload string", "payload string", "append", "NoTimeout")
-
-
 def drained(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run over all that is there and stop. A batch has a folder of its own below the sink, so one that is tried again
     replaces itself; complete results replace the one folder they have. Read the sink by its folders: `sink/*`."""

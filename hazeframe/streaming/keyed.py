@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hazeframe.operators import quality
 from hazeframe.operators.snapshot import Folder
 
 
@@ -76,3 +77,23 @@ def changed(stream: DataFrame, table: KeyedTable, sink: str, checkpoint: str, or
         table.upsert(batch, number, F.col(order))
 
     return _run(stream, checkpoint, write)
+
+
+def last_good(stream: DataFrame, table: KeyedTable, sink: str, checkpoint: str) -> StreamingQuery:
+    """Write source, run, status, payload of outcomes (source, run, ok, payload) to sink/<batch>: a failed run repeats the
+    last good payload, over batches and restarts.
+
+    The state is each source's newest good outcome, in `table` (source, run, payload). Runs are taken in order inside a
+    batch; the work is quality.carried(), so a busy source is no single task's.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        old = table.read(number).select("source", F.lit(None).cast("long").alias("run"), F.struct("payload").alias("good"), F.lit(True).alias("_old"), F.lit(True).alias("ok"))
+        now = batch.select("source", "run", F.when(F.col("ok"), F.struct("payload")).alias("good"), F.lit(False).alias("_old"), "ok")
+        least = F.lit(-(1 << 63))  # the state comes before all runs
+        rows = quality.carried(old.unionByName(now).withColumn("_run", F.coalesce("run", least)), "source", "_run", "good").where(~F.col("_old"))
+        status = F.when(F.col("ok"), "ok").when(F.col("carried").isNull(), "unavailable").otherwise("stale")
+        rows.select("source", "run", status.alias("status"), F.col("carried.payload").alias("payload")).write.mode("overwrite").parquet(f"{sink}/{number:010d}")
+        table.upsert(batch.where("ok").select("source", "run", "payload"), number, F.col("run"))
+
+    return _run(stream, checkpoint, write)

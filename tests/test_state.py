@@ -183,3 +183,20 @@ def test_a_state_that_makes_no_sense_starts_anew(spark, tmp_path):
     own.store.publish({"pending": spark.createDataFrame([("a/1", 5.0)], reconcile.PENDING), "progress": spark.createDataFrame([('{"next": 7}',)], "body string")})
     pending, progress = own.state(10.0)
     assert pending.count() == 0 and progress == reconcile.Progress()
+
+
+def test_last_good_over_batches_with_a_busy_source(spark, tmp_path):
+    rng = random.Random(17)
+    schema = "source string, run long, ok boolean, payload string"
+    rows = [("busy" if rng.random() < 0.6 else f"s{rng.randint(0, 5)}", i, rng.random() < 0.4, rng.choice([f"p{i}", None])) for i in range(300)]
+    table = keyed.KeyedTable(spark, f"{tmp_path}/state", "source", "source string, run long, payload string", 4)
+    for n in range(2):
+        files(spark, f"{tmp_path}/in/run{n}", [rows[n * 150 : n * 150 + 60], rows[n * 150 + 60 : n * 150 + 150]], schema)
+        keyed.last_good(read_stream(spark, f"{tmp_path}/in", schema), table, f"{tmp_path}/sink", f"{tmp_path}/check")
+    last, want = {}, []
+    for source, run, ok, payload in rows:
+        if ok:
+            last[source] = payload
+        want.append((source, run, "ok" if ok else "stale" if source in last else "unavailable", last.get(source)))
+    got = spark.read.schema("source string, run long, status string, payload string").parquet(f"{tmp_path}/sink/*").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
