@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazeframe.operators import catalog, contract, frames, quality, raster, reconcile, series, snapshot, temporal
+from hazeframe.operators import catalog, contract, frames, quality, ranking, raster, reconcile, series, snapshot, spatial, temporal
 from hazeframe.operators.staging import scratch
 from hazeframe.plans.contracts import VALID_SQL, monitors
 from hazeframe.plans.domain import CELLS_SQL, HOUR_SQL, cells, readings
@@ -70,14 +70,14 @@ def incident_envelopes(t):
 
 @query("S15_surviving_incidents", "SELECT 'incidents' AS part, TRUE AS ok, NULL::VARCHAR AS message, (SELECT count(DISTINCT o_orderkey % 700) FROM orders) AS incidents, 0 AS rings UNION ALL SELECT 'perimeters', FALSE, 'cut short', (SELECT count(DISTINCT o_orderkey % 700) FROM orders), 0")
 def surviving_incidents(t):
-    """The perimeters were cut short: the incidents stand, without rings."""
+    """The last page of the perimeters never came: the incidents stand, without rings."""
     key = F.col("o_orderkey") % 700
     few = t.orders.groupBy(key.alias("g")).agg(F.max("o_totalprice").alias("acres"))
     feature = F.struct(F.struct(F.col("g").cast("string").alias("IrwinID"), F.lit("fire").alias("IncidentName"), F.col("acres").alias("IncidentSize")).alias("attributes"), F.struct(F.lit(-120.0).alias("x"), F.lit(45.0).alias("y")).alias("geometry"))
     bodies = few.select(F.to_json(F.struct(F.array(feature).alias("features"))).alias("body"))
     ring = F.array(F.array(F.array(F.lit(-120.0), F.lit(45.0)), F.array(F.lit(-119.0), F.lit(45.0)), F.array(F.lit(-119.0), F.lit(46.0))))
-    shape = F.struct(F.struct(F.lit("WF").alias("attr_IncidentTypeCategory")).alias("attributes"), F.struct(ring.alias("rings")).alias("geometry"))
-    perimeters = few.select(F.to_json(F.struct((F.col("g") == 3).alias("exceededTransferLimit"), F.array(shape).alias("features"))).alias("body"))
+    shape = F.struct(F.struct(F.col("g").alias("OBJECTID"), F.lit("WF").alias("attr_IncidentTypeCategory")).alias("attributes"), F.struct(ring.alias("rings")).alias("geometry"))
+    perimeters = few.select(F.to_json(F.struct(F.lit(True).alias("exceededTransferLimit"), F.array(shape).alias("features"))).alias("body"))
     known, rings, outcomes = payloads.fire_parts(bodies, perimeters, "body")
     counts = known.agg(F.count(F.lit(1)).alias("incidents")).join(rings.agg(F.count(F.lit(1)).cast("int").alias("rings")), how="cross")
     return outcomes.join(counts, how="cross")  # one row of counts
@@ -322,3 +322,16 @@ def detail_frames(t):
     milli = F.floor(F.col("value") * 1000 + 0.3217).alias("value_milli")
     rows = tiles.select(F.concat_ws("-", "tile_row", "tile_column").alias("part"), "px", "py", milli, "code")
     return base.select(F.lit("base").alias("part"), F.col("x").alias("px"), F.col("y").alias("py"), milli, "code").unionByName(rows)
+
+
+def incident_points(t):
+    """Orders as incidents on screens of some 200, placed by their ids."""
+    k = F.col("o_orderkey")
+    rows = t.orders.select(F.floor(k / 800).alias("screen"), k.alias("id"), F.concat(F.when(k % 2 == 0, "US:").otherwise("CA:"), k).alias("name"), (k * 73 % 1280).cast("double").alias("x"), (k * 151 % 720).cast("double").alias("y"))
+    return ranking.numbered(rows, "screen", F.asc("name")).withColumnRenamed("rank", "ord")
+
+
+@query("R29_incident_clusters")
+def incident_clusters(t):
+    """Incidents of a screen in the order of their ids; order decides, so SQL cannot express it."""
+    return spatial.greedy_clusters(incident_points(t), "screen", 60.0)

@@ -53,14 +53,15 @@ def fires(raw: DataFrame, body: str) -> DataFrame:
     return out.groupBy("id").agg(F.max_by(F.struct(*[c for c in out.columns if c != "id"]), "ord").alias("r")).select("id", "r.*")
 
 
-PERIMETERS = "error string, exceededTransferLimit boolean, features array<struct<attributes:struct<attr_IncidentTypeCategory:string,poly_IncidentTypeCategory:string,IncidentTypeCategory:string>,geometry:struct<rings:array<array<array<double>>>>>>"
+PERIMETERS = "error string, exceededTransferLimit boolean, features array<struct<attributes:struct<OBJECTID:bigint,attr_IncidentTypeCategory:string,poly_IncidentTypeCategory:string,IncidentTypeCategory:string>,geometry:struct<rings:array<array<array<double>>>>>>"
 
 
 def fire_parts(incidents: DataFrame, perimeters: DataFrame | None, body: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Incidents, rings (feature, ring, points) and outcomes (part, ok, message) of the two halves of a fire feed.
 
-    A fault in the incidents fails the read, as in fires(). The perimeters may be absent (None), no JSON, an error of the
-    provider, or cut short: then there are no rings at all, the outcome says why, and the incidents stand. Prescribed burns
+    A fault in the incidents fails the read, as in fires(). The perimeters, a body a page, may be absent (None), no JSON,
+    an error of the provider, cut short (every page says that more follow) or wrongly paged (an object without a number,
+    or a number twice): then there are no rings at all, the outcome says why, and the incidents stand. Prescribed burns
     have no rings; points that are not finite go; rings are cut to the display box and need three corners.
     """
     spark = incidents.sparkSession
@@ -70,9 +71,12 @@ def fire_parts(incidents: DataFrame, perimeters: DataFrame | None, body: str) ->
         lost = spark.createDataFrame([("perimeters", False, "not loaded")], fine.schema)
         return known, spark.createDataFrame([], "feature long, ring int, points array<struct<x:double,y:double>>"), fine.unionAll(lost)
     doc = perimeters.select(body, F.from_json(body, PERIMETERS).alias("d"), F.try_parse_json(body).isNotNull().alias("json"))
-    fault = F.when(~F.col("json"), "no JSON").when(F.col("d.error").isNotNull(), F.concat(F.lit("provider error: "), text.redacted(F.col("d.error")))).when(F.col("d.exceededTransferLimit"), "cut short").when(F.col("d.features").isNull(), "no features")
+    fault = F.when(~F.col("json"), "no JSON").when(F.col("d.error").isNotNull(), F.concat(F.lit("provider error: "), text.redacted(F.col("d.error")))).when(F.col("d.features").isNull(), "no features")
     doc = doc.select("d", fault.alias("fault"))
-    verdict = doc.agg(F.min("fault").alias("fault"))  # one row
+    pages = doc.agg(F.min("fault").alias("fault"), F.coalesce(F.bool_and(F.coalesce("d.exceededTransferLimit", F.lit(False))), F.lit(False)).alias("open"))
+    objects = doc.select(F.explode("d.features.attributes.OBJECTID").alias("o")).agg((F.count(F.lit(1)) != F.count_distinct("o")).alias("off"))
+    fault = F.coalesce("fault", F.when(F.col("open"), "cut short"), F.when(F.col("off"), "invalid paging"))
+    verdict = pages.join(objects, how="cross").select(fault.alias("fault"))  # one row of each
     kinds = [F.col(f"f.attributes.{c}") for c in ("attr_IncidentTypeCategory", "poly_IncidentTypeCategory", "IncidentTypeCategory")]
     kind = F.upper(F.coalesce(*[F.nullif(k, F.lit("")) for k in kinds], F.lit("WF")))
     features = doc.select(F.monotonically_increasing_id().alias("_doc"), F.posexplode("d.features").alias("_f", "f")).where(~(kind.contains("RX") | kind.contains("PRESCRIB")))

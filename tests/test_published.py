@@ -1,5 +1,6 @@
 """Envelopes, fire parts, search keys, mask labels and palette values against plain Python."""
 
+import itertools
 import json
 import random
 import re
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hazeframe.functions import text
 from hazeframe.operators import raster
+from hazeframe.plans import registry
 from hazeframe.sources import assets, payloads
 
 MONITOR = {"id": "a", "name": "n", "agency": "g", "lon": -100.0, "lat": 40.0, "observedAt": "2024-01-01T00:00:00Z", "category": "Good", "aqi": 12, "concentration": 3, "unit": "ug/m3"}
@@ -60,16 +62,20 @@ RING = [[-120.0, 45.0], [-119.0, 45.0], [-119.0, 46.0], [None, 1.0]]
 GOOD = json.dumps({"features": [{"attributes": {"IrwinID": "x", "IncidentName": "n", "IncidentSize": 10}, "geometry": {"x": -120.0, "y": 45.0}}]})
 
 
+NUMBER = itertools.count(1)
+ALIKE = json.dumps({"features": [{"attributes": {"OBJECTID": 0}, "geometry": {"rings": []}}]})
+
+
 def shapes(**more):
     kinds = [{"attr_IncidentTypeCategory": "RX"}, {"attr_IncidentTypeCategory": "WF"}, {"poly_IncidentTypeCategory": "prescribed"}, {}]
     far = [[10.0, 10.0], [11.0, 10.0], [11.0, 11.0]]
-    return json.dumps({"features": [{"attributes": k, "geometry": {"rings": [RING, far]}} for k in kinds]} | more)
+    return json.dumps({"features": [{"attributes": {"OBJECTID": next(NUMBER)} | k, "geometry": {"rings": [RING, far]}} for k in kinds]} | more)
 
 
 @pytest.mark.parametrize(
     ("bodies", "message"),
     [
-        ([shapes()], None), ([shapes(), shapes()], None), (None, "not loaded"), ([shapes(), '{"features": ['], "no JSON"), ([shapes(exceededTransferLimit=True)], "cut short"),
+        ([shapes()], None), ([shapes(), shapes()], None), (None, "not loaded"), ([shapes(), '{"features": ['], "no JSON"), ([shapes(exceededTransferLimit=True)] * 1, "cut short"), ([shapes(exceededTransferLimit=True), shapes()], None), ([shapes(), ALIKE, ALIKE], "invalid paging"),
         ([shapes(), json.dumps({"error": "quota"})], "provider error: quota"), ([json.dumps({"x": 1})], "no features"),
     ],
 )
@@ -117,3 +123,20 @@ def test_mask_labels_and_palette_values(spark):
         assert got[n]["code"] == (off[1] if a >= 8 and off[0] < 36 else 0)
         best = min(table, key=lambda t: (abs(r - t[1]) + abs(g - t[2]) + abs(b - t[3]) + abs(a - t[4]), t[0]))
         assert (got[n]["v"] is None) == (a < 8) and (a < 8 or (got[n]["v"]["index"], got[n]["v"]["value"]) == (best[0], best[5]))
+
+
+def test_incident_clusters_match_a_walk(spark):
+    sf = "/root/testdata/sf0.001"
+    by = {}
+    for r in registry.published.incident_points(registry.Tables(spark, sf)).collect():
+        by.setdefault(r["screen"], []).append(r)
+    want = []
+    for screen, rows in by.items():
+        founders = []
+        for r in sorted(rows, key=lambda r: r["name"]):
+            near = next((f for f in founders if (f["x"] - r["x"]) ** 2 + (f["y"] - r["y"]) ** 2 < 3600), None)
+            if near is None:
+                founders.append(r)
+            want.append((screen, r["id"], (near or r)["id"]))
+    got = registry.QUERIES["R29_incident_clusters"](spark, sf).select("screen", "id", "cluster").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
