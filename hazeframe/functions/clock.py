@@ -93,3 +93,15 @@ def refreshed_position(old: Column, new: Column, position: Column, now: Column,
     """Where playback stands after a new timeline replaced the old one: live, unmoved, or at the same instant."""
     kept = F.when(same, position).otherwise(position_of(new, F.element_at(old, 1) + position))
     return F.when(F.size(new) == 0, 0).when(live, position_of(new, now)).when(F.coalesce(F.size(old), F.lit(0)) <= 0, 0).otherwise(kept)
+
+
+def canonical_hours(now: Column, horizon: int = 72) -> Column:
+    """The whole hours from now's on, horizon + 1 of them, as timestamps."""
+    start = F.floor(F.unix_timestamp(now) / 3600) * 3600
+    return F.transform(F.sequence(F.lit(0), F.lit(horizon)), lambda h: F.timestamp_seconds(start + h * 3600))
+
+
+def normalised_iso(text: Column) -> Column:
+    """A time with any offset, or without one in UTC, as ISO text in UTC; null if it is no time."""
+    zoned = F.when(text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})\z"), text).otherwise(F.concat(text, F.lit("Z")))
+    return iso(F.try_to_timestamp(zoned))

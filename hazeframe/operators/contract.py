@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeframe.functions import geo
+from hazeframe.functions import clock, geo
 from hazeframe.operators.quality import STALE_HOURS
 
 # Fixed values of the publication contract, version 8.
@@ -233,6 +233,14 @@ def reusable(previous: Column, required: dict[str, Column | None]) -> Column:
     return previous.isNotNull() & same & ~F.coalesce(previous["incomplete"], F.lit(False))
 
 
+def canonical_outlook(generated: Column, times: Column, status: Column, horizon: int) -> Column:
+    """Whether a run's frames (ISO times, in order) are every whole hour from the generation's on, up to the horizon; a
+    run without frames, or one that is unavailable, has nothing to keep."""
+    due = F.transform(clock.canonical_hours(F.to_timestamp(generated), horizon), clock.iso)
+    idle = F.coalesce(status == "unavailable", F.lit(False)) | (F.coalesce(F.size(times), F.lit(0)) <= 0)
+    return idle | F.coalesce(times == due, F.lit(False))
+
+
 # Texts of health issues.
 ISSUES = {"stale-heartbeat": "The scheduled data update is late.", "stale-forecast": "The latest complete forecast is stale.", "insufficient-forecast-coverage": "Forecast coverage is shorter than six hours.", "forecast-unavailable": "The integrated smoke forecast is unavailable.", "unexpected-version": "The published data version does not match this app."}
 

@@ -7,6 +7,7 @@ import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +142,19 @@ class SnapshotStore(Folder):
         self.replace("pointer.json", json.dumps({"n": n, "version": version}))
         return version
 
+    def previous(self, valid) -> tuple[dict[str, DataFrame] | None, int | None]:
+        """What the next run goes on from: the newest snapshot and its number. If valid(tables) raises ValueError, or a
+        file of it is lost or no JSON, there are no tables, but the number is still told; (None, None) before the first."""
+        n = self.latest() or None
+        if n is None:
+            return None, None
+        try:
+            tables = self.current()
+            valid(tables)
+        except (AnalysisException, TypeError, ValueError):
+            return None, n
+        return tables, n
+
     def current(self) -> dict[str, DataFrame]:
         """Tables of the published snapshot; empty before the first."""
         n = self.latest()

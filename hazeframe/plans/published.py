@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hazeframe.functions import clock
 from hazeframe.operators import catalog, contract, frames, quality, ranking, raster, reconcile, series, snapshot, spatial, temporal
 from hazeframe.operators.staging import scratch
 from hazeframe.plans.contracts import VALID_SQL, monitors
@@ -335,3 +336,31 @@ def incident_points(t):
 def incident_clusters(t):
     """Incidents of a screen in the order of their ids; order decides, so SQL cannot express it."""
     return spatial.greedy_clusters(incident_points(t), "screen", 60.0)
+
+
+@query("D06_canonical_hours", "SELECT event_id, unnest(generate_series(0, 36)) + ((date_diff('day', DATE '1970-01-01', ts::DATE) * 24 + hour(ts))) AS hour FROM events")
+def canonical_hours(t):
+    """The hours of an outlook that begins with each event."""
+    hours = F.explode(clock.canonical_hours(F.col("ts").cast("timestamp"), 36))
+    return t.events.select("event_id", hours.alias("at")).select("event_id", (F.unix_timestamp("at") / 3600).cast("long").alias("hour"))
+
+
+@query("D07_normalised_times", """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE strftime(o_orderdate + to_hours((o_orderkey % 24 - CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 0 END)::BIGINT), '%Y-%m-%dT%H:00:00Z') END AS at FROM orders""")
+def normalised_times(t):
+    k = F.col("o_orderkey")
+    own = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T"), F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":00:00"))
+    text = F.when(k % 4 == 0, F.concat(own, F.lit("Z"))).when(k % 4 == 1, F.concat(own, F.lit("+02:00"))).when(k % 4 == 2, own).otherwise("soon")
+    return t.orders.select("o_orderkey", clock.normalised_iso(text).alias("at"))
+
+
+@query("W11_outlooks", "SELECT o_orderkey, o_orderkey % 7 IN (0, 1) OR o_orderkey % 5 NOT IN (1, 2, 3) AS kept FROM orders")
+def outlooks(t):
+    """Runs with every hour, one hour short, one hour off, out of order, without frames, and unavailable."""
+    k = F.col("o_orderkey")
+    start = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    due = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda h: clock.iso(F.timestamp_seconds(start + h * 3600)))
+    off = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda h: clock.iso(F.timestamp_seconds(start + h * 3600 + F.when(h == 5, 60).otherwise(0))))
+    times = F.when(k % 7 == 0, F.slice(due, 1, 0)).when(k % 5 == 1, F.slice(due, 1, 12)).when(k % 5 == 2, off).when(k % 5 == 3, F.reverse(due)).otherwise(due)
+    generated = clock.iso(F.timestamp_seconds(start + 1800))
+    return t.orders.select("o_orderkey", contract.canonical_outlook(generated, times, F.when(k % 7 == 1, "unavailable").otherwise("fresh"), 12).alias("kept"))

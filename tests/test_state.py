@@ -200,3 +200,19 @@ def test_last_good_over_batches_with_a_busy_source(spark, tmp_path):
         want.append((source, run, "ok" if ok else "stale" if source in last else "unavailable", last.get(source)))
     got = spark.read.schema("source string, run long, status string, payload string").parquet(f"{tmp_path}/sink/*").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_the_previous_snapshot_must_be_valid(spark, tmp_path):
+    store = snapshot.SnapshotStore(spark, f"{tmp_path}/store")
+    assert store.previous(lambda tables: None) == (None, None)
+    store.publish({"t": spark.range(3)})
+    tables, n = store.previous(lambda tables: None)
+    assert n == 1 and tables["t"].count() == 3
+
+    def short(tables):
+        if tables["t"].count() < 9:
+            raise ValueError("collapsed")
+
+    assert store.previous(short) == (None, 1)
+    store.replace("commits/00000001.json", "{")
+    assert store.previous(lambda tables: None) == (None, 1)
