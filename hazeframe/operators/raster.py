@@ -92,6 +92,13 @@ def lookup_table(spark: SparkSession) -> DataFrame:
     return none.unionAll(rows)
 
 
+def palette_use(cells: DataFrame, value: Column) -> DataFrame:
+    """index, red, green, blue, alpha, cells: all palette entries with the number of values each stands for, counted
+    inside tasks first; invalid values count for entry 0."""
+    used = cells.groupBy(palette_index(value).alias("index")).agg(F.count(F.lit(1)).alias("_n"))
+    return lookup_table(cells.sparkSession).drop("value").join(used, "index", "left").select("index", "red", "green", "blue", "alpha", F.coalesce("_n", F.lit(0)).alias("cells"))
+
+
 def coloured(cells: DataFrame, value: Column) -> DataFrame:
     """Adds red, green, blue, alpha of each value; the palette has at most 256 rows, so it is broadcast."""
     table = lookup_table(cells.sparkSession).select(F.col("index").alias("_i"), "red", "green", "blue", "alpha")
@@ -196,16 +203,6 @@ def nearest_colour(colours: DataFrame, key: str, most: int | None = None) -> Dat
     return out if most is None else out.where(F.col("apart") <= most)
 
 
-def plumes(spark: SparkSession, width: int, height: int, hours: int) -> DataFrame:
-    """Synthetic source: two drifting Gaussian plumes per model on a width x height grid for each hour."""
-    grid = spark.range(width * height * hours).select((F.col("id") % width).cast("int").alias("x"), (F.floor(F.col("id") / width) % height).cast("int").alias("y"), F.floor(F.col("id") / (width * height)).cast("int").alias("hour"))
-    bump = lambda cx, cy, s, top: top * F.exp(-(F.pow(F.col("x") - cx, 2) + F.pow(F.col("y") - cy, 2)) / (2 * s * s))
-    drift = F.col("hour") * 0.25
-    first = bump(width * 0.3 + drift, F.lit(height * 0.4), width * 0.08, 180.0) + bump(width * 0.7 - drift, F.lit(height * 0.6), width * 0.05, 90.0)
-    second = bump(width * 0.32 + drift, F.lit(height * 0.42), width * 0.07, 220.0) + bump(width * 0.68 - drift, F.lit(height * 0.58), width * 0.06, 70.0)
-    return grid.withColumn("first", first).withColumn("second", second)
-
-
 def detail_frame(cells: DataFrame, first: Column, second: Column, weight: Column, covered: Column, width: int, height: int) -> tuple[DataFrame, DataFrame]:
     """Base raster and tiles of a (2 width - 1) x (2 height - 1) detail grid (x, y): merged once, of which the base
     takes every second column and row and the four tiles, which share the middle ones, take all."""

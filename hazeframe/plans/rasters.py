@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeframe.functions import air, geo
-from hazeframe.operators import raster, spatial
+from hazeframe.operators import contract, raster, spatial
 from hazeframe.plans.domain import CELLS_SQL, CITIES_SQL, LAT_SQL, LON_SQL, at, cells, cities
 from hazeframe.plans.registry import query
+from hazeframe.sources import demo
 
 POINTS_SQL = CITIES_SQL + ", points AS (SELECT city_id, (lon + 145) / 100.0 * 63 AS x, (72 - lat) / 62.0 * 39 AS y FROM cities WHERE lon BETWEEN -145 AND -45 AND lat BETWEEN 10 AND 72)"
 CORNER_SQL = POINTS_SQL + """, corners AS (
@@ -104,9 +105,12 @@ lut AS (SELECT (1 + n * 24 + k)::INT AS index, round_even(r0 + (r1 - r0) * (k /
   UNION ALL SELECT 0, 0, 0, 0, 0)"""
 
 
-@query("R14_palette_table", f"WITH {LUT_SQL} SELECT * FROM lut")
+@query("R14_palette_table", f"""
+WITH {LUT_SQL}, c AS (SELECT {INDEX_SQL} AS index, count(*) AS cells FROM (SELECT l_extendedprice / 100 AS v FROM lineitem) GROUP BY 1)
+SELECT lut.*, coalesce(cells, 0) AS cells FROM lut LEFT JOIN c USING (index)""")
 def palette_table(t):
-    return raster.lookup_table(t.spark).drop("value")
+    """Every palette entry with the number of line items that it colours."""
+    return raster.palette_use(t.lineitem, F.col("l_extendedprice") / 100)
 
 
 @query("R15_nearest_colour", f"""
@@ -181,8 +185,16 @@ def rings(t):
     return got.select("c_custkey", n.alias("corners"), F.round(F.abs(shoelace) / 2, 6).alias("area"))
 
 
-@query("S30_synthetic_plumes", """
-WITH g AS (SELECT x::INT AS x, y::INT AS y, h::INT AS hour FROM generate_series(0, 31) a(x), generate_series(0, 19) b(y), generate_series(0, 3) c(h))
-SELECT x, y, hour, round(180 * exp(-(pow(x - (9.6 + hour * 0.25), 2) + pow(y - 8, 2)) / (2 * 2.56 * 2.56)) + 90 * exp(-(pow(x - (22.4 - hour * 0.25), 2) + pow(y - 12, 2)) / (2 * 1.6 * 1.6)), 6) AS first FROM g""")
+_BUMPS = lambda model, x, y: f"{model[0]}::DOUBLE" + "".join(f" + {top} * exp(-(pow(({x} - {cx} - hour * {demo.STEP * drift!r}::DOUBLE) / {wide}::DOUBLE, 2) + pow(({y} - {cy}) / {high}::DOUBLE, 2)))" for top, cx, cy, drift, wide, high in model[1])
+
+
+@query("S30_synthetic_plumes", f"""
+WITH {XY_SQL}, h AS (SELECT c_custkey, (lon + 145) / 100.0::DOUBLE * 256 AS px, (72 - lat) / 62.0::DOUBLE * 158 AS py, lon BETWEEN -145 AND -45 AND lat BETWEEN 10 AND 72 AS ok, x / 3 AS u, y / 3 AS v, unnest(generate_series(0, 36))::INT AS hour FROM xy),
+m AS (SELECT *, u BETWEEN 0 AND 599 AND v BETWEEN 0 AND 399 AS inside, least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(u, 599 - u, v, 399 - v) * 9 / 200)) AS t FROM h),
+f AS (SELECT *, CASE WHEN ok AND hour > 0 THEN {_BUMPS(demo.FIRST, 'px', 'py')} END AS a, CASE WHEN inside THEN {_BUMPS(demo.SECOND, 'u', 'v')} END AS b FROM m)
+SELECT c_custkey, hour, floor(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a + t * t * (3 - 2 * t) * greatest(b - a, 0) WHEN a IS NOT NULL THEN a ELSE b END * 1000 + 0.3217::DOUBLE)::BIGINT AS value_milli,
+  (CASE WHEN a IS NOT NULL AND b > a AND t > 0 THEN 3 WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 ELSE 0 END)::INT AS code FROM f""")
 def plumes(t):
-    return raster.plumes(t.spark, 32, 20, 4).select("x", "y", "hour", F.round("first", 6).alias("first"))
+    """The synthetic plumes of both models, merged, at every customer's place for the 37 hours of a run."""
+    places = t.customer.select("c_custkey", *at("c_custkey", 3), F.explode(F.sequence(F.lit(0), F.lit(contract.HORIZON))).alias("hour"))
+    return demo.smoke(places).select("c_custkey", "hour", F.floor(F.col("merged") * 1000 + 0.3217).alias("value_milli"), "code")

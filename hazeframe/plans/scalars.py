@@ -9,7 +9,7 @@ from hazeframe.operators import contract, quality, ranking, raster, spatial
 from hazeframe.operators.staging import scratch
 from hazeframe.plans.domain import CELLS_SQL, HOUR_SQL, KM_SQL, LAT_SQL, LON_SQL, at, cells, readings
 from hazeframe.plans.registry import query
-from hazeframe.sources import files
+from hazeframe.sources import demo, files
 
 
 @query("F05_city_identity", "SELECT c_custkey, 'USA:' || n_name || ':' || c_name AS id FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -175,17 +175,17 @@ def incident_order(t):
     return ranking.numbered(rows, "o_custkey", F.asc("id")).select("o_orderkey", "rank")
 
 
-@query("S29_demo_manifest", "SELECT 37 AS frames, 8 AS sources, 0 AS broken")
+@query("S29_demo_manifest", """
+WITH d AS (SELECT ts::DATE AS day, max(ts) AS now FROM events GROUP BY 1)
+SELECT strftime(day, '%Y-%m-%d') AS day, 37 AS frames, 73 AS first_frames, 49 AS second_frames, 8 AS sources, strftime(date_trunc('hour', now) + INTERVAL 36 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS last_valid,
+  strftime(now - INTERVAL 120 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS fires_seen, 0 AS broken FROM d""")
 def demo_manifest(t):
-    """A synthetic snapshot that keeps every rule, made from a range of hours."""
-    hours = t.spark.range(contract.HORIZON + 1).select((F.lit(1704067200) + F.col("id") * 3600).alias("s"))
-    tile = F.transform(F.sequence(F.lit(0), F.lit(contract.TILES - 1)), lambda i: F.struct((i % 4).cast("int").alias("column"), F.floor(i / 4).cast("int").alias("row"), F.lit("/d").alias("textureUrl"), F.lit("/m").alias("sourceMaskUrl")))
-    frame = F.struct(F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("validTime"), F.lit("/t").alias("textureUrl"), F.lit("/m").alias("sourceMaskUrl"), tile.alias("detailTiles"))
-    best = F.struct(F.array_sort(F.collect_list(frame)).alias("frames"), F.lit("fresh").alias("integratedStatus"), F.lit(contract.HORIZON).alias("horizonHours"), F.lit("2024-01-01T00:00:00Z").alias("modelRun"), F.lit("/l").alias("legendUrl"), *[F.lit(v).alias(n) for n, v in contract.POLICY.items()], F.lit(200).alias("featherDistanceKm"))
-    state = F.struct(F.lit("stale").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("checkedAt"), F.lit("https://x").alias("provenance"))
-    bare = F.from_json(F.lit('{"frames":[]}'), contract.RUN)
-    box = F.struct(*[F.lit(v).alias(n) for n, v in zip(("west", "east", "south", "north"), geo.FORECAST_BOX, strict=True)])
-    made = hours.agg(best.alias("best")).select(F.to_json(F.struct(F.lit(8).alias("version"), F.lit("demo").alias("mode"), F.lit("2024-01-01T00:00:00Z").alias("generatedAt"), box.alias("bounds"), F.map_from_arrays(F.array(*map(F.lit, contract.SOURCES)), F.array(*[state] * len(contract.SOURCES))).alias("sources"), F.struct(F.lit("2024-01-01T00:00:00Z").alias("observedAt")).alias("air"), F.col("best").alias("forecast"), F.struct("best", bare.alias("hrrr"), bare.alias("firework")).alias("forecasts"))).alias("body"))
-    whole = made.select(F.from_json("body", contract.MANIFEST).alias("m")).select("m.*")
+    """A synthetic snapshot for the last reading of each day, held against every rule of the contract."""
+    whole = demo.manifests(t.events.groupBy(F.to_date("ts").alias("day")).agg(F.max("ts").alias("now")))
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in contract.manifest_rules().items()]))
-    return whole.select(F.size("forecast.frames").alias("frames"), F.size("sources").alias("sources"), F.size(broken).alias("broken"))
+    size = lambda name: F.size(f"forecasts.{name}.frames")
+    return whole.select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), size("best").alias("frames"), size("firework").alias("first_frames"), size("hrrr").alias("second_frames"), F.size("sources").alias("sources"),
+        F.element_at("forecast.frames", -1)["validTime"].alias("last_valid"), F.col("sources")["cwfis"]["observedAt"].alias("fires_seen"), F.size(broken).alias("broken"),
+    )
+
