@@ -5,7 +5,8 @@ its two bytes, the fragments encoded one by one and the ids concatenated. `Codec
 vocabulary and cuts where a solid byte meets a blank, a Latin letter an ASCII sign or a lone newline an ASCII sign, if
 that pair is forced. Cuts of these kinds are also ends of the pre-tokenizer's pieces, so nothing depends on what stands
 on the other side. Whole batches are cut and looked up at once with numpy; ids of fragments of at most SHORT bytes are
-kept under their 64-bit hashes in a bounded table. Texts that hold a special token are cut one by one.
+kept under their 64-bit hashes in a bounded table; `round_trip` compares what the ids spell with the text, so no result
+rests on those hashes. Texts that hold a special token are cut one by one.
 
 Null texts count as empty: no ids, empty decoded text. Texts of any length are encoded whole.
 """
@@ -204,6 +205,18 @@ class Codec:
         out = [flat[s:e] for s, e in zip(edge[:-1], edge[1:], strict=True)]
         return [b if b.isascii() else b.decode("utf-8", "replace").encode() for b in out]
 
+    def round_trip(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Ids, ends and decoded bytes of all texts. Ids of another fragment, which equal hashes could give, decode to
+        other bytes; such texts, and those that decode otherwise for a special token, are encoded again without hashes."""
+        ids, ends = self.encode_all(texts)
+        backs = self.decode_all(ids, ends)
+        wrong = {i for i, (text, back) in enumerate(zip(texts.cast(pa.large_binary()).to_pylist(), backs, strict=True)) if (text or b"") != back}
+        if wrong:
+            own = [np.frombuffer(self.encode(texts[i].as_py()), "<u4") if i in wrong else part for i, part in enumerate(np.split(ids, ends[:-1]))]
+            ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
+            backs = self.decode_all(ids, ends)
+        return ids, ends, backs
+
     def decode(self, ids: bytes) -> str:
         table = self.tokens
         return b"".join([table[i] for i in memoryview(ids).cast("I").tolist()]).decode("utf-8", "replace")
@@ -224,8 +237,7 @@ def encode_decode(documents: DataFrame, tokenizer: str, id_col: str = "doc_id",
     def run(batches):
         c = codec(tokenizer)
         for part in chunks(batches, 1):
-            ids, ends = c.encode_all(part.column(1))
-            backs = c.decode_all(ids, ends)
+            ids, ends, backs = c.round_trip(part.column(1))
             counts = np.diff(ends, prepend=0)
             edge = np.concatenate([[0], ends]).tolist()
             own = [ids[s:e] for s, e in zip(edge[:-1], edge[1:], strict=True)]
