@@ -22,8 +22,8 @@ recall() compares a stated query set with all rows by brute force.
 
 Null labels, null vectors, zero vectors and vectors with null or non-finite components link with nothing and are
 their own component. Rows that repeat a vec_id count as other rows with the same vector do. Vectors without a vec_id
-link and count like others but name no component, unless all of it lack one: then component_id is null. Ids lie below
-2^62. kept is true where component_id is null. An empty table gives no rows; other columns are ignored.
+link and count like others but name no component, unless all of it lack one: then component_id is null. An id of
+2^62 or more is an error. kept is true where component_id is null. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -294,7 +294,9 @@ def count_links(members: DataFrame, pairs: DataFrame, threshold: float, block: i
 
 def prepared(embeddings: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, ...]:
     """Marked rows, the usable ones, their classes of equal vectors, and the classes as nodes(id, grp, vec, k)."""
-    raw = embeddings.select(F.col(id_col).cast("long").alias("vid"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("x"))
+    too_high = F.raise_error(F.concat(F.lit(f"{id_col} must lie below 2^62: "), F.col(id_col).cast("string"))).cast("long")
+    vid = F.when(F.col(id_col) >= UNNAMED, too_high).otherwise(F.col(id_col).cast("long"))
+    raw = embeddings.select(vid.alias("vid"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     top_abs = F.aggregate("x", F.lit(0.0), lambda acc, v: F.greatest(acc, F.abs(v)))
     usable = F.col("label").isNotNull() & F.col("x").isNotNull() & F.coalesce(finite, F.lit(False)) & (top_abs > 0)

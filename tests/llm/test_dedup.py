@@ -285,6 +285,37 @@ def test_vectors_without_an_id_and_clashing_columns(spark):
     assert got == sorted([(1, 3, 1, True), (None, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (None, 1, None, True), (None, 1, None, True)], key=str)
 
 
+def test_vector_ids_that_would_pass_for_none_are_an_error(spark):
+    for high in (1 << 62, (1 << 63) - 1):
+        df = spark.createDataFrame([(1, [1.0, 0.0], 0), (high, [1.0, 0.1], 0)], "vec_id long, embedding array<double>, label int")
+        with pytest.raises(Exception, match=f"below 2\\^62: {high}"):
+            embedding_dedup.near_duplicates(df).collect()
+
+
+def test_leaks_with_repeated_items_and_clashing_columns(spark):
+    text = "the quick brown fox jumps over the lazy dog near the old river bank"
+    docs = spark.createDataFrame([(1, "so " + text + " today", 9), (1, "so " + text + " today", 9), (None, text, 9), (2, None, 9), (3, "", 9)], "doc_id long, text string, item_id long")
+    items = spark.createDataFrame([(7, text, 1), (7, text, 2), (None, text, 3), (8, None, 4)], "item_id long, text string, doc_id long")
+    got = sorted(decontaminate.find_contamination(docs, items).select("doc_id", "item_id", "similarity", "start_word").collect(), key=str)
+    want = [(d, i, 1.0, s) for d, s in ((1, 1), (1, 1), (None, 0)) for i in (7, 7, None)]
+    assert [tuple(r) for r in got] == sorted(want, key=str)
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
+def test_shards_of_repeated_and_missing_ids(spark):
+    rows = [(5, "a", 1)] * 40 + [(None, None, 1)] * 30 + [(i, "é" * i, 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard long")
+    got = sharding.shard_documents(df, [1.0] * 4, [1.0] * 5).collect()
+    assert len(got) == len(rows)
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    for key in (5, None):
+        assert len({(r["shard"], r["grown_shard"]) for r in got if r["doc_id"] == key}) == 1
+    assert {r["size"] for r in got if r["doc_id"] is None} == {1}
+
+
 def test_vectors_that_the_graph_missed_are_found(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((350, 16))
