@@ -16,13 +16,23 @@ from hazeframe.sources import assets, payloads, stations
 from hazeframe.streaming import hourly, keyed
 
 SIZE = 200  # items of an envelope
+FOLDER = 50  # envelopes of a folder
+FIRST_FOLDER = 10**12  # folder numbers are of one width, so their names sort as they do
 
 
-def _write_envelopes(rows, items: str, number, path: str, extra: str = "") -> None:
-    """rows (n, item) as files of at most SIZE items; count is what the file holds plus `extra`."""
-    body = F.concat(F.lit('{"count":'), F.count(F.lit(1)) + F.expr(extra or "0"), F.lit(f',"{items}":['), F.array_join(F.array_sort(F.collect_list(F.struct("n", "item")))["item"], ","), F.lit("]}"))
-    files = rows.groupBy(F.floor(number / SIZE).alias("part")).agg(body.alias("value"))
-    files.repartition("part").write.partitionBy("part").text(path)
+def _write_envelopes(rows, items: str, item, path: str, extra=None, body=None) -> None:
+    """rows (asset, an integer; n) as files of at most SIZE items below path/asset=<asset>, in the order of n; count is
+    what the file holds plus `extra`, and `body` may replace a file's text.
+
+    A row of the last step is a file. FOLDER files share a folder, so that neither the commit nor the listing of the
+    files goes by a folder a file; rows meet by folder before items are made, in one shuffle of narrow rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("n") / SIZE)
+    dealt = rows.withColumn("folder", FIRST_FOLDER + F.floor(part / FOLDER)).repartition(parts, "asset", "folder").select("asset", "folder", part.alias("part"), "n", item.alias("item"))
+    text = F.concat(F.lit('{"count":'), F.count(F.lit(1)) + (F.lit(0) if extra is None else extra), F.lit(f',"{items}":['), F.array_join(F.array_sort(F.collect_list(F.struct("n", "item")))["item"], ","), F.lit("]}"))
+    files = dealt.groupBy("asset", "folder", "part").agg((text if body is None else body(text)).alias("value"))
+    files.sortWithinPartitions("asset", "folder", "part").drop("part").write.option("maxRecordsPerFile", 1).partitionBy("asset", "folder").text(path)
 
 
 @query("S34_monitor_envelopes", f"WITH {VALID_SQL} SELECT c_custkey % 2 AS precedence, count(*) AS n FROM good WHERE valid GROUP BY 1")
@@ -30,10 +40,9 @@ def monitor_envelopes(t):
     """Monitors of two assets of many files each; a third asset is not there, which is a partial failure."""
     root = scratch(t.spark)
     rows = monitors(t)
-    items = rows.select(F.col("c_custkey").alias("n"), F.to_json(F.struct(*[c for c in rows.columns if c != "c_custkey"])).alias("item"))
-    for k in (0, 1):
-        _write_envelopes(items.where(F.col("n") % 2 == k), "monitors", F.col("n"), f"{root}/{k}")
-    got, _ = assets.monitors(t.spark, [("airnow", f"{root}/0"), ("bcair", f"{root}/1"), ("sinaica", f"{root}/none")])
+    item = F.to_json(F.struct(*[c for c in rows.columns if c != "c_custkey"]))
+    _write_envelopes(rows.withColumn("n", F.col("c_custkey")).withColumn("asset", (F.col("n") % 2).cast("int")), "monitors", item, root)
+    got, _ = assets.monitors(t.spark, [("airnow", f"{root}/asset=0"), ("bcair", f"{root}/asset=1"), ("sinaica", f"{root}/asset=none")])
     return got.groupBy(F.col("precedence").cast("long").alias("precedence")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -42,15 +51,11 @@ SELECT c_mktsegment AS source, CASE WHEN c_mktsegment = 'BUILDING' THEN 'count'
 def asset_outcomes(t):
     """What became of each asset: one states a wrong count, one is broken JSON, one is not there."""
     root = scratch(t.spark)
-    rows = t.customer.select("c_mktsegment", F.col("c_custkey").alias("n"), F.to_json(F.struct("c_custkey")).alias("item"))
     names = [r[0] for r in t.customer.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # five segments
-    for name in names:
-        own = rows.where(F.col("c_mktsegment") == name)
-        if name == "MACHINERY":
-            own.groupBy(F.floor(F.col("n") / SIZE).alias("part")).agg(F.lit('{"monitors":[').alias("value")).write.partitionBy("part").text(f"{root}/{name}")
-        else:
-            _write_envelopes(own, "monitors", F.col("n"), f"{root}/{name}", "1" if name == "BUILDING" else "")
-    _, outcomes = assets.envelopes(t.spark, [*((n, f"{root}/{n}") for n in names), ("none", f"{root}/none")], "monitors")
+    is_one = lambda name: F.col("asset") == (names.index(name) if name in names else -1)
+    rows = t.customer.select(F.array_position(F.array(*map(F.lit, names)), F.col("c_mktsegment")).cast("int").alias("place"), "c_custkey").select((F.col("place") - 1).alias("asset"), F.col("c_custkey").alias("n"), "c_custkey")
+    _write_envelopes(rows, "monitors", F.to_json(F.struct("c_custkey")), root, F.when(is_one("BUILDING"), 1).otherwise(0), lambda text: F.when(is_one("MACHINERY"), '{"monitors":[').otherwise(text))
+    _, outcomes = assets.envelopes(t.spark, [*((name, f"{root}/asset={n}") for n, name in enumerate(names)), ("none", f"{root}/asset=none")], "monitors")
     return outcomes.select("source", "status", "found")
 
 
@@ -60,12 +65,9 @@ def incident_envelopes(t):
     root = scratch(t.spark)
     k = F.col("o_orderkey")
     body = F.struct(F.concat(F.lit("i"), k % 500).alias("id"), F.lit("fire").alias("name"), F.when(k % 11 != 0, "US").otherwise("XX").alias("country"), F.lit(-120.0).alias("lon"), F.lit(45.0).alias("lat"), F.lit("active").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("updatedAt"), F.lit("https://x").alias("sourceUrl"), F.floor("o_totalprice").cast("double").alias("areaHectares"))
-    rows = t.orders.select(k.alias("n"), F.to_json(body).alias("item"))
-    for odd in (0, 1):
-        own = rows.where(F.col("n") % 2 == odd)
-        files = own.groupBy(F.lpad(F.floor(F.col("n") / SIZE).cast("string"), 12, "0").alias("part")).agg(F.concat(F.lit('{"incidents":['), F.array_join(F.array_sort(F.collect_list(F.struct("n", "item")))["item"], ","), F.lit("]}")).alias("value"))
-        files.repartition("part").write.partitionBy("part").text(f"{root}/{odd}")
-    got, _ = assets.incidents(t.spark, [("wfigs", f"{root}/0"), ("cwfis", f"{root}/1")])
+    rows = t.orders.select((k % 2).cast("int").alias("asset"), k.alias("n"), "o_orderkey", "o_totalprice")
+    _write_envelopes(rows, "incidents", F.to_json(body), root)
+    got, _ = assets.incidents(t.spark, [("wfigs", f"{root}/asset=0"), ("cwfis", f"{root}/asset=1")])
     return got.select("id", F.col("areaHectares").alias("hectares"))
 
 
