@@ -66,9 +66,20 @@ def monitors(spark: SparkSession, assets: list[tuple[str, str]]) -> tuple[DataFr
 
 
 def incidents(spark: SparkSession, assets: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """Incidents of all assets that can be read, and the outcomes; of an id the last valid one in order wins."""
+    """Incidents of all assets that can be read, and the outcomes; of an id the last valid one in order wins.
+
+    Files are numbered in order, so that a row's place is one number and the last one of an id a hash aggregation; whole
+    incidents are read again for the winners only, and never sorted.
+    """
     rows, outcomes = envelopes(spark, assets, "incidents")
     loaded(outcomes)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = rows.select("precedence", "path").distinct().repartitionByRange(parts, "precedence", "path").sortWithinPartitions("precedence", "path")
+    numbered = staged(names.withColumn("file", F.monotonically_increasing_id()))  # written numbers hold
     known = rows.select("precedence", "path", "ord", F.from_json("item", contract.INCIDENT).alias("m")).select("precedence", "path", "ord", "m.*").where(contract.valid_incident())
-    value = [c for c in known.columns if c not in ("id", "precedence", "path", "ord")]
-    return known.groupBy("id").agg(F.max_by(F.struct(*value), F.struct("precedence", "path", "ord")).alias("r")).select("id", "r.*"), outcomes
+    place = F.col("file").cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("ord")
+    last = known.select("precedence", "path", "ord", "id").join(numbered, ["precedence", "path"]).groupBy("id").agg(F.max(place).alias("place"))
+    first = F.floor(F.col("place") / F.lit(2**31).cast("decimal(10,0)")).cast("long")
+    won = staged(last.select(first.alias("file"), F.pmod("place", F.lit(2**31).cast("decimal(10,0)")).cast("int").alias("ord")).join(numbered, "file").drop("file"))
+    whole = rows.join(won, ["precedence", "path", "ord"]).select(F.from_json("item", contract.INCIDENT).alias("m"))
+    return whole.select("m.*"), outcomes

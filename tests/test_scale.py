@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from hazeframe.plans.registry import QUERIES
+from pyspark.sql import functions as F
+
+from hazeframe.operators import spatial
+from hazeframe.plans import registry
+from hazeframe.sources import assets
 
 
 def test_completeness_without_gaps_is_null(spark, tmp_path):
@@ -12,5 +16,21 @@ def test_completeness_without_gaps_is_null(spark, tmp_path):
     at = lambda rows, name: spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/{name}/events.parquet")
     at(rows, "whole")
     at([rows[0], rows[2]], "gap")
-    got = [tuple(QUERIES["A20_completeness"](spark, f"{tmp_path}/{name}").first()) for name in ("whole", "gap")]
+    got = [tuple(registry.QUERIES["A20_completeness"](spark, f"{tmp_path}/{name}").first()) for name in ("whole", "gap")]
     assert got[0] == (3, 3, None) and got[1][:2] == (3, 2) and got[1][2] is not None
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_incidents_are_not_sorted_whole_and_the_last_in_order_wins(spark, tmp_path):
+    rows = spark.range(4 * registry.published.SIZE * registry.published.FOLDER).select((F.col("id") % 2).cast("int").alias("asset"), F.col("id").alias("n"))
+    body = F.to_json(F.struct(F.concat(F.lit("i"), F.col("n") % 7).alias("id"), F.lit("fire").alias("name"), F.when(F.col("n") % 5 != 0, "US").otherwise("XX").alias("country"), F.lit(-120.0).alias("lon"), F.lit(45.0).alias("lat"), F.lit("active").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("updatedAt"), F.lit("https://x").alias("sourceUrl"), F.col("n").cast("double").alias("areaHectares")))
+    registry.published._write_envelopes(rows, "incidents", body, f"file://{tmp_path}/all")
+    assert len(list((tmp_path / "all").glob("asset=*/folder=*/*.txt"))) == 4 * registry.published.FOLDER * 2 and len(list((tmp_path / "all").glob("asset=*/folder=*"))) == 8
+    got, outcomes = assets.incidents(spark, [("odd", f"file://{tmp_path}/all/asset=1"), ("even", f"file://{tmp_path}/all/asset=0")])
+    top = 4 * registry.published.SIZE * registry.published.FOLDER
+    want = {f"i{k}": float(max(n for n in range(k, top, 7) if n % 5 and n % 2 == 0)) for k in range(7)}
+    assert {r["id"]: r["areaHectares"] for r in got.collect()} == want and {r["status"] for r in outcomes.collect()} == {"ok"}
+    assert "SortAggregate" not in plan_of(got)
