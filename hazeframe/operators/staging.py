@@ -31,6 +31,12 @@ def written(df: DataFrame, *partition_by: str, rows: int | None = None) -> tuple
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all shuffle partitions, before steps that do much work for each small row: a table of few bytes is
+    read as one split, which would leave that work to one task. Rows are dealt evenly, so no key makes a part large."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def staged(df: DataFrame, *partition_by: str, rows: int | None = None) -> DataFrame:
     return written(df, *partition_by, rows=rows)[0]
 

@@ -17,9 +17,9 @@ def _right(df):
 def _matches(t):
     """Nearest fresh station within 50 km of each city: of the comparable system, else, in Canada, of the health index."""
     fresh = _right(stations(t.supplier, t.customer).where("age_min BETWEEN 0 AND 120").select("id", "aqi", "age_min", "system", "lon", "lat"))
-    towns = cities(t.customer, t.nation)
-    allowed = (F.col("system") == "us-epa-aqi") | ((F.col("system") == "ca-aqhi") & (F.col("region") == "CANADA"))
-    return spatial.nearest_within(towns, fresh, 50.0, "city_id", F.asc("age_min"), F.asc("id"), first=F.col("system") != "us-epa-aqi", where=allowed)
+    towns = cities(t.customer, t.nation).withColumn("home", F.col("region") == "CANADA")
+    allowed = (F.col("system") == "us-epa-aqi") | ((F.col("system") == "ca-aqhi") & F.col("home"))
+    return spatial.nearest_within(towns, fresh, 50.0, "age_min", "id", first=F.col("system") != "us-epa-aqi", where=allowed, sees=("home",), kinds=("system",))
 
 
 MATCH_SQL = f"""

@@ -34,3 +34,19 @@ def test_incidents_are_not_sorted_whole_and_the_last_in_order_wins(spark, tmp_pa
     want = {f"i{k}": float(max(n for n in range(k, top, 7) if n % 5 and n % 2 == 0)) for k in range(7)}
     assert {r["id"]: r["areaHectares"] for r in got.collect()} == want and {r["status"] for r in outcomes.collect()} == {"ok"}
     assert "SortAggregate" not in plan_of(got)
+
+
+def test_copies_of_points_cost_no_pairs(spark, monkeypatch):
+    """600 cities at one point and 500 stations at another: one pair, and the tie rules of all rows hold."""
+    made = []
+    true = spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a: made.append(true(*a)) or made[-1])
+    left = spark.range(600).select(F.col("id").alias("a"), F.lit(10.0).alias("lon"), F.lit(20.0).alias("lat"), (F.col("id") % 2 == 0).alias("home"))
+    right = spark.range(500).select(F.col("id").alias("b"), (F.col("id") % 9 + 3).alias("age"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("system"), F.lit(10.1).alias("r_lon"), F.lit(20.0).alias("r_lat"))
+    got = spatial.nearest_within(left, right, 50.0, "age", "b", first=F.col("system") == "y", where=(F.col("system") == "y") | F.col("home"), sees=("home",), kinds=("system",)).collect()
+    assert len(got) == 600 and {(r["a"] % 2, r["b"]) for r in got} == {(0, 0), (1, 1)}
+    assert sum(df.count() for df in made) <= 8
+    land = right.select("r_lon", "r_lat")
+    near = spatial.coastal(left.withColumnRenamed("a", "k"), land, "k").collect()
+    assert len(near) == 600 and len({round(r["km"], 6) for r in near}) == 1 and 10 < near[0]["km"] < 11
+    assert spatial.coastal(left.withColumnRenamed("a", "k"), land, "k", 5.0).count() == 0
