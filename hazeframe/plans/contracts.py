@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazeframe.functions import geo, text
 from hazeframe.operators import contract, quality
+from hazeframe.operators.staging import spread
 from hazeframe.plans.domain import HOUR_SQL, readings
 from hazeframe.plans.registry import query
 
@@ -56,7 +57,8 @@ def valid_incidents(t):
 
 
 def manifests(t):
-    """Suppliers as manifests in JSON: every k-th breaks one rule, for k of a few primes."""
+    """Suppliers as manifests in JSON: every k-th breaks one rule, for k of a few primes. A supplier of a few bytes becomes
+    a manifest of a hundred thousand, so they are dealt over all tasks first."""
     k = F.col("s_suppkey")
     time = lambda h: F.concat(F.lit("2024-01-0"), (1 + F.floor(h / 24)).cast("string"), F.lit("T"), F.lpad((h % 24).cast("string"), 2, "0"), F.lit(":00:00Z"))
     state = F.struct(F.lit("ok").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("checkedAt"), F.when(k % 13 == 0, "ftp://x").otherwise("https://x").alias("provenance"))
@@ -69,7 +71,7 @@ def manifests(t):
     bare = F.struct(F.array(F.struct(time(F.lit(0)).alias("validTime"), F.when(k % 3 == 0, "/t").alias("textureUrl"))).alias("frames"), F.lit("2024-01-01T00:00:00Z").alias("modelRun"))
     sets = F.create_map(F.lit("aqhi"), F.struct(F.lit("/a").alias("url"), F.lit("2024-01-01T00:00:00Z").alias("observedAt"), F.when(k % 29 == 0, 0).otherwise(9).alias("count"), F.lit(contract.COUNT_VERSION).alias("countVersion")))
     body = F.struct(F.lit(8).alias("version"), F.when(k % 5 == 0, "test").otherwise("live").alias("mode"), F.lit("2024-01-01T00:00:00Z").alias("generatedAt"), F.struct(*[F.lit(v).alias(n) for n, v in zip(("west", "east", "south", "north"), geo.FORECAST_BOX, strict=True)]).alias("bounds"), F.map_from_arrays(names, F.transform(names, lambda _: state)).alias("sources"), F.struct(sets.alias("monitorSets")).alias("air"), best.alias("forecast"), F.struct(best.alias("best"), bare.alias("hrrr"), F.when(k % 31 != 0, bare).alias("firework")).alias("forecasts"))
-    return t.supplier.select("s_suppkey", F.to_json(body).alias("body")).select("s_suppkey", F.from_json("body", contract.MANIFEST).alias("m")).select("s_suppkey", "m.*")
+    return spread(t.supplier.select("s_suppkey")).select("s_suppkey", F.to_json(body).alias("body")).select("s_suppkey", F.from_json("body", contract.MANIFEST).alias("m")).select("s_suppkey", "m.*")
 
 
 V01_SQL = """

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 
 from pyspark.sql import functions as F
 
-from hazeframe.operators import spatial
+from hazeframe.functions import air
+from hazeframe.operators import coast, raster, spatial
 from hazeframe.plans import registry
 from hazeframe.sources import assets
 
@@ -50,3 +53,8 @@ def test_copies_of_points_cost_no_pairs(spark, monkeypatch):
     near = spatial.coastal(left.withColumnRenamed("a", "k"), land, "k").collect()
     assert len(near) == 600 and len({round(r["km"], 6) for r in near}) == 1 and 10 < near[0]["km"] < 11
     assert spatial.coastal(left.withColumnRenamed("a", "k"), land, "k", 5.0).count() == 0
+
+
+def test_manifests_are_dealt_over_all_tasks(spark):
+    for name in ("V01_manifest_rules", "V03_valid_manifests", "V04_normalised_manifests", "T05_retained_runs", "U06_monitor_urls"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4, name
