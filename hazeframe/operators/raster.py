@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeframe.functions import geo
+from hazeframe.operators.staging import spread
 
 # Fixed values of the display palette: lower bound, red, green, blue, alpha; a ramp runs to the next entry.
 STOPS = [(0, 0, 0, 0, 0), (1, 77, 163, 255, 40), (5, 39, 120, 232, 90), (10, 0, 191, 255, 135), (20, 0, 181, 164, 170), (40, 245, 185, 66, 200), (60, 255, 128, 32, 220), (100, 239, 60, 52, 238), (150, 184, 30, 45, 247), (250, 122, 22, 45, 252), (500, 102, 18, 73, 254), (1000, 82, 16, 105, 255)]
@@ -143,11 +146,25 @@ def palette() -> list[tuple[int, int, int, int, int, float]]:
 def nearest_entry(red: Column, green: Column, blue: Column, alpha: Column) -> Column:
     """(apart, index, value) of the palette entry nearest by L1, the smaller index on ties.
 
-    The palette is a constant of the expression: no join, no shuffle, one row in and one row out.
+    The palette is a constant of the function: no join, one row in and one row out. A batch of pixels is held against one
+    entry after the other, and only a strictly nearer one takes the place of the one before.
     """
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "r", "g", "b", "a", "v"), row, strict=True)]) for row in palette()])
-    apart = lambda p: F.abs(red - p["r"]) + F.abs(green - p["g"]) + F.abs(blue - p["b"]) + F.abs(alpha - p["a"])
-    return F.array_min(F.transform(table, lambda p: F.struct(apart(p).alias("apart"), p["i"].alias("index"), p["v"].alias("value"))))
+    table = palette()
+
+    def nearest(red: pd.Series, green: pd.Series, blue: pd.Series, alpha: pd.Series) -> pd.DataFrame:
+        channels = (red, green, blue, alpha)
+        known = ~np.logical_or.reduce([c.isna().to_numpy() for c in channels])
+        pixels = [c.fillna(0).to_numpy("int64") for c in channels]
+        apart, place = np.full(len(red), np.iinfo("int64").max), np.zeros(len(red), "int64")
+        for n, entry in enumerate(table):
+            off = sum(np.abs(p - v) for p, v in zip(pixels, entry[1:5], strict=True))
+            nearer = off < apart
+            apart[nearer], place[nearer] = off[nearer], n
+        place[~known] = 0
+        picked = [np.array([entry[k] for entry in table])[place] for k in (0, 5)]
+        return pd.DataFrame({"apart": pd.Series(apart).where(known).astype("Int64"), "index": picked[0], "value": picked[1]})
+
+    return F.pandas_udf(nearest, "apart int, index int, value double")(*[c.cast("int") for c in (red, green, blue, alpha)])
 
 
 def colour_value(red: Column, green: Column, blue: Column, alpha: Column) -> Column:
@@ -160,7 +177,7 @@ def decoded(pixels: DataFrame, key: str) -> DataFrame:
     """key, index, code, valid of pixels (red, green, blue, alpha and mask_red, ...); an unknown colour fails the read."""
     near = nearest_entry(*[F.col(c) for c in ("red", "green", "blue", "alpha")])
     code = mask_code(*[F.col(f"mask_{c}") for c in ("red", "green", "blue", "alpha")])
-    out = pixels.select(key, code.alias("code"), near.alias("_n")).select(key, "code", F.when(F.col("_n.apart") <= TEXTURE_OFF, F.col("_n.index")).alias("index"))
+    out = spread(pixels).select(key, code.alias("code"), near.alias("_n")).select(key, "code", F.when(F.col("_n.apart") <= TEXTURE_OFF, F.col("_n.index")).alias("index"))
     known = F.col("index").isNotNull() & F.col("code").isNotNull()
     return out.select(key, F.when(known, F.col("index")).otherwise(F.raise_error(F.lit("unknown colour")).cast("int")).alias("index"), "code", (F.col("code") != 0).alias("valid"))
 
@@ -199,7 +216,7 @@ def reprojected(targets: DataFrame, cells: DataFrame, key: str, grid: dict | Non
 def nearest_colour(colours: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """key, index, apart: the palette entry nearest by L1 (ties to the smaller index), within most if given."""
     best = nearest_entry(*[F.col(c) for c in ("red", "green", "blue", "alpha")])
-    out = colours.select(key, best.alias("b")).select(key, "b.index", "b.apart")
+    out = spread(colours).select(key, best.alias("b")).select(key, "b.index", "b.apart")
     return out if most is None else out.where(F.col("apart") <= most)
 
 

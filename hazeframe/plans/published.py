@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hazeframe.functions import clock
 from hazeframe.operators import catalog, contract, frames, quality, ranking, raster, reconcile, series, snapshot, spatial, temporal
-from hazeframe.operators.staging import scratch
+from hazeframe.operators.staging import scratch, spread
 from hazeframe.plans.contracts import VALID_SQL, monitors
 from hazeframe.plans.domain import CELLS_SQL, HOUR_SQL, cells, readings
 from hazeframe.plans.rasters import LUT_SQL
@@ -109,7 +109,7 @@ def colour_values(t):
     """Concentration of a colour by its nearest palette entry; none where the pixel hardly shows."""
     k = F.col("p_partkey")
     got = raster.colour_value(*[(k * m % 256).cast("int") for m in (37, 59, 83, 3)])
-    return t.part.select("p_partkey", got["index"].alias("index"), F.round(got["value"], 6).alias("value"))
+    return spread(t.part.select("p_partkey")).select("p_partkey", got["index"].alias("index"), F.round(got["value"], 6).alias("value"))
 
 
 _STATES = ["ok", "stale", "error", "unavailable"]

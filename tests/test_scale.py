@@ -72,3 +72,19 @@ def test_filled_rows_match_the_parity_of_each_cell(spark):
     want = box.where(spatial.inside(F.col("ring"), F.col("cx") + 0.5, F.col("cy") + 0.5)).select("k", "cx", "cy")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 1000
     assert got.rdd.getNumPartitions() == 4
+
+
+def test_palette_entries_of_a_batch(spark):
+    """Ties go to the smaller index, unknown channels to no distance; the work is dealt over all tasks."""
+    table = raster.palette()
+    rng = random.Random(8)
+    rows = [(n, *(rng.randint(0, 255) for _ in range(4))) for n in range(300)] + [(300, None, 1, 2, 3), (301, 0, 0, 0, 0), (302, 184, 30, 45, 247)]
+    colours = spark.createDataFrame(rows, "n int, red int, green int, blue int, alpha int").coalesce(1)
+    near = raster.nearest_colour(colours, "n")
+    got = {r["n"]: (r["index"], r["apart"]) for r in near.collect()}
+    for n, *c in rows:
+        want = (0, None) if None in c else min((sum(abs(p - v) for p, v in zip(c, t[1:5], strict=True)), t[0]) for t in table)[::-1]
+        assert got[n] == want, n
+    assert near.rdd.getNumPartitions() == 4
+    for name in ("R15_nearest_colour", "R15_colour_values", "R17_decoded_pixels"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4, name
