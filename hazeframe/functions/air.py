@@ -26,15 +26,21 @@ def nowcast(slots: Column) -> Column:
 
     Two of the newest three hours must be there. Gaps keep their exponent. Null if there is too little data.
     """
-    known = F.filter(slots, lambda v: v.isNotNull())
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  worked out once, not for each use
     recent = F.size(F.filter(F.slice(slots, 1, 3), lambda v: v.isNotNull()))
-    high, low = F.array_max(known), F.array_min(known)
-    weight = F.when(high == 0, F.when(low == 0, 1.0).otherwise(0.5)).otherwise(F.greatest(F.lit(0.5), F.try_divide(low, high)))
-    pairs = F.transform(slots, lambda v, i: F.struct(v.alias("v"), F.when(v.isNotNull(), F.pow(weight, i)).otherwise(0.0).alias("w")))
-    total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + F.coalesce(x["v"] * x["w"], F.lit(0.0)))
-    weights = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"])
-    value = F.try_divide(total, weights)
-    value = F.when((value > -5) & (value < 0), 0.0).otherwise(value)
+
+    def weight(ends: Column) -> Column:
+        high, low = ends["high"], ends["low"]
+        return F.when(high == 0, F.when(low == 0, 1.0).otherwise(0.5)).otherwise(F.greatest(F.lit(0.5), F.try_divide(low, high)))
+
+    def mean(w: Column) -> Column:
+        pairs = F.transform(slots, lambda v, i: F.struct(v.alias("v"), F.when(v.isNotNull(), F.pow(w, i)).otherwise(0.0).alias("w")))
+        add = lambda a, x: F.struct((a["t"] + F.coalesce(x["v"] * x["w"], F.lit(0.0))).alias("t"), (a["w"] + x["w"]).alias("w"))
+        return F.aggregate(pairs, F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w")), add, lambda a: F.try_divide(a["t"], a["w"]))
+
+    ends = bound(F.filter(slots, lambda v: v.isNotNull()), lambda known: F.struct(F.array_max(known).alias("high"), F.array_min(known).alias("low")))
+    value = bound(bound(ends, weight), mean)
+    value = bound(value, lambda v: F.when((v > -5) & (v < 0), 0.0).otherwise(v))
     return F.when(recent >= 2, tenths(value) / 10)
 
 

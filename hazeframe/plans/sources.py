@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeframe.functions import clock
-from hazeframe.operators.staging import scratch
+from hazeframe.operators.staging import scratch, spread
 from hazeframe.plans.domain import HOUR_SQL
 from hazeframe.plans.registry import query
 from hazeframe.sources import files, payloads
@@ -133,11 +133,12 @@ def csv_monitors(t):
     """The provincial pair of CSV files, written from customers: 12 equal hours each, one station in four of another pollutant."""
     root = scratch(t.spark)
     k = F.col("c_custkey")
-    hours = t.customer.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("age"))
+    customers = spread(t.customer.select("c_custkey"))
+    hours = customers.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("age"))
     local = F.timestamp_seconds(F.lit(473376 * 3600) - F.col("age") * 3600 - 8 * 3600)
     rows = hours.select(F.date_format(local, "yyyy-MM-dd HH:mm").alias("DATE_PST"), F.concat(F.lit("E"), k).alias("EMS_ID"), F.lit("n").alias("STATION_NAME"), F.when(k % 4 == 0, "O3").otherwise("PM25").alias("PARAMETER"), (k % 30 + 5).cast("string").alias("RAW_VALUE"), F.lit("ug/m3").alias("UNITS"), F.lit("50.0").alias("LATITUDE"), F.lit("-120.0").alias("LONGITUDE"))
     rows.write.csv(f"{root}/hourly", header=True)
-    t.customer.select(F.concat(F.lit("E"), k).alias("EMS_ID"), F.lit("n").alias("STATION_NAME"), F.lit("o").alias("STATION_OWNER"), F.when(k % 2 == 0, "49.0").otherwise("0").alias("LATITUDE"), F.when(k % 2 == 0, "-121.0").otherwise("0").alias("LONGITUDE")).write.csv(f"{root}/stations", header=True)
+    customers.select(F.concat(F.lit("E"), k).alias("EMS_ID"), F.lit("n").alias("STATION_NAME"), F.lit("o").alias("STATION_OWNER"), F.when(k % 2 == 0, "49.0").otherwise("0").alias("LATITUDE"), F.when(k % 2 == 0, "-121.0").otherwise("0").alias("LONGITUDE")).write.csv(f"{root}/stations", header=True)
     got = files.csv_monitors(t.spark, f"{root}/hourly", f"{root}/stations", 473376)
     return got.select("id", F.col("hour").cast("int").alias("hour"), "nowcast")
 
