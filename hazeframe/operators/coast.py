@@ -54,7 +54,8 @@ class Lattice:
 def ring_edges(polygons: DataFrame, lattice: Lattice) -> DataFrame:
     """ord, ring, x0, y0, x1, y1 in lattice places, of polygons (ord, rings: arrays of (lon, lat) structs); the last
     point of a ring is joined to the first."""
-    rings = polygons.select("ord", F.posexplode("rings").alias("ring", "points"))
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rings = polygons.repartition(parts, "ord").select("ord", F.posexplode("rings").alias("ring", "points"))  # so their crossings need no shuffle
     n = F.size("points")
     pair = lambda p, i: F.struct(p.alias("a"), F.get("points", F.when(i + 1 == n, 0).otherwise(i + 1)).alias("b"))
     rows = rings.select("ord", "ring", F.explode(F.transform("points", pair)).alias("e"))
@@ -83,8 +84,9 @@ def sea(polygons: DataFrame, lattice: Lattice) -> DataFrame:
     as land, so what was painted last over a point holds."""
     spans = ring_spans(ring_edges(polygons, lattice), lattice)
     points = spans.select("ord", "ring", "y", F.explode(F.sequence("first", "last")).alias("x"))
-    painted = points.groupBy("x", "y").agg(F.max(F.struct("ord", "ring")).alias("top"))
-    return painted.where("top.ring = 0").select("x", "y")
+    # two plain maxima, which are hashed inside tasks; the maximum of a struct would sort all points of a task
+    painted = points.groupBy("x", "y").agg(*[F.max(F.when(on, F.col("ord"))).alias(n) for n, on in (("_sea", F.col("ring") == 0), ("_land", F.col("ring") > 0))])
+    return painted.where("_sea IS NOT NULL AND (_land IS NULL OR _sea > _land)").select("x", "y")
 
 
 def around(cells: DataFrame, *more: str) -> DataFrame:
