@@ -76,7 +76,8 @@ def incidents(spark: SparkSession, assets: list[tuple[str, str]]) -> tuple[DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = rows.select("precedence", "path").distinct().repartitionByRange(parts, "precedence", "path").sortWithinPartitions("precedence", "path")
     numbered = staged(names.withColumn("file", F.monotonically_increasing_id()))  # written numbers hold
-    known = rows.select("precedence", "path", "ord", F.from_json("item", contract.INCIDENT).alias("m")).select("precedence", "path", "ord", "m.*").where(contract.valid_incident())
+    parsed = F.explode(F.array(F.from_json("item", contract.INCIDENT)))  # a filter over its fields parses an item once, not for each field
+    known = rows.select("precedence", "path", "ord", parsed.alias("m")).select("precedence", "path", "ord", "m.*").where(contract.valid_incident())
     place = F.col("file").cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("ord")
     last = known.select("precedence", "path", "ord", "id").join(numbered, ["precedence", "path"]).groupBy("id").agg(F.max(place).alias("place"))
     first = F.floor(F.col("place") / F.lit(2**31).cast("decimal(10,0)")).cast("long")
